@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from momentis.llm import suffix_dedup
+from momentis.llm import bpe, exact_topk, html_text, near_dedup, packing, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op2_html_extraction": html_text.op2_html_extraction,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_bpe": bpe.op5_bpe,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op10_exact_topk": exact_topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_quality_rules": quality_rules.OP3_SQL,
+        "op10_exact_topk": exact_topk.OP10_SQL,
+    }
