@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,22 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return (df if is_plain_scan(df) else materialize(df)).withColumn(name, F.monotonically_increasing_id())
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_momentis_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="momentis-")) / "momentis.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        sc._momentis_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds of a partition at once."""
+    """Bound what a Python worker holds of a partition at once, and let it import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from momentis.llm import bpe, exact_topk, html_text, near_dedup, packing, quality_rules, suffix_dedup, token_counts
+import corpus_pipeline
+from momentis.llm import bpe, exact_topk, html_text, license_scan, near_dedup, packing, pii_surrogates, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -13,13 +14,18 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_bpe": bpe.op5_bpe,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_license_scans": license_scan.op7_license_scans,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op9_pii_surrogates": pii_surrogates.op9_pii_surrogates,
         "op10_exact_topk": exact_topk.op10_exact_topk,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {
+    found = {
         "op3_quality_rules": quality_rules.OP3_SQL,
         "op10_exact_topk": exact_topk.OP10_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
+    return {name: sql for name, sql in found.items() if sql}
