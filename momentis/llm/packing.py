@@ -14,7 +14,9 @@ or repeated; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentis.llm.bpe import byte_symbols
 from momentis.llm.common import materialize, small_batches, strings
 
 CAPACITY = 2048
 ROUNDS = 60
 STEP = 0.3
 RATE = 1.0
-MEMO = 300_000
+MEMO = 800_000
 BLOCK_BITS = 10
 
 Pattern = tuple[list[tuple[int, int]], int]
@@ -172,55 +175,78 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return kept.mapInArrow(_placed(table), schema)
 
 
+#: Fixed value: the split pattern of byte-level vocabularies, as the tokenizers library applies it.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ChunkTokens:
-    """Ids by the tokenizers library for a byte-level vocabulary, kept for the chunks between spaces.
+    """Ids as the tokenizers library gives them for a byte-level vocabulary, kept for the chunks between spaces.
 
     A space that stands between two characters that are no white space begins a chunk that the library's pattern never joins to
-    what stands before; texts with any other chunk, at edges of white space, go through the library whole.
+    what stands before. New chunks are encoded together, by the same merges in the faster library where the file's merges are its ids in order (this is
+    checked); texts with any other chunk, at edges of white space or with special tokens, go through the tokenizers library whole.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.memo: dict[str, bytes | None] = {"": b""}
-
-    def coded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).astype("<u4").tobytes() for e in self.own.encode_batch(texts, add_special_tokens=False)]
+        self.special = [x.content for x in self.own.get_added_tokens_decoder().values()]
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in model["vocab"].items() if token not in self.special}
+        if len(ranks) != 256 + len(pairs) or any(model["vocab"][a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
+            raise ValueError("the ids of this vocabulary aren't its merges in order")
+        import tiktoken
+
+        self.fast = tiktoken.Encoding("chunks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        #: Bytes that each id stands for.
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, k in ranks.items():
+            self.width[k] = len(token)
+        self.memo: dict[str, bytes] = {"": b""}
+
+    def coded(self, text: str) -> bytes:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
+        """Put the ids of chunks into the table; all that begin with a space are encoded as one text, cut by the bytes of its ids."""
         if len(self.memo) + len(chunks) > MEMO:
-            self.memo = {"": b""}
-        plain = []
+            self.memo.clear()
+            self.memo[""] = b""
+        some = []
         for c in chunks:
-            if len(c) == 1 and c == " " or c[-1].isspace() or (c[0] == " " and c[1].isspace()):
-                self.memo[c] = None
+            if c == " " or c[-1].isspace() or (c[0] == " " and c[1].isspace()) or ("<" in c and any(x in c for x in self.special)):
+                self.memo[c] = _WHOLE
+            elif c[0] == " ":
+                some.append(c)
             else:
-                plain.append(c)
-        self.memo.update(zip(plain, self.coded(plain), strict=True))
-        self.memo[""] = b""
+                self.memo[c] = self.coded(c)
+        ids = np.array(self.fast.encode_ordinary("".join(some)), "<u4")
+        stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in some])) + 1
+        data, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
+        for c, a, b in zip(some, edges, edges[1:], strict=False):
+            self.memo[c] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [t.replace(" ", "\x01 ").split("\x01") if "\x01" not in t else None for t in texts]
-        memo = self.memo
-        new = {c for chunks in split if chunks for c in chunks if c not in memo}
+        found = [None if chunks is None else list(map(self.memo.get, chunks)) for chunks in split]
+        new = {c for chunks, got in zip(split, found, strict=True) if got and None in got for c, x in zip(chunks, got, strict=True) if x is None}
         if new:
             self.learn(new)
-            memo = self.memo
-            if len(memo) <= len(new) + 1:
-                self.learn({c for chunks in split if chunks for c in chunks if c not in memo})
-                memo = self.memo
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            found = None if chunks is None else [memo[c] for c in chunks]
-            out.append(self.coded([text])[0] if found is None or None in found else b"".join(found))
-        return out
+            for k, got in enumerate(found):
+                if got and None in got:
+                    found[k] = [self.memo[c] if x is None else x for c, x in zip(split[k], got, strict=True)]
+        return [self.coded(t) if got is None or _WHOLE in got else b"".join(got) for t, got in zip(texts, found, strict=True)]
+
+
+#: Stands for a chunk that only its whole text decides; no ids have one byte.
+_WHOLE = b"?"
 
 
 _loaded: dict[str, ChunkTokens] = {}
@@ -243,7 +269,7 @@ def cut(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", cap
                 for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     row.append(k), piece.append(p), start.append(a), length.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
