@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from momentis.llm.common import small_batches, strings
 
-MEMO = 300_000
+MEMO = 800_000
 #: White space as the tokenizer files' patterns understand it.
 _SPACES = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -147,13 +147,14 @@ class PairIndexBPE:
     def encode(self, texts: list[str]) -> pa.LargeListArray:
         """The ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.memo}
+        found = [list(map(self.memo.get, chunks)) for chunks in split]
+        new = {c for chunks, got in zip(split, found, strict=True) if None in got for c, x in zip(chunks, got, strict=True) if x is None}
         if new:
             self.learn(new)
-            if len(self.memo) == len(new):  # the table has been emptied
-                self.learn({c for chunks in split for c in chunks} - new)
-        memo = self.memo
-        coded = [b"".join([memo[c] for c in chunks]) for chunks in split]
+            for k, got in enumerate(found):
+                if None in got:
+                    found[k] = [self.memo[c] if x is None else x for c, x in zip(split[k], got, strict=True)]
+        coded = [b"".join(got) for got in found]
         stops = np.cumsum([0, *map(len, coded)]) // 4
         return pa.LargeListArray.from_arrays(pa.array(stops, pa.int64()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 

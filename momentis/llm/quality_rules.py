@@ -38,15 +38,15 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n >= WINDOW, hashes)
 
 
-def _covered(hashes: Column) -> Column:
-    """Words covered by repeated windows: sort (hash, place), keep places whose neighbour has the same hash, add up their reach."""
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.sort_array(
-        F.transform(
-            F.filter(F.arrays_zip(pairs.alias("p"), F.slice(F.concat(pairs, F.array(pairs[0])), 2, F.size(pairs)).alias("q"), F.concat(F.slice(pairs, -1, 1), F.slice(pairs, 1, F.size(pairs) - 1)).alias("r")), lambda x: (x["p"]["h"] == x["q"]["h"]) | (x["p"]["h"] == x["r"]["h"])),
-            lambda x: x["p"]["i"],
-        )
-    )
+def _pairs(hashes: Column) -> Column:
+    """(hash, place) of each window, sorted."""
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _places(pairs: Column) -> Column:
+    """Sorted places of the windows that stand beside one of the same hash."""
+    beside = F.transform(pairs, lambda p, k: F.when(F.coalesce(F.get(pairs, k - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(pairs, k + 1)["h"] == p["h"], F.lit(False)), p["i"]))
+    return F.sort_array(F.filter(beside, lambda i: i.isNotNull()))
 
 
 def _reach(places: Column) -> Column:
@@ -59,27 +59,30 @@ def _reach(places: Column) -> Column:
     )
 
 
+def _with(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, through a generator of one row each: what follows can't be moved before it, so that no
+    filter or later column repeats the work of these."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of each text under names with a leading `q_`, and `q_base` for a failure of the base rules.
-
-    Each select keeps what the next one uses more than once, so that nothing is split or hashed twice.
-    """
-    own = docs.withColumn("q_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    own = own.withColumns({"q_words": F.filter(F.split("q_text", WORD_BREAK), lambda w: w != ""), "q_lines": F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    own = own.withColumn("q_n_words", F.size("q_words").cast("long"))
-    own = own.withColumns(
-        {
-            "q_word_chars": F.length(F.array_join("q_words", "")).cast("long"),
-            "q_n_symbols": F.regexp_count("q_text", F.lit(r"[#*$%&|<>]")).cast("long"),
-            "q_n_lines": F.size("q_lines").cast("long"),
-            "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_hashes": _repeat_words(F.col("q_words"), F.size("q_words")),
-        }
+    """docs with the counts of each text under names with a leading `q_`, and `q_base` for a failure of the base rules."""
+    own = _with(docs, q_text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    own = _with(own, q_words=F.filter(F.split("q_text", WORD_BREAK), lambda w: w != ""), q_lines=lines)
+    own = _with(
+        own,
+        q_n_words=F.size("q_words").cast("long"),
+        q_word_chars=F.length(F.array_join("q_words", "")).cast("long"),
+        q_n_symbols=F.regexp_count("q_text", F.lit(r"[#*$%&|<>]")).cast("long"),
+        q_n_lines=F.size("q_lines").cast("long"),
+        q_n_dup_lines=(F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+        q_hashes=_repeat_words(F.col("q_words"), F.size("q_words")),
     ).drop("q_words", "q_lines", "q_text")
-    own = own.withColumn("q_hashes", F.when(F.size(F.array_distinct("q_hashes")) < F.size("q_hashes"), F.col("q_hashes")))
-    own = own.withColumn("q_places", F.when(F.col("q_hashes").isNotNull(), _covered(F.col("q_hashes")))).drop("q_hashes")
-    own = own.withColumn("q_n_repeat_words", F.coalesce(_reach(F.col("q_places")), F.lit(0)).cast("long")).drop("q_places")
-    return own.withColumn("q_base", (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n_words")))
+    own = _with(own, q_pairs=F.when(F.size(F.array_distinct("q_hashes")) < F.size("q_hashes"), _pairs(F.col("q_hashes")))).drop("q_hashes")
+    own = _with(own, q_places=_places(F.col("q_pairs"))).drop("q_pairs")
+    own = _with(own, q_n_repeat_words=F.coalesce(_reach(F.col("q_places")), F.lit(0)).cast("long")).drop("q_places")
+    return _with(own, q_base=(F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n_words")))
 
 
 def failures() -> dict[str, Column]:
