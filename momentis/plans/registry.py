@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "flagship_moments"
+from collections.abc import Callable
 
+FLAGSHIP = "threshold_islands"
 
-def queries() -> dict:
-    return {}
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir) under a name, with the SQL for its rows."""
+
+    def put(fn: Callable) -> Callable:
+        _queries[name] = fn
+        if sql:
+            _sql[name] = sql
+        return fn
+
+    return put
+
+
+def _load() -> None:
+    from momentis.plans import moments, relational, selection, sessions, texts  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
