@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -181,7 +182,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     """docs with the ids of each text."""
     small_batches(docs.sparkSession)
 
-    def ids(batches: Iterator) -> Iterator:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             yield tokenizer(path).encode([x or "" for x in column]).to_pandas()
 
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """docs with the text of each row of ids."""
 
-    def texts(batches: Iterator) -> Iterator:
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             rows = pa.array([[] if x is None else x for x in column], pa.large_list(pa.int32()))
             yield tokenizer(path).decode(rows).to_pandas()
