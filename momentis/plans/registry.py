@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from momentis.plans import details, moments, relational, selection, sessions, texts  # noqa: F401
+    from momentis.plans import details, moments, more, relational, selection, sessions, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
