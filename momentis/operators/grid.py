@@ -25,10 +25,12 @@ def expand(rows: DataFrame, t: str = "t") -> DataFrame:
 
 def percentile_norm(rows: DataFrame, keys: list[str], v: str, low: float = 0.5, high: float = 0.98, least_spread: float = 10.0, most: float = 1.0) -> DataFrame:
     """Min-max between two percentiles of a signal, clamped; null stays null."""
-    bounds = rows.groupBy(*keys).agg(F.percentile(v, low).alias("_lo"), F.percentile(v, high).alias("_hi"))
+    # A signal has at most one row per window of the grid, so a key's rows are few: one shuffle, and no join of bounds.
+    own = Window.partitionBy(*keys)
+    bounded = rows.withColumns({"_lo": F.percentile(v, low).over(own), "_hi": F.percentile(v, high).over(own)})
     spread = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(least_spread))
     norm = F.when(F.col(v).isNull(), None).when(spread <= 1e-12, 0.0).otherwise(F.least(F.greatest((F.col(v) - F.col("_lo")) / spread, F.lit(0.0)), F.lit(most)))
-    return rows.join(bounds, keys).withColumn("norm", norm).drop("_lo", "_hi")
+    return bounded.withColumn("norm", norm).drop("_lo", "_hi")
 
 
 def local_contrast(rows: DataFrame, keys: list[str], order: str, v: str, radius: int = 5, weight: float = 0.7) -> DataFrame:

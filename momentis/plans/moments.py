@@ -62,12 +62,20 @@ GATED = FUSED + """, boost AS (SELECT cap, win, sum(CASE kind WHEN 'kill' THEN 0
 
 
 def gated(spark, sf_dir: str) -> DataFrame:
-    """Fused totals with event boosts, multiplied by a gate."""
-    boost = F.when(F.col("kind") == "kill", 0.8).otherwise(0.5)
-    boosts = grid.expand(load_events(spark, sf_dir)).where("kind in ('kill', 'headshot')").groupBy("cap", "win").agg(F.sum(boost).alias("b"))
-    gate = normalised(spark, sf_dir).where("kind = 'assist'").select("cap", "win", F.least(F.greatest("norm", F.lit(0.0)), F.lit(1.0)).alias("gate"))
-    total = F.greatest((F.col("total") + F.coalesce("b", F.lit(0.0))) * F.coalesce("gate", F.lit(1.0)), F.lit(0.0))
-    return fused(spark, sf_dir).join(boosts, ["cap", "win"], "left").join(gate, ["cap", "win"], "left").select("cap", "win", "gate", rounded(total, 4).alias("total"))
+    """Fused totals with event boosts, multiplied by a gate: totals, boosts and gate come from one pass over the signals."""
+    cells = grid.expand(load_events(spark, sf_dir)).groupBy("cap", "kind", "win").agg(F.max("v").alias("raw"), F.count("*").alias("n"))
+    norm = grid.percentile_norm(cells, ["cap", "kind"], "raw")
+    weight = F.lit(None).cast("double")
+    for kind, w in WEIGHTS.items():
+        weight = F.when(F.col("kind") == kind, w).otherwise(weight)
+    boost = F.when(F.col("kind") == "kill", 0.8).when(F.col("kind") == "headshot", 0.5) * F.col("n")
+    gate = F.when(F.col("kind") == "assist", F.least(F.greatest("norm", F.lit(0.0)), F.lit(1.0)))
+    rows = norm.withColumns({"w": weight, "b": boost, "g": gate}).groupBy("cap", "win").agg(
+        F.sum(F.col("w") * F.col("norm")).alias("wn"), F.sum("w").alias("w"), F.sum("b").alias("b"), F.min("g").alias("gate")
+    )
+    mean = rounded(F.coalesce(F.col("wn") / F.nullif("w", F.lit(0.0)), F.lit(0.0)), 4)
+    total = F.greatest((mean + F.coalesce("b", F.lit(0.0))) * F.coalesce("gate", F.lit(1.0)), F.lit(0.0))
+    return rows.where("w is not null").select("cap", "win", "gate", rounded(total, 4).alias("total"))
 
 
 @query("boost_gate_fusion", EV + GATED + " SELECT cap, win, total FROM gated")
