@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SESSION = "version int, capture string, duration_us long, highlights array<struct<id:string,start_us:long,end_us:long,score:double,enabled:boolean>>"
+SESSION = "version int, capture string, duration_us long, moments array<struct<id:string,start_us:long,end_us:long,score:double,enabled:boolean>>"
 
 
 def read_sessions(spark: SparkSession, path: str, newest: int = 1) -> DataFrame:

@@ -63,7 +63,7 @@ def test_folds():
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"version": 1, "capture": "a", "duration_us": 5, "extra": 1,\n "highlights": []}')
+    (tmp_path / "a.json").write_text('{"version": 1, "capture": "a", "duration_us": 5, "extra": 1,\n "moments": []}')
     (tmp_path / "b.json").write_text('{"version": 9, "capture": "b"}')
     (tmp_path / "c.json").write_text("{oops")
     assert [r.capture for r in tables.read_sessions(spark, str(tmp_path)).collect()] == ["a"]
