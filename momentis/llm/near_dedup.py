@@ -8,8 +8,11 @@ Frequencies are counted over all documents in 2**18 hash buckets, so that their
    that minimise ln a), in ten bands of four; texts whose weighted Jaccard similarity is 0.8 share a band with probability 0.995.
 3. Candidates: in each band bucket every text meets the bucket's first text. Pairs are verified on the whole bags. Texts that fail
    stay in the bucket for the next round with a new first text; once at most `LEADER_GROUP` remain they are settled in one task, each
-   against all leaders. No bucket gives pairs of all its members.
+   against every text of another class.
 4. Classes: connected components of verified pairs, by alternating large and small stars over distributed tables.
+5. Links past the first text: one minus the similarity is a metric, so a text that failed at distance d of a first text can only
+   resemble a text that followed it at d - (1 - `SIMILARITY`) or more. Those are compared too, in blocks of `BLOCK` by `BLOCK` texts,
+   where their classes still differ. So no link between texts that share a bucket is lost, and no table holds pairs of all members.
 
 Defined results: a text of one to four words is one shingle; null and wordless texts are classes of their own, one per row; repeated
 rows are copies; ids may be null or repeated; an empty table gives an empty result.
@@ -32,6 +35,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 BUCKET_BITS = 18
 LEADER_GROUP = 1000
+BLOCK = 256
+#: Allows for rounding where distances bound one another.
+SLACK = 1e-6
 #: A shingle of one document weighs 1 + DAMPING, one of all documents 1: members of large groups of copies stay alike.
 DAMPING = 0.1
 #: Consistent samples draw their random numbers from tables of this many entries, indexed by hash.
@@ -194,36 +200,75 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["uid", "bag"])
 
 
-def _verified(idf):
+def _compared(idf):
+    """Similarity of each pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         last, left = None, None
         for batch in batches:
-            keep = []
+            found = []
             for u, a, b in zip(batch.column("u").to_pylist(), batch.column("bag_u"), batch.column("bag_v"), strict=True):
                 if u != last:
                     last, left = u, bag(np.frombuffer(a.as_py(), np.uint32), weights)
-                keep.append(similarity(left, bag(np.frombuffer(b.as_py(), np.uint32), weights)) >= SIMILARITY)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+                found.append(similarity(left, bag(np.frombuffer(b.as_py(), np.uint32), weights)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found, pa.float64())], ["u", "v", "s"])
+
+    return run
+
+
+def _crossed(idf):
+    def run(followed: pa.Table, failed: pa.Table) -> pa.Table:
+        """A link for each class of texts that failed in which one resembles a text that followed."""
+        weights = idf.value
+        u, v, done = [], [], set()
+        if followed.num_rows and failed.num_rows:
+            order = followed.sort_by([("d", "descending")])
+            far = order.column("d").to_numpy()
+            uids = order.column("uid").to_pylist()
+            bags = [bag(np.frombuffer(x.as_py(), np.uint32), weights) for x in order.column("bag")]
+            totals = np.array([w.sum() for _, w in bags])
+            for uid, d, top, x in zip(failed.column("uid").to_pylist(), failed.column("d").to_pylist(), failed.column("top").to_pylist(), failed.column("bag"), strict=True):
+                if top in done:
+                    continue
+                own = bag(np.frombuffer(x.as_py(), np.uint32), weights)
+                total = own[1].sum()
+                near = (far >= d - (1.0 - SIMILARITY) - SLACK) & (np.minimum(totals, total) >= (SIMILARITY - SLACK) * np.maximum(totals, total))
+                k = next((k for k in np.flatnonzero(near).tolist() if similarity(bags[k], own) >= SIMILARITY), None)
+                if k is not None:
+                    u.append(uids[k])
+                    v.append(uid)
+                    done.add(top)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def _led(idf):
     def run(rest: pa.Table) -> pa.Table:
-        """Each text against every leader so far; one that none of them resembles becomes a leader."""
+        """Links that join each text to all classes it resembles; a class's texts stand by their distance from its first text."""
         weights = idf.value
-        leaders: list[tuple[int, tuple]] = []
+        groups: list[list[tuple[int, tuple, float]]] = []
         u, v = [], []
         order = rest.sort_by("uid")
         for uid, x in zip(order.column("uid").to_pylist(), order.column("bag"), strict=True):
             own = bag(np.frombuffer(x.as_py(), np.uint32), weights)
-            near = [k for k, other in leaders if similarity(other, own) >= SIMILARITY]
-            u += near
-            v += [uid] * len(near)
-            if not near:
-                leaders.append((uid, own))
+            joined = None
+            for members in groups:
+                first = 1.0 - similarity(members[0][1], own)
+                near = members[0][0] if first <= 1.0 - SIMILARITY else None
+                if near is None:
+                    # Only a text this far from the first one can be near; those of other groups are compared even where a chain joins them.
+                    near = next((k for k, other, d in members[1:] if d >= first - (1.0 - SIMILARITY) - SLACK and similarity(other, own) >= SIMILARITY), None)
+                if near is not None:
+                    u.append(near)
+                    v.append(uid)
+                    if joined is None:
+                        joined = members, first
+            if joined is None:
+                groups.append([(uid, own, 0.0)])
+            else:
+                joined[0].append((uid, own, joined[1]))
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -283,6 +328,7 @@ def classes(texts: DataFrame) -> DataFrame:
     rest = _crowded(materialize(apart.select("uid", F.explode("bands").alias("key"))))
 
     found: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     bags = None
     while not rest.isEmpty():
         if bags is None:
@@ -296,8 +342,10 @@ def classes(texts: DataFrame) -> DataFrame:
         pairs = met.select(F.col("lead").alias("u"), F.col("uid").alias("v")).distinct()
         left = pairs.join(bags.select(F.col("uid").alias("u"), F.col("bag").alias("bag_u")), "u")
         both = left.join(bags.select(F.col("uid").alias("v"), F.col("bag").alias("bag_v")), "v")
-        links = materialize(both.mapInArrow(_verified(idf), "u long, v long"))
+        compared = materialize(both.mapInArrow(_compared(idf), "u long, v long, s double"))
+        links = compared.where(F.col("s") >= SIMILARITY).select("u", "v")
         found.append(links)
+        rounds.append(compared.where(F.col("s") >= 2 * SIMILARITY - 1 - SLACK))
         failed = met.join(links.select(F.col("u").alias("lead"), F.col("v").alias("uid")), ["lead", "uid"], "left_anti")
         rest = _crowded(materialize(failed.select("uid", "key")))
 
@@ -307,13 +355,41 @@ def classes(texts: DataFrame) -> DataFrame:
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
-    linked = components(edges)
+    linked = _past_first(components(edges), rounds, bags, idf)
     roots = materialize(linked.union(linked.select("root", F.col("root").alias("top")).distinct()).toDF("member", "top"))
     moved = copies.join(roots, F.col("root") == F.col("member"), "left").select("uid", F.coalesce("top", "root").alias("root"))
     own = alone.join(roots, F.col("root") == F.col("member"), "left_anti")
     return moved.union(own).union(roots)
 
 
+def _past_first(linked: DataFrame, rounds: list[DataFrame], bags: DataFrame, idf) -> DataFrame:
+    """Components (uid, root) joined further by the links between texts that followed a first text and texts that failed it.
+
+    All that followed are in the first text's class, so texts that failed are compared only where their own class is another one.
+    """
+    met = rounds[0]
+    for more in rounds[1:]:
+        met = met.union(more)
+    met = met.select(F.col("u").alias("lead"), F.col("v").alias("uid"), (1 - F.col("s")).alias("d"), (F.col("s") >= SIMILARITY).alias("linked"))
+    top = linked.select("uid", F.col("root").alias("top"))
+    failed = met.where("not linked").join(top, "uid", "left").join(top.select(F.col("uid").alias("lead"), F.col("top").alias("lead_top")), "lead", "left")
+    failed = materialize(failed.select("lead", "uid", "d", F.coalesce("top", "uid").alias("top"), F.coalesce("lead_top", "lead").alias("lead_top")).where("top <> lead_top").drop("lead_top"))
+    if failed.isEmpty():
+        return linked
+    least = failed.groupBy("lead").agg(F.min("d").alias("least"), F.count("*").alias("n_failed"))
+    followed = met.where("linked").join(least, "lead").where(F.col("d") >= F.col("least") - (1.0 - SIMILARITY) - SLACK)
+    followed = materialize(followed.select("lead", "uid", "d", "n_failed"))
+    sizes = materialize(followed.groupBy("lead").agg(F.count("*").alias("n"), F.first("n_failed").alias("n_failed")))
+    blocks = sizes.select("lead", F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil(F.col("n_failed") / BLOCK).alias("columns"))
+    part = lambda count: F.pmod(F.xxhash64("uid"), count)
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = followed.drop("n_failed").join(blocks, "lead").join(bags.select("uid", F.col("bag").alias("left_bag")), "uid").select("lead", part("rows").alias("row"), each("columns").alias("column"), "uid", "d", F.col("left_bag").alias("bag"))
+    right = failed.join(blocks, "lead").join(bags, "uid").select("lead", each("rows").alias("row"), part("columns").alias("column"), "uid", "d", "top", "bag")
+    at = ["lead", "row", "column"]
+    links = materialize(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_crossed(idf), "u long, v long"))
+    return linked if links.isEmpty() else components(linked.select(F.col("root").alias("u"), F.col("uid").alias("v")).union(links))
+
+
 def _crowded(buckets: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several texts, with the bucket's first text and size; buckets is a table read from files."""
     many = materialize(buckets.groupBy("key").agg(F.min("uid").alias("lead"), F.count("*").alias("members")).where("members > 1"))

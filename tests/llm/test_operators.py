@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,40 @@ def test_near_duplicates(spark, monkeypatch, group):
     assert near_dedup.keep_first(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("group", [1000, 2])
+def test_near_duplicates_past_the_first_text(spark, monkeypatch, group):
+    """Chains A~O~B with A!~B, where the texts A come first in the buckets."""
+    monkeypatch.setattr(near_dedup, "LEADER_GROUP", group)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        own = [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(200)]
+
+        def edited(places):
+            copy = list(own)  # noqa: B023
+            for k in places:
+                copy[k] = "new" + str(rng.randrange(10**9))
+            return " ".join(copy)
+
+        texts += [*(edited([10, 30, 50]) for _ in range(5)), " ".join(own), edited([120, 140, 160])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(rows).collect()}
+    want = similar(texts)
+    assert len(set(want)) == len(set(got.values())) == 60
+    assert [got[i] for i in range(len(texts))] == [got[i - i % 7] for i in range(len(texts))]
+
+
+def test_led_groups_keep_all_links():
+    class Weights:
+        value = np.ones(1 << near_dedup.BUCKET_BITS, np.float32)
+
+    base = np.arange(100, dtype=np.uint32)
+    a, o, b, far = base, base + np.uint32(10), base + np.uint32(20), base + np.uint32(500)
+    rest = pa.table({"uid": pa.array([1, 2, 3, 4, 5], pa.int64()), "bag": [x.tobytes() for x in (a, o, far, b, far[1:])]})
+    links = near_dedup._led(Weights)(rest).to_pylist()
+    assert {(r["u"], r["v"]) for r in links} == {(1, 2), (2, 4), (3, 5)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21), (22, 21), (30, 30)], "u long, v long")
     got = dict(map(tuple, near_dedup.components(edges).collect()))
