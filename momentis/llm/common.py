@@ -43,12 +43,16 @@ def is_plain_scan(df: DataFrame) -> bool:
     return all(h in ("Project", "Filter", "Relation") for h in heads) and "rand(" not in plan
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Give each row a 64-bit number that later evaluations repeat.
+def numbered(df: DataFrame, name: str, once: bool = False) -> DataFrame:
+    """Give each row a 64-bit number and write the rows with it to the shared folder, from where every later job reads it.
 
-    Over files the number is the scan's partition and row; any other input is first written to the shared folder.
+    A scan's partitions follow the cores registered when a job starts, so a number evaluated anew could move to another row.
+    once: the caller reads the numbers in one job only, so those of a plain scan needn't be written.
     """
-    return (df if is_plain_scan(df) else materialize(df)).withColumn(name, F.monotonically_increasing_id())
+    own = F.monotonically_increasing_id()
+    if once:
+        return (df if is_plain_scan(df) else materialize(df)).withColumn(name, own)
+    return materialize(df.withColumn(name, own))
 
 
 def ship(spark: SparkSession) -> None:

@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     """For each row that the condition is_query (over the column `id`) holds for: query_id, rank, vec_id and score of its k best others."""
     spark = vectors.sparkSession
     small_batches(spark)
-    plain = numbered(vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("v")), "row").select("row", "id", "v")
+    plain = numbered(vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("v")), "row", once=True).select("row", "id", "v")
     points = materialize(plain.mapInArrow(_scaled, "row long, id long, dim int, v binary"))
     n, asked = points.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERY_BLOCK))

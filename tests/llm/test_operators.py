@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
 from momentis.llm import bpe, exact_topk, html_text, license_scan, near_dedup, packing, pii_surrogates, quality_rules, registry, token_counts
+from momentis.llm.common import numbered
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "a", " a  b ", "it's <|endoftext|> We'LL <|startoftext|>x", "ΑΣ İstanbul é ﬁ 日本語 123 ½ \x85a 🎉", "ab " * 3000, "x" * 5000, "a \n b\tc", "x\x01 y"]
@@ -182,6 +183,20 @@ def test_led_groups_keep_all_links():
     assert {(r["u"], r["v"]) for r in links} == {(1, 2), (2, 4), (3, 5)}
 
 
+def test_row_numbers_outlive_other_splits(spark, tmp_path):
+    """Numbers stay with their rows when a later job splits the same files otherwise."""
+    spark.range(4000).selectExpr("id", "repeat(uuid(), 50) AS text").repartition(8).write.parquet(str(tmp_path / "t"))
+    rows = numbered(spark.read.parquet(str(tmp_path / "t")), "uid")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    first = {r.uid: r.id for r in rows.select("uid", "id").collect()}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        again = {r.uid: r.id for r in rows.select("uid", "id").withColumn("id", F.col("id") + 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(first) == 4000 and again == first
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21), (22, 21), (30, 30)], "u long, v long")
     got = dict(map(tuple, near_dedup.components(edges).collect()))
