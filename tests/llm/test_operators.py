@@ -214,6 +214,12 @@ def test_html(spark):
     assert html_text.extract(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){x(i)}", "s = '<!--'", "s = '<![CDATA['", "if(a<b){'</p>'}", "'</scripted>'", "i<n && '<b title=\""])
+def test_html_after_scripts(script):
+    for end in ("</script>", "</SCRIPT >", "</script\n>"):
+        assert html_text.main_text(f"<article><p>One</p><script>{script}{end}<p>Two</p><style>a<b{{}}</style>Three</article>") == "One\nTwo\nThree"
+
+
 def test_suffixes_find_what_pages_share():
     a, b = "x a b c d e f g h y".split(), "z a b c d e f g h w".split()
     left, right = ({r.tobytes() for r in html_text.suffixes(t)} for t in (a, b))
