@@ -220,6 +220,14 @@ def test_html_after_scripts(script):
         assert html_text.main_text(f"<article><p>One</p><script>{script}{end}<p>Two</p><style>a<b{{}}</style>Three</article>") == "One\nTwo\nThree"
 
 
+def test_html_bodies_beside_teasers(spark):
+    """Open blocks beside main ones: what the host repeats goes, the rest stays, in page order."""
+    menu = "home news sport weather travel culture science about us now"
+    pages = [(k, f"http://h.example/{k}", f"<div>{menu}</div><article>Teaser {k} of it</article><div>{k} body in a plain div</div>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Teaser {k} of it\n{k} body in a plain div" for k in range(3)}
+
+
 def test_suffixes_find_what_pages_share():
     a, b = "x a b c d e f g h y".split(), "z a b c d e f g h w".split()
     left, right = ({r.tobytes() for r in html_text.suffixes(t)} for t in (a, b))
