@@ -7,8 +7,7 @@ over the key and the form maps to another number of the same size. So script, ca
 256, card check digits, country codes) stay; names keep their title and last letter, which carry the gender, and vowels stay vowels.
 
 A permutation gives equal entities equal surrogates in the whole corpus (coreference) and different entities different ones
-(distinctness) without any table of entities, so nothing is gathered. The collision checks run per text: a surrogate equal to its
-original or to one given to another entity of the text is permuted again under another key.
+(distinctness) without any table of entities, so nothing is gathered. It has no fixed points, so no text needs a key of its own.
 
 Null texts stay null, empty ones empty; every occurrence in texts of any length is replaced; repeated rows are treated alike; other
 columns pass unchanged; an empty table gives an empty result.
@@ -16,9 +15,11 @@ columns pass unchanged; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,21 @@ def may_hold(text: str) -> bool:
     return any(w in lower for w in _WORDS) or any(w in text for w in _STARTS) or any(w in text for w in _CALLED)
 
 
+@functools.cache
+def others(c: str) -> str:
+    """The class of a letter or digit outside the fixed classes: its kind in its block of code points; empty for all else."""
+    if c.isascii() or not c.isalnum() or c in _CLASS_OF:
+        return ""
+    kind, width = unicodedata.category(c), 128
+    while width <= 1 << 21:
+        low = ord(c) // width * width
+        found = [x for x in map(chr, range(max(low, 128), min(low + width, 0x110000))) if x.isalnum() and x not in _CLASS_OF and unicodedata.category(x) == kind]
+        if len(found) > 1:
+            break
+        width *= 2
+    return "".join(found)
+
+
 class Surrogates:
     """Keyed permutations of entities within their form."""
 
@@ -93,18 +109,19 @@ class Surrogates:
         self.key = key
 
     def permuted(self, digits: list[int], radix: list[int], tweak: str) -> list[int]:
-        """A keyed permutation of mixed-radix numbers: an alternating Feistel network over two halves of the places."""
+        """A keyed permutation of mixed-radix numbers without fixed points: a Feistel network, a keyed step that isn't 0, and the network back."""
         half = (len(digits) + 1) // 2
         value, size = [0, 0], [1, 1]
         for k, (d, r) in enumerate(zip(digits, radix, strict=True)):
             side = int(k >= half)
             value[side] = value[side] * r + d
             size[side] *= r
-        for turn in range(ROUNDS):
-            side = turn % 2
-            other = value[1 - side] if len(digits) > 1 else 0
-            message = f"{tweak}|{turn}|{size}|{other}".encode()
-            value[side] = (value[side] + int.from_bytes(hmac.digest(self.key, message, "sha256"), "big")) % size[side]
+        self.turned(value, size, tweak, 1)
+        total = size[0] * size[1]
+        if total > 1:
+            step = 1 + int.from_bytes(hmac.digest(self.key, f"{tweak}|step|{size}".encode(), "sha512"), "big") % (total - 1)
+            value[:] = divmod((value[0] * size[1] + value[1] + step) % total, size[1])
+        self.turned(value, size, tweak, -1)
         out = []
         for side, places in ((1, range(len(digits) - 1, half - 1, -1)), (0, range(half - 1, -1, -1))):
             for k in places:
@@ -112,22 +129,30 @@ class Surrogates:
                 out.append(d)
         return out[::-1]
 
+    def turned(self, value: list[int], size: list[int], tweak: str, way: int) -> None:
+        """An alternating Feistel network over two halves, or its inverse where way is -1, in place."""
+        for turn in range(ROUNDS)[::way]:
+            side = turn % 2
+            message = f"{tweak}|{turn}|{size}|{value[1 - side]}".encode()
+            value[side] = (value[side] + way * int.from_bytes(hmac.digest(self.key, message, "sha256"), "big")) % size[side]
+
     def spelled(self, text: str, tweak: str, classes: dict[str, str] = _CLASS_OF, fixed: int = 0, tail: int = 0) -> str:
-        """text with the characters of known classes permuted, but for the first `fixed` and the last `tail`."""
-        at = [k for k in range(fixed, len(text) - tail) if text[k] in classes]
+        """text with letters and digits permuted within their classes, but for the first `fixed` and the last `tail`."""
+        of = [classes.get(c) or others(c) for c in text]
+        at = [k for k in range(fixed, len(text) - tail) if of[k]]
         if not at:
             return text
-        alphabets = [classes[text[k]] for k in at]
-        form = "".join(classes[c][0] if c in classes else c for c in text)
+        alphabets = [of[k] for k in at]
+        form = "".join(a[0] if a else c for a, c in zip(of, text, strict=True))
         new = self.permuted([a.index(text[k]) for k, a in zip(at, alphabets, strict=True)], [len(a) for a in alphabets], f"{tweak}|{form}|{text[:fixed]}|{text[len(text) - tail :]}")
         out = list(text)
         for k, a, d in zip(at, alphabets, new, strict=True):
             out[k] = a[d]
         return "".join(out)
 
-    def of(self, kind: str, text: str, salt: str = "") -> str:
+    def of(self, kind: str, text: str) -> str:
         """The surrogate of an entity."""
-        tweak = kind + salt
+        tweak = kind
         if kind in ("secret", "bearer", "key"):
             fixed = re.match(r"(?:AKIA|ASIA|AIza|eyJ|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp])[-_])?", text).end()
             plain = all(c in _HEX for c in text)
@@ -165,18 +190,12 @@ class Surrogates:
         if not may_hold(text):
             return text, []
         given: dict[tuple[str, str], str] = {}
-        taken: set[str] = set()
         parts, spans, at, length = [], [], 0, 0
         for m in _ENTITY.finditer(text):
             kind, own = m.lastgroup, m[m.lastgroup]
             new = given.get((kind, own))
             if new is None:
-                new, tries = self.of(kind, own), 0
-                while (new == own or new in taken) and tries < 16:
-                    tries += 1
-                    new = self.of(kind, own, f"#{tries}")
-                given[kind, own] = new
-                taken.add(new)
+                new = given[kind, own] = self.of(kind, own)
             start, stop = m.span(kind)
             parts += [text[at:start], new]
             length += start - at

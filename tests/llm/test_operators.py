@@ -269,6 +269,19 @@ def test_surrogates(spark):
     assert pii_surrogates.replace_private(rows.where("false")).count() == 0
 
 
+def test_surrogates_hold_over_the_corpus():
+    """Of all names of a form, one to a text: none stays, no two get the same, and company in a text changes nothing."""
+    own = pii_surrogates.Surrogates(pii_surrogates.DEFAULT_KEY)
+    names = [a + b + "e" for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"]
+    new = {n: own.replaced(f"Dr. {n}")[0][4:] for n in names}
+    assert len(set(new.values())) == len(names) and all(a != b for a, b in new.items())
+    together = own.replaced(" ".join(f"Dr. {n}," for n in names))[0]
+    assert together == " ".join(f"Dr. {new[n]}," for n in names)
+    for name in ("王伟", "שרה", "محمد", "Łukasz", "さくら"):
+        out, spans = own.replaced(f"Dr. {name} came")
+        assert spans and name not in out and out[4 + len(name) :] == " came", name
+
+
 def test_top_k(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_topk, "SHARD", 40)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
