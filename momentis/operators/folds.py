@@ -138,6 +138,46 @@ def sellers(needle: str, text: str) -> int:
     return best
 
 
+def trigrams(text: str) -> set[str]:
+    return {text[k : k + 3] for k in range(len(text) - 2)}
+
+
+class Needle:
+    """A text to be found within a fifth of its length in edits: `sellers` against that bound, a column of its table in one integer."""
+
+    def __init__(self, needle: str):
+        self.size = len(needle)
+        self.bound = max(1, self.size // 5)
+        self.places: dict[str, int] = {}
+        for k, c in enumerate(needle):
+            self.places[c] = self.places.get(c, 0) | 1 << k
+        # An edit breaks one of these at most; the others stand in the text unchanged.
+        self.pieces = [needle[k : k + 3] for k in range(0, self.size - 2, 3)]
+
+    def within(self, text: str, grams: set[str]) -> bool:
+        """Whether the least edit distance to a substring is within the bound; grams: the text's trigrams."""
+        if self.size <= self.bound:
+            return True
+        if len(text) < self.size - self.bound or sum(map(grams.__contains__, self.pieces)) < len(self.pieces) - self.bound:
+            return False
+        mask, high = (1 << self.size) - 1, 1 << (self.size - 1)
+        up, down, distance = mask, 0, self.size
+        for c in text:
+            same = self.places.get(c, 0)
+            vertical = same | down
+            across = (((same & up) + up) ^ up) | same
+            more, less = down | (~(across | up) & mask), up & across
+            if more & high:
+                distance += 1
+            elif less & high:
+                distance -= 1
+                if distance <= self.bound:
+                    return True
+            more, less = more << 1, less << 1
+            up, down = (less | ~(vertical | more)) & mask, more & vertical & mask
+        return False
+
+
 def track_log(rows: list[tuple[int, float, str]], hold: int, rise: float, sightings: int) -> list[tuple[int, str]]:
     """Lines seen in frames, as (frame, y, kind): a line follows the nearest live one of its kind that moved by up to `rise`; a track counts
     once, at its first frame, when it has been seen often enough."""

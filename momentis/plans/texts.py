@@ -101,19 +101,18 @@ def cosine_to_centroid(spark, sf_dir):
 
 @query("fuzzy_needles")
 def fuzzy_needles(spark, sf_dir):
-    """Each benchmark phrase's start against each caption's start, by least edit distance to a substring; unknown beyond a fifth."""
-    needles = [r[0] for r in table(spark, sf_dir, "benchmark").where("item_id < 8").orderBy("item_id").select(F.substring(fn.letters(F.col("text")), 1, 12)).collect()]
+    """The first benchmark phrase that lies in a caption within a fifth of its length in edits; phrases and captions whole."""
+    needles = [folds.Needle(r[0] or "") for r in table(spark, sf_dir, "benchmark").orderBy("item_id").select(fn.letters(F.col("text"))).collect()]
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for t in texts:
-                d = [folds.sellers(n, t) for n in needles]
-                best = min(range(len(d)), key=lambda k: (d[k] > max(1, len(needles[k]) // 5), k), default=None)
-                out.append(best if best is not None and d[best] <= max(1, len(needles[best]) // 5) else None)
+                grams = folds.trigrams(t or "")
+                out.append(next((k for k, n in enumerate(needles) if n.within(t or "", grams)), None))
             yield pd.Series(out, dtype="float64")
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(fn.letters(F.col("text")), 1, 200).alias("letters"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.letters(F.col("text")).alias("letters")).repartition(spark.sparkContext.defaultParallelism * 2)
     return rows.select("conv_id", "turn", F.pandas_udf(classify, "double")("letters").cast("int").alias("rule"))
 
 

@@ -1,10 +1,14 @@
 """One-pass operators on literal inputs, and the entry points."""
 
+import random
+
 import numpy as np
 import pytest
 
 from momentis.engine import Engine, Profile, detector
+from momentis.operators import folds
 from momentis.operators import sequences as s
+from momentis.plans import registry
 
 
 def test_attribution_and_fusion():
@@ -51,3 +55,27 @@ def test_engine(spark):
         Profile(low=0.9, high=0.5)
     with pytest.raises(ValueError):
         detector("window-max")(lambda e: e)
+
+
+def test_needles_equal_sellers():
+    rng = random.Random(3)
+    found = 0
+    for _ in range(600):
+        needle = "".join(rng.choice("ABCDE") for _ in range(rng.randrange(60)))
+        text = "".join(rng.choice("ABCDE") for _ in range(rng.randrange(80)))
+        if rng.random() < 0.6:
+            near = [c if rng.random() > 0.15 else rng.choice(["", "A", "BC"]) for c in needle]
+            text = text[:30] + "".join(near) + text[30:]
+        want = folds.sellers(needle, text) <= max(1, len(needle) // 5)
+        found += want
+        assert folds.Needle(needle).within(text, folds.trigrams(text)) == want, (needle, text)
+    assert 100 < found < 500
+
+
+def test_fuzzy_needles_take_whole_texts(spark, tmp_path):
+    phrases = [(k, "".join(random.Random(k).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))) for k in range(12)]
+    captions = [(1, 1, "Q" * 300 + phrases[10][1]), (1, 2, phrases[3][1][:12] + "Q" * 60), (1, 3, None)]
+    spark.createDataFrame(phrases, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(captions, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.rule for r in registry.queries()["fuzzy_needles"](spark, str(tmp_path)).collect()}
+    assert got == {1: 10, 2: None, 3: None}
