@@ -85,7 +85,7 @@ def shots_before(spark, sf_dir):
     return kills.join(n, ["cap", "id"], "left").select("cap", "id", F.coalesce("n", F.lit(0)).alias("shots"))
 
 
-@query("thumbnail_rank", EV + GROUPS + """, r AS (SELECT cap, grp, kills + CASE WHEN ace THEN 3 ELSE 0 END + 0.3 * quick AS r FROM oc), m AS (SELECT *, max(r) OVER (PARTITION BY cap) AS m, row_number() OVER (PARTITION BY cap ORDER BY r DESC, grp) AS n FROM r)
+@query("thumbnail_rank", EV + GROUPS + """, r AS (SELECT cap, grp, kills + CASE WHEN ace THEN 3 ELSE 0 END + CAST(0.3 AS DOUBLE) * quick AS r FROM oc), m AS (SELECT *, max(r) OVER (PARTITION BY cap) AS m, row_number() OVER (PARTITION BY cap ORDER BY r DESC, grp) AS n FROM r)
  SELECT cap, grp, round(r, 6) AS r FROM m WHERE r >= m - 0.5 AND n <= 6""")
 def thumbnail_rank(spark, sf_dir):
     """Contenders within half a point of each capture's best, at most six."""

@@ -183,7 +183,7 @@ def shot_levels(spark, sf_dir):
     return shots.join(p, "cap").where("v >= p - 30").select("cap", "id")
 
 
-@query("target_duration", EV + GROUPS + " SELECT cap, round(least(greatest(sum(2.5 + 1.5 * (kills - 1) + CASE WHEN ace THEN 2 ELSE 0 END), 10), 60), 6) AS seconds FROM oc GROUP BY cap")
+@query("target_duration", EV + GROUPS + " SELECT cap, round(CAST(least(greatest(sum(2.5 + 1.5 * (kills - 1) + CASE WHEN ace THEN 2 ELSE 0 END), 10), 60) AS DOUBLE), 6) AS seconds FROM oc GROUP BY cap")
 def target_duration(spark, sf_dir):
     """Seconds for a capture's groups, between ten and sixty."""
     own = F.sum(F.lit(2.5) + F.lit(1.5) * (F.col("kills") - 1) + F.when(F.col("ace"), 2).otherwise(0))
