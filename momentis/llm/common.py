@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,22 +21,47 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one, set on the context, only where none is named."""
+    """This application's part of the folder named in spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.match(r"local(\[.*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="momentis-"))
         current = sc._jsc.sc().getCheckpointDir()
-    return named or current.get()
+    return f"{(named or current.get()).rstrip('/')}/momentis-{sc.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and outlives lost executors."""
+def materialize(df: DataFrame, frees: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage and outlives lost executors.
+
+    frees: tables written before that no later step reads; they are deleted. What is left goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/momentis-{uuid.uuid4().hex}"
+    top = shared_dir(spark)
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if top not in _folders:
+        _folders.add(top)
+        atexit.register(_delete, spark, top)
+    for old in frees:
+        if at := getattr(old, "_momentis_path", None):
+            _delete(spark, at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._momentis_path = path
+    return out
+
+
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    with contextlib.suppress(Exception):  # a folder that is left over harms no result, and the driver's JVM may be gone
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 def is_plain_scan(df: DataFrame) -> bool:
@@ -68,21 +96,15 @@ def ship(spark: SparkSession) -> None:
         sc._momentis_shipped = True
 
 
+#: What an Arrow batch of texts may hold, in bytes (a longer row is a batch of its own).
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds of a partition at once, and let it import this package."""
+    """Bound what a Python worker holds of a partition at once, by rows and bytes, and let it import this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """Lift a function of one batch to what mapInArrow takes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
-
-    return run
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -121,8 +143,3 @@ def prefix_sums(x: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x * powers(len(x))[0], out=sums[1:])
     return sums
-
-
-def range_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, stop); equal strings hash alike wherever they stand."""
-    return (sums[stop] - sums[start]) * powers(len(sums))[1][start]

@@ -86,6 +86,73 @@ def test_patterns_hold_all_and_waste_little(seed):
     assert sum(m for _, m in patterns) <= -(-int(lengths.sum()) // 2048) * 1.005 + 1
 
 
+def held(patterns):
+    out: dict[int, int] = {}
+    for content, many in patterns:
+        assert sum(k * n for k, n in content) <= 2048
+        for k, n in content:
+            out[k] = out.get(k, 0) + n * many
+    return out
+
+
+@pytest.mark.parametrize("lengths", [[448, 600, 1000, 1020, 1028, 1048], [690, 700, 720, 1100, 1300, 400, 333], [500, 300, 700]])
+def test_patterns_between_both_bounds(lengths):
+    """No more sequences than best fit alone, near to the programme's dual bound, and no fewer than that."""
+    drawn = np.random.default_rng(0).choice(lengths, 3000)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True)), strict=True))
+    patterns = packing.configure(histogram)
+    assert held(patterns) == histogram
+    left = np.zeros(2049, np.int64)
+    for k, n in histogram.items():
+        left[k] = n
+    most = sum(n for _, n in packing.best_fit(left.copy(), 2048))
+    own = np.flatnonzero(left)
+    programme = packing.Programme(own, left[own], 2048)
+    programme.solve()
+    used = sum(n for _, n in patterns)
+    assert programme.bound - 1e-6 <= used <= most
+    assert used <= programme.bound * 1.05 + len(lengths)
+
+
+def test_best_fillings_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(2, 14, 4))
+        price = rng.random(len(lengths))
+        best = {0: 0.0}
+        for room in range(1, 31):
+            best[room] = max([best[room - 1], *(best[room - k] + p for k, p in zip(lengths.tolist(), price, strict=True) if k <= room)])
+        found = packing.Fillings(lengths, price, 30)
+        assert np.allclose(found.worth, [best[r] for r in range(31)])
+        row, item, count = found.patterns(rng)
+        assert (np.bincount(row, lengths[item] * count) <= 30).all() and set(row.tolist()) == set(range(2 * len(lengths)))
+
+
+def test_packing_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(k, 1 + k % 3, k, "x", "y") for k in range(50)], "id int, length int, uid long, rank string, `_k0` string").repartition(3)
+    got = packing.pack(rows, capacity=5)
+    assert got.columns == [*rows.columns, "sequence_id", "offset"]
+    for _, own in got.toPandas().sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 5
+    assert got.select(*rows.columns).exceptAll(rows).count() == 0 and got.count() == 50
+    assert packing.pack(got.where("id < 0"), capacity=5).columns == got.columns
+
+
+def test_quality_hosts_of_moderate_failure(spark):
+    """A host that fails far more often than all others loses what fails its rule; one that mostly fails goes whole; a small one doesn't."""
+    good = "one two three four five six seven eight nine ten eleven twelve"
+    bad, noisy = "short", "# one # two # three # four # five # six # seven # eight # nine # ten"
+    rows = [(f"h{k}", good if j % 20 else noisy) for k in range(30) for j in range(100)]
+    rows += [("noisy", good if j % 3 else noisy) for j in range(150)] + [("broken", good if j % 10 < 2 else bad) for j in range(150)] + [("tiny", noisy), ("tiny", good)]
+    docs = spark.createDataFrame([(i, t, h, "x") for i, (h, t) in enumerate(rows)], "doc_id int, text string, source string, q_base string")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    found = {(r.source, r.text): r["count"] for r in kept.groupBy("source", "text").count().collect()}
+    assert found.pop(("noisy", good)) == 100 and ("noisy", noisy) not in found and not any(h == "broken" for h, _ in found)
+    assert found.pop(("tiny", noisy)) == found.pop(("tiny", good)) == 1
+    assert len(found) == 60 and all(n == (95 if t == good else 5) for (_, t), n in found.items())
+
+
 def test_quality_rules_equal_sql(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: rng.choice(["a", "bb", "c#", "d|d", "the", "of"])
