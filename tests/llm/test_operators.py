@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -270,13 +271,20 @@ def test_components(spark):
     assert {v for k, v in got.items() if k < 13} == {0} and got[21] == got[22] == 20 and 30 not in got
 
 
+def main_text(page):
+    """The text of a page that stands alone on its host."""
+    return html_text.decide([html_text.blocks(page)])[0]
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>if(a<b){'</p>'}</script></head><body><nav><li>Menu</nav><div class='cookie-notice'>Cookies</div><article><h1>Head &amp; tail</h1><p>One <b>two<br>three<p>Four<div class=comments><p>Nice!</div></article><footer>x</footer>"
-    assert html_text.main_text(page) == "Head & tail\nOne two three\nFour"
+    assert main_text(page) == "Head & tail\nOne two three\nFour"
     menu = "home news sport weather travel culture science about us now"
     bare = [f"<p>{menu}</p><p>{k} own text here</p>" for k in range(3)] + ["<p>no one else says this</p>", None, "", "<p>"]
-    rows = spark.createDataFrame([(k, f"http://h.example/{k}", p, "z") for k, p in enumerate(bare)] + [(9, None, page, "z")], "page_id long, url string, html string, text_ string").repartition(2)
-    got = {r.page_id: r.text for r in html_text.extract(rows).collect()}
+    rows = spark.createDataFrame([(k, f"http://h.example/{k}", p, "z", k) for k, p in enumerate(bare)] + [(9, None, page, "z", 9)], "page_id long, url string, html string, host string, part int").repartition(2)
+    out = html_text.extract(rows)
+    assert out.columns == ["page_id", "url", "host", "part", "text"]
+    got = {r.page_id: r.text for r in out.collect()}
     assert got == {0: "0 own text here", 1: "1 own text here", 2: "2 own text here", 3: "no one else says this", 4: "", 5: "", 6: "", 9: "Head & tail\nOne two three\nFour"}
     assert html_text.extract(rows.where("false")).count() == 0
 
@@ -284,7 +292,22 @@ def test_html(spark):
 @pytest.mark.parametrize("script", ["for(i=0;i<n;i++){x(i)}", "s = '<!--'", "s = '<![CDATA['", "if(a<b){'</p>'}", "'</scripted>'", "i<n && '<b title=\""])
 def test_html_after_scripts(script):
     for end in ("</script>", "</SCRIPT >", "</script\n>"):
-        assert html_text.main_text(f"<article><p>One</p><script>{script}{end}<p>Two</p><style>a<b{{}}</style>Three</article>") == "One\nTwo\nThree"
+        assert main_text(f"<article><p>One</p><script>{script}{end}<p>Two</p><style>a<b{{}}</style>Three</article>") == "One\nTwo\nThree"
+
+
+def test_html_keeps_main_text_under_busy_names():
+    assert main_text("<body><div class='post comments-open'><p>Whole story text here.</p></div></body>") == "Whole story text here."
+    assert main_text("<article><div class='story related-topics-off'><p>One</p></div><div class='share-price-table'><p>Two</p></div></article>") == "One\nTwo"
+    assert main_text("<article><p>Told</p><article class='comment'>I liked it</article><header>By me</header><ul><li><a href=x>More</a></li><li><a>of it</a></li></ul><ul><li>a <a>link</a></li><li>b</li></ul></article>") == "Told\na link\nb"
+    for name in ("reader-comments", "commentList", "cookie_bar", "share", "site-footer", "ad"):
+        assert main_text(f"<article><p>Told</p><div class='x {name}'>other</div></article>") == "Told", name
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<b>" + "<div><i>" * 60_000 + "</b>" * 60_000, "<p>" * 200_000 + "x", "<a '" * 200_000 + ">", "<!--" * 200_000])
+def test_html_of_long_pages_takes_linear_time(page):
+    began = time.perf_counter()
+    html_text.blocks(page)
+    assert time.perf_counter() - began < 10
 
 
 def test_html_bodies_beside_teasers(spark):
@@ -295,10 +318,49 @@ def test_html_bodies_beside_teasers(spark):
     assert got == {k: f"Teaser {k} of it\n{k} body in a plain div" for k in range(3)}
 
 
-def test_suffixes_find_what_pages_share():
-    a, b = "x a b c d e f g h y".split(), "z a b c d e f g h w".split()
-    left, right = ({r.tobytes() for r in html_text.suffixes(t)} for t in (a, b))
-    assert len(left & right) == 1 and html_text.common_prefix(b"aaaabbbb", b"aaaacccc") == 1
+def test_html_array_decides_inside_articles():
+    """An unmarked notice in every article goes; what two articles of many share stays, and so does a copied article."""
+    rng = random.Random(3)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    notice, shared, copied = text(12), text(12), text(60)
+    pages = [[("main", text(30)), ("main", notice), ("main", shared if k < 2 else text(12))] for k in range(12)] + [[("main", copied), ("main", text(3)), ("main", notice)] for _ in range(4)]
+    for page, got in zip(pages, html_text.decide(pages), strict=True):
+        want = [t for _, t in page if t != notice or page[0][1] == copied]
+        assert got == "\n".join(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_runs_equal_brute_force(seed):
+    """Of random pages over a small vocabulary with planted passages, the words that go are those a plain search over all strings covers."""
+    rng = random.Random(seed)
+    planted = [[rng.choice("abcde") + str(rng.randrange(4)) for _ in range(rng.randrange(6, 14))] for _ in range(5)]
+    pages = []
+    for _ in range(30):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            own = [rng.choice("abcde") + str(rng.randrange(4)) for _ in range(rng.randrange(1, 12))]
+            lines.append((rng.choice(["open", "main", "out"]), " ".join(own + (rng.choice(planted) if rng.random() < 0.5 else []))))
+        pages.append(lines)
+    streams = [[w for _, t in p for w in t.split(" ")] for p in pages]
+    n = len(set(map(tuple, streams)))
+    held: dict[tuple, set] = {}
+    for s in streams:
+        for i in range(len(s) - html_text.RUN + 1):
+            held.setdefault(tuple(s[i : i + html_text.RUN]), set()).add(tuple(s))
+    for page, s, got in zip(pages, streams, html_text.decide(pages), strict=True):
+        gone = {}
+        for region, pages_, share in (("open", html_text.OPEN_PAGES, html_text.OPEN_SHARE), ("main", html_text.MAIN_PAGES, html_text.MAIN_SHARE)):
+            gone[region] = {i + k for i in range(len(s) - html_text.RUN + 1) if len(held[tuple(s[i : i + html_text.RUN])]) >= max(pages_, share * n) for k in range(html_text.RUN)}
+        at, kept, main = 0, [], []
+        for region, t in page:
+            places = range(at, at + len(t.split(" ")))
+            kept.append((region, [(k, s[k]) for k in places]))
+            main += places if region == "main" else []
+            at += len(places)
+        copy = 2 * len(set(main) & gone["main"]) > len(main)
+        lines = [" ".join(w for k, w in line if (region == "main" and copy) or k not in gone[region]) for region, line in kept if region != "out"]
+        assert got == "\n".join(x for x in lines if x)
 
 
 def test_licences(spark):
