@@ -324,7 +324,7 @@ def test_html_array_decides_inside_articles():
     word = lambda: "w" + str(rng.randrange(10**6))
     text = lambda n: " ".join(word() for _ in range(n))
     notice, shared, copied = text(12), text(12), text(60)
-    pages = [[("main", text(30)), ("main", notice), ("main", shared if k < 2 else text(12))] for k in range(12)] + [[("main", copied), ("main", text(3)), ("main", notice)] for _ in range(4)]
+    pages = [[("main", text(30)), ("main", notice), ("main", shared if k < 2 else text(12))] for k in range(12)] + [[("main", copied), ("main", text(3)), ("main", notice)] for _ in range(14)]
     for page, got in zip(pages, html_text.decide(pages), strict=True):
         want = [t for _, t in page if t != notice or page[0][1] == copied]
         assert got == "\n".join(want)
