@@ -411,12 +411,17 @@ def test_surrogates_hold_over_the_corpus():
         assert spans and name not in out and out[4 + len(name) :] == " came", name
 
 
-def test_top_k(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(exact_topk, "SHARD", 40)
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
+@pytest.mark.parametrize("shard", [12, 40])
+def test_top_k(spark, tmp_path, monkeypatch, shard):
+    monkeypatch.setattr(exact_topk, "SHARD", shard)
+    monkeypatch.setattr(exact_topk, "LEAST", 4)
+    monkeypatch.setattr(exact_topk, "SAMPLE", 90)
+    monkeypatch.setattr(exact_topk, "WAVE", 1)
+    monkeypatch.setattr(exact_topk, "ASKED", 2)
     monkeypatch.setattr(exact_topk, "LEAF", 8)
     rng = np.random.default_rng(1)
     rows = [(k % 190, [float(np.round(x, 1)) for x in rng.normal(size=4)], 1) for k in range(200)]
+    rows += [(200 + k, [0.5, 0.5, 0.5, 0.5], 1) for k in range(90)]
     rows += [(50, None, 1), (100, [1.0, None, 2.0, 3.0], 1), (150, [float("nan")] * 4, 1), (151, [float("inf")] * 4, 1), (None, [9.0] * 4, 1), (0, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
