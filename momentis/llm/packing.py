@@ -35,10 +35,12 @@ from momentis.llm.common import numbered, small_batches, strings
 CAPACITY = 2048
 #: Pricings by the knapsack in each program, how many of them are early (few steps, soon forgotten), steps over the pool after each, and what
 #: a step may cover of a length.
-PRICINGS, EARLY, INNER, STEP = 32, 24, 60, 0.05
+PRICINGS, EARLY, INNER, STEP = 24, 16, 60, 0.05
 #: How fast prices fall with the covered share, how near to the best a pattern steps, how near a new one must come to enter the pool,
 #: what stays of early steps, and the gap to the bound that ends a program.
 RATE, NEAR, WORTHY, FADE, GAP = 6.0, 0.2, 0.05, 0.9, 0.002
+#: New patterns that a pricing puts into the pool, about.
+FRESH = 600
 #: A program is solved anew for what rounding leaves while the last rounding took this share of it.
 SHARE = 0.3
 MEMO = 800_000
@@ -131,6 +133,9 @@ class Programme:
             row, item, count = fillings.patterns(rng)
             worth = np.bincount(row, mean[item] * count)
             fresh = (worth >= (1 - WORTHY) * fillings.worth[-1])[row] if turn else np.ones(len(row), bool)
+            if turn and len(lengths) > FRESH:
+                # Of many lengths, each pricing takes some by lot; all come in turn.
+                fresh &= (rng.random(2 * len(lengths)) < FRESH / (2 * len(lengths)))[row]
             self.add(row[fresh], item[fresh], count[fresh])
             if self.value <= self.bound * (1 + GAP):
                 break
