@@ -1,21 +1,26 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the bag of its five-word shingles (lower case), each weighing its count times a damped inverse document frequency.
-Frequencies are counted over all documents in 2**18 hash buckets, so that their table has a fixed size (1 MB) at any scale.
+A document is the bag of its five-word shingles (lower case), each weighing its count times its inverse document frequency in the scale-free form
+1 + ln(N / n) / ln N: 2 for a shingle of one of N documents, 1 for one of all, the same at every corpus size. Frequencies are counted over
+all documents in 2**18 hash buckets, so that their table has a fixed size (1 MB).
 
 1. Copies: documents with the same words collapse into one, by a 128-bit hash.
 2. Sampling: 40 consistent weighted samples per text (Ioffe's improved scheme: a sample is the shingle and its quantised weight
    that minimise ln a), in ten bands of four; texts whose weighted Jaccard similarity is 0.8 share a band with probability 0.995.
 3. Candidates: in each band bucket every text meets the bucket's first text. Pairs are verified on the whole bags. Texts that fail
-   stay in the bucket for the next round with a new first text; once at most `LEADER_GROUP` remain they are settled in one task, each
-   against every text of another class.
+   stay in the bucket for the next round with a new first text; after `ROUNDS` rounds at most, each bucket is settled: its texts are dealt into
+   blocks of `LEADER_GROUP`, and every two blocks are compared in a task of their own, each text against every text of another class.
 4. Classes: connected components of verified pairs, by alternating large and small stars over distributed tables.
 5. Links past the first text: one minus the similarity is a metric, so a text that failed at distance d of a first text can only
    resemble a text that followed it at d - (1 - `SIMILARITY`) or more. Those are compared too, in blocks of `BLOCK` by `BLOCK` texts,
    where their classes still differ. So no link between texts that share a bucket is lost, and no table holds pairs of all members.
 
-Defined results: a text of one to four words is one shingle; null and wordless texts are classes of their own, one per row; repeated
-rows are copies; ids may be null or repeated; an empty table gives an empty result.
+The number of jobs is bounded whatever a bucket holds. A bucket of m texts that are all unlike one another costs m * m comparisons within
+its tasks, as any exact comparison does.
+
+Defined results: a text of one to four words is one shingle; null and wordless texts are classes of their own, one per row; very long texts are
+read whole; repeated rows are copies; of a class the row numbered first is kept or stands for it; ids may be null or repeated; an empty table
+gives an empty result; other columns pass, whatever their names, but for those that are added.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ LEADER_GROUP = 1000
 BLOCK = 256
 #: Allows for rounding where distances bound one another.
 SLACK = 1e-6
-#: A shingle of one document weighs 1 + DAMPING, one of all documents 1: members of large groups of copies stay alike.
-DAMPING = 0.1
+#: Rounds with one first text for each bucket before the rest is settled in blocks.
+ROUNDS = 3
 #: Consistent samples draw their random numbers from tables of this many entries, indexed by hash.
 _DRAW_BITS = 14
 
@@ -85,7 +90,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def inverse_frequencies(counts: np.ndarray, documents: int) -> np.ndarray:
     """Weight of each bucket from its documents; what a bucket holds above the middle one counts as a shingle's own frequency."""
     own = np.maximum(counts - np.median(counts), 1.0)
-    return (1.0 + DAMPING * np.log(max(documents, 2) / np.minimum(own, documents or 1)) / np.log(max(documents, 2))).astype(np.float32)
+    return (1.0 + np.log(max(documents, 2) / np.minimum(own, documents or 1)) / np.log(max(documents, 2))).astype(np.float32)
 
 
 _tables: list[np.ndarray] = []
@@ -112,10 +117,10 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         at = h * salt
         at ^= at >> np.uint32(15)
         at *= np.uint32(0x2C1B3C6D)
-        at >>= np.uint32(32 - _DRAW_BITS)
-        r, beta = r_of[at], beta_of[at]
+        # Three numbers from places of their own: two shingles share all of them once in 2**32 only.
+        r, beta = r_of[at >> np.uint32(32 - _DRAW_BITS)], beta_of[(at * np.uint32(0x9E3779B1)) >> np.uint32(32 - _DRAW_BITS)]
         level = np.floor(log_weight / r + beta)
-        a = c_of[at] - r * (level - beta + np.float32(1))
+        a = c_of[(at >> np.uint32(2)) & np.uint32((1 << _DRAW_BITS) - 1)] - r * (level - beta + np.float32(1))
         least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, start), size))
         best = least[np.searchsorted(least, start)]
         samples[:, k] = mixed((h[best].astype(np.uint64) << np.uint64(32)) ^ (level[best].astype(np.int64) & 0xFFFF).astype(np.uint64))
@@ -274,16 +279,63 @@ def _led(idf):
     return run
 
 
+def _blocks_met(idf):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links between the texts of two blocks of a bucket, as many as join all classes that have one."""
+        weights = idf.value
+        sides = []
+        for side in (left, right):
+            uid, own = side.column_names[-2:]
+            order = side.sort_by(uid)
+            bags = [bag(np.frombuffer(x.as_py(), np.uint32), weights) for x in order.column(own)]
+            sides.append((order.column(uid).to_pylist(), bags, np.array([w.sum() for _, w in bags])))
+        (uids, bags, totals), (others, other_bags, _) = sides
+        top = {}
+
+        def find(x):
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        u, v = [], []
+        for uid, own in zip(others, other_bags, strict=True):
+            total = own[1].sum()
+            near = np.minimum(totals, total) >= (SIMILARITY - SLACK) * np.maximum(totals, total)
+            for k in np.flatnonzero(near).tolist():
+                if (a := find(uids[k])) != (b := find(uid)) and similarity(bags[k], own) >= SIMILARITY:
+                    top[a] = b
+                    u.append(uids[k])
+                    v.append(uid)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _settled(rest: DataFrame, bags: DataFrame, idf) -> DataFrame:
+    """Links within the buckets of rows (key, uid, members): block by block, each two blocks of a bucket in a task of their own."""
+    blocks = F.ceil(F.col("members") / LEADER_GROUP)
+    dealt = rest.select("key", "uid", blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).alias("own"))
+    within = dealt.join(bags, "uid").select("key", "own", "uid", "bag").groupBy("key", "own").applyInArrow(_led(idf), "u long, v long")
+    many = dealt.where("blocks > 1")
+    each = lambda low, high: F.explode(F.sequence(low, high))
+    left = many.where("own < blocks - 1").select("key", "uid", F.col("own").alias("a"), each(F.col("own") + 1, F.col("blocks") - 1).alias("b"))
+    right = many.where("own > 0").select("key", "uid", each(F.lit(0).cast("long"), F.col("own") - 1).alias("a"), F.col("own").alias("b"))
+    left, right = (x.join(bags, "uid").select("key", "a", "b", "uid", "bag") for x in (left, right))
+    right = right.select(*(F.col(x).alias(f"right_{x}") for x in right.columns))
+    across = left.groupBy("key", "a", "b").cogroup(right.groupBy("right_key", "right_a", "right_b")).applyInArrow(_blocks_met(idf), "u long, v long")
+    return within.union(across).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (uid, root) of all but the roots, by alternating large and small stars."""
     edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
     while not _stars(edges):
-        both = materialize(edges.union(edges.select("v", "u")))
+        both = materialize(edges.union(edges.select("v", "u")), [edges])
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct())
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct(), [both, least])
         down = materialize(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).union(down.select("m", "v"))
-        edges = materialize(small.where("u < v").distinct())
+        edges = materialize(small.where("u < v").distinct(), [large, down])
     return edges.select(F.col("v").alias("uid"), F.col("u").alias("root"))
 
 
@@ -295,26 +347,27 @@ def _stars(edges: DataFrame) -> bool:
     return edges.select("u").distinct().join(hung.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's columns with class_id (a row number; the same for all rows of a class) and class_first (one row of each class)."""
+def near_duplicates(docs: DataFrame, text: str = "text", into: tuple[str, str] = ("class_id", "class_first")) -> DataFrame:
+    """The input's columns with a class number (the same for all rows of a class) and whether the row stands for its class, under the names `into`."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    names = docs.columns
+    names = [x for x in docs.columns if x not in into]
     inner = [f"_k{i}" for i in range(len(names))]
-    at = names.index(text)
     rows = numbered(docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True))), "uid")
-    roots = classes(rows.select("uid", F.col(inner[at]).alias("text")))
-    out = rows.join(roots, "uid", "left").withColumn("class_id", F.coalesce("root", "uid"))
-    return out.select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)), "class_id", (F.col("class_id") == F.col("uid")).alias("class_first"))
+    roots = classes(rows.select("uid", F.col(inner[names.index(text)]).alias("text")))
+    out = rows.join(roots, "uid", "left").withColumn("top", F.coalesce("root", "uid"))
+    return out.select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)), F.col("top").alias(into[0]), (F.col("top") == F.col("uid")).alias(into[1]))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that stand first in their class."""
     small_batches(docs.sparkSession, 500)
-    rows = numbered(docs, "_row")
-    roots = materialize(classes(rows.select(F.col("_row").alias("uid"), F.col(f"`{text}`").alias("text"))))
-    gone = roots.where("uid <> root").select(F.col("uid").alias("_row"))
-    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
+    names = docs.columns
+    inner = [f"_k{i}" for i in range(len(names))]
+    rows = numbered(docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True))), "uid")
+    roots = materialize(classes(rows.select("uid", F.col(inner[names.index(text)]).alias("text"))))
+    gone = roots.where("uid <> root").select("uid")
+    return rows.join(gone.hint("merge"), "uid", "left_anti").select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)))
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -335,8 +388,10 @@ def classes(texts: DataFrame) -> DataFrame:
             # One plan at every size: the texts are dealt out by row, whether or not these rows would fit a broadcast.
             bags = materialize(texts.join(rest.select("uid").distinct().hint("merge"), "uid", "left_semi").mapInArrow(_hashed, "uid long, bag binary"))
         else:
-            groups = rest.where(F.col("members") <= LEADER_GROUP).join(bags, "uid").select("key", "uid", "bag")
-            found.append(materialize(groups.groupBy("key").applyInArrow(_led(idf), "u long, v long").distinct()))
+            last = len(rounds) == ROUNDS
+            found.append(materialize(_settled(rest if last else rest.where(F.col("members") <= LEADER_GROUP), bags, idf)))
+            if last:
+                break
             rest = rest.where(F.col("members") > LEADER_GROUP)
         met = rest.where("uid <> lead")
         pairs = met.select(F.col("lead").alias("u"), F.col("uid").alias("v")).distinct()
@@ -398,6 +453,6 @@ def _crowded(buckets: DataFrame) -> DataFrame:
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = near_duplicates(docs).select("doc_id", "class_id", "class_first")
+    found = materialize(near_duplicates(docs).select("doc_id", "class_id", "class_first"))
     first = found.where("class_first").select(F.col("class_id").alias("class_row"), F.col("doc_id").alias("first_doc"))
     return found.join(first, F.col("class_id") == F.col("class_row")).select("doc_id", F.col("first_doc").alias("class_id"), "class_first")
