@@ -3,19 +3,22 @@
 How it scales. A `length`-byte window has a smallest 32-byte hash inside it, its anchor (the first of equals). Neighbouring windows
 with the same anchor form one context. Equal windows have equal anchors, so a window can only repeat inside the group of its anchor:
 
-1. each block of 1024 documents reports its distinct (anchor, context) hashes with counts, and only anchors seen twice go on;
-2. a context seen twice repeats whole, with nothing left to compare; the others of a group are compared byte by byte: their texts, as
+1. each block of documents (up to `BLOCK_ROWS` of them and about `BLOCK_BYTES`; a longer document is a block of its own) reports its distinct
+   (anchor, context) hashes with counts, and only anchors seen twice go on;
+2. a context seen twice repeats whole; the others of a group are compared: their texts, as
    symbols of eight bytes, are joined into shards, whose Burrows-Wheeler transform is extended backwards breadth first. Intervals
-   of one suffix have found their common prefix and are left; those that survive until the minimum length share that prefix, and
-   windows in them are compared over all `length` bytes;
+   of one suffix have found their common prefix and are left; those that survive until the minimum length share that prefix symbol by symbol, and
+   of the windows around it the bytes beside the shared symbols are compared too;
 3. a group of over `HOT` contexts (a passage that very many documents share) isn't gathered: each block reports the distinct
    windows of its contexts there, and windows counted twice repeat. This is exact too and spreads over all tasks;
 4. each block cuts its own documents.
 
-A key never meets more than one row per block, so no group of copies meets in one task. Hashes have 64 bits.
+A key never meets more than one row per block, so no group of copies meets in one task; what all blocks hold is summed by pre-aggregation and
+joined back, which adaptive execution splits. What is counted across blocks has keys of 128 bits: a hash of the anchor and one of the context or window.
 
-Null and empty texts have nothing removed and keep nothing; texts shorter than `length` stay whole; repeated rows are copies of one
-another and lose all windows; ids may be null, repeated or of any type; an empty table gives an empty result.
+Defined results: null and empty texts have nothing removed and keep nothing; texts shorter than `length` stay whole; very long texts are read
+whole, in segments; repeated rows are copies of one another and lose all windows; equal anchors in one window count from the first; ids may be null,
+repeated or of any type; other columns pass, but for those that are added; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentis.llm.common import materialize, mixed, numbered, powers, prefix_sums, small_batches
+from momentis.llm.common import materialize, mixed, powers, prefix_sums, small_batches
 
 LENGTH = 200
 ANCHOR = 32
@@ -36,7 +41,7 @@ SYMBOL = 8
 HOT = 4096
 SHARD_BYTES = 1 << 20
 SEGMENT = 1 << 20
-BLOCK_BITS = 10
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 #: Low bits that hold a place in a segment while hashes are compared.
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -113,21 +118,27 @@ def repeated_windows(texts: list[bytes], groups: np.ndarray, offsets: np.ndarray
     if not windows_of:
         return found
     label, own, pos = (np.concatenate(x) for x in zip(*windows_of, strict=True))
-    # The exact check: of the eight windows whose first whole symbol is this one, those equal over all bytes.
-    sums = {k: prefix_sums(np.frombuffer(texts[k], np.uint8).astype(np.uint64) + np.uint64(1)) for k in np.unique(own)}
+    # The shared symbols are equal byte by byte; of the eight windows whose first whole symbol is this one, the bytes beside them are compared.
     rows = []
-    for k in sums:
+    inside = SYMBOL * need
+    for k in np.unique(own):
         mine = own == k
+        data = np.frombuffer(texts[k], np.uint8)
         for back in range(SYMBOL):
             start = pos[mine] - back
-            ok = (start >= 0) & (start + length <= len(texts[k]))
+            ok = (start >= 0) & (start + length <= len(data))
             s = start[ok]
-            h = (sums[k][s + length] - sums[k][s]) * powers(len(sums[k]))[1][s]
-            rows.append((np.full(len(s), k), s, mixed(h ^ mixed(label[mine][ok].astype(np.uint64) + np.uint64(back << 40)))))
-    k, s, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    weight = np.bincount(inverse, weights=counts[k])
-    for kk, ss in zip(k[weight[inverse] > 1], s[weight[inverse] > 1], strict=True):
+            beside = np.concatenate([np.arange(back), np.arange(back + inside, length)])
+            rest = np.zeros((len(s), 2 * SYMBOL), np.uint8)
+            rest[:, : len(beside)] = data[s[:, None] + beside]
+            rows.append((np.full(len(s), k), s, label[mine][ok] * SYMBOL + back, rest.view(np.uint64)))
+    k, s, at, rest = (np.concatenate(x) for x in zip(*rows, strict=True))
+    by = np.lexsort((rest[:, 1], rest[:, 0], at))
+    k, s, at, rest = k[by], s[by], at[by], rest[by]
+    first = np.concatenate([[True], (at[1:] != at[:-1]) | (rest[1:] != rest[:-1]).any(axis=1)])[: len(at)]
+    group = np.cumsum(first) - 1
+    again = np.bincount(group, weights=counts[k])[group] > 1 if len(k) else np.zeros(0, bool)
+    for kk, ss in zip(k[again], s[again], strict=True):
         found[kk][ss] = True
     return found
 
@@ -183,6 +194,22 @@ def expand_intervals(text: np.ndarray, order: np.ndarray, need: int) -> list[tup
     return list(zip(low.tolist(), high.tolist(), strict=True))
 
 
+def _blocks(most_rows: int, most_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the number of their block, the text last."""
+        block, rows, size = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            numbers = []
+            for n in pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist():
+                if rows >= most_rows or (rows and size + n > most_bytes):
+                    block, rows, size = block + 1, 0, 0
+                rows, size = rows + 1, size + n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["block", *batch.schema.names])
+
+    return run
+
+
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, hs, cs = None, [], []
@@ -243,19 +270,21 @@ def _wanted(length: int):
                         open_[k] = False
                         if hot[k]:
                             r = np.arange(s - base, s - base + w)
-                            seen.append((np.full(w, n[k]), mixed((sums[r + length] - sums[r]) * powers(len(sums))[1][r])))
+                            seen.append((np.full(w, n[k]), mixed((sums[r + length] - sums[r]) * powers(len(sums))[1][r]), np.full(w, h[i])))
                         else:
                             part = data[s : s + w - 1 + length]
                             out["block"].append(block), out["h"].append(int(h[i].view(np.int64))), out["c"].append(int(c[i].view(np.int64)))
                             out["n"].append(int(n[k])), out["grid"].append(int(grid[i])), out["text"].append(part)
             if seen:
-                times, h = (np.concatenate(x) for x in zip(*seen, strict=True))
-                distinct, inverse = np.unique(h, return_inverse=True)
-                total = np.bincount(inverse, weights=times).astype(np.int64)
-                m = len(distinct)
+                times, h, anchor = (np.concatenate(x) for x in zip(*seen, strict=True))
+                by = np.lexsort((anchor, h))
+                times, h, anchor = times[by], h[by], anchor[by]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])]))
+                total = np.add.reduceat(times, first).astype(np.int64)
+                m = len(first)
                 out["block"] += [block] * m
-                out["h"] += distinct.view(np.int64).tolist()
-                out["c"] += [None] * m
+                out["h"] += h[first].view(np.int64).tolist()
+                out["c"] += anchor[first].view(np.int64).tolist()
                 out["n"] += total.tolist()
                 out["grid"] += [None] * m
                 out["text"] += [None] * m
@@ -316,7 +345,7 @@ def _cut(length: int, names: list[str], digest: bool):
         by = np.argsort(some, kind="stable")
         some = some[by]
         low, high = (_column(found, x)[kind == 2][by] if found.num_rows else np.zeros(0, int) for x in ("low", "high"))
-        hot = np.sort(h[kind == 3])
+        hot = np.sort(h[kind == 3] ^ mixed(c[kind == 3]))
         hot_in = np.sort(mixed(h[kind == 4]) ^ c[kind == 4])
         kept_text, n_bytes, n_removed, n_spans, sha = [], [], [], [], []
         for text in docs.column("text"):
@@ -333,7 +362,7 @@ def _cut(length: int, names: list[str], digest: bool):
                             windows[start[i] + low[k] : start[i] + high[k]] = True
                     for i in np.flatnonzero(_member(key, hot_in) >= 0):
                         r = np.arange(start[i] - start[0], start[i] - start[0] + many[i])
-                        own = mixed((sums[r + length] - sums[r]) * powers(len(sums))[1][r])
+                        own = mixed((sums[r + length] - sums[r]) * powers(len(sums))[1][r]) ^ mixed(hh[i : i + 1])
                         windows[start[i] + np.flatnonzero(_member(own, hot) >= 0)] = True
             gone = covered(windows, length, len(data)) if windows.any() else None
             kept = data if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -359,35 +388,37 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    names = [x for x in docs.columns if x != text] if keep is None else keep
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else text]
+    names = [x for x in (docs.columns if keep is None else keep) if x not in (text, *added)]
     inner = [f"_k{i}" for i in range(len(names))]
     plain = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True)), F.col(f"`{text}`").alias("text"))
-    rows = numbered(plain, "uid").withColumn("block", F.shiftright("uid", BLOCK_BITS)).drop("uid")
+    # Written once, so that no later job can deal the rows into other blocks.
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    rows = materialize(plain.mapInArrow(_blocks(BLOCK_ROWS, BLOCK_BYTES), f"block long, {kept}"))
 
     seen = materialize(rows.select("block", "text").mapInArrow(_anchors(length), "block long, h long, c long, n long"))
     twice = seen.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
-    again = Window.partitionBy("h", "c")
-    marked = materialize(seen.join(twice, "h", "left_semi").withColumns({"times": F.sum("n").over(again), "holder": F.min("block").over(again)}))
-    one = marked.where("block = holder").select("block", "h", "c", F.col("times").alias("n"))
-    mixed_groups = one.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
-    asked = one.join(mixed_groups, "h").select("block", "h", "c", "n", (F.col("members") > HOT).alias("hot"))
-    asked = materialize(asked)
+    marked = materialize(seen.join(twice, "h", "left_semi"), [seen])
+    one = materialize(marked.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("block").alias("block")))
+    groups = one.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    asked = materialize(one.join(groups, "h").select("block", "h", "c", "n", (F.col("members") > HOT).alias("hot")))
 
     by_block = rows.groupBy("block")
     gathered = materialize(rows.select("block", "text").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_wanted(length), "block long, h long, c long, n long, grid int, text binary"))
     compared = gathered.where("text is not null").repartition("h").sortWithinPartitions("h", "c").mapInArrow(_compare(length), "block long, h long, c long, low long, high long")
-    hot = gathered.where("text is null").withColumn("times", F.sum("n").over(Window.partitionBy("h"))).where("times > 1")
+    hot = gathered.where("text is null").select("block", "h", "c", "n")
+    hot_twice = hot.groupBy("h", "c").agg(F.sum("n").alias("times")).where("times > 1").select("h", "c")
     none = F.lit(None).cast("long")
     found = (
-        marked.where("times > 1").select("block", F.lit(1).alias("kind"), "h", "c", none.alias("low"), none.alias("high"))
+        marked.join(one.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("block", F.lit(1).alias("kind"), "h", "c", none.alias("low"), none.alias("high"))
         .unionByName(compared.select("block", F.lit(2).alias("kind"), "h", "c", "low", "high"))
-        .unionByName(hot.select("block", F.lit(3).alias("kind"), "h", none.alias("c"), none.alias("low"), none.alias("high")))
+        .unionByName(hot.join(hot_twice, ["h", "c"], "left_semi").select("block", F.lit(3).alias("kind"), "h", "c", none.alias("low"), none.alias("high")))
         .unionByName(asked.where("hot").select("block", F.lit(4).alias("kind"), "h", "c", none.alias("low"), none.alias("high")))
     )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"{x} {kinds[x]}" for x in inner), "n_bytes long, n_removed long, n_spans long, result string"])
     done = by_block.cogroup(found.groupBy("block")).applyInArrow(_cut(length, inner, digest), schema)
-    return done.select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)), "n_bytes", "n_removed", "n_spans", F.col("result").alias("kept_sha256" if digest else text))
+    return done.select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)), "n_bytes", "n_removed", "n_spans", F.col("result").alias(added[-1]))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -40,9 +40,11 @@ def corpus(seed=5):
     return out + [out[4], out[4], out[9]]
 
 
-@pytest.mark.parametrize("hot", [s.HOT, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "rows", "size"), [(s.HOT, s.BLOCK_ROWS, s.BLOCK_BYTES), (3, 5, s.BLOCK_BYTES), (3, 1000, 2000)])
+def test_equals_brute_force(spark, monkeypatch, hot, rows, size):
     monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(s, "BLOCK_BYTES", size)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, uid string").repartition(3)
     got = {r[0]: tuple(r)[1:] for r in s.remove_repeats(docs, keep=["doc_id"], digest=True).collect()}
@@ -54,3 +56,15 @@ def test_columns_nulls_and_empty_tables(spark):
     got = sorted(map(tuple, s.remove_repeats(docs).select("block", "n_removed", "text").collect()))
     assert got == [(1, 0, None), (2, 300, "")]
     assert s.remove_repeats(docs.where("false")).count() == 0
+
+
+def test_long_texts_and_names_that_clash(spark):
+    """Texts of over a segment, and columns called as the added ones are."""
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    passage = long[1_048_400:1_048_900]
+    docs = spark.createDataFrame([(1, long, 5, "h"), (2, "x" + passage + "y", 6, "h"), (3, None, 7, "h")], "doc_id long, text string, n_bytes int, h string").repartition(2)
+    out = s.remove_repeats(docs)
+    assert out.columns == ["doc_id", "h", "n_bytes", "n_removed", "n_spans", "text"]
+    got = {r.doc_id: (r.n_removed, r.text) for r in out.collect()}
+    assert got == {1: (500, long.replace(passage, "")), 2: (500, "xy"), 3: (0, None)}
