@@ -28,15 +28,23 @@ def budgeted(lengths: np.ndarray, rank: np.ndarray, budget: float, least: float)
     return given
 
 
-def distinct_games(start: np.ndarray, length: np.ndarray, kills: np.ndarray) -> np.ndarray:
-    """Richest first; a game that overlaps a kept one by over half of the shorter is the same game."""
-    keep = np.zeros(len(start), bool)
-    for k in np.lexsort((start, -kills)):
-        same = False
-        for j in np.flatnonzero(keep):
-            shared = min(start[k] + length[k], start[j] + length[j]) - max(start[k], start[j])
-            same |= shared > min(length[k], length[j]) / 2
-        keep[k] = not same
+def distinct_games(start: np.ndarray, length: np.ndarray, kills: np.ndarray, game=None, file=None, size=None, reliable=None) -> np.ndarray:
+    """Richest first, in the order given among equals; a game goes that is one already kept: of the same name, and the same capture (the same file, or one of the same size, if known, and of
+    a length within a second), or overlapping it, both times being reliable, by over half of the shorter. Times are in microseconds; one without a start goes."""
+    n = len(start)
+    game = np.zeros(n) if game is None else np.asarray(game)
+    file = np.arange(n) if file is None else np.asarray(file)
+    size = np.zeros(n, np.int64) if size is None else np.asarray(size)
+    reliable = np.ones(n, bool) if reliable is None else np.asarray(reliable)
+    start, length = np.asarray(start, float), np.asarray(length, float)
+    keep = np.zeros(n, bool)
+    for k in np.argsort(-np.asarray(kills), kind="stable"):
+        if np.isnan(start[k]):
+            continue
+        of = np.flatnonzero(keep & (game == game[k]))
+        capture = (file[of] == file[k]) | ((size[of] > 0) & (size[of] == size[k]) & (np.abs(length[of] - length[k]) < 1_000_000))
+        shared = np.minimum(start[of] + length[of], start[k] + length[k]) - np.maximum(start[of], start[k])
+        keep[k] = not (capture | (reliable[of] & reliable[k] & (shared > np.minimum(length[of], length[k]) / 2))).any()
     return keep
 
 
@@ -73,31 +81,36 @@ def decode_counter(reads: np.ndarray, most: int, step: int = 5) -> np.ndarray:
     return out
 
 
-def clutches(kinds: list[str], times: np.ndarray, gap: float, team: int = 5) -> list[tuple[int, int]]:
-    """Start and length of last stands: the own side has lost all others, and the other side then loses what is left.
+def clutches(allies: list[float], enemies: list[float], own: list[float], gap: float, team: int = 5, least: int = 2, starts: list[float] = (), same: float = 1.5) -> list[tuple[float, int, float]]:
+    """Last stands won: when the player was left alone, against how many, and when the last enemy fell.
 
-    kinds: `ally` and `enemy` deaths, and `own`; a silence over the gap starts a round anew.
+    An ally's death nearest to an unmatched death of the player, up to `same` away, is the player's own. A round ends where a side has lost all, after
+    a silence over the gap, or at a start that was read; a dead player wins nothing until then.
     """
-    out, allies, enemies, alone, since, last = [], 0, 0, None, 0, None
-    for kind, t in zip(kinds, times, strict=True):
-        if last is not None and t - last > gap:
-            allies = enemies = 0
-            alone = None
-        last = t
-        if kind == "ally":
-            allies += 1
-            if allies == team - 1 and enemies < team:
-                alone, since = t, enemies
-        elif kind == "enemy":
-            enemies += 1
-            if enemies == team:
-                if alone is not None and team - since >= 2:
-                    out.append((int(alone), int(t - alone)))
-                allies = enemies = 0
-                alone = None
+    left = sorted(own)
+    marks = [(t, "own") for t in left] + [(t, "enemy") for t in enemies]
+    for t in allies:
+        near = min((x for x in left if abs(x - t) <= same), key=lambda x: abs(x - t), default=None)
+        if near is None:
+            marks.append((t, "ally"))
         else:
-            allies = enemies = 0
-            alone = None
+            left.remove(near)
+    out = []
+    order = {"ally": 0, "own": 1, "enemy": 2}
+    lost, felled, dead, alone, last = 0, 0, False, None, None
+    for t, kind in sorted(marks, key=lambda m: (m[0], order[m[1]])):
+        if last is not None and (t - last > gap or felled >= team or lost + dead >= team or any(last < x <= t for x in starts)):
+            lost, felled, dead, alone = 0, 0, False, None
+        last = t
+        lost += kind == "ally"
+        felled += kind == "enemy"
+        dead |= kind == "own"
+        if dead:
+            continue
+        if alone is None and lost >= team - 1:
+            alone = t, max(0, team - felled)
+        if kind == "enemy" and felled == team and alone and alone[1] >= least:
+            out.append((*alone, t))
     return out
 
 
@@ -178,30 +191,30 @@ class Needle:
         return False
 
 
-def track_log(rows: list[tuple[int, float, str]], hold: int, rise: float, sightings: int) -> list[tuple[int, str]]:
-    """Lines seen in frames, as (frame, y, kind): a line follows the nearest live one of its kind that moved by up to `rise`; a track counts
-    once, at its first frame, when it has been seen often enough."""
-    live: list[dict] = []
+def track_log(rows: list[tuple[float, float, str]], hold: float, pitch: float, sightings: int, drop: int = 0) -> list[tuple[float, str]]:
+    """(first time, kind) of lines seen in frames, given as (time, y, kind), once they have been seen `sightings` times.
+
+    A line is the nearest of its kind that was last seen up to `hold` before and that has risen by up to four and a half pitches or fallen by up to 0.6 of one and `drop`
+    whole ones; a frame's lines are matched from the top, each with a line of its own.
+    """
+    live: list[list] = []  # kind, y, last, first, sightings
     out = []
-    for frame, y, kind in rows:
-        live = [x for x in live if frame - x["last"] <= hold]
-        same = [x for x in live if x["kind"] == kind and x["last"] < frame and abs(x["y"] - y) <= rise]
-        if same:
-            own = min(same, key=lambda x: abs(x["y"] - y))
-            own.update(last=frame, y=y, n=own["n"] + 1)
-        else:
-            own = {"kind": kind, "first": frame, "last": frame, "y": y, "n": 1, "out": False}
-            live.append(own)
-        if own["n"] >= sightings and not own["out"]:
-            own["out"] = True
-            out.append((own["first"], kind))
+    frames: dict[float, list[tuple[float, str]]] = {}
+    for t, y, kind in rows:
+        frames.setdefault(t, []).append((y, kind))
+    for t in sorted(frames):
+        free = [x for x in live if t - x[2] <= hold]
+        seen = []
+        for y, kind in sorted(frames[t], key=lambda r: r[0]):
+            near = [x for x in free if x[0] == kind and -4.5 * pitch <= y - x[1] <= (0.6 + drop) * pitch]
+            if near:
+                own = min(near, key=lambda x: abs(x[1] - y))
+                free = [x for x in free if x is not own]
+            else:
+                own = [kind, y, t, t, 0]
+            own[1], own[2], own[4] = y, t, own[4] + 1
+            if own[4] == sightings:
+                out.append((own[3], kind))
+            seen.append(own)
+        live = seen + free
     return out
-
-
-def by_key(fn, columns: list[str]):
-    """A grouped-map function that adds a mask or value column `out` from fn over arrays of columns."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return group.assign(out=fn(*(group[c].to_numpy() for c in columns)))
-
-    return run

@@ -191,21 +191,6 @@ def track_rows(frames: list[list[tuple[float, float, str]]], overlap: float, sig
     return out
 
 
-def credits(marks: list[tuple[float, str]], window: float) -> list[tuple[float, int]]:
-    """Credits with the number of marks since the credit before, dated at the latest mark; one without marks soon after another goes."""
-    out: list[tuple[float, int]] = []
-    pending: list[float] = []
-    last = -np.inf
-    for t, kind in marks:
-        if kind == "mark":
-            pending.append(t)
-        else:
-            if pending or t - last > window:
-                out.append((pending[-1] if pending else t, len(pending)))
-            last, pending = t, []
-    return out
-
-
 def plateaus(reads: list[int | None], least: int) -> list[tuple[int, int]]:
     """(first place, value) of stretches whose majority holds a value for `least` reads; unreadable ones are passed over."""
     seen = [(k, v) for k, v in enumerate(reads) if v is not None]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentis.operators.keyed import per_key
+
 
 def near_events(left: DataFrame, right: DataFrame, before: int, after: int) -> DataFrame:
     """Pairs with right.t in [left.t - before, left.t + after], through buckets as wide as the window: an equi join with a residual."""
@@ -41,18 +44,15 @@ def greedy_pairs(expected: DataFrame, found: DataFrame, tolerance: int, lead: in
     """
     pairs = near_events(expected, found, max(tolerance, lead), tolerance)
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(d=(group["lt"] - group["rt"]).abs()).sort_values(["d", "lt", "rt", "lid", "rid"])
-        left, right, keep = set(), set(), []
-        for l, r in zip(group.lid, group.rid, strict=True):
-            keep.append(l not in left and r not in right)
-            if keep[-1]:
+    def match(group: pd.DataFrame) -> list[tuple]:
+        left, right, out = set(), set(), []
+        d = (group["lt"] - group["rt"]).abs().to_numpy()
+        order = np.lexsort((group.rid, group.lid, group["rt"], group["lt"], d))
+        for l, r, own in zip(group.lid.to_numpy()[order].tolist(), group.rid.to_numpy()[order].tolist(), d[order].tolist(), strict=True):
+            if l not in left and r not in right:
+                out.append((l, r, own))
                 left.add(l)
                 right.add(r)
-        return group.loc[keep, ["cap", "lid", "rid", "d"]]
-
-    return pairs.groupBy("cap").applyInPandas(match, "cap long, lid long, rid long, d long")
-
+        return out
 
-def at_distance(column: Column, other: Column, most: int) -> Column:
-    return F.abs(column - other) <= most
+    return per_key(pairs.select("cap", "lid", "lt", "rid", "rt"), "cap", match, {"lid": "long", "rid": "long", "d": "long"}, ["lt", "rt"])

@@ -2,56 +2,103 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 
-def attribute_shots(kills: list[float], shots: list[float], align: float, burst: float) -> list[int | None]:
-    """Shots that each kill took: the nearest shot is fatal, and those since the last fatal one within the burst count; None without one."""
+def attribute_shots(kills: list[float], shots: list[float], before: float, after: float, burst: float) -> list[int | None]:
+    """Shots that each kill took, by sorted times: the shot nearest to the kill, from `before` it to `after` it, is fatal, and the shots of the burst up to it
+    count that come after the last target's fatal one. A kill without a shot near it is unknown, and the next counts from that kill."""
+    heard = np.asarray(shots, float)
     out: list[int | None] = []
     last = -np.inf
     for k in kills:
-        near = [s for s in shots if abs(s - k) <= align]
-        if not near:
+        low, high = np.searchsorted(heard, k - before), np.searchsorted(heard, k + after, "right")
+        if low == high:
             out.append(None)
+            last = k if len(heard) else last
             continue
-        fatal = min(near, key=lambda s: (abs(s - k), s))
-        low = max(last, fatal - burst)
-        out.append(sum(low < s <= fatal for s in shots))
+        fatal = heard[low + int(np.argmin(np.abs(heard[low:high] - k)))]
+        first = np.searchsorted(heard, max(last, fatal - burst), "right")
+        out.append(int(np.searchsorted(heard, fatal, "right") - first))
         last = fatal
     return out
 
 
-def fuse_sources(icons: list[tuple[float, str]], log: list[tuple[float, str]], window: float) -> list[tuple[float, str]]:
-    """Icons confirmed by log rows: each takes the earliest free row of its kind near it; one that meets only other kinds goes; free rows and lone icons stay."""
-    used: set[int] = set()
+def fuse_sources(icons: list[tuple[float, str]], log: list[tuple[float, str]], before: float, after: float) -> list[tuple[float, str]]:
+    """Icons confirmed by log rows: each takes the earliest free row of its kind around it; one with only free rows of other kinds around it goes; one without
+    any stays, and so do the free rows. Both lists are sorted by time."""
+    times = np.array([t for t, _ in log])
+    free = np.ones(len(log), bool)
     out = []
     for at, kind in icons:
-        near = [k for k, (t, _) in enumerate(log) if abs(t - at) <= window]
-        same = [k for k in near if log[k][1] == kind and k not in used]
-        if same:
-            used.add(same[0])
-            out.append((at, kind))
-        elif not near:
+        low, high = np.searchsorted(times, at - before), np.searchsorted(times, at + after, "right")
+        near = low + np.flatnonzero(free[low:high])
+        own = next((k for k in near.tolist() if log[k][1] == kind), None)
+        if own is not None:
+            free[own] = False
+        if own is not None or not len(near):
             out.append((at, kind))
-    return sorted(out + [row for k, row in enumerate(log) if k not in used])
-
-
-def open_queue(marks: list[tuple[float, str]], window: float) -> list[tuple[float, float | None]]:
-    """(finish, hit) pairs: a finish takes the oldest open hit within the window, a wipe clears all."""
-    waiting: list[float] = []
-    out: list[tuple[float, float | None]] = []
-    for t, kind in marks:
-        waiting = [h for h in waiting if t - h <= window]
-        if kind == "hit":
-            waiting.append(t)
-        elif kind == "wipe":
-            out += [(t, h) for h in waiting]
-            waiting = []
-        else:
-            out.append((t, waiting.pop(0) if waiting else None))
+    return sorted(out + [row for row, k in zip(log, free, strict=True) if k])
+
+
+def open_queue(marks: list[tuple[float, str]], window: float, repeat: float) -> list[tuple[float, str]]:
+    """Events without finishing blows, from sorted marks of the kinds `hit`, `finish`, `wipe` and others.
+
+    A finish closes the oldest hit that is open, for up to `window`; a wipe closes all. Either becomes a hit of its own where none is open, unless one
+    of its sort was read up to `repeat` before. At one instant hits come first.
+    """
+    waiting: deque[float] = deque()
+    read: dict[str, float] = {}
+    out = []
+    for t, kind in sorted(marks, key=lambda m: (m[0], m[1] != "hit")):
+        while waiting and t - waiting[0] > window:
+            waiting.popleft()
+        if kind not in ("finish", "wipe"):
+            if kind == "hit":
+                waiting.append(t)
+            out.append((t, kind))
+            continue
+        since = t - read.get(kind, -np.inf)
+        read[kind] = t
+        if kind == "wipe" and waiting:
+            waiting.clear()
+        elif waiting:
+            waiting.popleft()
+        elif since > repeat:
+            out.append((t, "hit"))
     return out
 
 
+def credit_marks(events: list[tuple[float, str, bool]], mark: str, within: float, since: float | None = None) -> list[tuple[float, str]]:
+    """Events in which credits, (time, kind, True), stand for the marks before them.
+
+    A credit is dated at the latest mark up to `within` before it, else at itself, and goes where no mark has come since the last event of its kind and another credit
+    was given up to `within` before. With `since` it counts once for each mark since that event and within `since`, at least once.
+    """
+    marks = np.array(sorted(t for t, kind, _ in events if kind == mark))
+    latest: dict[str, float] = {}
+    given = -np.inf
+    out = []
+    for t, kind, credit in sorted(events, key=lambda e: e[0]):
+        if not credit:
+            out.append((t, kind))
+            if kind != mark:
+                latest[kind] = t
+            continue
+        upto = np.searchsorted(marks, t, "right")
+        low = max(latest.get(kind, -np.inf), -np.inf if since is None else t - since)
+        count = int(upto - np.searchsorted(marks[:upto], low, "right"))
+        latest[kind] = t
+        if not count and t - given <= within:
+            continue
+        given = t
+        at = float(marks[upto - 1]) if upto and marks[upto - 1] >= t - within else t
+        out += [(at, kind)] * (1 if since is None else max(1, count))
+    return sorted(out, key=lambda e: e[0])
+
+
 def decode_scores(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
     """The likeliest pair of counters: they stay, one of them rises by one (cost 3), or both reset (cost 25); negative reads are unreadable."""
     size = most + 1

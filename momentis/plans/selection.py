@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, load_events
 from momentis.operators import folds
+from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, ISLANDS, moments
 from momentis.plans.registry import query
 from momentis.plans.sessions import GROUPS, games, outcomes
@@ -65,34 +66,31 @@ def budget_moments(spark, sf_dir):
     """Each capture's groups by rank within 48 hours, the last trimmed; checked against the reference loop in the tests."""
     rows = outcomes(spark, sf_dir).select("cap", "grp", (F.col("e") - F.col("s") + HOUR).alias("length"), "score")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("grp")
-        return group.assign(given=folds.budgeted(group.length.to_numpy(float), group.score.to_numpy(), 48.0 * HOUR, 1.0 * HOUR).astype("int64"))[["cap", "grp", "given"]].query("given > 0")
+    def run(g: pd.DataFrame) -> list[tuple]:
+        given = folds.budgeted(g.length.to_numpy(float), g.score.to_numpy(), 48.0 * HOUR, 1.0 * HOUR).astype("int64")
+        return [(k, n) for k, n in zip(g.grp.tolist(), given.tolist(), strict=True) if n > 0]
 
-    return rows.groupBy("cap").applyInPandas(run, "cap long, grp long, given long")
+    return per_key(rows, "cap", run, {"grp": "long", "given": "long"}, ["grp"])
 
 
 @query("nms_spacing")
 def nms_spacing(spark, sf_dir):
     """Shots of a capture at least 24 hours apart, strongest first."""
     shots = load_events(spark, sf_dir).where("kind = 'shot'").select("cap", "id", "t", "v")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return group[folds.spaced(group.t.to_numpy(float), group.v.to_numpy(), 24.0 * HOUR)]
-
-    return shots.groupBy("cap").applyInPandas(run, "cap long, id long, t long, v double")
+    run = lambda g: list(g[folds.spaced(g.t.to_numpy(float), g.v.to_numpy(), 24.0 * HOUR)][["id", "t", "v"]].itertuples(index=False, name=None))
+    return per_key(shots, "cap", run, {"id": "long", "t": "long", "v": "double"}, ["t", "id"])
 
 
 @query("distinct_games")
 def distinct_games(spark, sf_dir):
-    """Games of all captures of an evening that aren't the same game; richest kept."""
+    """Games of all captures of an evening that aren't the same game; richest kept. A capture's last digit names its game and tells whether its time is reliable."""
     rows = games(spark, sf_dir).withColumn("evening", F.floor(F.col("s") / (24 * HOUR))).select("evening", "cap", "game", "s", "duration", "kills")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cap", "game"])
-        return group[folds.distinct_games(group.s.to_numpy(float), group.duration.to_numpy(float), group.kills.to_numpy())]
+    def run(g: pd.DataFrame) -> list[tuple]:
+        keep = folds.distinct_games(g.s.to_numpy(float), g.duration.to_numpy(float), g.kills.to_numpy(), game=g.cap.to_numpy() % 3, file=g.cap.to_numpy() * 1000 + g.game.to_numpy(), size=g.duration.to_numpy(), reliable=g.cap.to_numpy() % 10 > 1)
+        return list(g[keep][["cap", "game", "s", "duration", "kills"]].itertuples(index=False, name=None))
 
-    return rows.groupBy("evening").applyInPandas(run, "evening long, cap long, game long, s long, duration long, kills long")
+    return per_key(rows, "evening", run, dict.fromkeys(["cap", "game", "s", "duration", "kills"], "long"), ["cap", "game"])
 
 
 @query("counter_viterbi")
@@ -100,40 +98,31 @@ def counter_viterbi(spark, sf_dir):
     """Rises of a counter read from noisy values (here the tenth of each sample, one in seven unreadable)."""
     reads = load_events(spark, sf_dir).select("cap", "id", "t", F.when(F.col("id") % 7 == 0, -1).otherwise(F.floor(F.col("v") / 10) % 10).cast("int").alias("read"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "id"])
-        state = folds.decode_counter(group["read"].to_numpy(), 10)
-        rise = np.diff(state, prepend=state[:1])
-        return group.assign(state=state, rise=np.maximum(rise, 0))[["cap", "id", "state", "rise"]]
+    def run(g: pd.DataFrame) -> list[tuple]:
+        state = folds.decode_counter(g["read"].to_numpy(), 10)
+        return list(zip(g.id.tolist(), state.tolist(), np.maximum(np.diff(state, prepend=state[:1]), 0).tolist(), strict=True))
 
-    return reads.groupBy("cap").applyInPandas(run, "cap long, id long, state long, rise long")
+    return per_key(reads, "cap", run, {"id": "long", "state": "long", "rise": "long"}, ["t", "id"])
 
 
 @query("clutch_fsm")
 def clutch_fsm(spark, sf_dir):
-    """Last stands by a state machine over deaths (shots stand for allies, kills for enemies)."""
-    rows = load_events(spark, sf_dir).where("kind in ('kill', 'death', 'shot')")
+    """Last stands by a state machine over deaths (shots stand for allies, kills for enemies, deaths for the player's, headshots for round starts)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "id"])
-        kinds = group.kind.map({"shot": "ally", "kill": "enemy", "death": "own"}).tolist()
-        found = folds.clutches(kinds, group.t.to_numpy(), 48.0 * HOUR, 3)
-        return pd.DataFrame({"cap": [int(group.cap.iloc[0])] * len(found), "alone": [a for a, _ in found], "length": [b for _, b in found]}, columns=["cap", "alone", "length"]).astype("int64")
+    def run(g: pd.DataFrame) -> list[tuple]:
+        at = {k: g[g.kind == k].t.tolist() for k in ("shot", "kill", "death", "headshot")}
+        return folds.clutches(at["shot"], at["kill"], at["death"], 48 * HOUR, 3, 2, at["headshot"], 2 * HOUR)
 
-    return rows.groupBy("cap").applyInPandas(run, "cap long, alone long, length long")
+    rows = load_events(spark, sf_dir).where("kind in ('kill', 'death', 'shot', 'headshot')").select("cap", "id", "t", "kind")
+    return per_key(rows, "cap", run, {"alone": "long", "enemies": "long", "won": "long"}, ["t", "id"])
 
 
 @query("diverse_topk")
 def diverse_topk(spark, sf_dir):
     """Up to five vectors of each label that lie apart, by id."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        keep = folds.diverse(np.array(group.embedding.tolist(), float), np.arange(len(group)), 0.25, 5)
-        return group.iloc[keep][["label", "vec_id"]]
-
-    return rows.groupBy("label").applyInPandas(run, "label int, vec_id long")
+    run = lambda g: [(int(g.vec_id.iloc[k]),) for k in folds.diverse(np.array(g.embedding.tolist(), float), np.arange(len(g)), 0.25, 5)]
+    return per_key(rows, "label", run, {"vec_id": "long"}, ["vec_id"])
 
 
 @query("lru_eviction", EV + f""", f AS (SELECT id, cap, t, CAST(floor(v * 1000) AS BIGINT) AS bytes FROM ev WHERE kind = 'assist'), r AS (SELECT *, sum(bytes) OVER (PARTITION BY cap ORDER BY t DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM f)

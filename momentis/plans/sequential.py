@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentis.functions.events import DAY, HOUR, load_events
-from momentis.operators import kernels, sequences
+from momentis.operators import folds, kernels, sequences
+from momentis.operators.keyed import per_key
 from momentis.plans.moments import positive, signals
 from momentis.plans.registry import query
 from momentis.session import table
@@ -18,26 +19,18 @@ from momentis.session import table
 
 def per_capture(rows: DataFrame, fn: Callable[[pd.DataFrame], list[tuple]], columns: dict[str, str], order: list[str]) -> DataFrame:
     """Rows (cap, ...) that fn gives for each capture's ordered rows."""
-    names = list(columns)
-    kinds = {"long": "int64", "double": "float64", "string": "object"}
+    return per_key(rows, "cap", fn, columns, order)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cap = int(group.cap.iloc[0])
-        out = pd.DataFrame(fn(group.sort_values(order)), columns=names)
-        out.insert(0, "cap", cap)
-        return out.astype({"cap": "int64"} | {n: kinds[k] for n, k in columns.items() if not out[n].isna().any()})
 
-    return rows.groupBy("cap").applyInPandas(run, "cap long, " + ", ".join(f"{n} {k}" for n, k in columns.items()))
+def shots_of(g: pd.DataFrame) -> list[tuple]:
+    kills = g[g.kind == "kill"]
+    found = sequences.attribute_shots(kills.t.tolist(), g[g.kind == "shot"].t.tolist(), 12.0 * HOUR, 6.0 * HOUR, 48.0 * HOUR)
+    return [(int(i), n) for i, n in zip(kills.id, found, strict=True)]
 
 
 @query("shot_attribution")
 def shot_attribution(spark, sf_dir):
-    def run(g):
-        kills = g[g.kind == "kill"]
-        found = sequences.attribute_shots(kills.t.tolist(), g[g.kind == "shot"].t.tolist(), 12.0 * HOUR, 48.0 * HOUR)
-        return [(int(i), -1 if n is None else n) for i, n in zip(kills.id, found, strict=True)]
-
-    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot')").select("cap", "id", "t", "kind"), run, {"id": "long", "shots": "long"}, ["t", "id"])
+    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot')").select("cap", "id", "t", "kind"), shots_of, {"id": "long", "shots": "long"}, ["t", "id"])
 
 
 @query("event_fusion")
@@ -46,18 +39,51 @@ def event_fusion(spark, sf_dir):
 
     def run(g):
         rows = list(zip(g.t.tolist(), g.kind, g.id, strict=True))
-        return sequences.fuse_sources([(t, k) for t, k, i in rows if i % 2 == 0], [(t, k) for t, k, i in rows if i % 2], 6.0 * HOUR)
+        return sequences.fuse_sources([(t, k) for t, k, i in rows if i % 2 == 0], [(t, k) for t, k, i in rows if i % 2], 6.0 * HOUR, 12.0 * HOUR)
 
     return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'assist')").select("cap", "id", "t", "kind"), run, {"t": "long", "kind": "string"}, ["t", "id"])
 
 
+MARKS = {"shot": "hit", "kill": "finish", "death": "wipe"}
+
+
 @query("open_queue")
 def open_queue(spark, sf_dir):
+    """Shots as hits, kills as the finishing blows of them, deaths as wipes."""
+
+    def run(g):
+        return sequences.open_queue([(t, MARKS[k]) for t, k in zip(g.t.tolist(), g.kind, strict=True)], 48 * HOUR, 12 * HOUR)
+
+    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot', 'death')").select("cap", "id", "t", "kind"), run, {"t": "long", "kind": "string"}, ["t", "id"])
+
+
+@query("credit_marks")
+def credit_marks(spark, sf_dir):
+    """Assists as credits for the shots before them."""
+
+    def run(g):
+        return [(int(t), k) for t, k in sequences.credit_marks([(t, k, k == "assist") for t, k in zip(g.t.tolist(), g.kind, strict=True)], "shot", 24 * HOUR, 48 * HOUR)]
+
+    return per_capture(load_events(spark, sf_dir).where("kind in ('assist', 'shot', 'kill')").select("cap", "id", "t", "kind"), run, {"t": "long", "kind": "string"}, ["t", "id"])
+
+
+@query("log_tracks")
+def log_tracks(spark, sf_dir):
+    """Lines followed over frames of three hours: a sample's value is its place."""
+    rows = load_events(spark, sf_dir).where("kind in ('shot', 'assist')").select("cap", "id", F.floor(F.col("t") / (3 * HOUR)).alias("frame"), "v", "kind")
+    run = lambda g: [(int(t), k) for t, k in folds.track_log(list(zip(g.frame.tolist(), g.v.tolist(), g.kind, strict=True)), 16, 20.0, 2)]
+    return per_capture(rows, run, {"frame": "long", "kind": "string"}, ["frame", "v", "id"])
+
+
+@query("knock_pairs")
+def knock_pairs(spark, sf_dir):
+    """Counter rises (kills, of two where the value is high) paired with the earliest free knocks (shots)."""
+
     def run(g):
-        marks = [(t, {"shot": "hit", "kill": "finish", "death": "wipe"}[k]) for t, k in zip(g.t.tolist(), g.kind, strict=True)]
-        return [(t, -1 if h is None else h) for t, h in sequences.open_queue(marks, 48 * HOUR)]
+        rises = [(t, 2 if v > 75 else 1) for t, v, k in zip(g.t.tolist(), g.v, g.kind, strict=True) if k == "kill"]
+        return folds.fifo_pairs(rises, g[g.kind == "shot"].t.tolist(), 30 * HOUR, HOUR)
 
-    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot', 'death')").select("cap", "id", "t", "kind"), run, {"finish": "long", "hit": "long"}, ["t", "id"])
+    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot')").select("cap", "id", "t", "v", "kind"), run, {"t": "long", "how": "string"}, ["t", "id"])
 
 
 @query("joint_viterbi")

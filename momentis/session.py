@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | None = None, app: str = "momentis") -> SparkSession:
-    """A local session with the settings the engine is tested under; on a cluster the submitter's own settings stand."""
-    n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
-        SparkSession.builder.master(f"local[{n}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(n))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    """A session under the submitter's settings; where no master is set, a local one with the settings the engine is tested under."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    if not os.environ.get("PYSPARK_SUBMIT_ARGS", "").count("--master") and not os.environ.get("SPARK_REMOTE") and SparkSession.getActiveSession() is None and "spark.master" not in _submitted():
+        n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+        local = {"spark.sql.shuffle.partitions": n, "spark.sql.adaptive.enabled": "true", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+        builder = builder.master(f"local[{n}]").config(map=local)
+    return builder.getOrCreate()
+
+
+def _submitted() -> dict[str, str]:
+    """Settings of spark-defaults.conf."""
+    path = os.path.join(os.environ.get("SPARK_CONF_DIR", os.path.join(os.environ.get("SPARK_HOME", ""), "conf")), "spark-defaults.conf")
+    if not os.path.isfile(path):
+        return {}
+    with open(path) as lines:
+        return dict(line.split(None, 1) for line in lines if line.strip() and not line.startswith("#") and len(line.split(None, 1)) == 2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -47,7 +47,6 @@ def test_trackers():
     assert k.track_shapes([a, b, b, a, b], 0.9) == [0, 1, 1, 0, 1]
     frames = [[(0.0, 10.0, "kill")], [(0.0, 9.0, "kill")], [(0.0, 8.0, "kill"), (0.0, 10.0, "kill")], [(0.0, 9.0, "kill")]]
     assert k.track_rows(frames, 1, 2, 2)[0] == (0, "kill")
-    assert k.credits([(1, "mark"), (2, "mark"), (3, "credit"), (4, "credit"), (50, "credit")], 10) == [(2, 2), (50, 0)]
     assert k.plateaus([5, 5, None, 5, 4, 4, 4], 3) == [(0, 5), (4, 4)]
     assert k.fill_gaps([(0, 1), (2, 3), (9, 5)], 3) == [(0, 2, 2)]
     assert k.best_labelling(np.array([[1.0, 0.2, 0.1], [0.9, 0.8, 0.0]]))[0] == (pytest.approx(1.8), (0, 1))

@@ -48,6 +48,9 @@ def test_greedy_matching(spark):
 
 def test_folds():
     assert folds.spaced(np.array([0.0, 1, 5]), np.array([1.0, 2, 1]), 2).tolist() == [False, True, True]
+    two = [np.array([0.0, 1e6]), np.array([9e6, 9e6]), np.array([1, 2])]
+    assert folds.distinct_games(*two, game=["a", "b"]).all() and folds.distinct_games(*two, reliable=[True, False]).all()
+    assert folds.distinct_games(*two, reliable=[False, False], size=[5, 5]).tolist() == folds.distinct_games(*two, reliable=[False, False], file=["x", "x"]).tolist() == [False, True]
     assert folds.budgeted(np.array([15.0, 15, 15]), np.array([0.6, 0.9, 0.8]), 35, 3).tolist() == [5, 15, 15]
     reads = np.array([0] * 8 + [-1] * 4 + [4] * 8)
     state = folds.decode_counter(reads, 10)
@@ -57,7 +60,13 @@ def test_folds():
     assert [x for x in folds.fifo_pairs([(382.5, 1), (388.5, 1), (578.5, 1)], [366, 370, 693], 30, 1)] == [(366, "paired"), (370, "paired"), (578.5, "lone"), (693, "free")]
     assert folds.sellers("ELIMINATION", "XXELIMNATIONXX") == 1
     assert folds.track_log([(k, 10.0, "kill") for k in range(5)], 6, 32, 2) == [(0, "kill")]
-    assert folds.clutches(["ally", "ally", "ally", "ally", "enemy", "enemy", "enemy", "enemy", "enemy"], np.arange(9.0), 40) == [(3, 5)]
+    # A line rises by several pitches and is the same one; one far below is another; a lone sighting counts for nothing.
+    assert folds.track_log([(0, 200.0, "kill"), (1, 80.0, "kill"), (2, 80.0, "kill"), (2, 200.0, "kill"), (3, 200.0, "kill"), (9, 5.0, "aid")], 6, 32, 2) == [(0, "kill"), (2, "kill")]
+    assert folds.track_log([(0, 10.0, "a"), (1, 40.0, "a"), (2, 40.0, "a")], 6, 32, 2) == [(1, "a")] and folds.track_log([(0, 10.0, "a"), (1, 40.0, "a")], 6, 32, 2, 1) == [(0, "a")]
+    team = [110, 112, 115, 120], [100, 105, 130, 133, 140]
+    assert folds.clutches(*team, [], 40) == [(120, 3, 140)]
+    assert folds.clutches(*team, [121.4], 40) == [] and folds.clutches(*team, [], 40, starts=[115]) == [] and folds.clutches(*team, [], 40, least=4) == []
+    assert folds.clutches([*team[0], 139], team[1], [139.5], 40) == [] and folds.clutches(*team, [300], 40) == [(120, 3, 140)]
     assert folds.distinct_games(np.array([0.0, 1, 100]), np.array([44.0, 40, 40]), np.array([21, 23, 12])).tolist() == [False, True, True]
     assert folds.diverse(np.array([[0.0], [0.1], [1.0]]), np.arange(3), 0.25, 5) == [0, 2]
 

@@ -12,9 +12,16 @@ from momentis.plans import registry
 
 
 def test_attribution_and_fusion():
-    assert s.attribute_shots([100, 100.5, 200, 300, 400], [99.9, 100.45, 199.6, 199.7, 199.8, 199.9, 399.95], 0.3, 1.0) == [1, 1, 4, None, 1]
-    assert s.fuse_sources([(10, "kill"), (20, "kill"), (40, "kill")], [(10.5, "kill"), (20.2, "assist"), (60, "kill")], 2) == [(10, "kill"), (20.2, "assist"), (40, "kill"), (60, "kill")]
-    assert s.open_queue([(1, "hit"), (2, "hit"), (3, "finish"), (4, "wipe"), (50, "finish")], 10) == [(3, 1), (4, 2), (50, None)]
+    assert s.attribute_shots([100, 100.5, 200, 300, 400], [99.9, 100.45, 199.6, 199.7, 199.8, 199.9, 399.95], 0.3, 0.3, 1.0) == [1, 1, 4, None, 1]
+    assert s.attribute_shots([10, 10.9, 11.5], [9.9, 10.2, 11.4], 0.3, 0.1, 5.0) == [1, None, 1]  # the unheard kill closes the target
+    assert s.attribute_shots([1, 2], [], 1, 1, 1) == [None, None]
+    assert s.fuse_sources([(10, "kill"), (20, "kill"), (40, "kill")], [(10.5, "kill"), (20.2, "assist"), (60, "kill")], 2, 2) == [(10, "kill"), (20.2, "assist"), (40, "kill"), (60, "kill")]
+    assert s.fuse_sources([(10, "kill"), (10.2, "kill")], [(10.1, "kill")], 2, 2) == [(10, "kill"), (10.2, "kill")]  # a used row doesn't count
+    assert s.open_queue([(1, "hit"), (2, "hit"), (3, "finish"), (4, "wipe"), (50, "finish"), (51, "finish"), (60, "other")], 10, 3) == [(1, "hit"), (2, "hit"), (50, "hit"), (60, "other")]
+    assert s.open_queue([(5, "wipe"), (5, "hit"), (6.4, "wipe"), (20, "wipe"), (21.5, "wipe")], 10, 3) == [(5, "hit"), (20, "hit")]
+    marks = [(1, "kill", False), (2, "kill", False), (3, "spree", True), (4, "spree", True), (50, "spree", True)]
+    assert s.credit_marks(marks, "kill", 10) == [(1, "kill"), (2, "kill"), (2, "spree"), (50, "spree")]
+    assert s.credit_marks(marks, "kill", 10, 30) == [(1, "kill"), (2, "kill"), (2, "spree"), (2, "spree"), (50, "spree")]
 
 
 def test_joint_decoding():
