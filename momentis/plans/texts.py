@@ -59,12 +59,12 @@ def fingerprints(spark, sf_dir):
 
 
 @query("caption_cleaning", r"""WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(text, '\[[^\]]*\]|\([^)]*\)|\*[^*]*\*', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)
- SELECT conv_id, turn, text FROM c WHERE regexp_matches(text, '[A-Za-z]') AND length(text) <= 2000""")
+ SELECT conv_id, turn, text FROM c WHERE regexp_matches(text, '[A-Za-z]')""")
 def caption_cleaning(spark, sf_dir):
-    """Sound tags stripped, white space collapsed; captions without letters or too long dropped."""
+    """Sound tags stripped, white space collapsed; captions without letters dropped."""
     bare = F.trim(F.regexp_replace(F.regexp_replace("text", r"\[[^\]]*\]|\([^)]*\)|\*[^*]*\*", ""), r"\s+", " "))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", bare.alias("text"))
-    return rows.where(F.col("text").rlike("[A-Za-z]") & (F.length("text") <= 2000))
+    return rows.where(F.col("text").rlike("[A-Za-z]"))
 
 
 @query("near_repeats", """WITH c AS (SELECT conv_id, turn, lower(trim(text)) AS k, text FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS n FROM c) SELECT conv_id, turn, n FROM r WHERE n > 1""")

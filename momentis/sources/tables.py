@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentis.sources import logs
+
 SESSION = "version int, capture string, duration_us long, moments array<struct<id:string,start_us:long,end_us:long,score:double,enabled:boolean>>"
 
 
-def read_sessions(spark: SparkSession, path: str, newest: int = 1) -> DataFrame:
-    """Session files (one JSON object each, unknown fields ignored); corrupt files and newer versions are left out."""
-    rows = spark.read.schema(SESSION + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.cache().where(F.col("_corrupt_record").isNull() & F.col("version").between(1, newest)).drop("_corrupt_record")
+def read_sessions(spark: SparkSession, path: str, newest: int = 1, lines: bool = False) -> DataFrame:
+    """Session files (one JSON object each, or one a line; unknown fields and a byte order mark ignored); other extensions, corrupt files and newer versions are left out."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=not lines)
+    parsed = F.from_json(F.regexp_replace("value", "^\\uFEFF", ""), SESSION + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = files.select(parsed.alias("x")).select("x.*")
+    return rows.where(F.col("_corrupt").isNull() & F.col("version").between(1, newest)).drop("_corrupt")
 
 
 def write_sessions(rows: DataFrame, path: str) -> None:
@@ -20,13 +24,9 @@ def write_sessions(rows: DataFrame, path: str) -> None:
 
 
 def read_loudness(spark: SparkSession, path: str) -> DataFrame:
-    """(file, t, lufs) of loudness logs: each level belongs to the last frame time before it."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    t = F.regexp_extract("value", r"pts_time:([0-9.]+)", 1).try_cast("double")
-    level = F.regexp_extract("value", r"lavfi\.r128\.M=(-?[0-9.]+)", 1).try_cast("double")
-    upto = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select("file", "n", t.alias("t"), level.alias("lufs")).withColumn("t", F.last("t", ignorenulls=True).over(upto))
-    return rows.where("lufs is not null and t is not null").select("file", "t", "lufs")
+    """(file, t, lufs) of loudness logs, each read whole, so that its lines keep their order."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "value"))
+    return logs.loudness(files)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
