@@ -80,8 +80,9 @@ class UnigramCounter:
                 self.automaton.add_word(text, (len(text), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s, _ in all_pieces) - PENALTY
-        if any(MARK in text.lstrip(MARK) for text, _, kind in all_pieces if kind in _TEXT_KINDS) or any(s != int(s) for _, s, _ in all_pieces):
-            raise ValueError("runs between spaces don't count separately under this vocabulary")
+        # Runs between spaces count separately where no piece reaches over a space and whole scores add up exactly in any order;
+        # under other vocabularies each text is one run, whose sums are formed in the library's order.
+        self.whole = any(MARK in text.lstrip(MARK) for text, _, kind in all_pieces if kind in _TEXT_KINDS) or any(s != int(s) for _, s, _ in all_pieces)
         self.run = re.compile(f"{MARK}+[^{MARK}]*")
         self.memo: dict[str, int] = {}
 
@@ -111,6 +112,8 @@ class UnigramCounter:
         """Number of tokens of a text."""
         if not text:
             return 0
+        if self.whole:
+            return self.best(MARK + text.replace(" ", MARK))[1]
         if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
             runs = self.run.findall(MARK + text.replace(" ", MARK))
         else:
@@ -143,9 +146,9 @@ def counter(path: str) -> UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of each text."""
+    """docs with the number of tokens of each text as last column (which takes the place of one so named)."""
     small_batches(docs.sparkSession)
-    names = docs.columns
+    names = [x for x in docs.columns if x != into]
     inner = [f"_k{i}" for i in range(len(names))]
     plain = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True)))
     at = names.index(text)

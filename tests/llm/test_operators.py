@@ -37,6 +37,20 @@ def test_token_counts(spark, docs):
     assert token_counts.count_tokens(docs.where("false"), path).count() == 0
 
 
+def test_token_counts_under_fractional_scores(monkeypatch):
+    """Scores that don't add up exactly, and pieces that reach over spaces, count as the library counts them."""
+    rng = random.Random(5)
+    texts = {"".join(rng.choice("ab▁") for _ in range(rng.randrange(1, 5))) for _ in range(60)} | {"a", "b", "▁"}
+    vocabulary = [("<unk>", 0.0, 2), *((t, -rng.random() * 9, 1) for t in sorted(texts))]
+    monkeypatch.setattr(token_counts, "pieces", lambda path: vocabulary)
+    own = token_counts.UnigramCounter("made")
+    library = Tokenizer(models.Unigram([(t, s) for t, s, _ in vocabulary], unk_id=0, byte_fallback=False))
+    library.normalizer = normalizers.Sequence([normalizers.Prepend(token_counts.MARK), normalizers.Replace(" ", token_counts.MARK)])
+    for _ in range(300):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 60)))
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
 def test_bpe_encodes_and_decodes(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
@@ -398,6 +412,58 @@ def test_surrogates(spark):
     assert pii_surrogates.replace_private(rows.where("false")).count() == 0
 
 
+def test_surrogates_of_names_and_references():
+    own = pii_surrogates.Surrogates(b"key")
+    new, spans = own.replaced("Contact John Smith. Mr. Smith met Smith, and Mary Smith-Jones; Анна Каренина came. Hans im Glück stayed.")
+    assert [k for k, *_ in spans] == ["name"] * 5
+    found = [new[a:b] for _, a, b in spans]
+    surname = found[0].split(" ")[1]
+    assert found[1] == found[2] == surname != "Smith" and "Smith" not in new.replace("Smith-", "") and surname[-1] == "h"
+    assert found[0].split(" ")[0] in pii_surrogates.GIVEN[0] and found[3].split(" ")[0] in pii_surrogates.GIVEN[1] and found[4].split(" ")[0] in pii_surrogates.GIVEN[3]
+    assert "John" not in new and "Mary" not in new and new.startswith("Contact ") and new.endswith(" came. Hans im Glück stayed.")
+    for names in pii_surrogates.GIVEN:
+        given = [own.part_of_name(x) for x in names]
+        assert sorted(given) == sorted(names) and all(a != b for a, b in zip(given, names, strict=True))
+
+
+def test_surrogates_of_one_entity_in_several_notations():
+    own = pii_surrogates.Surrogates(b"key")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    phones = [own.of("phone", t) for t in ("+1 (212) 555-0123", "(212) 555-0123", "212.555.0123")]
+    assert len({digits(t)[-10:] for t in phones}) == 1 and phones[0].startswith("+1 (") and phones[2].count(".") == 2
+    assert own.of("email", "Ann.Lee@Mail.org").lower() == own.of("email", "ann.lee@mail.org") and own.of("email", "Ann.Lee@Mail.org")[0].isupper()
+    iban = own.of("iban", "DE89 3704 0044 0532 0130 00")
+    plain = iban.replace(" ", "")
+    assert plain == own.of("iban", "DE89370400440532013000") and iban[:2] == "DE" and pii_surrogates.iban_check(plain) == int(plain[2:4]) and plain[4:] != "370400440532013000"
+    assert pii_surrogates.iban_check("DE89370400440532013000") == 89
+    rng = random.Random(2)
+    numbers = {f"{rng.randrange(1, 900):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(500)} | {"000-12-3456", "666-12-3456", "901-00-0000"}
+    new = {n: own.of("ssn", n) for n in numbers}
+    assert len(set(new.values())) == len(numbers) and all(pii_surrogates.valid_ssn(int(digits(a))) == pii_surrogates.valid_ssn(int(digits(b))) for a, b in new.items())
+    text, spans = own.replaced("from 2001:db8::8a2e:370:7334 or fe80::1 at 10:30")
+    assert [k for k, *_ in spans] == ["ipv6"] * 2 and text.startswith("from 2001:") and "7334" not in text and text.endswith(" at 10:30")
+    mixed = {x: own.of("secret", x) for x in [f"{k:06x}" for k in range(1000)] + [f"{k:06d}"[:5] + "z" for k in range(1000)]}
+    assert len(set(mixed.values())) == len(mixed)
+
+
+def plain_entities(text):
+    """Addresses and numbers by a plain scan word by word."""
+    return [w for w in text.split(" ") if "@" in w or w.count(".") == 3 and all(x.isdigit() and int(x) < 256 for x in w.split("."))]
+
+
+def test_surrogates_replace_what_a_plain_scan_finds():
+    rng = random.Random(4)
+    own = pii_surrogates.Surrogates(b"key")
+    for _ in range(40):
+        words = [rng.choice(["tree", "river", f"u{rng.randrange(9)}@host{rng.randrange(3)}.org", f"10.{rng.randrange(256)}.{rng.randrange(256)}.1"]) for _ in range(60)]
+        new = own.replaced(" ".join(words))[0].split(" ")
+        hits = plain_entities(" ".join(words))
+        kept = [w for w in words if w not in hits]
+        table = {a: b for a, b in zip(words, new, strict=True) if a in hits}
+        assert [b for a, b in zip(words, new, strict=True) if a not in hits] == kept and all(a != b for a, b in table.items()) and len(set(table.values())) == len(table)
+        assert [table.get(w, w) for w in words] == new
+
+
 def test_surrogates_hold_over_the_corpus():
     """Of all names of a form, one to a text: none stays, no two get the same, and company in a text changes nothing."""
     own = pii_surrogates.Surrogates(pii_surrogates.DEFAULT_KEY)
