@@ -1,16 +1,19 @@
-"""Licence families of paragraphs: a trained classifier, an unknown class, and a comparison with templates.
-
-Features are the word one-, two- and three-grams of the templates, sparse and binary. A multinomial logistic regression is trained here,
-on paragraphs made from the templates (words dropped, other words around them, sentences cut) and on unknown ones (words in other orders,
-single phrases of licences, free prose): `EXAMPLES` of each class, a fixed and documented bound, and a second such sample, which it never
-saw, calibrates it: a temperature for the probabilities, and per family the least probability at which 99.5 % of predictions are right; what
-lies below is unknown. A prediction counts only if one template of its family shares `SHARED` of its three-grams with the paragraph.
-
-A paragraph is a line, or a run of neighbouring lines that hold template three-grams (texts wrapped by hand). Lines without any such
-three-gram can't be confirmed and need no classifier. All words of whole texts are read.
-
-Null and empty texts have no licences; each row is read alone, so repeated rows, null ids and other columns pass unchanged; an empty table
-gives an empty result; of equal probabilities the family first in the alphabet wins.
+"""Licence families of paragraphs: a trained classifier, calibrated unknown classes, and a comparison with templates.
+
+Features are the word one-, two- and three-grams of the training paragraphs, sparse and binary. A multinomial logistic regression is trained here, on
+paragraphs made from the templates (words dropped, other words around them, sentences cut), from names of licences in the sentences by which
+works are put under one (`FRAMES`, in five languages), and on two further classes: `unknown`, statements of licences that are none of the families, and
+`none`, prose that only uses such words. `EXAMPLES` of each class are a fixed and documented bound; a second such sample, which the
+regression never saw, calibrates it: a temperature for the probabilities, and per family the least probability at which 99.5 % of predictions are right; what
+lies below is unknown. A predicted family counts only if one of its templates or names shares `SHARED` of its n-grams with the paragraph, else the
+paragraph is unknown too. What is predicted as `none` isn't reported.
+
+A paragraph is a line, or a run of neighbouring lines that hold a cue or template three-grams (texts wrapped by hand); lines of over `LONG` words are taken
+sentence by sentence. The classifier reads every line that holds a cue, a word of any licence statement (`CUES`) or a template three-gram; other lines hold nothing that it
+could tell from prose. All words of whole texts are read.
+
+Defined results: null and empty texts have no licences; very long texts are read whole; each row is read alone, so repeated rows, null ids and other
+columns pass unchanged, but for a column named as the result; of equal probabilities the family first in the alphabet wins; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from momentis.llm.common import small_batches, strings
 EXAMPLES = 150
 SHARED = 0.6
 PRECISION = 0.995
-UNKNOWN = "unknown"
+LONG = 60
+UNKNOWN, NONE = "unknown", "none"
 
 #: The sentences by which each licence family is granted or recognised.
 TEMPLATES: dict[str, list[str]] = {
@@ -71,6 +75,38 @@ TEMPLATES: dict[str, list[str]] = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at", "SPDX-License-Identifier: MPL-2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "SPDX-License-Identifier: Unlicense"],
 }
+#: What the families are called.
+NAMES: dict[str, list[str]] = {
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache License Version 2.0", "Apache License v2"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License", "BSD"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0": ["CC0 1.0 Universal", "CC0-1.0", "CC0", "Creative Commons Zero"],
+    "gpl-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0", "GPLv2", "GNU GPL version 2.0", "GNU General Public License v2.0"],
+    "gpl-3.0": ["GNU General Public License, version 3", "GNU GPL v3.0 or later", "GPL-3.0", "GPLv3", "GNU GPL v3", "GNU General Public License v3.0", "GNU GENERAL PUBLIC LICENSE Version 3"],
+    "isc": ["ISC License", "ISC"],
+    "lgpl": ["GNU Lesser General Public License", "GNU LGPL v2.1", "LGPL-2.1", "LGPL-3.0", "LGPLv3", "GNU Lesser General Public License, version 3"],
+    "mit": ["MIT License", "MIT licence", "MIT", "The MIT License (MIT)", "Expat License"],
+    "mpl-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Licences that are none of the families, and statements that grant nothing.
+OTHERS = [
+    "Eclipse Public License 2.0", "EPL-2.0", "Boost Software License 1.0", "zlib License", "GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3", "Artistic License 2.0", "CC BY-ND 4.0",
+    "Creative Commons Attribution-NoDerivatives 4.0", "CC BY-NC-ND 4.0", "European Union Public Licence 1.2", "Common Development and Distribution License", "Microsoft Public License", "Open Software License 3.0", "Python Software Foundation License", "WTFPL",
+    "Business Source License 1.1", "Server Side Public License", "SIL Open Font License 1.1", "Open Database License", "Commons Clause", "Acme Software License", "Community License Agreement", "Research License", "commercial license", "proprietary license",
+]
+STATEMENTS = [
+    "All rights reserved. This software is proprietary and confidential", "Unauthorized copying of this file, via any medium, is strictly prohibited", "No part of this publication may be reproduced without written permission of the publisher",
+    "This software may not be copied or distributed without a written agreement with the vendor", "Use is subject to the terms of the end user license agreement",
+]
+#: Sentences that put a work under a licence.
+FRAMES = [
+    "{}", "{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the terms of the {}", "This project is licensed under the {}", "This work is licensed under a {}", "This software is available under the terms of the {}",
+    "See the LICENSE file for details ({})", "License: {}", "License {}", "SPDX-License-Identifier: {}", "Code is under {} license", "published under {}", "dual licensed, {} applies here", "lizenziert unter {}", "unter der Lizenz {}", "veröffentlicht unter der {}", "sous licence {}",
+    "publié sous la licence {}", "bajo la licencia {}", "publicado bajo {}", "con licenza {}", "rilasciato sotto licenza {}", "You may use it under the {}", "Copyright 2020 the authors. {}", "Subject to the {}", "covered by the {}",
+]
 #: Plain prose about licences and other matters, which is no grant.
 _PROSE = [
     "the driver has to show a license before the car is handed over to him",
@@ -83,9 +119,29 @@ _PROSE = [
     "this work is dedicated to my mother and to the people of the village",
     "under the law the owner may not sell or modify the house without notice",
     "the source of the river was found in the mountains by two men of the village",
+    "he lost his driving licence after the accident and took the bus for a year",
+    "the restaurant has a license to sell wine and beer until midnight",
+    "students at MIT built a boat that sails without a crew",
+    "an Apache helicopter flew over the valley in the morning",
+    "the boost to trade was the work of the new minister",
+    "the bar lost its license and had to close at the end of the month",
+    "they were granted a fishing license for the lake and its rivers",
+    "the copyright office moved to another street last year",
+    "the doctor was licensed to practise in two states",
+    "der Fahrer muss seine Lizenz vorzeigen bevor er den Wagen bekommt",
+    "la licence de pêche coûte vingt euros par an",
+    "la licencia de obras fue concedida por la ciudad",
+    "the committee read the first version of the paper and asked for a second one",
+    "members of the public domain group met at the old mill",
 ]
+#: Words, in the forms they are written in, at least one of which stands in any statement of a licence.
+CUES = frozenset(
+    "license licenses licensed licence licences licenced licensing lizenz lizenziert lizenzen licencia licenza licencias copyright copyrights copyrighted copyleft spdx gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 mit bsd apache mpl epl isc "
+    "cc cc0 creative commons unlicense unencumbered redistribution redistributions redistribute proprietary wtfpl zlib gnu mozilla eula expat rights reserved confidential unauthorized reproduced".split()
+)
 
 _WORD = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
 def words(text: str) -> list[str]:
@@ -96,122 +152,141 @@ def grams(own: list[str]) -> set[tuple[str, ...]]:
     return {g for n in (1, 2, 3) for g in zip(*(own[k:] for k in range(n)), strict=False)}
 
 
+class Rows:
+    """Sparse binary rows: the features of each, one after the other, with the place of the first."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        size = np.array([len(r) for r in rows])
+        self.feature = np.concatenate(rows)
+        self.start = np.cumsum(size) - size
+        self.row = np.repeat(np.arange(len(rows)), size)
+        by = np.argsort(self.feature, kind="stable")
+        self.by_feature, ordered = self.row[by], self.feature[by]
+        self.first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.known = ordered[self.first]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.feature], self.start, axis=0)
+
+    def transposed_times(self, residual: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((size, residual.shape[1]), residual.dtype)
+        out[self.known] = np.add.reduceat(residual[self.by_feature], self.first, axis=0)
+        return out
+
+
 class Classifier:
     """The trained and calibrated model; training is deterministic."""
 
     def __init__(self):
-        self.families = [*sorted(TEMPLATES), UNKNOWN]
+        self.families = [*sorted(TEMPLATES), NONE, UNKNOWN]
         self.templates = {f: [words(t) for t in TEMPLATES[f]] for f in TEMPLATES}
-        vocabulary = sorted({g for own in self.templates.values() for t in own for g in grams(t)})
-        self.index = {g: k for k, g in enumerate(vocabulary)}
-        self.thirds = {g for g in vocabulary if len(g) == 3}
-        # A short template has fewer three-grams; those with none are compared by all they have.
-        self.shapes = {f: [{g for g in grams(t) if len(g) == min(3, len(t))} for t in own] for f, own in self.templates.items()}
+        self.thirds = {g for own in self.templates.values() for t in own for g in grams(t) if len(g) == 3}
+        # A template is compared by its three-grams, a name or a shorter template by grams of its own length, up to two.
+        self.shapes = {f: [{g for g in grams(t) if len(g) == (3 if len(t) > 6 else min(2, len(t)))} for t in [*own, *map(words, NAMES[f])]] for f, own in self.templates.items()}
         rng = np.random.default_rng(11)
-        x, y = self.sample(rng)
-        self.weights = self.fit(x, y)
-        self.temperature, self.least = self.calibrated(*self.sample(rng))
+        made = self.sample(rng)
+        # Feature 0 is the bias, which every row has.
+        self.index = {g: k for k, g in enumerate(sorted({g for own, _ in made for g in grams(own)}), 1)}
+        self.weights = self.fit(*self.encoded(made))
+        self.temperature, self.least = self.calibrated(*self.encoded(self.sample(rng)))
+
+    def encoded(self, made: list[tuple[list[str], int]]) -> tuple[Rows, np.ndarray]:
+        return Rows([self.features(own) for own, _ in made]), np.array([k for _, k in made])
 
     def features(self, own: list[str]) -> np.ndarray:
-        return np.array(sorted({self.index[g] for g in grams(own) if g in self.index}), np.int64)
+        return np.array([0, *sorted(self.index[g] for g in grams(own) if g in self.index)], np.int64)
 
-    def sample(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Feature rows and classes of made paragraphs."""
-        everything = [w for own in self.templates.values() for t in own for w in t]
+    def sample(self, rng: np.random.Generator) -> list[tuple[list[str], int]]:
+        """Made paragraphs, as words, and their classes."""
         prose = [words(p) for p in _PROSE]
-        loose = [w for p in prose for w in p]
-        rows, classes = [], []
+        loose = [w for p in prose[:10] for w in p]
+        everything = [w for own in self.templates.values() for t in own for w in t]
+        some = lambda xs: xs[rng.integers(len(xs))]
+        out = []
         for k, family in enumerate(self.families):
-            for _ in range(EXAMPLES * (1 if family != UNKNOWN else 4)):
-                noise = [list(rng.choice(loose, rng.integers(0, 12))) for _ in range(2)]
-                if family != UNKNOWN:
-                    own = self.templates[family]
-                    pick = [own[rng.integers(len(own))] for _ in range(rng.integers(1, 3))]
-                    body = [w for t in pick for w in t if len(t) < 8 or rng.random() > 0.06]
-                else:
+            for _ in range(EXAMPLES * (4 if family in (UNKNOWN, NONE) else 1)):
+                noise = [list(rng.choice(loose, rng.integers(0, 10))) if rng.random() < 0.5 else [] for _ in range(2)]
+                if family == UNKNOWN:
+                    body = words(some(STATEMENTS)) if rng.random() < 0.25 else words(some(FRAMES).format(some(OTHERS)))
+                elif family == NONE:
                     kind = rng.integers(4)
-                    if kind == 0:
-                        body = list(rng.choice(everything, rng.integers(3, 30)))
-                    elif kind == 1:
-                        body = prose[rng.integers(len(prose))]
-                    elif kind == 2:
-                        long = everything[(a := rng.integers(len(everything) - 4)) : a + rng.integers(1, 4)]
-                        body = [*rng.choice(loose, 6), *long, *rng.choice(loose, 6)]
-                    else:
-                        body = list(rng.choice(loose, rng.integers(3, 40)))
-                row = np.zeros(len(self.index) + 1, np.float32)
-                row[self.features([*noise[0], *body, *noise[1]])] = 1
-                row[-1] = 1
-                rows.append(row)
-                classes.append(k)
-        return np.array(rows), np.array(classes)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
+                    body = list(rng.choice(everything, rng.integers(3, 30))) if kind == 0 else some(prose) if kind < 3 else list(rng.choice(loose, rng.integers(3, 40)))
+                elif rng.random() < 0.5:
+                    body = words(some(FRAMES).format(some(NAMES[family])))
+                else:
+                    own = self.templates[family]
+                    body = [w for t in (some(own) for _ in range(rng.integers(1, 3))) for w in t if len(t) < 8 or rng.random() > 0.06]
+                out.append(([*noise[0], *body, *noise[1]], k))
+        return out
+
+    def fit(self, x: Rows, y: np.ndarray, steps: int = 200, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
         """Gradient descent with momentum on the penalised log-likelihood."""
-        w = np.zeros((x.shape[1], len(self.families)), np.float32)
+        w = np.zeros((len(self.index) + 1, len(self.families)))
         speed = np.zeros_like(w)
-        target = np.eye(len(self.families), dtype=np.float32)[y]
+        target = np.eye(len(self.families))[y]
         for _ in range(steps):
-            slope = x.T @ (softmax(x @ w) - target) / len(x) + penalty * w
-            speed = 0.9 * speed - rate * slope
+            speed = 0.9 * speed - rate * (x.transposed_times(softmax(x.times(w)) - target, len(w)) / len(y) + penalty * w)
             w += speed
         return w
 
-    def calibrated(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    def calibrated(self, x: Rows, y: np.ndarray) -> tuple[float, np.ndarray]:
         """Temperature of the least held-out loss, and the least probability of each family at the wanted precision."""
-        logits = x @ self.weights
-        loss = {t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-9).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
+        logits = x.times(self.weights)
+        loss = {t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-9).mean() for t in (0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
         best = min(loss, key=loss.get)
         p = softmax(logits / best)
         top, least = p.argmax(axis=1), np.full(len(self.families), 0.5)
-        for k in range(len(self.families) - 1):
+        for k in range(len(self.families) - 2):
             mine = np.sort(p[(top == k), k])[::-1]
             right = (y[top == k] == k)[np.argsort(-p[top == k, k])]
             good = np.cumsum(right) / np.arange(1, len(right) + 1) >= PRECISION
             if good.any():
-                least[k] = max(0.5, mine[np.flatnonzero(good)[-1]])
+                least[k] = min(0.9, max(0.4, mine[np.flatnonzero(good)[-1]]))
         return best, least
 
     def judge(self, own: list[str]) -> tuple[str, float]:
-        """Family and probability of a paragraph's words; unknown if the classifier or the templates don't confirm."""
+        """Family and probability of a paragraph's words; unknown if the calibration or the templates don't confirm it."""
         at = self.features(own)
-        p = softmax((self.weights[at].sum(axis=0) + self.weights[-1])[None] / self.temperature)[0]
+        p = softmax(self.weights[at].sum(axis=0)[None] / self.temperature)[0]
         k = int(p.argmax())
         family = self.families[k]
-        if family == UNKNOWN or p[k] < self.least[k]:
-            return UNKNOWN, float(p[k])
+        if family in (NONE, UNKNOWN) or p[k] < self.least[k]:
+            return NONE if family == NONE else UNKNOWN, float(p[k])
         have = grams(own)
         shared = max(len(shape & have) / len(shape) for shape in self.shapes[family])
         return (family, float(p[k])) if shared >= SHARED else (UNKNOWN, float(p[k]))
 
+    def best(self, line: list[list[str]]) -> tuple[str, float]:
+        """The verdict on a line, given as its sentences: the first family among them, else unknown, else none."""
+        found = [self.judge(own) for own in line if own]
+        return min(found, key=lambda x: (x[0] == NONE, x[0] == UNKNOWN), default=(NONE, 0.0))
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """Family, first and last line and probability of each licensed paragraph."""
+        """Family, first and last line and probability of each paragraph that states a licence."""
         found = []
-        lines = text.split("\n")
-        run: list[tuple[int, list[str]]] = []
-        thirds = self.thirds
+        run: list[tuple[int, list[list[str]]]] = []
 
         def close() -> None:
+            alone = [self.best(line) for _, line in run]
             if len(run) > 1:
-                family, p = self.judge([w for _, own in run for w in own])
-                alone = [self.judge(own) for _, own in run]
-                if family != UNKNOWN and {f for f, _ in alone} <= {family, UNKNOWN}:
+                family, p = self.judge([w for _, line in run for own in line for w in own])
+                if family not in (NONE, UNKNOWN) and {f for f, _ in alone} <= {family, UNKNOWN, NONE}:
                     found.append((family, run[0][0], run[-1][0], p))
-                else:
-                    found.extend((f, k, k, q) for (k, _), (f, q) in zip(run, alone, strict=True) if f != UNKNOWN)
-            elif run:
-                family, p = self.judge(run[0][1])
-                if family != UNKNOWN:
-                    found.append((family, run[0][0], run[0][0], p))
+                    run.clear()
+                    return
+            found.extend((f, k, k, q) for (k, _), (f, q) in zip(run, alone, strict=True) if f != NONE)
             run.clear()
 
-        for k, line in enumerate(lines):
+        for k, line in enumerate(text.split("\n")):
             own = words(line)
-            if not thirds.isdisjoint(zip(own, own[1:], own[2:], strict=False)):
-                run.append((k, own))
-            elif run:
-                close()
-        close()
+            if CUES.isdisjoint(own) and self.thirds.isdisjoint(zip(own, own[1:], own[2:], strict=False)):
+                if run:
+                    close()
+                continue
+            parts = [own] if len(own) <= LONG else [w for w in map(words, _SENTENCE.split(line)) if not CUES.isdisjoint(w) or not self.thirds.isdisjoint(zip(w, w[1:], w[2:], strict=False))]
+            run.append((k, parts))
+        if run:
+            close()
         return found
 
 
@@ -231,9 +306,9 @@ def classifier() -> Classifier:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:
-    """docs with an array of (family, first_line, last_line, probability)."""
+    """docs with an array of (family, first_line, last_line, probability) as last column (which takes the place of one so named)."""
     small_batches(docs.sparkSession)
-    names = docs.columns
+    names = [x for x in docs.columns if x != into]
     inner = [f"_k{i}" for i in range(len(names))]
     at = names.index(text)
     plain = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True)))
