@@ -216,23 +216,3 @@ def quality_learner(spark, sf_dir):
     hits = float((((x @ w) > 0) == (y > 0.5)).mean()) if len(y) else None
     names = ["bias", "length", "symbols", "lines"]
     return spark.createDataFrame(pd.DataFrame({"feature": [*names, "agreement"], "value": [*np.round(w, 6).tolist(), hits]}))
-
-
-CLOSED = f""", m AS (SELECT cap, t, id, CASE WHEN t - lag(t) OVER o <= {48 * H} THEN 0 ELSE 1 END AS f FROM ev WINDOW o AS (PARTITION BY cap ORDER BY t, id)), s AS (SELECT *, sum(f) OVER (PARTITION BY cap ORDER BY t, id) AS grp FROM m),
- c AS (SELECT cap, min(t) AS s, max(t) + {48 * H} AS e, count(*) AS n FROM s GROUP BY cap, grp) SELECT cap, s, n FROM c WHERE e // 1000 <= (SELECT max(t) FROM ev) // 1000 - {H // 1000}"""
-
-
-@query("stream_closed_sessions", EV + CLOSED)
-def stream_closed_sessions(spark, sf_dir):
-    """The session stream run over all files to its end: sessions that the watermark has closed."""
-    import uuid
-
-    from momentis.streaming.sessions import closed_sessions
-
-    static = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = stream.select(F.col("user_id").alias("cap"), F.col("ts").cast("timestamp").alias("at"))
-    name = f"closed_{uuid.uuid4().hex}"
-    q = closed_sessions(stream, "at", "cap", "48 hours", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("cap", (F.unix_micros("start") - 1_704_067_200_000_000).alias("s"), "n")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from momentis.plans import details, editing, imaging, library, moments, more, relational, selection, sequential, sessions, texts  # noqa: F401
+    from momentis.plans import details, editing, imaging, library, moments, more, relational, selection, sequential, sessions, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
