@@ -26,7 +26,7 @@ def speech(lines: DataFrame, totals: DataFrame, file: str = "file", order: str =
     own = Window.partitionBy("file").orderBy("start")
     before = F.coalesce(F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     gaps = both.where("start is not null").select("file", before.alias("s"), F.col("start").alias("e"))
-    tail = both.groupBy("file").agg(F.max(F.coalesce("stop", F.lit(0.0))).alias("s"), F.first("total").alias("e"))
+    tail = both.groupBy("file").agg(F.max(F.when(F.col("start").isNotNull(), F.col("stop")).otherwise(0.0)).alias("s"), F.first("total").alias("e"))
     return gaps.unionByName(tail).where("s < e")
 
 
