@@ -114,13 +114,13 @@ def smoothed(spark, sf_dir):
     return signals(spark, sf_dir).select("cap", "kind", "win", F.round(near, 6).alias("smooth"))
 
 
-@query("steady_values", EV + """, r AS (SELECT cap, id, t, CAST(floor(v / 25) AS BIGINT) AS x FROM ev WHERE id % 7 <> 0), c AS (SELECT *, CASE WHEN lag(x) OVER o = x THEN 0 ELSE 1 END AS f FROM r WINDOW o AS (PARTITION BY cap ORDER BY t, id)),
+@query("steady_values", EV + """, r AS (SELECT cap, id, t, CAST(floor(v / 25) AS BIGINT) AS x FROM ev WHERE isfinite(v)), c AS (SELECT *, CASE WHEN lag(x) OVER o = x THEN 0 ELSE 1 END AS f FROM r WINDOW o AS (PARTITION BY cap ORDER BY t, id)),
  g AS (SELECT *, sum(f) OVER (PARTITION BY cap ORDER BY t, id) AS run FROM c), h AS (SELECT cap, run, min(t) AS since, any_value(x) AS x, count(*) AS n FROM g GROUP BY cap, run HAVING count(*) >= 2),
  d AS (SELECT *, lag(x) OVER (PARTITION BY cap ORDER BY run) AS p FROM h) SELECT cap, since, x, n FROM d WHERE p IS NULL OR p <> x""")
 def steady_values(spark, sf_dir):
     """Values held for two reads at least; unreadable ones skipped, the same value twice in a row dropped."""
     o = Window.partitionBy("cap").orderBy("t", "id")
-    reads = load_events(spark, sf_dir).where("id % 7 <> 0").select("cap", "id", "t", F.floor(F.col("v") / 25).alias("x"))
+    reads = load_events(spark, sf_dir).where("v is not null and not isnan(v) and abs(v) < double('infinity')").select("cap", "id", "t", F.floor(F.col("v") / 25).alias("x"))
     runs = reads.withColumn("f", F.when(F.lag("x").over(o) == F.col("x"), 0).otherwise(1)).withColumn("run", F.sum("f").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     held = runs.groupBy("cap", "run").agg(F.min("t").alias("since"), F.min("x").alias("x"), F.count("*").alias("n")).where("n >= 2")
     return held.withColumn("p", F.lag("x").over(Window.partitionBy("cap").orderBy("run"))).where("p is null or p <> x").select("cap", "since", "x", "n")
@@ -135,11 +135,15 @@ def alternations(spark, sf_dir):
 @query("percentile_flavours", EV + """ SELECT cap, round(quantile_cont(v, 0.9), 6) AS interpolated, round(list_sort(list(v))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1], 6) AS floored, round(list_sort(list(v))[CAST(round(0.9 * (count(*) - 1)) AS BIGINT) + 1], 6) AS nearest,
  round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper_median FROM ev GROUP BY cap""")
 def percentile_flavours(spark, sf_dir):
-    """The four rank rules in use; the sorted values of one capture fit a row."""
-    rows = load_events(spark, sf_dir).groupBy("cap").agg(F.percentile("v", 0.9).alias("p"), F.sort_array(F.collect_list("v")).alias("x"))
-    n = F.size("x")
-    at = lambda k: F.round(F.element_at("x", k.cast("int") + 1), 6)
-    return rows.select("cap", F.round("p", 6).alias("interpolated"), at(F.floor(0.9 * (n - 1))).alias("floored"), at(F.round(0.9 * (n - 1))).alias("nearest"), at(F.floor(n / 2)).alias("upper_median"))
+    """The four rank rules in use, from ranks: no capture's values are gathered in a row."""
+    own = Window.partitionBy("cap")
+    rows = load_events(spark, sf_dir).select("cap", "v", F.row_number().over(own.orderBy("v", "id")).alias("r"), F.count("*").over(own).alias("n"))
+    n = F.col("n")
+    at = lambda k: F.max(F.when(F.col("r") == k + 1, F.round("v", 6)))
+    below = F.floor(F.lit(0.9) * (n - 1))
+    part = F.lit(0.9) * (n - 1) - below
+    low, high = F.max(F.when(F.col("r") == below + 1, F.col("v"))), F.max(F.when(F.col("r") == F.least(below + 2, n), F.col("v")))
+    return rows.groupBy("cap").agg(F.round(low + (high - low) * F.max(part), 6).alias("interpolated"), at(below).alias("floored"), at(F.round(F.lit(0.9) * (n - 1))).alias("nearest"), at(F.floor(n / 2)).alias("upper_median"))
 
 
 @query("usual_kind", EV + """, c AS (SELECT cap, kind, count(*) AS n FROM ev GROUP BY ALL) SELECT cap, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY n DESC, kind) AS r FROM c) WHERE r = 1""")

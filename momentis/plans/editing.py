@@ -47,7 +47,7 @@ def gated_events(spark, sf_dir):
 
 
 DESIGNATED = f""", dg AS (SELECT cap, id, cap || '@' || CAST((t + (id % 3 - 1) * {H // 2}) // 60000000 AS VARCHAR) || ':' || lpad(CAST((t + (id % 3 - 1) * {H // 2}) // 1000000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST((t + (id % 3 - 1) * {H // 2}) // 1000 % 1000 AS VARCHAR), 3, '0') AS text
- FROM ev WHERE kind = 'kill' AND id % 5 < 3 AND t > {H}),
+ FROM ev WHERE kind = 'kill' AND t > {H}),
  pd AS (SELECT id AS mark, CAST(regexp_extract(text, '^(\\d+)@', 1) AS BIGINT) AS cap, CAST(regexp_extract(text, '@(\\d+):', 1) AS BIGINT) * 60000000 + CAST(regexp_extract(text, ':(\\d+)\\.', 1) AS BIGINT) * 1000000 + CAST(regexp_extract(text, '\\.(\\d+)$', 1) AS BIGINT) * 1000 AS p FROM dg),
  nr AS (SELECT mark, pd.cap, p, k.id, row_number() OVER (PARTITION BY mark ORDER BY abs(k.t - p), k.t, k.id) AS n FROM pd JOIN ev k ON k.cap = pd.cap AND k.kind = 'kill' AND k.t BETWEEN p - {H} AND p + {H})"""
 
@@ -59,19 +59,19 @@ def designations(spark, sf_dir):
     near = F.col("t") + (F.col("id") % 3 - 1) * (HOUR // 2)
     part = lambda x, unit, most: F.lpad((F.floor(x / unit) % most).cast("string"), 2 if most == 60 else 3, "0")
     text = F.concat(F.col("cap"), F.lit("@"), F.floor(near / 60_000_000).cast("string"), F.lit(":"), part(near, 1_000_000, 60), F.lit("."), part(near, 1000, 1000))
-    marks = kills.where(f"id % 5 < 3 and t > {HOUR}").select("id", text.alias("text"))
+    marks = kills.where(f"t > {HOUR}").select("id", text.alias("text"))
     found = lambda pattern: F.regexp_extract("text", pattern, 1).cast("long")
     parsed = marks.select("id", found(r"^(\d+)@").alias("cap"), (found(r"@(\d+):") * 60_000_000 + found(r":(\d+)\.") * 1_000_000 + found(r"\.(\d+)$") * 1000).alias("t"))
     return matching.nearest(parsed, kills, HOUR).select(F.col("lid").alias("mark"), "cap", F.col("lt").alias("p"), F.col("rid").alias("id"))
 
 
-@query("picked_groups", EV + GROUPS + f""" SELECT DISTINCT kg.cap, kg.grp FROM kg JOIN ev p ON p.cap = kg.cap AND p.kind = 'kill' AND p.id % 11 = 0 AND p.t + {H // 2} BETWEEN kg.t - {H} AND kg.t + {H}""")
+@query("picked_groups", EV + GROUPS + f""" SELECT DISTINCT kg.cap, kg.grp FROM kg JOIN ev p ON p.cap = kg.cap AND p.kind = 'headshot' AND p.t + {H // 2} BETWEEN kg.t - {H} AND kg.t + {H}""")
 def picked_groups(spark, sf_dir):
-    """Groups with a kill within an hour of any picked kill (here some kills, half an hour late)."""
+    """Groups with a kill within an hour of any pick (here headshots, half an hour late)."""
     order = Window.partitionBy("cap").orderBy("t", "id")
     kills = rounds(spark, sf_dir).where("kind = 'kill'").withColumn("turn", F.col("round") != F.lag("round").over(order))
     grouped = intervals.islands(kills, "cap", "t", 12 * HOUR, breaks=F.col("turn")).select("cap", "id", "t", "grp")
-    picks = load_events(spark, sf_dir).where("kind = 'kill' and id % 11 = 0").select("cap", "id", (F.col("t") + HOUR // 2).alias("t"))
+    picks = load_events(spark, sf_dir).where("kind = 'headshot'").select("cap", "id", (F.col("t") + HOUR // 2).alias("t"))
     return matching.having(grouped, picks, HOUR, HOUR).select("cap", "grp").distinct()
 
 
@@ -159,12 +159,12 @@ def mark_choice(spark, sf_dir):
     return kill_groups(spark, sf_dir).crossJoin(marks).withColumn("fit", fit).withColumn("n", F.row_number().over(best)).where("n = 1").select("cap", "grp", "mark", "fit")
 
 
-@query("right_full_joins", "SELECT coalesce(CAST(n_nationkey AS BIGINT), -1) AS nation, coalesce(CAST(s_suppkey AS BIGINT), -1) AS supplier, 'full' AS how FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n FULL JOIN (SELECT * FROM supplier WHERE s_nationkey % 3 = 0) s ON s_nationkey = n_nationkey UNION ALL SELECT coalesce(CAST(n_nationkey AS BIGINT), -1), CAST(s_suppkey AS BIGINT), 'right' FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n RIGHT JOIN supplier ON s_nationkey = n_nationkey")
+@query("right_full_joins", "SELECT coalesce(CAST(n_nationkey AS BIGINT), -1) AS nation, coalesce(CAST(s_suppkey AS BIGINT), -1) AS supplier, 'full' AS how FROM nation FULL JOIN supplier ON s_nationkey = n_nationkey + 7 UNION ALL SELECT coalesce(CAST(n_nationkey AS BIGINT), -1), CAST(s_suppkey AS BIGINT), 'right' FROM nation RIGHT JOIN supplier ON s_nationkey = n_nationkey + 7")
 def right_full_joins(spark, sf_dir):
-    n, s = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0"), table(spark, sf_dir, "supplier")
-    on = F.col("s_nationkey") == F.col("n_nationkey")
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    on = F.col("s_nationkey") == F.col("n_nationkey") + 7
     keys = [F.coalesce(F.col("n_nationkey").cast("long"), F.lit(-1)).alias("nation"), F.coalesce(F.col("s_suppkey").cast("long"), F.lit(-1)).alias("supplier")]
-    full = n.join(s.where("s_nationkey % 3 = 0"), on, "full").select(*keys, F.lit("full").alias("how"))
+    full = n.join(s, on, "full").select(*keys, F.lit("full").alias("how"))
     return full.unionByName(n.join(s, on, "right").select(*keys, F.lit("right").alias("how")))
 
 
@@ -338,10 +338,10 @@ def reselection(spark, sf_dir):
     return found.orderBy(F.desc("score"), "cap", "first_win").limit(50)
 
 
-@query("chosen_evening", EV + GAMES + " SELECT count(*) AS games, CAST(sum(kills) AS BIGINT) AS kills, CAST(sum(deaths) AS BIGINT) AS deaths, CAST(sum(duration) AS BIGINT) AS played, min(s) AS s FROM game WHERE cap % 10 = 3 AND game % 2 = 1")
+@query("chosen_evening", EV + GAMES + " SELECT count(*) AS games, CAST(sum(kills) AS BIGINT) AS kills, CAST(sum(deaths) AS BIGINT) AS deaths, CAST(sum(duration) AS BIGINT) AS played, min(s) AS s FROM game WHERE kills >= 3 AND deaths >= 1")
 def chosen_evening(spark, sf_dir):
     """An evening made of chosen games: neither split by date nor freed of copies."""
-    rows = games(spark, sf_dir).where("cap % 10 = 3 and game % 2 = 1")
+    rows = games(spark, sf_dir).where("kills >= 3 and deaths >= 1")
     return rows.agg(F.count("*").alias("games"), F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"), F.sum("duration").alias("played"), F.min("s").alias("s"))
 
 
@@ -451,13 +451,13 @@ def merged_kills(spark, sf_dir):
     return marked.groupBy("cap", "clip").agg(F.min("t").alias("s"), F.max("t").alias("e"), F.count("*").alias("n"))
 
 
-@query("virtual_beats", EV + SECTIONS + f""", nb AS (SELECT cap, win * {12 * H} AS at_us, beat, false AS virtual FROM bt UNION ALL SELECT cap, t, NULL, true FROM ev WHERE kind = 'kill' AND id % 4 = 0 AND t >= 0),
+@query("virtual_beats", EV + SECTIONS + f""", nb AS (SELECT cap, win * {12 * H} AS at_us, beat, false AS virtual FROM bt UNION ALL SELECT cap, t, NULL, true FROM ev WHERE kind = 'death' AND t >= 0),
  ix AS (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY at_us, virtual, beat) - 1 AS n FROM (SELECT DISTINCT * FROM nb) d)
  SELECT sc.cap, sc.section, a.n AS first_beat, b.n AS last_beat FROM sc JOIN ix a ON a.cap = sc.cap AND a.beat = sc.first_beat JOIN ix b ON b.cap = sc.cap AND b.beat = sc.last_beat""")
 def virtual_beats(spark, sf_dir):
     """Beats with further ones put between them, and the sections in the new numbering."""
     own = beats(spark, sf_dir).select("cap", (F.col("win") * grid.HOP).alias("at_us"), "beat", F.lit(False).alias("virtual"))
-    more = load_events(spark, sf_dir).where("kind = 'kill' and id % 4 = 0 and t >= 0").select("cap", F.col("t").alias("at_us"), F.lit(None).cast("int").alias("beat"), F.lit(True).alias("virtual")).distinct()
+    more = load_events(spark, sf_dir).where("kind = 'death' and t >= 0").select("cap", F.col("t").alias("at_us"), F.lit(None).cast("int").alias("beat"), F.lit(True).alias("virtual")).distinct()
     index = own.unionByName(more).withColumn("n", F.row_number().over(Window.partitionBy("cap").orderBy("at_us", "virtual", "beat")) - 1).where("not virtual").select("cap", "beat", "n")
     first, last = (index.select("cap", F.col("beat").alias(x), F.col("n").alias(f"new_{x}")) for x in ("first_beat", "last_beat"))
     return sections(spark, sf_dir).join(first, ["cap", "first_beat"]).join(last, ["cap", "last_beat"]).select("cap", "section", F.col("new_first_beat").alias("first_beat"), F.col("new_last_beat").alias("last_beat"))

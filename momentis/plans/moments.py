@@ -238,14 +238,21 @@ def grid_overlap_ratio(spark, sf_dir):
     return cells.groupBy("cap", "win").agg(F.round(F.sum(part) / F.lit(float(grid.SIZE)), 6).alias("ratio"))
 
 
-@query("truth_match")
+MATCH = EV + f""", c AS (SELECT k.cap, k.id AS lid, s.id AS rid, k.t AS lt, s.t AS rt, abs(k.t - s.t) AS d FROM ev k JOIN ev s ON s.cap = k.cap AND s.kind = 'shot' AND s.t BETWEEN k.t - {12 * H} AND k.t + {3 * H} WHERE k.kind = 'kill'),
+ l AS (SELECT cap, list({{'l': lid, 'r': rid, 'd': d}} ORDER BY d, lt, rt, lid, rid) AS x FROM c GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN list_bool_or(list_transform(a, lambda k: k.l = b[1].l OR k.r = b[1].r)) THEN a ELSE list_concat(a, b) END) AS y FROM l),
+ mt AS (SELECT cap, u.l AS lid, u.r AS rid, u.d AS d FROM (SELECT cap, unnest(y) AS u FROM f) z)"""
+
+
+@query("truth_match", MATCH + " SELECT * FROM mt")
 def truth_match(spark, sf_dir):
     """Greedy one-to-one matching of kills and shots; checked against a plain loop in the tests."""
     e = load_events(spark, sf_dir)
     return matching.greedy_pairs(e.where("kind = 'kill'"), e.where("kind = 'shot'"), 3 * HOUR, 12 * HOUR)
 
 
-@query("precision_recall")
+@query("precision_recall", MATCH + """, n AS (SELECT cap, count(*) FILTER (WHERE kind = 'kill') AS expected, count(*) FILTER (WHERE kind = 'shot') AS found FROM ev GROUP BY cap), h AS (SELECT cap, count(*) AS hits FROM mt GROUP BY cap)
+ SELECT n.cap, expected, found, coalesce(hits, 0) AS hits, coalesce(hits, 0) / nullif(found, 0) AS precision, coalesce(hits, 0) / nullif(expected, 0) AS recall FROM n LEFT JOIN h ON h.cap = n.cap""")
 def precision_recall(spark, sf_dir):
     """Hits, expected and found per capture, with the ratios; null where nothing was expected or found."""
     e = load_events(spark, sf_dir)

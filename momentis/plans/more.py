@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from momentis.functions.events import DAY, HOUR, TOTAL, load_events
 from momentis.operators import intervals
 from momentis.plans.moments import EV, SIGNAL, H, signals
+from momentis.operators.keyed import per_key
 from momentis.plans.registry import query
 from momentis.plans.sessions import GAMES, GROUPS, games, outcomes
 from momentis.session import table
@@ -64,11 +65,23 @@ def criteria_mean(spark, sf_dir):
 @query("concordance", EV + GAMES + """, p AS (SELECT a.cap, CASE WHEN (a.kills - b.kills) * (a.duration - b.duration) > 0 THEN 1 ELSE 0 END AS ok FROM game a JOIN game b ON a.cap = b.cap AND a.game < b.game AND a.kills <> b.kills)
  SELECT cap, round(avg(ok), 6) AS ratio FROM p GROUP BY cap""")
 def concordance(spark, sf_dir):
-    """Share of a capture's pairs of games in which more kills go with more time; a capture's games are few and stay in one row."""
-    own = games(spark, sf_dir).groupBy("cap").agg(F.collect_list(F.struct("kills", "duration")).alias("g"))
-    pairs = F.flatten(F.transform("g", lambda a, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda b: b["kills"] != a["kills"]), lambda b: F.when((a["kills"] - b["kills"]) * (a["duration"] - b["duration"]) > 0, 1.0).otherwise(0.0))))
-    rows = own.select("cap", pairs.alias("p")).where("size(p) > 0")
-    return rows.select("cap", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x) / F.size("p"), 6).alias("ratio"))
+    """Share of a capture's pairs of games in which more kills go with more time, counted by sorted insertion instead of pair by pair."""
+    from bisect import bisect_left, insort
+    from itertools import groupby
+
+    def run(g):
+        rows = list(zip(g.kills.tolist(), g.duration.tolist(), strict=True))
+        seen: list[int] = []
+        ok = pairs = 0
+        for _, same in groupby(rows, key=lambda r: r[0]):
+            lengths = [d for _, d in same]
+            ok += sum(bisect_left(seen, d) for d in lengths)
+            pairs += len(seen) * len(lengths)
+            for d in lengths:
+                insort(seen, d)
+        return [(round(ok / pairs, 6),)] if pairs else []
+
+    return per_key(games(spark, sf_dir).select("cap", "kills", "duration"), "cap", run, {"ratio": "double"}, ["kills", "duration"])
 
 
 @query("held_runs", EV + SIGNAL + """, h AS (SELECT cap, win, win - row_number() OVER (PARTITION BY cap ORDER BY win) AS run FROM sig WHERE kind = 'kill' AND raw > 40) SELECT cap, min(win) AS win, count(*) AS n FROM h GROUP BY cap, run HAVING count(*) >= 3""")
@@ -177,10 +190,11 @@ def three_orders(spark, sf_dir):
 
 @query("shot_levels", EV + """, p AS (SELECT cap, list_sort(list(v))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS p FROM ev WHERE kind = 'shot' GROUP BY cap) SELECT e.cap, e.id FROM ev e JOIN p USING (cap) WHERE kind = 'shot' AND v >= p - 30""")
 def shot_levels(spark, sf_dir):
-    """Shots near the capture's loud ones (the floor-rank 90th percentile)."""
-    shots = load_events(spark, sf_dir).where("kind = 'shot'")
-    p = shots.groupBy("cap").agg(F.sort_array(F.collect_list("v")).alias("x")).select("cap", F.element_at("x", F.floor(0.9 * (F.size("x") - 1)).cast("int") + 1).alias("p"))
-    return shots.join(p, "cap").where("v >= p - 30").select("cap", "id")
+    """Shots near the capture's loud ones (the floor-rank 90th percentile, by rank)."""
+    own = Window.partitionBy("cap")
+    shots = load_events(spark, sf_dir).where("kind = 'shot'").withColumns({"r": F.row_number().over(own.orderBy("v", "id")), "n": F.count("*").over(own)})
+    level = F.max(F.when(F.col("r") == F.floor(F.lit(0.9) * (F.col("n") - 1)) + 1, F.col("v"))).over(own)
+    return shots.withColumn("p", level).where("v >= p - 30").select("cap", "id")
 
 
 @query("target_duration", EV + GROUPS + " SELECT cap, round(CAST(least(greatest(sum(2.5 + 1.5 * (kills - 1) + CASE WHEN ace THEN 2 ELSE 0 END), 10), 60) AS DOUBLE), 6) AS seconds FROM oc GROUP BY cap")

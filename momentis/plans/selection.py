@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from momentis.functions.events import HOUR, load_events
 from momentis.operators import folds
 from momentis.operators.keyed import per_key
-from momentis.plans.moments import EV, ISLANDS, moments
+from momentis.plans.moments import EV, H, ISLANDS, moments
 from momentis.plans.registry import query
-from momentis.plans.sessions import GROUPS, games, outcomes
+from momentis.plans.sessions import GAMES, GROUPS, games, outcomes
 from momentis.session import table
 
 
@@ -51,7 +51,8 @@ def share_selection(spark, sf_dir):
 def max_normalise(spark, sf_dir):
     """Scores as a share of the best of all: the maximum is aggregated first and joined as one row."""
     groups = outcomes(spark, sf_dir).select("cap", "grp", "score")
-    top = groups.agg(F.max("score").alias("top"))
+    # A group's score is its best kill's, so the best of all needs no groups.
+    top = load_events(spark, sf_dir).where("kind = 'kill'").agg(F.max("v").alias("top"))
     return groups.crossJoin(F.broadcast(top)).select("cap", "grp", F.round(F.col("score") / F.nullif("top", F.lit(0.0)), 6).alias("share"))
 
 
@@ -61,7 +62,9 @@ def cumulative_offsets(spark, sf_dir):
     return outcomes(spark, sf_dir).select("cap", "grp", F.coalesce(F.sum(F.col("e") - F.col("s") + 1).over(before), F.lit(0)).alias("start_at"))
 
 
-@query("budget_moments")
+@query("budget_moments", EV + GROUPS + f""", l AS (SELECT cap, list_prepend({{'grp': -1::BIGINT, 'len': 0::BIGINT, 'given': 0::BIGINT, 'rest': {48 * H}::BIGINT}}, list({{'grp': grp, 'len': e - s + {H}, 'given': 0::BIGINT, 'rest': 0::BIGINT}} ORDER BY score DESC, grp)) AS x FROM oc GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: list_concat(a, [{{'grp': b[1].grp, 'len': b[1].len, 'given': CASE WHEN a[len(a)].rest < {H} THEN 0 ELSE least(b[1].len, a[len(a)].rest) END, 'rest': CASE WHEN a[len(a)].rest < {H} THEN 0 ELSE a[len(a)].rest - least(b[1].len, a[len(a)].rest) END}}])) AS y FROM l)
+ SELECT cap, u.grp AS grp, u.given AS given FROM (SELECT cap, unnest(y) AS u FROM f) z WHERE u.given > 0""")
 def budget_moments(spark, sf_dir):
     """Each capture's groups by rank within 48 hours, the last trimmed; checked against the reference loop in the tests."""
     rows = outcomes(spark, sf_dir).select("cap", "grp", (F.col("e") - F.col("s") + HOUR).alias("length"), "score")
@@ -73,7 +76,8 @@ def budget_moments(spark, sf_dir):
     return per_key(rows, "cap", run, {"grp": "long", "given": "long"}, ["grp"])
 
 
-@query("nms_spacing")
+@query("nms_spacing", EV + f""", l AS (SELECT cap, list({{'id': id, 't': t, 'v': v}} ORDER BY v DESC, t, id) AS x FROM ev WHERE kind = 'shot' GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN list_bool_and(list_transform(a, lambda k: abs(k.t - b[1].t) >= {24 * H})) THEN list_concat(a, b) ELSE a END) AS y FROM l) SELECT cap, u.id AS id, u.t AS t, u.v AS v FROM (SELECT cap, unnest(y) AS u FROM f) z""")
 def nms_spacing(spark, sf_dir):
     """Shots of a capture at least 24 hours apart, strongest first."""
     shots = load_events(spark, sf_dir).where("kind = 'shot'").select("cap", "id", "t", "v")
@@ -81,7 +85,9 @@ def nms_spacing(spark, sf_dir):
     return per_key(shots, "cap", run, {"id": "long", "t": "long", "v": "double"}, ["t", "id"])
 
 
-@query("distinct_games")
+@query("distinct_games", EV + GAMES + f""", l AS (SELECT s // {24 * H} AS evening, list({{'cap': cap, 'game': game, 's': s, 'd': duration, 'kills': kills}} ORDER BY kills DESC, cap, game) AS x FROM game GROUP BY 1),
+ f AS (SELECT evening, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN list_bool_or(list_transform(a, lambda k: k.cap % 3 = b[1].cap % 3 AND ((k.d > 0 AND k.d = b[1].d) OR (k.cap % 10 > 1 AND b[1].cap % 10 > 1 AND least(k.s + k.d, b[1].s + b[1].d) - greatest(k.s, b[1].s) > least(k.d, b[1].d) / 2)))) THEN a ELSE list_concat(a, b) END) AS y FROM l)
+ SELECT evening, u.cap AS cap, u.game AS game, u.s AS s, u.d AS duration, u.kills AS kills FROM (SELECT evening, unnest(y) AS u FROM f) z""")
 def distinct_games(spark, sf_dir):
     """Games of all captures of an evening that aren't the same game; richest kept. A capture's last digit names its game and tells whether its time is reliable."""
     rows = games(spark, sf_dir).withColumn("evening", F.floor(F.col("s") / (24 * HOUR))).select("evening", "cap", "game", "s", "duration", "kills")
@@ -117,7 +123,8 @@ def clutch_fsm(spark, sf_dir):
     return per_key(rows, "cap", run, {"alone": "long", "enemies": "long", "won": "long"}, ["t", "id"])
 
 
-@query("diverse_topk")
+@query("diverse_topk", """WITH l AS (SELECT label, list({'id': vec_id, 'v': list_transform(embedding, lambda x: CAST(x AS DOUBLE))} ORDER BY vec_id) AS x FROM embeddings GROUP BY label),
+ f AS (SELECT label, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN len(a) < 5 AND list_bool_and(list_transform(a, lambda k: list_distance(k.v, b[1].v) >= 0.25)) THEN list_concat(a, b) ELSE a END) AS y FROM l) SELECT label, u.id AS vec_id FROM (SELECT label, unnest(y) AS u FROM f) z""")
 def diverse_topk(spark, sf_dir):
     """Up to five vectors of each label that lie apart, by id."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")

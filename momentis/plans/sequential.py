@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis.functions.events import DAY, HOUR, load_events
-from momentis.operators import folds, kernels, sequences
+from momentis.operators import folds, kernels, matching, sequences
 from momentis.operators.keyed import per_key
-from momentis.plans.moments import positive, signals
+from momentis.plans.moments import EV, H, SPANS, positive, signals
 from momentis.plans.registry import query
 from momentis.session import table
 
@@ -22,18 +22,36 @@ def per_capture(rows: DataFrame, fn: Callable[[pd.DataFrame], list[tuple]], colu
     return per_key(rows, "cap", fn, columns, order)
 
 
-def shots_of(g: pd.DataFrame) -> list[tuple]:
-    kills = g[g.kind == "kill"]
-    found = sequences.attribute_shots(kills.t.tolist(), g[g.kind == "shot"].t.tolist(), 12.0 * HOUR, 6.0 * HOUR, 48.0 * HOUR)
-    return [(int(i), n) for i, n in zip(kills.id, found, strict=True)]
+SHOTS = EV + f""", k AS (SELECT cap, id, t, row_number() OVER (PARTITION BY cap ORDER BY t, id) AS n FROM ev WHERE kind = 'kill' AND cap IN (SELECT cap FROM ev WHERE kind = 'shot')),
+ c AS (SELECT k.cap, k.id, s.t AS st, row_number() OVER (PARTITION BY k.cap, k.id ORDER BY abs(s.t - k.t), s.t) AS r FROM k JOIN ev s ON s.cap = k.cap AND s.kind = 'shot' AND s.t BETWEEN k.t - {12 * H} AND k.t + {6 * H}),
+ f AS (SELECT k.*, c.st AS fatal FROM k LEFT JOIN c ON c.cap = k.cap AND c.id = k.id AND r = 1), l AS (SELECT *, lag(coalesce(fatal, t)) OVER (PARTITION BY cap ORDER BY n) AS last FROM f)
+ SELECT e.cap, e.id, CASE WHEN any_value(l.fatal) IS NOT NULL THEN count(s.id) END AS shots FROM ev e LEFT JOIN l ON l.cap = e.cap AND l.id = e.id LEFT JOIN ev s ON s.cap = l.cap AND s.kind = 'shot' AND s.t <= l.fatal AND s.t > greatest(coalesce(l.last, l.fatal - {48 * H}), l.fatal - {48 * H}) WHERE e.kind = 'kill' GROUP BY e.cap, e.id"""
 
 
-@query("shot_attribution")
+@query("shot_attribution", SHOTS)
 def shot_attribution(spark, sf_dir):
-    return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot')").select("cap", "id", "t", "kind"), shots_of, {"id": "long", "shots": "long"}, ["t", "id"])
-
-
-@query("event_fusion")
+    """Shots that each kill took: what a kill leaves behind for the next one is its own fatal shot, or its own time, so a lag carries it."""
+    e = load_events(spark, sf_dir)
+    kills, shots = e.where("kind = 'kill'").select("cap", "id", "t"), e.where("kind = 'shot'").select("cap", "id", "t")
+    near = Window.partitionBy("cap", "lid").orderBy(F.abs(F.col("rt") - F.col("lt")), "rt")
+    fatal = matching.near_events(kills, shots, 12 * HOUR, 6 * HOUR).withColumn("n", F.row_number().over(near)).where("n = 1").select("cap", F.col("lid").alias("id"), F.col("rt").alias("fatal"))
+    order = Window.partitionBy("cap").orderBy("t", "id")
+    rows = kills.join(fatal, ["cap", "id"], "left").withColumn("last", F.lag(F.coalesce("fatal", "t")).over(order))
+    bursts = rows.where("fatal is not null").select("cap", "id", F.col("fatal").alias("t"), F.greatest(F.coalesce("last", F.col("fatal") - 48 * HOUR), F.col("fatal") - 48 * HOUR).alias("low"))
+    counts = matching.near_events(bursts, shots, 48 * HOUR, 0).join(bursts.select("cap", F.col("id").alias("lid"), "low"), ["cap", "lid"]).where("rt > low").groupBy("cap", F.col("lid").alias("id")).agg(F.count("*").alias("shots"))
+    known = bursts.select("cap", "id").join(counts, ["cap", "id"], "left").select("cap", "id", F.coalesce("shots", F.lit(0)).alias("shots"))
+    return kills.select("cap", "id").join(known, ["cap", "id"], "left")
+
+
+FUSION = EV + f""", l AS (SELECT cap, coalesce(list({{'id': id, 't': t, 'kind': kind}} ORDER BY t, id) FILTER (WHERE id % 2 = 0), []) AS icons, coalesce(list({{'id': id, 't': t, 'kind': kind}} ORDER BY t, id) FILTER (WHERE id % 2 = 1), []) AS log FROM ev WHERE kind IN ('kill', 'assist') GROUP BY cap),
+ f AS (SELECT cap, log, list_reduce(list_prepend({{'used': []::BIGINT[], 'out': []::STRUCT(id BIGINT, t BIGINT, kind VARCHAR)[]}}, list_transform(icons, lambda i: {{'used': []::BIGINT[], 'out': [i]}})), lambda a, b:
+  CASE WHEN len(list_filter(log, lambda x: x.t BETWEEN b.out[1].t - {6 * H} AND b.out[1].t + {12 * H} AND x.kind = b.out[1].kind AND NOT list_contains(a.used, x.id))) > 0
+   THEN {{'used': list_append(a.used, list_filter(log, lambda x: x.t BETWEEN b.out[1].t - {6 * H} AND b.out[1].t + {12 * H} AND x.kind = b.out[1].kind AND NOT list_contains(a.used, x.id))[1].id), 'out': list_concat(a.out, b.out)}}
+   WHEN len(list_filter(log, lambda x: x.t BETWEEN b.out[1].t - {6 * H} AND b.out[1].t + {12 * H} AND NOT list_contains(a.used, x.id))) = 0 THEN {{'used': a.used, 'out': list_concat(a.out, b.out)}} ELSE a END) AS r FROM l),
+ u AS (SELECT cap, unnest(list_concat(r.out, list_filter(log, lambda x: NOT list_contains(r.used, x.id)))) AS u FROM f) SELECT cap, u.t AS t, u.kind AS kind FROM u"""
+
+
+@query("event_fusion", FUSION)
 def event_fusion(spark, sf_dir):
     """Icons (even ids) confirmed by log rows (odd ids)."""
 
@@ -47,7 +65,15 @@ def event_fusion(spark, sf_dir):
 MARKS = {"shot": "hit", "kill": "finish", "death": "wipe"}
 
 
-@query("open_queue")
+OPEN = EV + f""", l AS (SELECT cap, list({{'t': t, 'kind': CASE kind WHEN 'shot' THEN 'hit' WHEN 'kill' THEN 'finish' ELSE 'wipe' END}} ORDER BY t, CASE kind WHEN 'shot' THEN 0 ELSE 1 END, id) AS x FROM ev WHERE kind IN ('kill', 'shot', 'death') GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_prepend({{'w': []::BIGINT[], 'f': NULL::BIGINT, 'p': NULL::BIGINT, 'o': []::STRUCT(t BIGINT, kind VARCHAR)[]}}, list_transform(x, lambda y: {{'w': []::BIGINT[], 'f': NULL::BIGINT, 'p': NULL::BIGINT, 'o': [y]}})), lambda a, b:
+  CASE WHEN b.o[1].kind = 'hit' THEN {{'w': list_append(list_filter(a.w, lambda h: b.o[1].t - h <= {48 * H}), b.o[1].t), 'f': a.f, 'p': a.p, 'o': list_concat(a.o, b.o)}}
+   ELSE {{'w': CASE WHEN b.o[1].kind = 'wipe' THEN []::BIGINT[] ELSE list_filter(a.w, lambda h: b.o[1].t - h <= {48 * H})[2:] END, 'f': CASE WHEN b.o[1].kind = 'finish' THEN b.o[1].t ELSE a.f END, 'p': CASE WHEN b.o[1].kind = 'wipe' THEN b.o[1].t ELSE a.p END,
+    'o': CASE WHEN len(list_filter(a.w, lambda h: b.o[1].t - h <= {48 * H})) > 0 OR coalesce(b.o[1].t - CASE b.o[1].kind WHEN 'finish' THEN a.f ELSE a.p END <= {12 * H}, false) THEN a.o ELSE list_append(a.o, {{'t': b.o[1].t, 'kind': 'hit'}}) END}} END) AS r FROM l)
+ SELECT cap, u.t AS t, u.kind AS kind FROM (SELECT cap, unnest(r.o) AS u FROM f) z"""
+
+
+@query("open_queue", OPEN)
 def open_queue(spark, sf_dir):
     """Shots as hits, kills as the finishing blows of them, deaths as wipes."""
 
@@ -97,7 +123,9 @@ def joint_viterbi(spark, sf_dir):
     return per_capture(load_events(spark, sf_dir).where("kind = 'shot'").select("cap", "id", "t", "v"), run, {"id": "long", "left": "long", "right": "long"}, ["t", "id"])
 
 
-@query("scenes")
+@query("scenes", EV + SPANS + f""", l AS (SELECT cap, list({{'s': s, 'e': e}} ORDER BY s, id) AS x FROM pos GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN b[1].s >= a[len(a)].s AND b[1].s - a[len(a)].e <= {6 * H} AND greatest(b[1].e, a[len(a)].e) - a[len(a)].s <= {72 * H}
+  THEN list_append(a[1:len(a) - 1], {{'s': a[len(a)].s, 'e': greatest(a[len(a)].e, b[1].e)}}) ELSE list_concat(a, b) END) AS y FROM l) SELECT cap, u.s AS s, u.e AS e FROM (SELECT cap, unnest(y) AS u FROM f) z""")
 def scenes(spark, sf_dir):
     rows = positive(spark, sf_dir).select("cap", "id", "s", "e")
     return per_capture(rows, lambda g: sequences.scenes(list(zip(g.s.tolist(), g.e.tolist(), strict=True)), 6 * HOUR, 72 * HOUR), {"s": "long", "e": "long"}, ["s", "id"])

@@ -9,6 +9,7 @@ from momentis.functions.events import HOUR, KINDS, ORIGIN
 from momentis.plans.library import scratch
 from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
+from momentis.plans.sequential import MARKS, OPEN
 from momentis.session import table
 from momentis.streaming import sessions
 
@@ -69,11 +70,9 @@ def stream_settled_files(spark, sf_dir):
     return drained(spark, sessions.stateful(polls, "cap", lambda: sessions.Settling(15 * HOUR), push, {"t": "long", "size": "long"}, ["t", "id"]))
 
 
-@query("stream_open_hits")
+@query("stream_open_hits", OPEN)
 def stream_open_hits(spark, sf_dir):
     """Finishing blows paired with hits by a state for each capture; equal to `open_queue` over the whole table."""
-    from momentis.plans.sequential import MARKS
-
     marks = event_stream(spark, sf_dir).where("kind in ('kill', 'shot', 'death')").select("cap", "id", "t", "kind").withColumn("later", (F.col("kind") != "shot").cast("int"))
     push = lambda own, rows: [x for t, kind in zip(rows.t.tolist(), rows.kind, strict=True) for x in own.push(t, MARKS[kind])]
     return drained(spark, sessions.stateful(marks, "cap", lambda: sessions.OpenHits(48 * HOUR, 12 * HOUR), push, {"t": "long", "kind": "string"}, ["t", "later", "id"]))

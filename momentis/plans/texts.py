@@ -32,7 +32,7 @@ def timecodes(spark, sf_dir):
     return fn.load_events(spark, sf_dir).select("id", fn.timecode(F.col("t")).alias("code"))
 
 
-@query("durations")
+@query("durations", EV + " SELECT id, (t // 1000000) // 3600 || 'h' || ((t // 1000000) // 60) % 60 || 'm' || (t // 1000000) % 60 || 's' AS text, (t // 1000000) * 1000000 AS us FROM ev")
 def durations(spark, sf_dir):
     """Durations formatted from events and parsed again; the tests hold the parser against fixed texts."""
     e = fn.load_events(spark, sf_dir)
