@@ -557,14 +557,14 @@ def first_success(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 200).alias("job")).agg(F.min(F.when(F.col("p_size") % 3 != 0, F.col("p_size") % 5)).alias("encoder"))
 
 
-@query("report_comparison", EV + SIGNAL + """, o AS (SELECT cap, kind, round(avg(raw), 6) AS x FROM sig GROUP BY ALL), n AS (SELECT cap, kind, round(quantile_cont(raw, 0.5), 6) AS x FROM sig WHERE win > 5 GROUP BY ALL)
- SELECT coalesce(o.cap, n.cap) AS cap, coalesce(o.kind, n.kind) AS kind, o.x AS before, n.x AS after, round(n.x - o.x, 6) AS change FROM o FULL JOIN n ON o.cap = n.cap AND o.kind = n.kind""")
+@query("report_comparison", EV + SIGNAL + """, o AS (SELECT cap, kind, round(avg(raw), 9) AS x FROM sig GROUP BY ALL), n AS (SELECT cap, kind, round(quantile_cont(raw, 0.5), 9) AS x FROM sig WHERE win > 5 GROUP BY ALL)
+ SELECT coalesce(o.cap, n.cap) AS cap, coalesce(o.kind, n.kind) AS kind, o.x AS before, n.x AS after, round(n.x - o.x, 5) AS change FROM o FULL JOIN n ON o.cap = n.cap AND o.kind = n.kind""")
 def report_comparison(spark, sf_dir):
     """Two score reports side by side, with the change; null where one of them lacks a row."""
     rows = signals(spark, sf_dir)
-    old = rows.groupBy("cap", "kind").agg(F.round(F.avg("raw"), 6).alias("before"))
-    new = rows.where("win > 5").groupBy("cap", "kind").agg(F.round(F.percentile("raw", 0.5), 6).alias("after"))
-    return old.join(new, ["cap", "kind"], "full").withColumn("change", F.round(F.col("after") - F.col("before"), 6))
+    old = rows.groupBy("cap", "kind").agg(F.round(F.avg("raw"), 9).alias("before"))
+    new = rows.where("win > 5").groupBy("cap", "kind").agg(F.round(F.percentile("raw", 0.5), 9).alias("after"))
+    return old.join(new, ["cap", "kind"], "full").withColumn("change", F.round(F.col("after") - F.col("before"), 5))
 
 
 @query("death_kinds", EV + " SELECT cap, count(*) FILTER (WHERE kind IN ('death')) AS deaths, count(*) FILTER (WHERE kind IN ('death', 'assist')) AS with_downed FROM ev GROUP BY cap")

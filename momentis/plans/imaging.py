@@ -239,7 +239,7 @@ def progress_rate(spark, sf_dir):
 
 @query("gaussian_clip", EV + SIGNAL + """, z AS (SELECT cap, kind, win, least(greatest((raw - avg(raw) OVER w) / nullif(stddev_pop(raw) OVER w, 0), -2), 2) AS z FROM sig WINDOW w AS (PARTITION BY cap, kind)),
  s AS (SELECT cap, kind, win, """ + ", ".join(f"lag(z, {k}) OVER w AS b{k}, lead(z, {k}) OVER w AS a{k}" for k in (1, 2, 3)) + """, z FROM z WINDOW w AS (PARTITION BY cap, kind ORDER BY win))
- SELECT cap, kind, win, round((z + """ + " + ".join(f"exp(-{k * k} / 4.5) * (coalesce(b{k}, 0) + coalesce(a{k}, 0))" for k in (1, 2, 3)) + ") / (1 + " + " + ".join(f"exp(-{k * k} / 4.5) * (CASE WHEN b{k} IS NULL THEN 0 ELSE 1 END + CASE WHEN a{k} IS NULL THEN 0 ELSE 1 END)" for k in (1, 2, 3)) + "), 4) AS smooth FROM s")
+ SELECT cap, kind, win, round((z + """ + " + ".join(f"exp(-{k * k} / 4.5) * (coalesce(b{k}, 0) + coalesce(a{k}, 0))" for k in (1, 2, 3)) + ") / (1 + " + " + ".join(f"exp(-{k * k} / 4.5) * (CASE WHEN b{k} IS NULL THEN 0 ELSE 1 END + CASE WHEN a{k} IS NULL THEN 0 ELSE 1 END)" for k in (1, 2, 3)) + "), 4) + 0.0 AS smooth FROM s")
 def gaussian_clip(spark, sf_dir):
     """Standard scores clipped at two, smoothed by a Gaussian of seven taps that keeps its weight at the edges."""
     own, order = Window.partitionBy("cap", "kind"), Window.partitionBy("cap", "kind").orderBy("win")
@@ -251,7 +251,7 @@ def gaussian_clip(spark, sf_dir):
         sides = F.lag("z", k).over(order), F.lead("z", k).over(order)
         for x in sides:
             total, weight = total + tap * F.coalesce(x, F.lit(0.0)), weight + tap * F.when(x.isNull(), 0).otherwise(1)
-    return rows.select("cap", "kind", "win", F.round(total / weight, 4).alias("smooth"))
+    return rows.select("cap", "kind", "win", (F.round(total / weight, 4) + 0.0).alias("smooth"))
 
 
 @query("floored_maximum", EV + f""", w AS (SELECT cap, unnest(generate_series(0, 59)) AS win FROM (SELECT DISTINCT cap FROM ev) c), l AS (SELECT cap, t, CASE WHEN v IS NULL OR isnan(v) THEN -70 ELSE greatest(ln(v + 0.001) * 10, -70) END AS lufs FROM ev WHERE kind = 'assist' AND t BETWEEN 0 AND {720 * H})

@@ -23,7 +23,7 @@ def scratch(spark) -> str:
     return f"{named.rstrip('/')}/momentis-plans-{uuid.uuid4().hex}"
 
 
-@query("loudness_log", EV + " SELECT cap AS file, round(CAST(t // 1000 AS DOUBLE) / 1000, 3) AS t, round(-v, 1) AS lufs FROM ev WHERE kind = 'shot' AND t >= 0")
+@query("loudness_log", EV + " SELECT cap AS file, round(CAST(t // 1000 AS DOUBLE) / 1000, 3) AS t, round(-v, 1) + 0.0 AS lufs FROM ev WHERE kind = 'shot' AND t >= 0")
 def loudness_log(spark, sf_dir):
     """Levels read from log lines: a frame's time on one, its level on the next."""
     e = load_events(spark, sf_dir).where("kind = 'shot' and t >= 0").withColumn("lufs", F.round(-F.col("v"), 1))
@@ -31,7 +31,7 @@ def loudness_log(spark, sf_dir):
     level = F.concat(F.lit("lavfi.r128.M="), F.col("lufs").cast("decimal(20,1)").cast("string"))
     lines = e.select("cap", F.inline(F.array(F.struct((2 * F.col("id")).alias("n"), at.alias("value")), F.struct((2 * F.col("id") + 1).alias("n"), level.alias("value")))))
     ordered = lines.withColumn("n", F.col("n"))
-    return logs.loudness(ordered, "cap").select("file", F.round("t", 3).alias("t"), F.round("lufs", 1).alias("lufs"))
+    return logs.loudness(ordered, "cap").select("file", F.round("t", 3).alias("t"), (F.round("lufs", 1) + 0.0).alias("lufs"))
 
 
 @query("speech_ranges", EV + f""", s AS (SELECT cap, t // {24 * H} AS day, min(t) AS a, min(t) + {6 * H} AS b FROM ev WHERE kind = 'assist' AND t BETWEEN 0 AND {700 * H} GROUP BY ALL), k AS (SELECT *, lag(b) OVER (PARTITION BY cap ORDER BY a) AS pb FROM s),
