@@ -45,14 +45,47 @@ def materialize(df: DataFrame, frees: Iterable[DataFrame] = ()) -> DataFrame:
     if top not in _folders:
         _folders.add(top)
         atexit.register(_delete, spark, top)
-    for old in frees:
-        if at := getattr(old, "_momentis_path", None):
-            _delete(spark, at)
+    release(*frees)
     out = spark.read.schema(df.schema).parquet(path)
     out._momentis_path = path
+    _written.append(path)
     return out
 
 
+#: Tables that this process has written, in order.
+_written: list[str] = []
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for old in tables:
+        if at := getattr(old, "_momentis_path", None):
+            _delete(old.sparkSession, at)
+
+
+class Scope:
+    """The tables that one step over `source` writes, to be deleted once its result has been written elsewhere."""
+
+    def __init__(self, source: DataFrame):
+        self.source = set(source.inputFiles())
+
+    def __enter__(self):
+        self.start = len(_written)
+        self.paths: list[str] = []
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths = _written[self.start :]
+
+    def close(self, reader: DataFrame) -> None:
+        """Delete the tables, unless the next step's rows still come from them, or from where this step's came (its result may then be unread)."""
+        files = set(reader.inputFiles())
+        names = [p.rsplit("/", 1)[1] for p in self.paths]
+        if files and not files & self.source and not any(n in f for f in files for n in names):
+            for path in self.paths:
+                _delete(reader.sparkSession, path)
+
+
 _folders: set[str] = set()
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentis.llm.common import materialize, mixed, numbered, powers, prefix_sums, small_batches
+from momentis.llm.common import materialize, mixed, numbered, powers, prefix_sums, release, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -379,9 +379,11 @@ def classes(texts: DataFrame) -> DataFrame:
     copies = materialize(sampled.select("uid", "words").join(alike, "words").where("uid <> root").select("uid", "root"))
     apart = sampled.where("bands is not null").join(copies.select("uid"), "uid", "left_anti")
     rest = _crowded(materialize(apart.select("uid", F.explode("bands").alias("key"))))
+    release(sampled, alike)
 
     found: list[DataFrame] = []
     rounds: list[DataFrame] = []
+    tables: list[DataFrame] = []
     bags = None
     while not rest.isEmpty():
         if bags is None:
@@ -400,6 +402,7 @@ def classes(texts: DataFrame) -> DataFrame:
         compared = materialize(both.mapInArrow(_compared(idf), "u long, v long, s double"))
         links = compared.where(F.col("s") >= SIMILARITY).select("u", "v")
         found.append(links)
+        tables.append(compared)
         rounds.append(compared.where(F.col("s") >= 2 * SIMILARITY - 1 - SLACK))
         failed = met.join(links.select(F.col("u").alias("lead"), F.col("v").alias("uid")), ["lead", "uid"], "left_anti")
         rest = _crowded(materialize(failed.select("uid", "key")))
@@ -412,6 +415,7 @@ def classes(texts: DataFrame) -> DataFrame:
         edges = edges.union(more)
     linked = _past_first(components(edges), rounds, bags, idf)
     roots = materialize(linked.union(linked.select("root", F.col("root").alias("top")).distinct()).toDF("member", "top"))
+    release(bags, *found, *tables)
     moved = copies.join(roots, F.col("root") == F.col("member"), "left").select("uid", F.coalesce("top", "root").alias("root"))
     own = alone.join(roots, F.col("root") == F.col("member"), "left_anti")
     return moved.union(own).union(roots)
@@ -446,9 +450,9 @@ def _past_first(linked: DataFrame, rounds: list[DataFrame], bags: DataFrame, idf
 
 
 def _crowded(buckets: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several texts, with the bucket's first text and size; buckets is a table read from files."""
+    """Rows of the buckets that hold several texts, with the bucket's first text and size; buckets is a written table, which goes."""
     many = materialize(buckets.groupBy("key").agg(F.min("uid").alias("lead"), F.count("*").alias("members")).where("members > 1"))
-    return materialize(buckets.join(many, "key"))
+    return materialize(buckets.join(many, "key"), [buckets, many])
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,3 +64,19 @@ def test_stages_keep_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() == 1 and stage(spark, docs.where("false"), "").count() == 0, name
+
+
+def test_stages_leave_unread_results_alone(spark, tmp_path):
+    """A stage deletes what the one before wrote for itself only when it reads that one's written result."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(i, text(i % 6), "en", "s", 1) for i in range(12)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    docs = spark.read.parquet(path)
+    good, one = corpus_pipeline.quality(spark, docs, ""), corpus_pipeline.near_duplicates(spark, docs, "")
+    assert good.count() == 12 and one.count() == 6
+    good.write.parquet(str(tmp_path / "good"))
+    kept = spark.read.parquet(str(tmp_path / "good"))
+    single = corpus_pipeline.near_duplicates(spark, kept, "")
+    cut = corpus_pipeline.repeats(spark, single, "")
+    assert single.count() == 6 and cut.count() == 6
