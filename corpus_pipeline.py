@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentis.llm import near_dedup, packing, pii_surrogates, quality_rules, suffix_dedup
-from momentis.llm.common import materialize
+from momentis.llm.common import Scope, materialize
+
+_scopes: list[Scope] = []
+
+
+def _after(docs: DataFrame) -> None:
+    """Delete what the stage before has written for itself: its result has been written by now, as docs is read from there."""
+    while _scopes:
+        _scopes.pop().close(docs)
 
 
 def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -22,22 +30,36 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs)
+    _scopes.clear()
+    with Scope(docs) as own:
+        kept = quality_rules.keep_good(docs)
+    _scopes.append(own)
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_first(docs)
+    _after(docs)
+    with Scope(docs) as own:
+        kept = near_dedup.keep_first(docs)
+    _scopes.append(own)
+    return kept
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(suffix_dedup.remove_repeats(docs), docs)
+    _after(docs)
+    with Scope(docs) as own:
+        cut = suffix_dedup.remove_repeats(docs)
+    _scopes.append(own)
+    return _measured(cut, docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _after(docs)
     return _measured(pii_surrogates.replace_private(docs), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _after(docs)
     return packing.packed(docs)
 
 
