@@ -47,7 +47,7 @@ def tempo(onset: np.ndarray, rate: float, usual: float = 120.0, spread: float =
     found = auto[lags] * np.exp(-0.5 * (np.log2(60 * rate / lags / usual) / spread) ** 2)
     k = lags[int(np.argmax(found))]
     a, b, c = auto[k - 1 : k + 2]
-    shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c else 0.0
+    shift = min(0.5, max(-0.5, 0.5 * (a - c) / (a - 2 * b + c))) if a - 2 * b + c else 0.0
     return 60 * rate / (k + shift)
 
 

@@ -31,6 +31,141 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, SF).count() >= 0
+HOUR = 3_600_000_000
+
+
+@pytest.fixture(scope="module")
+def captures(duck):
+    """Each capture's events as plain rows in order: id, t, kind, v."""
+    sql = """SELECT user_id, event_id, epoch_us(ts) - 1704067200000000 AS t, CASE event_type WHEN 'purchase' THEN 'kill' WHEN 'error' THEN 'death' WHEN 'signup' THEN 'headshot' WHEN 'click' THEN 'shot' WHEN 'view' THEN 'assist' END, value
+             FROM events ORDER BY user_id, t, event_id"""
+    out: dict = {}
+    for cap, *row in duck.sql(sql).fetchall():
+        out.setdefault(cap, []).append(tuple(row))
+    return out
+
+
+def of(rows_, *kinds):
+    return [r for r in rows_ if r[2] in kinds]
+
+
+def best_counter(reads, most=10, step=5):
+    """The best path of a counter by trying every step from every state, last things first."""
+    score, back = {s: (1 if reads[0] == s else -1) if reads[0] >= 0 else 0 for s in range(most + 1)}, []
+    for x in reads[1:]:
+        fresh, came = {}, {}
+        top = min(s for s in score if score[s] == max(score.values()))
+        for s in score:
+            options = [(score[s], s), *((score[s - k] - 3 - 0.5 * (k - 1), s - k) for k in range(1, step + 1) if s - k >= 0)]
+            if s == 0:
+                options.append((score[top] - 25, top))
+            best = max(o for o, _ in options)
+            fresh[s], came[s] = next((o, c) for o, c in options if o == best)
+        back.append(came)
+        score = {s: v + (0 if x < 0 else 1 if s == x else -1) for s, v in fresh.items()}
+    state = min(s for s in score if score[s] == max(score.values()))
+    path = [state]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+def plain_counter(rows_):
+    path = best_counter([-1 if i % 7 == 0 else int(v // 10) % 10 for i, _, _, v in rows_])
+    return [(r[0], s, max(0, s - p)) for r, s, p in zip(rows_, path, [path[0], *path], strict=False)]
+
+
+def plain_pairs(rows_):
+    knocks, out = [t for _, t, k, _ in rows_ if k == "shot"], []
+    for _, t, _, v in of(rows_, "kill"):
+        n = 2 if v > 75 else 1
+        near = sorted(x for x in knocks if t - 30 * HOUR <= x <= t + HOUR)[:n]
+        for x in near:
+            knocks.remove(x)
+        out += [(x, "paired") for x in near] + [(t, "wipe" if n > 1 else "lone")] * (n - len(near))
+    return out + [(x, "free") for x in knocks]
+
+
+def plain_credits(rows_):
+    marks, latest, given, out = [t for _, t, k, _ in rows_ if k == "shot"], {}, None, []
+    for _, t, k, _ in of(rows_, "assist", "shot", "kill"):
+        if k != "assist":
+            out.append((t, k))
+            if k != "shot":
+                latest[k] = t
+            continue
+        count = sum(1 for m in marks if max(latest.get(k, float("-inf")), t - 48 * HOUR) < m <= t)
+        latest[k] = t
+        if count or given is None or t - given > 24 * HOUR:
+            given = t
+            out += [(max((m for m in marks if t - 24 * HOUR <= m <= t), default=t), k)] * max(1, count)
+    return out
+
+
+def plain_common(rows_):
+    a, b = [r[2] for r in rows_][:40], [r[2] for r in rows_][-40:]
+    table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table_[i + 1][j + 1] = table_[i][j] + 1 if x == y else max(table_[i][j + 1], table_[i + 1][j])
+    return [(table_[-1][-1],)]
+
+
+def plain_extension(rows_):
+    spans = sorted((max(t - 4 * HOUR, 0), min(t + 8 * HOUR, 720 * HOUR), i) for i, t, k, _ in rows_ if k in ("kill", "shot"))
+    spans = [(s, e) for s, e, _ in sorted(spans, key=lambda x: (x[0], x[2]))]
+    out = []
+    for day in range(0, 30, 5) if spans else ():
+        s, e = day * 24 * HOUR, (day + 1) * 24 * HOUR
+        low, high = s - 12 * HOUR, e + 12 * HOUR
+        while True:
+            before = s, e
+            for a, b in spans:
+                if a < s < b and a >= low:
+                    s = a
+                if (a < e < b or 0 <= a - e <= HOUR) and e < b <= high:
+                    e = b
+            if (s, e) == before:
+                break
+        out.append((day, float(s), float(e)))
+    return out
+
+
+PLAIN = {"counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
+
+
+@pytest.mark.parametrize("name", sorted(PLAIN))
+def test_query_equals_plain_loop(spark, captures, name):
+    got = sorted(repr(tuple(r)) for r in registry.queries()[name](spark, SF).collect())
+    assert got == sorted(repr((cap, *row)) for cap, rows_ in captures.items() for row in PLAIN[name](rows_))
+
+
+def test_shapes_of_other_queries(spark, captures):
+    """Queries that neither SQL nor a short loop says: each keeps its keys, and its values lie where they can."""
+    run = lambda name: registry.queries()[name](spark, SF).collect()
+    shots = {i for rows_ in captures.values() for i, _, k, _ in rows_ if k == "shot"}
+    scores = run("joint_viterbi")
+    assert {r.id for r in scores} == shots and all(0 <= r.left <= 8 and 0 <= r.right <= 8 for r in scores)
+    assert all(r.enemies >= 2 and r.won > r.alone for r in run("clutch_fsm"))
+    assert {r.kind for r in run("log_tracks")} == {"shot", "assist"}
+    vectors = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    shapes = run("shape_clusters")
+    assert {r.vec_id for r in shapes} == vectors and min(r.shape for r in shapes) == 0
+    for name in ("spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"):
+        assert {r.vec_id for r in run(name)} == vectors, name
+    assert all(30 <= r.value <= 300 for r in run("beat_tempo")) and all(0 <= r.value <= 1 for r in run("percussive_parts")) and all(-1 <= r.value <= 1 for r in run("template_matches"))
+    assert all(sorted(str(r.value).zfill(4)) == list("0123") for r in run("cluster_labels")) and {r["class"] for r in run("model_labels")} <= set(range(10))
+    assert all(0 <= r.distance <= 1 for r in run("variant_distance")) and {r.cap for r in run("variant_distance")} == set(captures)
+    wins = {(r.cap, r.win) for r in run("beat_tracking")}
+    assert wins and all(0 <= w < 60 for _, w in wins)
+    for name, kinds in {"detect_killfeed": {"kill", "death"}, "detect_killfeed_teams": {"ally", "enemy"}, "detect_ammo_counter": {"shot", "reload"}, "detect_hud_counter": {"paired", "lone", "wipe"}, "detect_round_score": {"won", "lost"}, "detect_ocr_log": {"hit", "aid"}}.items():
+        found = run(name)
+        assert found and {r.kind for r in found} <= kinds and {r.cap for r in found} <= set(captures), name
+    flat = run("plateau_segments")
+    assert flat and all((a.cap, a.value) != (b.cap, b.value) for a, b in zip(flat, flat[1:], strict=False))
+    assert all(r.kind.startswith("shape ") for r in run("detect_hud_change")) and {r.role for r in run("row_tracks")} <= {"kill", "death"}
+    assert all(0 <= r.held_out <= 1 for r in run("choice_learner")) and all(abs(r.first + r.second - 1) < 1e-5 for r in run("preference_learner"))
+    assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"} and all(r.rule is None or r.rule >= 0 for r in run("fuzzy_needles"))
+    known = set(PLAIN) | {"joint_viterbi", "clutch_fsm", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
+    known |= {"variant_distance", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == known
