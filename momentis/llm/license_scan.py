@@ -6,7 +6,7 @@ works are put under one (`FRAMES`, in five languages), and on two further classe
 `none`, prose that only uses such words. `EXAMPLES` of each class are a fixed and documented bound; a second such sample, which the
 regression never saw, calibrates it: a temperature for the probabilities, and per family the least probability at which 99.5 % of predictions are right; what
 lies below is unknown. A predicted family counts only if one of its templates or names shares `SHARED` of its n-grams with the paragraph, else the
-paragraph is unknown too. What is predicted as `none` isn't reported.
+paragraph is unknown too. What is predicted as `none` isn't reported, nor as unknown where the line shows none of the forms of a statement (`_FORMAL`).
 
 A paragraph is a line, or a run of neighbouring lines that hold a cue or template three-grams (texts wrapped by hand); lines of over `LONG` words are taken
 sentence by sentence. The classifier reads every line that holds a cue, a word of any licence statement (`CUES`) or a template three-gram; other lines hold nothing that it
@@ -78,16 +78,16 @@ TEMPLATES: dict[str, list[str]] = {
 #: What the families are called.
 NAMES: dict[str, list[str]] = {
     "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache License Version 2.0", "Apache License v2"],
-    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License", "BSD"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License", "BSD licensed", "licence BSD"],
     "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0": ["CC0 1.0 Universal", "CC0-1.0", "CC0", "Creative Commons Zero"],
     "gpl-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0", "GPLv2", "GNU GPL version 2.0", "GNU General Public License v2.0"],
     "gpl-3.0": ["GNU General Public License, version 3", "GNU GPL v3.0 or later", "GPL-3.0", "GPLv3", "GNU GPL v3", "GNU General Public License v3.0", "GNU GENERAL PUBLIC LICENSE Version 3"],
-    "isc": ["ISC License", "ISC"],
+    "isc": ["ISC License", "ISC licence", "ISC licensed"],
     "lgpl": ["GNU Lesser General Public License", "GNU LGPL v2.1", "LGPL-2.1", "LGPL-3.0", "LGPLv3", "GNU Lesser General Public License, version 3"],
-    "mit": ["MIT License", "MIT licence", "MIT", "The MIT License (MIT)", "Expat License"],
+    "mit": ["MIT License", "MIT licence", "MIT Lizenz", "MIT licensed", "licence MIT", "licencia MIT", "The MIT License (MIT)", "Expat License"],
     "mpl-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
     "unlicense": ["The Unlicense", "Unlicense"],
 }
@@ -129,6 +129,8 @@ _PROSE = [
     "the copyright office moved to another street last year",
     "the doctor was licensed to practise in two states",
     "der Fahrer muss seine Lizenz vorzeigen bevor er den Wagen bekommt",
+    "wir fahren mit dem Zug in die Stadt und kommen mit dem Bus zurück",
+    "mit der neuen Lizenz darf der Verein auch im Winter spielen",
     "la licence de pêche coûte vingt euros par an",
     "la licencia de obras fue concedida por la ciudad",
     "the committee read the first version of the paper and asked for a second one",
@@ -136,8 +138,16 @@ _PROSE = [
 ]
 #: Words, in the forms they are written in, at least one of which stands in any statement of a licence.
 CUES = frozenset(
-    "license licenses licensed licence licences licenced licensing lizenz lizenziert lizenzen licencia licenza licencias copyright copyrights copyrighted copyleft spdx gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 mit bsd apache mpl epl isc "
-    "cc cc0 creative commons unlicense unencumbered redistribution redistributions redistribute proprietary wtfpl zlib gnu mozilla eula expat rights reserved confidential unauthorized reproduced".split()
+    "license licenses licensed licence licences licenced licensing lizenz lizenziert lizenzen licencia licenza licencias copyright copyrights copyrighted copyleft spdx gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 mpl cc0 commons "
+    "unlicense unencumbered redistribution redistributions redistribute proprietary wtfpl zlib gnu eula reserved confidential unauthorized".split()
+)
+#: Abbreviations that are words elsewhere, and so are cues only in capitals.
+_CAPITAL_CUE = re.compile(r"\bCC[ -](?:BY|0)\b|\b(?:BSD|ISC|EPL)-\d|\bApache[ -]2")
+
+#: What a statement of a licence that no family claims must show at least: a licence by name, a work put under one, or rights kept.
+_FORMAL = re.compile(
+    r"\b(?:[A-Z][\w.+-]*|[a-z]*[0-9][\w.-]*|zlib) (?:Software |Public |Open |General )*Licen[cs]e\b|(?i:\b(?:licen[cs]ed|lizenziert|released|distributed|published|available|made available) (?:under|unter)\b|\bunter der lizenz\b|\bsous (?:la )?licence\b"
+    r"|\bbajo (?:la )?licencia\b|\blicen[cs]e (?:agreement|version)\b|\blicen[cs]e: |\brights reserved\b|\bproprietary\b|\bunauthorized copying\b|\bspdx\b|\bwtfpl\b|\ba?l?gpl)"
 )
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -256,35 +266,36 @@ class Classifier:
         shared = max(len(shape & have) / len(shape) for shape in self.shapes[family])
         return (family, float(p[k])) if shared >= SHARED else (UNKNOWN, float(p[k]))
 
-    def best(self, line: list[list[str]]) -> tuple[str, float]:
-        """The verdict on a line, given as its sentences: the first family among them, else unknown, else none."""
+    def best(self, line: list[list[str]], formal: bool) -> tuple[str, float]:
+        """The verdict on a line, given as its sentences: the first family among them, else unknown in a line that looks like a statement, else none."""
         found = [self.judge(own) for own in line if own]
-        return min(found, key=lambda x: (x[0] == NONE, x[0] == UNKNOWN), default=(NONE, 0.0))
+        family, p = min(found, key=lambda x: (x[0] == NONE, x[0] == UNKNOWN), default=(NONE, 0.0))
+        return (NONE if family == UNKNOWN and not formal else family), p
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """Family, first and last line and probability of each paragraph that states a licence."""
         found = []
-        run: list[tuple[int, list[list[str]]]] = []
+        run: list[tuple[int, list[list[str]], bool]] = []
 
         def close() -> None:
-            alone = [self.best(line) for _, line in run]
+            alone = [self.best(line, formal) for _, line, formal in run]
             if len(run) > 1:
-                family, p = self.judge([w for _, line in run for own in line for w in own])
+                family, p = self.judge([w for _, line, _ in run for own in line for w in own])
                 if family not in (NONE, UNKNOWN) and {f for f, _ in alone} <= {family, UNKNOWN, NONE}:
                     found.append((family, run[0][0], run[-1][0], p))
                     run.clear()
                     return
-            found.extend((f, k, k, q) for (k, _), (f, q) in zip(run, alone, strict=True) if f != NONE)
+            found.extend((f, k, k, q) for (k, _, _), (f, q) in zip(run, alone, strict=True) if f != NONE)
             run.clear()
 
         for k, line in enumerate(text.split("\n")):
             own = words(line)
-            if CUES.isdisjoint(own) and self.thirds.isdisjoint(zip(own, own[1:], own[2:], strict=False)):
+            if CUES.isdisjoint(own) and self.thirds.isdisjoint(zip(own, own[1:], own[2:], strict=False)) and not _CAPITAL_CUE.search(line):
                 if run:
                     close()
                 continue
-            parts = [own] if len(own) <= LONG else [w for w in map(words, _SENTENCE.split(line)) if not CUES.isdisjoint(w) or not self.thirds.isdisjoint(zip(w, w[1:], w[2:], strict=False))]
-            run.append((k, parts))
+            parts = [own] if len(own) <= LONG else [w for w in map(words, _SENTENCE.split(line)) if not CUES.isdisjoint(w) or not self.thirds.isdisjoint(zip(w, w[1:], w[2:], strict=False)) or _CAPITAL_CUE.search(line)]
+            run.append((k, parts, bool(_FORMAL.search(line))))
         if run:
             close()
         return found

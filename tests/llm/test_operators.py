@@ -386,7 +386,7 @@ GRANTS = [
     ("This program and the accompanying materials are made available under the Eclipse Public License 2.0", "unknown"), ("Distributed under the Boost Software License, Version 1.0.", "unknown"), ("zlib License", "unknown"), ("Licensed under the AGPLv3", "unknown"), ("Licensed under the Artistic License 2.0", "unknown"),
     ("Licensed under CC BY-ND 4.0.", "unknown"), ("This software is proprietary and confidential. All rights reserved.", "unknown"),
 ]
-PROSE = ["She got her driving license on Monday.", "The committee at MIT met again in the spring.", "Copyright law was the subject of the lecture.", "The farmer has a licence to keep bees.", "A creative answer to common problems.", "They played cards under the old tree.", "Version 3 of the map shows the river."]
+PROSE = ["She got her driving license on Monday.", "The committee at MIT met again in the spring.", "Copyright law was the subject of the lecture.", "The farmer has a licence to keep bees.", "A creative answer to common problems.", "They played cards under the old tree.", "Version 3 of the map shows the river.", "Wir gehen mit der Katze spazieren.", "Der Mann mit Hut und ohne Lizenz kam gestern.", "Er kam mit, sie blieb."]
 
 
 def test_licences(spark):
