@@ -7,8 +7,8 @@ makes a pair of a lower rank (checked when the vocabulary is loaded), this gives
 Texts split at spaces and line feeds into chunks that encode independently; results of chunks are kept in a table that is emptied
 when it has MEMO entries, so a worker's memory is bounded.
 
-Null and empty texts encode to no ids and decode to an empty text; ids keep the order of the text whatever its length; rows are
-treated one by one, so repeated rows, null ids and other columns pass unchanged, and an empty table gives an empty result.
+Defined results: null and empty texts encode to no ids and decode to an empty text; very long texts are encoded whole, and ids keep the order of the text; of equal pairs
+the one further left is merged first; rows are treated one by one, so repeated rows, null ids and other columns pass unchanged, but for one named as the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

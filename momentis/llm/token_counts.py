@@ -5,11 +5,12 @@ the best score and its number of pieces. Ties go to the piece that starts first,
 in order and replaces a best path only by a better one. A character that no one-character piece covers costs the lowest score minus
 ten and counts as its UTF-8 bytes (byte fallback).
 
-Texts are normalised as the file says: a space before the text, spaces as U+2581. No piece holds U+2581 after another character, so
-no piece crosses into a word from before it, and the runs between count separately; their counts are kept in a bounded table. Scores are whole
-numbers, so sums are exact and don't depend on where a run stands.
+Texts are normalised as the file says: a space before the text, spaces as U+2581. Where no piece holds U+2581 after another character and scores are
+whole numbers, no piece crosses into a word from before it and sums are exact wherever a run stands, so the runs between count separately, and their counts are kept in a
+bounded table. Under any other vocabulary a text is one run, summed in the library's order.
 
-Null and empty texts count 0; repeated rows count separately; an empty table gives an empty result; other columns pass unchanged.
+Defined results: null and empty texts count 0; very long texts are counted whole, in time and memory that grow with their length; repeated rows count separately; an empty table gives an empty
+result; other columns pass unchanged, but for one named as the result.
 """
 
 from __future__ import annotations
