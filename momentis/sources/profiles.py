@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentis.functions.events import duration_us
+
 _SCALAR = {"true": True, "false": False, "null": None, "~": None, "": None}
 
 
@@ -102,3 +104,21 @@ def resolve(files: DataFrame, profiles: DataFrame, path: str = "path", default:
     hits = files.select(path).distinct().join(needles, F.contains(F.lower(path), F.lower("needle")))
     best = hits.withColumn("_n", F.row_number().over(Window.partitionBy(path).orderBy(F.desc("priority"), "profile"))).where("_n = 1").select(path, "profile")
     return files.join(best, path, "left").select(*names, F.coalesce("profile", F.lit(default)).alias("profile"))
+
+
+_TRUTH = {"capture", "tolerance", "lead", "profile", "events", "gates"}
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(capture, kind, at_us, tolerance_us) of labelled events from a folder of documents; unknown keys and events without a kind or time are errors."""
+    rows = []
+    for file, text in spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").orderBy("file").collect():
+        own = parse_yaml(text) or {}
+        if odd := sorted(set(own) - _TRUTH):
+            raise ValueError(f"{file} has the unknown key {odd[0]}")
+        for event in own.get("events") or []:
+            if not isinstance(event, dict) or set(event) != {"kind", "at"}:
+                raise ValueError(f"{file} has an event that isn't a kind and a time")
+            rows.append((str(own["capture"]), str(event["kind"]), str(event["at"]), str(own.get("tolerance") or "3s")))
+    plain = spark.createDataFrame(rows, "capture string, kind string, at string, tolerance string")
+    return plain.select("capture", "kind", duration_us(F.col("at")).alias("at_us"), duration_us(F.col("tolerance")).alias("tolerance_us"))

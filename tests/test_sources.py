@@ -130,6 +130,14 @@ def test_profiles(spark, tmp_path):
         profiles.read_profiles(spark, str(tmp_path))
 
 
+def test_truth_is_read_strictly(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("capture: x.mp4\ntolerance: 2s\nevents:\n  - kind: kill\n    at: \"1:02.5\"\n  - kind: death\n    at: 90\n")
+    assert sorted(map(tuple, profiles.read_truth(spark, str(tmp_path)).collect())) == [("x.mp4", "death", 90_000_000, 2_000_000), ("x.mp4", "kill", 62_500_000, 2_000_000)]
+    (tmp_path / "b.yaml").write_text("capture: y\nevnts: []\n")
+    with pytest.raises(ValueError, match="unknown key evnts"):
+        profiles.read_truth(spark, str(tmp_path))
+
+
 def test_logs_and_sessions(spark, tmp_path):
     (tmp_path / "a.log").write_text("frame:0 pts:0 pts_time:0.1\nlavfi.r128.M=-23.4\nother\nframe:1 pts:1 pts_time:0.2\nlavfi.r128.M=nan\nlavfi.r128.M=-20\n")
     assert [(r.t, r.lufs) for r in tables.read_loudness(spark, str(tmp_path / "a.log")).collect()] == [(0.1, -23.4), (0.2, -20.0)]
