@@ -177,8 +177,8 @@ def hud_change(reads: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> list[tuple]:
         angle = np.floor(g.v.to_numpy() / 12.5) * np.pi / 8
-        shapes = kernels.track_shapes([np.array([np.cos(a), np.sin(a)]) for a in angle], 0.95)
-        return [(int(t), f"shape {b}") for t, a, b in zip(g.t.iloc[1:], shapes, shapes[1:], strict=False) if a != b]
+        _, changes = kernels.track_shapes([np.array([np.cos(a), np.sin(a)]) for a in angle], 0.95)
+        return [(int(g.t.iloc[k]), "change") for k in changes]
 
     return per_key(reads.where("kind = 'assist'").select("cap", "id", "t", "v"), "cap", run, {"t": "long", "kind": "string"}, ["t", "id"])
 

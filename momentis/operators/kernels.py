@@ -155,21 +155,37 @@ def fill_gaps(values: list[tuple[float, int]], window: float) -> list[tuple[floa
     return [(a, b, v + 1) for (a, v), (b, w) in zip(values, values[1:], strict=False) if w == v + 2 and b - a <= window]
 
 
-def track_shapes(shapes: list[np.ndarray], alike: float) -> list[int]:
-    """Number of the shape seen in each frame: a new one when none of the known is alike; back at the first, the others are forgotten."""
-    known: list[np.ndarray] = []
-    out = []
-    for x in shapes:
-        near = [k for k, y in enumerate(known) if float(x @ y) / max(float(np.linalg.norm(x) * np.linalg.norm(y)), 1e-12) >= alike]
-        if near and near[0] == 0:
-            known = known[:1]
-            out.append(0)
-        elif near:
-            out.append(near[0])
+def track_shapes(shapes: list[np.ndarray], alike: float, stable: int = 1) -> tuple[list[int | None], list[int]]:
+    """The cluster of the stable shape in each frame (None before the first), and the frames in which a shape began that hadn't been seen since the first one.
+
+    A shape is stable in its `stable`th frame in a row; it belongs to the first cluster it is like, or makes one. The first cluster is the zero: back at it,
+    all others are unseen again.
+    """
+    clusters: list[np.ndarray] = []
+    seen: set[int] = set()
+    current = candidate = None
+    start = run = 0
+    states, changes = [], []
+    for frame, x in enumerate(shapes):
+        x = x / max(float(np.linalg.norm(x)), 1e-12)
+        if candidate is not None and float(candidate @ x) >= alike:
+            run += 1
         else:
-            known.append(x)
-            out.append(len(known) - 1)
-    return out
+            candidate, start, run = x, frame, 1
+        if run == stable:
+            own = next((k for k, c in enumerate(clusters) if float(c @ candidate) >= alike), None)
+            if own is None:
+                own = len(clusters)
+                clusters.append(candidate)
+            if own != current:
+                current = own
+                if own == 0:
+                    seen = {0}
+                elif own not in seen:
+                    seen.add(own)
+                    changes.append(start)
+        states.append(current)
+    return states, changes
 
 
 def track_rows(frames: list[list[tuple[float, float, str]]], overlap: float, sightings: int, hold: int) -> list[tuple[int, str]]:

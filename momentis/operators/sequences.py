@@ -206,13 +206,60 @@ def best_lag(a: np.ndarray, b: np.ndarray, most: int, margin: float) -> int | No
     return best if not others or found[best] - max(others) >= margin else None
 
 
-def preference_weights(won: np.ndarray, lost: np.ndarray, start: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 0.05) -> np.ndarray:
-    """Weights under which the chosen variants score above the others: regularised logistic descent, a quarter to four times the start, same sum."""
-    w = start.astype(float).copy()
-    diff = np.where(np.isnan(won) | np.isnan(lost), 0.0, won - lost)
+def weighted_means(criteria: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted mean of each row's criteria that aren't null (NaN)."""
+    known = ~np.isnan(criteria)
+    return np.where(known, criteria, 0.0) @ w / np.maximum(known @ w, 1e-12)
+
+
+def preference_weights(choices: list[tuple[np.ndarray, int]], base: np.ndarray, steps: int, rate: float, sharpness: float, penalty: float) -> np.ndarray:
+    """Weights under which chosen variants (rows of criteria) score above the others of their choice.
+
+    Descent on the mean of ln(1 + exp(-sharpness * difference)) over pairs plus penalty * ((w - base) / base)**2; each weight stays between a quarter of
+    its base and four times that, and their sum stays.
+    """
+    w = base.astype(float).copy()
+    low, high = base / 4, base * 4
+    pairs = max(1, sum(len(rows) - 1 for rows, _ in choices))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        w += rate * (diff.T @ p / max(len(diff), 1) - penalty * (w - start))
-        w = np.clip(w, start / 4, start * 4)
-        w *= start.sum() / w.sum()
+        slope = np.zeros_like(w)
+        for rows, chosen in choices:
+            known = ~np.isnan(rows)
+            total = weighted_means(rows, w)
+            # How a mean moves with a weight: the criterion's distance from the mean, over the weights that count.
+            moves = np.where(known, np.where(known, rows, 0.0) - total[:, None], 0.0) / np.maximum(known @ w, 1e-12)[:, None]
+            for other in range(len(rows)):
+                if other != chosen:
+                    slope -= sharpness / (1 + np.exp(np.clip(sharpness * (total[chosen] - total[other]), -500, 500))) * (moves[chosen] - moves[other])
+        w = np.clip(w - rate * (slope / pairs + 2 * penalty * (w - base) / base**2), low, high)
+        w = np.clip(w * base.sum() / w.sum(), low, high)
     return w
+
+
+def agreement(choices: list[tuple[np.ndarray, int]], w: np.ndarray) -> float:
+    """Share of choices whose chosen variant alone scores highest."""
+    hits = 0
+    for rows, chosen in choices:
+        total = weighted_means(rows, w)
+        hits += bool((np.delete(total, chosen) < total[chosen]).all())
+    return hits / max(1, len(choices))
+
+
+def budget_clips(items: list[tuple[float, float, float]], budget: float, least: float, before: float, protected: list[tuple[float, float]]) -> list[tuple[int, float, float]]:
+    """Clips (index, start, end) of items (start, end, peak) by rank, until less than the least length is left of the budget.
+
+    An item that is too long for what is left is trimmed around its peak, of which `before` is the share in front; one whose trimming would cut a
+    protected span is passed over.
+    """
+    out, left = [], budget
+    for k, (s, e, peak) in enumerate(items):
+        if left < least:
+            break
+        if e - s > left:
+            start = min(max(peak - left * before, s), e - left)
+            if any(a < start < b or a < start + left < b for a, b in protected):
+                continue
+            s, e = start, start + left
+        out.append((k, s, e))
+        left -= e - s
+    return out

@@ -253,18 +253,37 @@ def choice_learner(spark, sf_dir):
 
 @query("preference_learner")
 def preference_learner(spark, sf_dir):
-    """Weights under which the better of two neighbouring events scores higher, for each capture."""
+    """Weights of three criteria (one unknown for every fourth event) under which each day's chosen event scores highest, for each capture, and how often they and the first ones agree with it."""
 
     def run(g: pd.DataFrame) -> list[tuple]:
-        x = np.column_stack([g.v / 100, (g.id % 10) / 10.0])
-        a, b = x[:-1], x[1:]
-        if len(a) < 5:
+        base = np.array([0.5, 0.3, 0.2])
+        choices = []
+        for _, day in g.groupby("day"):
+            if len(day) > 1:
+                rows = np.column_stack([day.v / 100, (day.id % 10) / 10.0, np.where(day.id % 4 == 0, np.nan, (day.id % 7) / 7.0)])
+                choices.append((rows, int(np.argmax(day.v.to_numpy() * 0.3 + (day.id % 10).to_numpy() * 7))))
+        if len(choices) < 3:
             return []
-        better = a[:, 0] + 0.2 * a[:, 1] >= b[:, 0] + 0.2 * b[:, 1]
-        w = sequences.preference_weights(np.where(better[:, None], a, b), np.where(better[:, None], b, a), np.array([0.5, 0.5]))
-        return [(round(float(w[0]), 6), round(float(w[1]), 6))]
-
-    return per_key(load_events(spark, sf_dir).where("kind = 'kill'").select("cap", "id", "t", "v"), "cap", run, {"first": "double", "second": "double"}, ["t", "id"])
+        w = sequences.preference_weights(choices, base, 60, 0.05, 6.0, 0.001)
+        return [(*np.round(w, 6).tolist(), round(sequences.agreement(choices, base), 6), round(sequences.agreement(choices, w), 6))]
+
+    rows = load_events(spark, sf_dir).select("cap", "id", "t", F.floor(F.col("t") / (24 * HOUR)).alias("day"), "v")
+    return per_key(rows, "cap", run, {"level": "double", "place": "double", "kind": "double", "before": "double", "after": "double"}, ["t", "id"])
+
+
+@query("rule_classes", """WITH n AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE replace(replace(left(n_name, 3) || 'X' || substr(n_name, 5 - n_nationkey % 2), 'O', '0'), 'I', '1') END AS text FROM nation),
+ l AS (SELECT *, regexp_replace(translate(upper(text), '01|!5$8', 'OIIISSB'), '[^A-Z]', '', 'g') AS x FROM n), r(pos, kind, needle) AS (VALUES (1, 'south', 'NATIONOO'), (2, '', 'NATIONII'), (3, 'east', 'NATIONB'), (4, 'west', 'NATION'), (5, 'far', 'NATXIONS')),
+ m AS (SELECT n_nationkey, kind, row_number() OVER (PARTITION BY n_nationkey ORDER BY pos) AS k FROM l JOIN r ON length(x) >= 5 AND levenshtein(x, needle) <= greatest(1, length(needle) // 5))
+ SELECT l.n_nationkey, x AS letters, kind, kind = '' AS ignored FROM l LEFT JOIN m ON m.n_nationkey = l.n_nationkey AND k = 1""")
+def rule_classes(spark, sf_dir):
+    """Misread names by the first rule within a fifth of its length in edits: a rule without a kind says to ignore, no rule gives null, and so do texts under five letters."""
+    from momentis.functions.events import letters
+
+    rules = [(1, "south", "NATIONOO"), (2, "", "NATIONII"), (3, "east", "NATIONB"), (4, "west", "NATION"), (5, "far", "NATXIONS")]
+    odd = F.replace(F.replace(F.concat(F.substring("n_name", 1, 3), F.lit("X"), F.expr("substring(n_name, cast(5 - n_nationkey % 2 as int))")), F.lit("O"), F.lit("0")), F.lit("I"), F.lit("1"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", letters(F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise(odd)).alias("letters"))
+    near = [F.when((F.length("letters") >= 5) & (F.levenshtein(F.col("letters"), F.lit(needle)) <= max(1, len(needle) // 5)), kind) for _, kind, needle in sorted(rules)]
+    return rows.select("n_nationkey", "letters", F.coalesce(*near).alias("kind")).withColumn("ignored", F.col("kind") == "")
 
 
 #: Settings of montages, and what each preset changes in them.

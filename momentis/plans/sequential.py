@@ -142,6 +142,19 @@ def segment_extension(spark, sf_dir):
     return per_capture(positive(spark, sf_dir).select("cap", "id", "s", "e"), run, {"day": "long", "s": "double", "e": "double"}, ["s", "id"])
 
 
+@query("budget_clips")
+def budget_clips(spark, sf_dir):
+    """Days of a capture by their number of events, within 96 hours: too long ones are trimmed around noon, unless that cuts a protected span."""
+
+    def run(g):
+        spans = list(zip(g.s.tolist(), g.e.tolist(), strict=True))
+        counts = (g.s // DAY).value_counts()
+        days = sorted(counts.index.tolist(), key=lambda d: (-counts[d], d))
+        return [(int(days[k]), int(a), int(b)) for k, a, b in sequences.budget_clips([(d * DAY, (d + 1) * DAY, d * DAY + DAY // 2) for d in days], 4 * DAY - 6 * HOUR, 6 * HOUR, 0.6, spans)]
+
+    return per_capture(positive(spark, sf_dir).select("cap", "id", "s", "e"), run, {"day": "long", "s": "long", "e": "long"}, ["s", "id"])
+
+
 @query("plateau_segments")
 def plateau_segments(spark, sf_dir):
     reads = load_events(spark, sf_dir).where("kind = 'assist'").select("cap", "id", "t", F.floor(F.col("v") / 34).alias("x"))
@@ -172,6 +185,7 @@ def shape_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("cap"), "vec_id", "embedding")
 
     def run(g):
-        return list(zip(g.vec_id.tolist(), kernels.track_shapes([np.asarray(v, float) for v in g.embedding], 0.5), strict=True))
+        states, changes = kernels.track_shapes([np.asarray(v, float) for v in g.embedding], 0.5)
+        return [(key, state, k in set(changes)) for k, (key, state) in enumerate(zip(g.vec_id.tolist(), states, strict=True))]
 
-    return per_capture(rows, run, {"vec_id": "long", "shape": "long"}, ["vec_id"])
+    return per_capture(rows, run, {"vec_id": "long", "shape": "long", "fresh": "boolean"}, ["vec_id"])

@@ -44,7 +44,8 @@ def test_images():
 
 def test_trackers():
     a, b = np.array([1.0, 0]), np.array([0, 1.0])
-    assert k.track_shapes([a, b, b, a, b], 0.9) == [0, 1, 1, 0, 1]
+    assert k.track_shapes([a, b, b, a, b], 0.9) == ([0, 1, 1, 0, 1], [1, 4])  # back at the first, the other is new again
+    assert k.track_shapes([a, a, b, a, b, b, b], 0.9, 2) == ([None, 0, 0, 0, 0, 1, 1], [4])
     frames = [[(0.0, 10.0, "kill")], [(0.0, 9.0, "kill")], [(0.0, 8.0, "kill"), (0.0, 10.0, "kill")], [(0.0, 9.0, "kill")]]
     assert k.track_rows(frames, 1, 2, 2)[0] == (0, "kill")
     assert k.plateaus([5, 5, None, 5, 4, 4, 4], 3) == [(0, 5), (4, 4)]

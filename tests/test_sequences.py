@@ -47,9 +47,19 @@ def test_kernels():
     assert s.best_lag(a, np.roll(a, 7), 20, 0.2) == 7 and s.best_lag(a, rng.normal(size=300), 20, 0.5) is None
     hidden, start = np.array([3.0, 1.0, 0.2]), np.ones(3)
     x, y = rng.random((400, 3)), rng.random((400, 3))
-    first = (x @ hidden > y @ hidden)[:, None]
-    w = s.preference_weights(np.where(first, x, y), np.where(first, y, x), start)
-    assert w[0] > w[1] > w[2] and abs(w.sum() - 3) < 1e-9
+    choices = [(np.stack(p), int(p[0] @ hidden < p[1] @ hidden)) for p in zip(x, y, strict=True)]
+    w = s.preference_weights(choices, start, 150, 0.05, 6.0, 0.001)
+    assert w[0] > w[1] > w[2] >= 0.25 and abs(w.sum() - 3) < 1e-6 and s.agreement(choices, w) > s.agreement(choices, start)
+    # A null criterion counts in neither the mean nor the slope.
+    assert s.weighted_means(np.array([[1.0, np.nan, 0.0]]), start).tolist() == [0.5]
+    eps, rows = 1e-6, np.array([[0.9, np.nan, 0.2], [0.1, 0.4, 0.6]])
+    loss = lambda w: np.log(1 + np.exp(-6 * np.subtract(*s.weighted_means(rows, w))))
+    slope = [(loss(start + eps * e) - loss(start - eps * e)) / (2 * eps) for e in np.eye(3)]
+    moved = start - 1e-3 * np.array(slope)
+    assert np.allclose(s.preference_weights([(rows, 0)], start, 1, 1e-3, 6.0, 0.0), moved * 3 / moved.sum(), atol=1e-7)
+    days = [(0, 10, 4), (20, 30, 25), (40, 50, 45), (60, 64, 61)]
+    assert s.budget_clips(days, 16, 3, 0.5, []) == [(0, 0, 10), (1, 22, 28)]
+    assert s.budget_clips(days, 16, 3, 0.5, [(21, 23)]) == [(0, 0, 10), (2, 42, 48)] and s.budget_clips(days, 12, 3, 0.5, []) == [(0, 0, 10)]
 
 
 def test_engine(spark):
