@@ -55,24 +55,27 @@ def decode_counter(reads: np.ndarray, most: int, step: int = 5) -> np.ndarray:
     so staying wins ties, and then the lowest state.
     """
     n, size = len(reads), most + 1
-    score = np.full(size, 0.0)
+    score = np.zeros(size)
     back = np.zeros((n, size), np.int64)
     states = np.arange(size)
-
-    def seen(value: int) -> np.ndarray:
-        return np.zeros(size) if value < 0 else np.where(states == value, 1.0, -1.0)
-
-    for i in range(n):
-        best, came = score.copy(), states.copy()
+    # Where each state can come from, in the order that ties prefer: itself, then rises from one below on.
+    rise = np.arange(step + 1)
+    before = states[:, None] - rise
+    cost = np.where(before < 0, np.inf, np.where(rise == 0, 0.0, 3 + 0.5 * (rise - 1)))
+    before = np.maximum(before, 0)
+    earned = np.where(states == np.arange(size)[:, None], 1.0, -1.0)
+    for i, read in enumerate(np.asarray(reads).tolist()):
         if i:
-            for k in range(1, step + 1):
-                up = np.concatenate([np.full(k, -np.inf), score[: size - k]])[:size] - (3 + 0.5 * (k - 1))
-                better = up > best
-                best[better], came[better] = up[better], (states - k)[better]
-            top = int(np.argmax(score))
+            every = score[before] - cost
+            pick = every.argmax(axis=1)
+            best, came = every[states, pick], before[states, pick]
+            top = int(score.argmax())
             if score[top] - 25 > best[0]:
                 best[0], came[0] = score[top] - 25, top
-        back[i], score = came, best + seen(int(reads[i]))
+            back[i] = came
+        else:
+            best, back[0] = score, states
+        score = best + earned[read] if 0 <= read <= most else best if read < 0 else best - 1.0
     out = np.zeros(n, np.int64)
     state = int(np.argmax(score))
     for i in range(n - 1, -1, -1):
