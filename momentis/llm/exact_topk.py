@@ -36,7 +36,7 @@ SAMPLE, LEAST = 20_000, 16
 LEAF = 128
 SCALE = 256
 #: Cells that a query searches in its first wave; each further wave takes four times as many.
-WAVE = 2
+WAVE = 8
 #: Queries that one task puts to a shard.
 ASKED = 50_000
 _EXACT = float(1 << 53)
