@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 
 def spaced(times: np.ndarray, strength: np.ndarray, spacing: float) -> np.ndarray:
