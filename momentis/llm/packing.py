@@ -18,7 +18,6 @@ follows the rows' order in the files; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import math
 import os
 import zlib
 from collections import defaultdict
