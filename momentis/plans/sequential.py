@@ -83,7 +83,14 @@ def open_queue(spark, sf_dir):
     return per_capture(load_events(spark, sf_dir).where("kind in ('kill', 'shot', 'death')").select("cap", "id", "t", "kind"), run, {"t": "long", "kind": "string"}, ["t", "id"])
 
 
-@query("credit_marks")
+CREDITS = EV + f""", c AS (SELECT cap, id, t, lag(t) OVER (PARTITION BY cap ORDER BY t, id) AS p FROM ev WHERE kind = 'assist'),
+ n AS (SELECT c.cap, c.id, c.t, count(m.id) AS n, (SELECT max(x.t) FROM ev x WHERE x.cap = c.cap AND x.kind = 'shot' AND x.t BETWEEN c.t - {24 * H} AND c.t) AS mark FROM c LEFT JOIN ev m ON m.cap = c.cap AND m.kind = 'shot' AND m.t <= c.t AND m.t > greatest(coalesce(c.p, c.t - {48 * H}), c.t - {48 * H}) GROUP BY c.cap, c.id, c.t),
+ l AS (SELECT cap, list({{'t': t, 'n': n, 'at_us': coalesce(mark, t)}} ORDER BY t, id) AS x FROM n GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN b[1].n = 0 AND b[1].t - a[len(a)].t <= {24 * H} THEN a ELSE list_concat(a, b) END) AS y FROM l),
+ g AS (SELECT cap, unnest(y) AS u FROM f) SELECT cap, t, kind FROM ev WHERE kind IN ('shot', 'kill') UNION ALL SELECT cap, u.at_us, 'assist' FROM g, unnest(generate_series(1, greatest(u.n, 1))) AS k(i)"""
+
+
+@query("credit_marks", CREDITS)
 def credit_marks(spark, sf_dir):
     """Assists as credits for the shots before them."""
 
@@ -101,7 +108,15 @@ def log_tracks(spark, sf_dir):
     return per_capture(rows, run, {"frame": "long", "kind": "string"}, ["frame", "v", "id"])
 
 
-@query("knock_pairs")
+PAIRS = EV + f""", l AS (SELECT cap, coalesce(list(t ORDER BY t) FILTER (WHERE kind = 'shot'), []) AS knocks, coalesce(list({{'t': t, 'n': CASE WHEN v > 75 THEN 2 ELSE 1 END}} ORDER BY t, id) FILTER (WHERE kind = 'kill'), []) AS rises FROM ev WHERE kind IN ('kill', 'shot') GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_prepend({{'free': knocks, 'r': NULL, 'out': []::STRUCT(t BIGINT, how VARCHAR)[]}}, list_transform(rises, lambda x: {{'free': []::BIGINT[], 'r': x, 'out': []::STRUCT(t BIGINT, how VARCHAR)[]}})), lambda a, b: {{
+  'free': list_filter(a.free, lambda x: NOT list_contains(list_slice(list_filter(a.free, lambda y: y BETWEEN b.r.t - {30 * H} AND b.r.t + {H}), 1, b.r.n), x)), 'r': b.r,
+  'out': list_concat(a.out, list_transform(list_slice(list_filter(a.free, lambda y: y BETWEEN b.r.t - {30 * H} AND b.r.t + {H}), 1, b.r.n), lambda x: {{'t': x, 'how': 'paired'}}),
+   list_transform(range(b.r.n - len(list_slice(list_filter(a.free, lambda y: y BETWEEN b.r.t - {30 * H} AND b.r.t + {H}), 1, b.r.n))), lambda x: {{'t': b.r.t, 'how': CASE WHEN b.r.n > 1 THEN 'wipe' ELSE 'lone' END}}))}}) AS r FROM l)
+ SELECT cap, u.t AS t, u.how AS how FROM (SELECT cap, unnest(list_concat(r.out, list_transform(r.free, lambda x: {{'t': x, 'how': 'free'}}))) AS u FROM f) z"""
+
+
+@query("knock_pairs", PAIRS)
 def knock_pairs(spark, sf_dir):
     """Counter rises (kills, of two where the value is high) paired with the earliest free knocks (shots)."""
 
