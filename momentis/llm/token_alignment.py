@@ -5,9 +5,9 @@ nodes of a graph, an A and a B token with a byte in common its edges; union-find
 between byte offsets where tokens of both end. The members of a component are expanded into links: the pairs that end together. Links
 are counted in the whole corpus by id pair, and each document's links are then scored by these counts.
 
-Both vocabularies begin a token at a space that stands between two characters that are no white space (of B this is checked: none of its
-pieces holds a space after another character), so such a space always begins a group, and a text is the sequence of its chunks between
-such spaces. A chunk is encoded and grouped once and kept in a table bounded by bytes.
+Both vocabularies begin a token at a space or line feed that stands between two characters that are no white space (of B this is checked:
+none of its pieces holds a space after another character, or a line feed), so such a character always begins a group, and a text is the
+sequence of its chunks between them. A chunk is encoded and grouped once and kept in a table bounded by bytes.
 
 Scale: one pass over the texts, whose result (counts, digest, and the document's distinct links with their numbers) is written once.
 Pair counts are pre-aggregated before their shuffle. They are bounded by the two vocabularies, not by the corpus; at most `BROADCAST_PAIRS`
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,56 +34,45 @@ from pyspark.sql import functions as F
 
 from momentis.llm.bpe import byte_symbols
 from momentis.llm.common import materialize, numbered, small_batches
+from momentis.llm.packing import ChunkTokens
 
 BROADCAST_PAIRS = 500_000
 #: What the table of chunks may hold, in bytes of chunks and results.
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 256 << 20
 MARK = "▁"
 
 
-def components(n: int, edges: Iterator[tuple[int, int]]) -> list[int]:
-    """Union-find: the least node of each node's component."""
-    parent = list(range(n))
-    for x, y in edges:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    for x in range(n):  # a parent is never over its child
-        parent[x] = parent[parent[x]]
-    return parent
-
-
-def overlaps(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
-    """Pairs (i, len(a) + j) of tokens with a byte in common; a and b hold the ends of consecutive tokens over the same bytes."""
-    i = j = 0
-    n = len(a)
-    while i < n:
-        yield i, n + j
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-
-
-def groups(a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The components of the overlapping tokens in order, each as its A and B places."""
-    n = len(a)
-    members: dict[int, tuple[list[int], list[int]]] = {}
-    for k, top in enumerate(components(n + len(b), overlaps(a, b))):
-        members.setdefault(top, ([], []))[k >= n].append(k if k < n else k - n)
-    return list(members.values())  # in the order of their first A token
+def components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Union-find over the edges (x, y) of n nodes, all edges at once: the least node of each node's component.
+
+    In each round every root takes the least root that an edge leads to, and paths are compressed until all nodes point at roots.
+    """
+    parent = np.arange(n)
+    while True:
+        px, py = parent[x], parent[y]
+        if (px == py).all():
+            return parent
+        np.minimum.at(parent, np.maximum(px, py), np.minimum(px, py))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+
+
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number, from 0 and in order, of the component of each A and each B token; a and b hold the ends of consecutive tokens over the same bytes."""
+    # Between two neighbouring ends there's one token of each side: an edge for each pair with a byte in common.
+    ends = np.sort(np.concatenate([a, b]), kind="stable")
+    ends = ends[np.append(ends[1:] != ends[:-1], True)]
+    top = components(len(a) + len(b), np.searchsorted(a, ends), len(a) + np.searchsorted(b, ends))
+    # A component's least node is its first A token.
+    number = np.cumsum(top[: len(a)] == np.arange(len(a))) - 1
+    return number, number[top[len(a) :]]
 
 
 class Aligner:
-    """Two vocabularies and what is known of chunks: (A tokens, B tokens, groups, their text, links as bytes), or None if bytes differ."""
+    """Two vocabularies and what is known of chunks: (numbers of A and of B tokens in one, the groups' text, links as bytes), or None if bytes differ."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -90,76 +81,103 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.bytes_a = {k: bytes(byte_of[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        known = {k: bytes(byte_of[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        self.bytes_a = [known.get(k, b"") for k in range(max(known) + 1)]
+        #: The same merges in a faster library, where ids are the file's merges in order (this is checked).
+        self.fast = ChunkTokens(path_a).fast
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
-        across = regex.compile(f"[^{MARK}]{MARK}")
+        across = re.compile(f"[^{MARK}]{MARK}|\n")
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
             if across.search(piece):
-                raise ValueError("a piece of this vocabulary reaches over a space")
+                raise ValueError("a piece of this vocabulary reaches over a space or a line feed")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace(MARK, " ").encode())
-        self.memo: dict[str, tuple | None] = {}
+        self.memo: dict[str, tuple[int, str, bytes] | None] = {}
         self.held = 0
 
-    def chunk(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        parts_a = [self.bytes_a.get(k, b"") for k in ids_a]
-        parts_b = [self.bytes_b[k] for k in ids_b]
-        data = text.encode()
-        if b"".join(parts_a) != data or b"".join(parts_b) != data:
-            return None
-        ends_a, ends_b = (np.cumsum([len(x) for x in p]).tolist() for p in (parts_a, parts_b))
-        said, links = [], []
-        for own_a, own_b in groups(ends_a, ends_b):
-            said.append(f"{','.join([str(ids_a[i]) for i in own_a])}|{','.join([str(ids_b[j]) for j in own_b])}")
-            # Within a component only the last two tokens can end together, and they do: the expansion of its members needs no search.
-            links.append(ids_a[own_a[-1]] << 32 | ids_b[own_b[-1]])
-        return len(ids_a), len(ids_b), len(said), ";".join(said), np.array(links, "<i8").tobytes()
-
     def learn(self, chunks: list[str]) -> None:
-        """Put chunks, each with its leading space, into the table."""
-        coded = self.a.encode_batch(chunks, add_special_tokens=False)
-        pieces = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for c, x, y in zip(chunks, coded, pieces, strict=True):
-            self.memo[c] = found = self.chunk(c, x.ids, y)
-            self.held += 200 + len(c) + (len(found[3]) + len(found[4]) if found else 0)
-
-    def align(self, texts: list[str]) -> Iterator[tuple | None]:
-        """For each text its numbers of A tokens, B tokens and groups, the groups' text, and the links as bytes."""
+        """Put chunks, each with its leading space or line feed, into the table."""
+        # At a chunk's start A begins a token whatever stands before, but white space at a chunk's end depends on what follows.
+        joined = [c for c in chunks if not c[-1].isspace()]
+        single = [c for c in chunks if c[-1].isspace()]
+        ids_a = self.fast.encode_ordinary("".join(joined))
+        for x in self.a.encode_batch(single, add_special_tokens=False):
+            ids_a += x.ids
+        chunks = joined + single
+        # B puts a space before what it encodes: a chunk's own, or one that is a token by itself before a line feed.
+        pieces = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        pieces = [y if c[0] == " " else y[1:] for c, y in zip(chunks, pieces, strict=True)]
+        parts_a = list(map(self.bytes_a.__getitem__, ids_a))
+        parts_b = [list(map(self.bytes_b.__getitem__, x)) for x in pieces]
+        data = [c.encode() for c in chunks]
+        wrong = {c for c, x, y in zip(chunks, data, parts_b, strict=True) if b"".join(y) != x}
+        if b"".join(parts_a) != b"".join(data):
+            raise ValueError("this vocabulary doesn't give all bytes back")
+        if wrong:
+            for c in wrong:
+                self.memo[c] = None
+            self.learn([c for c in chunks if c not in wrong])
+        elif chunks:
+            self._keep(chunks, np.array(ids_a), np.cumsum(list(map(len, parts_a))), np.array(list(chain.from_iterable(pieces))), np.cumsum(list(map(len, chain.from_iterable(parts_b)))), np.cumsum(list(map(len, data))))
+
+    def _keep(self, chunks: list[str], ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, stops: np.ndarray) -> None:
+        """Group the tokens of chunks one behind the other, by their ids and ends and the chunks' ends, and put what is found into the table."""
+        of_a, of_b = groups(a, b)
+        # The members of a component expanded: only its last tokens end together, and they do.
+        last_a, last_b = (np.flatnonzero(np.append(g[1:] != g[:-1], True)) for g in (of_a, of_b))
+        links = (ids_a[last_a] << 32 | ids_b[last_b]).astype("<i8").tobytes()
+        upto = [np.searchsorted(x, stops, "right") for x in (a, b, a[last_a])]
+        # Tokens by group, A before B, each with what stands behind it: , in a side, | between the sides, ; between groups, a line feed after a chunk.
+        side = np.concatenate([2 * of_a, 2 * of_b + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        mark = np.where(side[1:] == side[:-1], 0, np.where(side[1:] % 2 == 1, 1, 2))
+        mark = np.append(mark, 2)
+        mark[np.searchsorted(side, 2 * upto[2]) - 1] = 3
+        both = np.empty(2 * len(order), object)
+        both[::2] = list(map(str, np.concatenate([ids_a, ids_b])[order].tolist()))
+        both[1::2] = np.array([",", "|", ";", "\n"], object)[mark]
+        said = "".join(both.tolist()).split("\n")
+        numbers = (np.diff(upto[0], prepend=0) << 32 | np.diff(upto[1], prepend=0)).tolist()
+        edges = [0, *(8 * upto[2]).tolist()]
+        for c, n, text, lo, hi in zip(chunks, numbers, said, edges, edges[1:], strict=False):
+            self.memo[c] = (n, text, links[lo:hi])
+            self.held += 330 + len(c) + len(text) + hi - lo
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes] | None]:
+        """For each text its numbers of A and of B tokens, the groups' text, and the links as bytes."""
         if self.held > MEMO_BYTES:
             self.memo.clear()
             self.held = 0
-        split = [chunks_of(t) if t and MARK not in t else None for t in texts]
-        memo = self.memo
-        new = {c for own in split if own for c in own if c not in memo}
+        get = self.memo.get
+        split = [chunks_of(t) if t and MARK not in t else [] for t in texts]
+        found = [list(map(get, own)) for own in split]
+        new = {c for own, got in zip(split, found, strict=True) if None in got for c, x in zip(own, got, strict=True) if x is None and c not in self.memo}
         if new:
             self.learn(list(new))
-        for own in split:
-            found = [memo[c] for c in own] if own else [None]
-            if None in found:
+        for own, got in zip(split, found, strict=True):
+            if None in got:
+                got = list(map(get, own))  # noqa: PLW2901
+            if not got or None in got:
                 yield None
                 continue
-            a, b, n, said, links = zip(*found, strict=True)
-            yield sum(a), sum(b), sum(n), ";".join(said), b"".join(links)
+            numbers, said, links = zip(*got, strict=True)
+            total = sum(numbers)
+            yield total >> 32, total & 0xFFFFFFFF, ";".join(said), b"".join(links)
+
+
+#: White space that stands beside other white space, or is neither a space nor a line feed.
+_odd = re.compile(r"\s\s|[^\S \n]")
+_edge = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def chunks_of(text: str) -> list[str]:
-    """A text, with a space before it, cut at the spaces between two characters that are no white space."""
-    parts = text.split(" ")
-    plain = text.split()
-    if len(parts) == len(plain) and parts == plain:
-        return [" " + x for x in parts]
-    out: list[str] = []
-    joined = True
-    for k, x in enumerate(parts):
-        if k and not joined and x and not x[0].isspace():
-            out.append(" " + x)
-        elif k:
-            out[-1] += " " + x
-        else:
-            out.append(" " + x)
-        joined = not x or x[-1].isspace()
-    return out
+    """A text, with a space before it, cut before the spaces and line feeds between two characters that are no white space."""
+    text = " " + text
+    if "\x01" in text or text[1].isspace() or text[-1].isspace() or _odd.search(text):
+        return _edge.split(text)
+    return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")[1:]
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -176,17 +194,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
         for batch in batches:
             counts, shas, said, pairs, times, sizes = [], [], [], [], [], [0]
             for found in own.align(batch.column(1).to_pylist()):
-                a, b, n, text_, links = found or (0, 0, 0, "", b"")
+                a, b, text_, links = found or (0, 0, "", b"")
                 distinct, each = np.unique(np.frombuffer(links, "<i8"), return_counts=True)
-                counts.append((a, b, n, len(links) // 8))
+                counts.append((a, b, len(links) // 8, len(links) // 8))  # a link for each group
                 shas.append(hashlib.sha256(text_.encode()).hexdigest() if found else "")
                 said.append(text_)
                 pairs.append(distinct)
                 times.append(each)
                 sizes.append(sizes[-1] + len(distinct))
             numbers = np.array(counts, np.int64).reshape(-1, 4).T
-            struct = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *pairs])), pa.array(np.concatenate([np.zeros(0, np.int64), *times]))], ["pair", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)
+            distinct_links = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *pairs])), pa.array(np.concatenate([np.zeros(0, np.int64), *times]))], ["pair", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), distinct_links)
             columns = [batch.column(0), *(pa.array(x) for x in numbers), pa.array(shas, pa.string()), lists, *([pa.array(said, pa.string())] if with_groups else [])]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", *(["groups"] if with_groups else [])])
 
