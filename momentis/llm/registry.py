@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from momentis.llm import bpe, conversation_repair, exact_topk, html_text, license_scan, near_dedup, packing, pii_surrogates, quality_rules, suffix_dedup, token_alignment, token_counts
+from momentis.llm import bpe, conversation_repair, exact_topk, html_text, license_scan, near_dedup, packing, pii_surrogates, quality_classifier, quality_rules, suffix_dedup, token_alignment, token_counts
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_pii_surrogates": pii_surrogates.op9_pii_surrogates,
         "op10_exact_topk": exact_topk.op10_exact_topk,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_quality_classifier": quality_classifier.op12_quality_classifier,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
