@@ -38,7 +38,9 @@ from momentis.llm.packing import ChunkTokens
 
 BROADCAST_PAIRS = 500_000
 #: What the table of chunks may hold, in bytes of chunks and results.
-MEMO_BYTES = 256 << 20
+MEMO_BYTES = 128 << 20
+#: Chunks that are encoded at once.
+SOME = 20_000
 MARK = "▁"
 
 
@@ -93,11 +95,11 @@ class Aligner:
             if across.search(piece):
                 raise ValueError("a piece of this vocabulary reaches over a space or a line feed")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace(MARK, " ").encode())
-        self.memo: dict[str, tuple[int, str, bytes] | None] = {}
+        self.memo: dict[str, tuple[int, str, bytes]] = {}
         self.held = 0
 
-    def learn(self, chunks: list[str]) -> None:
-        """Put chunks, each with its leading space or line feed, into the table."""
+    def learn(self, chunks: list[str]) -> dict[str, tuple[int, str, bytes]]:
+        """What is to be known of chunks, each with its leading space or line feed; those whose bytes differ are left out."""
         # At a chunk's start A begins a token whatever stands before, but white space at a chunk's end depends on what follows.
         joined = [c for c in chunks if not c[-1].isspace()]
         single = [c for c in chunks if c[-1].isspace()]
@@ -115,14 +117,11 @@ class Aligner:
         if b"".join(parts_a) != b"".join(data):
             raise ValueError("this vocabulary doesn't give all bytes back")
         if wrong:
-            for c in wrong:
-                self.memo[c] = None
-            self.learn([c for c in chunks if c not in wrong])
-        elif chunks:
-            self._keep(chunks, np.array(ids_a), np.cumsum(list(map(len, parts_a))), np.array(list(chain.from_iterable(pieces))), np.cumsum(list(map(len, chain.from_iterable(parts_b)))), np.cumsum(list(map(len, data))))
-
-    def _keep(self, chunks: list[str], ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, stops: np.ndarray) -> None:
-        """Group the tokens of chunks one behind the other, by their ids and ends and the chunks' ends, and put what is found into the table."""
+            return self.learn([c for c in chunks if c not in wrong])
+        return {} if not chunks else self._grouped(chunks, np.array(ids_a), np.cumsum(list(map(len, parts_a))), np.array(list(chain.from_iterable(pieces))), np.cumsum(list(map(len, chain.from_iterable(parts_b)))), np.cumsum(list(map(len, data))))
+
+    def _grouped(self, chunks: list[str], ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, stops: np.ndarray) -> dict[str, tuple[int, str, bytes]]:
+        """The tokens of chunks one behind the other, by their ids and ends and the chunks' ends, in groups."""
         of_a, of_b = groups(a, b)
         # The members of a component expanded: only its last tokens end together, and they do.
         last_a, last_b = (np.flatnonzero(np.append(g[1:] != g[:-1], True)) for g in (of_a, of_b))
@@ -141,24 +140,28 @@ class Aligner:
         said = "".join(both.tolist()).split("\n")
         numbers = (np.diff(upto[0], prepend=0) << 32 | np.diff(upto[1], prepend=0)).tolist()
         edges = [0, *(8 * upto[2]).tolist()]
-        for c, n, text, lo, hi in zip(chunks, numbers, said, edges, edges[1:], strict=False):
-            self.memo[c] = (n, text, links[lo:hi])
-            self.held += 330 + len(c) + len(text) + hi - lo
+        return {c: (n, text, links[lo:hi]) for c, n, text, lo, hi in zip(chunks, numbers, said, edges, edges[1:], strict=False)}
+
+    def fresh(self, chunks: list[str]) -> dict[str, tuple[int, str, bytes]]:
+        """What is to be known of new chunks; it goes into the table while that has room, so what comes early, and so most often, stays."""
+        found = {}
+        for k in range(0, len(chunks), SOME):
+            found |= self.learn(chunks[k : k + SOME])
+        if self.held < MEMO_BYTES:
+            self.memo |= found
+            self.held += sum([330 + len(c) + len(x[1]) + len(x[2]) for c, x in found.items()])
+        return found
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes] | None]:
         """For each text its numbers of A and of B tokens, the groups' text, and the links as bytes."""
-        if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
         get = self.memo.get
         split = [chunks_of(t) if t and MARK not in t else [] for t in texts]
         found = [list(map(get, own)) for own in split]
-        new = {c for own, got in zip(split, found, strict=True) if None in got for c, x in zip(own, got, strict=True) if x is None and c not in self.memo}
-        if new:
-            self.learn(list(new))
+        new = {c for own, got in zip(split, found, strict=True) if None in got for c, x in zip(own, got, strict=True) if x is None}
+        fresh = self.fresh(list(new)) if new else {}
         for own, got in zip(split, found, strict=True):
             if None in got:
-                got = list(map(get, own))  # noqa: PLW2901
+                got = [fresh.get(c) if x is None else x for c, x in zip(own, got, strict=True)]  # noqa: PLW2901
             if not got or None in got:
                 yield None
                 continue
