@@ -8,11 +8,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from momentis.session import ship
+
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def per_key(rows: DataFrame, key: str, fn: Callable[[pd.DataFrame], list[tuple]], columns: dict[str, str], order: list[str]) -> DataFrame:
     """Rows (key, ...) that fn gives for the ordered rows of each key; columns names their types."""
+    ship(rows.sparkSession)
     names = rows.columns
     kind = rows.schema[key].dataType.simpleString().replace("bigint", "long")
     kinds = [_KINDS[kind], *(_KINDS[k] for k in columns.values())]

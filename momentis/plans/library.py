@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +11,10 @@ from momentis.operators import intervals
 from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
 from momentis.plans.sessions import GROUPS, kill_groups
-from momentis.session import table
+from momentis.session import scratch, table
 from momentis.sources import logs, profiles, tables
 
 
-def scratch(spark) -> str:
-    """A new folder where the session's results may lie: the shared one, if it is named, else the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{named.rstrip('/')}/momentis-plans-{uuid.uuid4().hex}"
-
-
 @query("loudness_log", EV + " SELECT cap AS file, round(CAST(t // 1000 AS DOUBLE) / 1000, 3) AS t, round(-v, 1) + 0.0 AS lufs FROM ev WHERE kind = 'shot' AND t >= 0")
 def loudness_log(spark, sf_dir):
     """Levels read from log lines: a frame's time on one, its level on the next."""

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, KINDS, ORIGIN
-from momentis.plans.library import scratch
 from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
 from momentis.plans.sequential import MARKS, OPEN
-from momentis.session import table
+from momentis.session import scratch, table
 from momentis.streaming import sessions
 
 

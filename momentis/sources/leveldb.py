@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from momentis.session import ship
 from momentis.sources.tables import last_writes
 
 BLOCK = 32768
@@ -136,6 +137,7 @@ def table_writes(data: bytes) -> Iterator[tuple[bytes, int, bool, bytes | None]]
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a store's folder: the last write of each key, without those that were deleted."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content").where(F.col("path").rlike(r"\.(log|ldb|sst)$"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

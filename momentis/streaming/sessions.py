@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from momentis.session import ship
+
 
 def closed_sessions(events: DataFrame, at: str, key: str, gap: str, lateness: str) -> DataFrame:
     """A row per session once the watermark has passed its end; later events don't reopen it (append mode)."""
@@ -30,6 +32,7 @@ def stateful(rows: DataFrame, key: str, start: Callable[[], object], push: Calla
 
     A key's state is as large as what start and push keep in it; rows that arrive after later ones are pushed when they come.
     """
+    ship(rows.sparkSession)
     kinds = {"long": "int64", "double": "float64", "string": "object"}
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -102,6 +105,7 @@ def once(path: str) -> Callable[[DataFrame, int], None]:
 
 def produced(batch: DataFrame, fn: Callable[[dict], str], keys: list[str]) -> DataFrame:
     """What fn makes of each row, with its status: a failure is recorded with its message and, as its key is taken, never tried again by itself."""
+    ship(batch.sparkSession)
     names = batch.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
