@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR
-from momentis.operators import folds, grid, intervals, kernels, matching, sequences
+from momentis.operators import decoders, folds, grid, intervals, kernels, matching, sequences
 from momentis.operators.keyed import per_key
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -163,7 +163,7 @@ def hud_counter(reads: DataFrame) -> DataFrame:
         counter = g[g.kind == "assist"]
         if not len(counter):
             return []
-        state = folds.decode_counter((counter.v // 10).astype(int).to_numpy() % 10, 10)
+        state = decoders.states(decoders.Counter(10), (counter.v // 10).astype(int).to_numpy() % 10)
         rise = np.maximum(np.diff(state, prepend=state[:1]), 0)
         rises = [(t, int(n)) for t, n in zip(counter.t.tolist(), rise, strict=True) if n]
         return [(int(t), how) for t, how in folds.fifo_pairs(rises, g[g.kind == "shot"].t.tolist(), 30 * HOUR, HOUR) if how != "free"]
@@ -188,7 +188,8 @@ def round_score(reads: DataFrame) -> DataFrame:
     """Rounds won by either side, from two scores decoded together."""
 
     def run(g: pd.DataFrame) -> list[tuple]:
-        states = sequences.decode_scores((g.v // 12.5).astype(int).to_numpy() % 9, np.where(g.id % 5 == 0, -1, (g.v // 7).astype(int) % 9), 8)
+        both = decoders.states(decoders.Scores(8), (g.v // 12.5).astype(int).to_numpy() % 9, np.where(g.id % 5 == 0, -1, (g.v // 7).astype(int) % 9))
+        states = [divmod(x, 9) for x in both.tolist()]
         return [(int(t), "won" if b[0] > a[0] else "lost") for t, a, b in zip(g.t.iloc[1:], states, states[1:], strict=False) if b[0] > a[0] or b[1] > a[1]]
 
     return per_key(reads.where("kind = 'shot'").select("cap", "id", "t", "v"), "cap", run, {"t": "long", "kind": "string"}, ["t", "id"])

@@ -47,42 +47,6 @@ def distinct_games(start: np.ndarray, length: np.ndarray, kills: np.ndarray, gam
     return keep
 
 
-def decode_counter(reads: np.ndarray, most: int, step: int = 5) -> np.ndarray:
-    """The likeliest counter under noisy reads (negative: unreadable): it stays, rises by up to `step`, or resets to 0.
-
-    A right read earns 1, a wrong one costs 1; a rise costs 3 and half more per further unit, a reset 25. Only a better path replaces one,
-    so staying wins ties, and then the lowest state.
-    """
-    n, size = len(reads), most + 1
-    score = np.zeros(size)
-    back = np.zeros((n, size), np.int64)
-    states = np.arange(size)
-    # Where each state can come from, in the order that ties prefer: itself, then rises from one below on.
-    rise = np.arange(step + 1)
-    before = states[:, None] - rise
-    cost = np.where(before < 0, np.inf, np.where(rise == 0, 0.0, 3 + 0.5 * (rise - 1)))
-    before = np.maximum(before, 0)
-    earned = np.where(states == np.arange(size)[:, None], 1.0, -1.0)
-    for i, read in enumerate(np.asarray(reads).tolist()):
-        if i:
-            every = score[before] - cost
-            pick = every.argmax(axis=1)
-            best, came = every[states, pick], before[states, pick]
-            top = int(score.argmax())
-            if score[top] - 25 > best[0]:
-                best[0], came[0] = score[top] - 25, top
-            back[i] = came
-        else:
-            best, back[0] = score, states
-        score = best + earned[read] if 0 <= read <= most else best if read < 0 else best - 1.0
-    out = np.zeros(n, np.int64)
-    state = int(np.argmax(score))
-    for i in range(n - 1, -1, -1):
-        out[i] = state
-        state = back[i, state]
-    return out
-
-
 def clutches(allies: list[float], enemies: list[float], own: list[float], gap: float, team: int = 5, least: int = 2, starts: list[float] = (), same: float = 1.5) -> list[tuple[float, int, float]]:
     """Last stands won: when the player was left alone, against how many, and when the last enemy fell.
 

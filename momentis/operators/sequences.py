@@ -99,34 +99,6 @@ def credit_marks(events: list[tuple[float, str, bool]], mark: str, within: float
     return sorted(out, key=lambda e: e[0])
 
 
-def decode_scores(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """The likeliest pair of counters: they stay, one of them rises by one (cost 3), or both reset (cost 25); negative reads are unreadable."""
-    size = most + 1
-    a, b = np.divmod(np.arange(size * size), size)
-    score, back = np.zeros(size * size), np.zeros((len(left), size * size), np.int64)
-    states = np.arange(size * size)
-    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        best, came = score.copy(), states.copy()
-        if i:
-            for ok, step in ((a > 0, size), (b > 0, 1)):
-                up = np.where(ok, score[np.maximum(states - step, 0)] - 3, -np.inf)
-                better = up > best
-                best[better], came[better] = up[better], (states - step)[better]
-            top = int(np.argmax(score))
-            if score[top] - 25 > best[0]:
-                best[0], came[0] = score[top] - 25, top
-        for value, own in ((x, a), (y, b)):
-            if value >= 0:
-                best = best + np.where(own == value, 1.0, -1.0)
-        score, back[i] = best, came
-    out = np.zeros((len(left), 2), np.int64)
-    state = int(np.argmax(score))
-    for i in range(len(left) - 1, -1, -1):
-        out[i] = divmod(state, size)
-        state = back[i, state]
-    return out
-
-
 def extend(start: float, end: float, protected: list[tuple[float, float]], lead: float, tail: float, chain: float, most: float) -> tuple[float, float]:
     """A range grown until it cuts no protected segment, by up to `most` on each side; segments within `chain` of the end continue it."""
     low, high = start - most, end + most
@@ -172,27 +144,6 @@ def longest_common(a: list, b: list) -> int:
     return row[-1]
 
 
-def track_beats(onset: np.ndarray, period: int, tightness: float = 100.0) -> np.ndarray:
-    """Beats by dynamic programming: strong onsets at distances near the period."""
-    n = len(onset)
-    score, back = onset.astype(float).copy(), np.full(n, -1)
-    steps = np.arange(max(1, period // 2), 2 * period + 1)
-    cost = -tightness * np.log(steps / period) ** 2
-    for i in range(n):
-        ok = steps <= i
-        if ok.any():
-            found = score[i - steps[ok]] + cost[ok]
-            k = int(np.argmax(found))
-            if found[k] > 0:
-                score[i], back[i] = onset[i] + found[k], i - steps[ok][k]
-    tail = max(0, n - period)
-    at, out = tail + int(np.argmax(score[tail:])), []
-    while at >= 0:
-        out.append(at)
-        at = back[at]
-    return np.array(out[::-1])
-
-
 def best_lag(a: np.ndarray, b: np.ndarray, most: int, margin: float) -> int | None:
     """The lag of b against a with the highest normalised correlation, if it beats all lags further than two away by the margin."""
     found = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, load_events
-from momentis.operators import folds
+from momentis.operators import decoders, folds
 from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, H, ISLANDS, moments
 from momentis.plans.registry import query
@@ -103,12 +103,7 @@ def distinct_games(spark, sf_dir):
 def counter_viterbi(spark, sf_dir):
     """Rises of a counter read from noisy values (here the tenth of each sample, one in seven unreadable)."""
     reads = load_events(spark, sf_dir).select("cap", "id", "t", F.when(F.col("id") % 7 == 0, -1).otherwise(F.floor(F.col("v") / 10) % 10).cast("int").alias("read"))
-
-    def run(g: pd.DataFrame) -> list[tuple]:
-        state = folds.decode_counter(g["read"].to_numpy(), 10)
-        return list(zip(g.id.tolist(), state.tolist(), np.maximum(np.diff(state, prepend=state[:1]), 0).tolist(), strict=True))
-
-    return per_key(reads, "cap", run, {"id": "long", "state": "long", "rise": "long"}, ["t", "id"])
+    return decoders.decode(reads, "cap", ["t", "id"], "id", ["read"], decoders.Counter(10), {"id": "long", "state": "long", "rise": "long"})
 
 
 @query("clutch_fsm")

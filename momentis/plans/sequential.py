@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis.functions.events import DAY, HOUR, load_events
-from momentis.operators import folds, kernels, matching, sequences
+from momentis.operators import decoders, folds, kernels, matching, sequences
 from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, H, SPANS, positive, signals
 from momentis.plans.registry import query
@@ -130,12 +130,10 @@ def knock_pairs(spark, sf_dir):
 @query("joint_viterbi")
 def joint_viterbi(spark, sf_dir):
     """Two counters decoded together from noisy reads."""
-
-    def run(g):
-        got = sequences.decode_scores((g.v // 12.5).astype(int).to_numpy() % 9, np.where(g.id % 5 == 0, -1, (g.v // 7).astype(int) % 9), 8)
-        return [(int(i), int(a), int(b)) for i, (a, b) in zip(g.id, got, strict=True)]
-
-    return per_capture(load_events(spark, sf_dir).where("kind = 'shot'").select("cap", "id", "t", "v"), run, {"id": "long", "left": "long", "right": "long"}, ["t", "id"])
+    left = F.floor(F.col("v") / 12.5).cast("int") % 9
+    right = F.when(F.col("id") % 5 == 0, -1).otherwise(F.floor(F.col("v") / 7).cast("int") % 9)
+    reads = load_events(spark, sf_dir).where("kind = 'shot'").select("cap", "id", "t", left.alias("a"), right.alias("b"))
+    return decoders.decode(reads, "cap", ["t", "id"], "id", ["a", "b"], decoders.Scores(8), {"id": "long", "left": "long", "right": "long"})
 
 
 @query("scenes", EV + SPANS + f""", l AS (SELECT cap, list({{'s': s, 'e': e}} ORDER BY s, id) AS x FROM pos GROUP BY cap),
@@ -179,8 +177,8 @@ def plateau_segments(spark, sf_dir):
 @query("beat_tracking")
 def beat_tracking(spark, sf_dir):
     """Beats over the windows of a capture's kill signal."""
-    rows = signals(spark, sf_dir).where("kind = 'kill'").select("cap", "win", "raw")
-    return per_capture(rows, lambda g: [(int(g.win.iloc[k]),) for k in sequences.track_beats(g.raw.to_numpy(), 4)], {"win": "long"}, ["win"])
+    rows = signals(spark, sf_dir).where("kind = 'kill'").select("cap", "win", F.col("raw").cast("double").alias("raw"))
+    return decoders.decode(rows, "cap", ["win"], "win", ["raw"], decoders.Beats(4), {"win": "long"})
 
 
 @query("spectrum_peaks")

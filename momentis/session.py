@@ -79,6 +79,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir; what is done with it may need this package on the executors."""
     ship(spark)

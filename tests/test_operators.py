@@ -52,11 +52,6 @@ def test_folds():
     assert folds.distinct_games(*two, game=["a", "b"]).all() and folds.distinct_games(*two, reliable=[True, False]).all()
     assert folds.distinct_games(*two, reliable=[False, False], size=[5, 5]).tolist() == folds.distinct_games(*two, reliable=[False, False], file=["x", "x"]).tolist() == [False, True]
     assert folds.budgeted(np.array([15.0, 15, 15]), np.array([0.6, 0.9, 0.8]), 35, 3).tolist() == [5, 15, 15]
-    reads = np.array([0] * 8 + [-1] * 4 + [4] * 8)
-    state = folds.decode_counter(reads, 10)
-    assert int(np.maximum(np.diff(state), 0).sum()) == 4
-    state = folds.decode_counter(np.array([13] * 20 + [18] * 4 + [13] * 20), 20)
-    assert set(state.tolist()) == {13}
     assert [x for x in folds.fifo_pairs([(382.5, 1), (388.5, 1), (578.5, 1)], [366, 370, 693], 30, 1)] == [(366, "paired"), (370, "paired"), (578.5, "lone"), (693, "free")]
     assert folds.sellers("ELIMINATION", "XXELIMNATIONXX") == 1
     assert folds.track_log([(k, 10.0, "kill") for k in range(5)], 6, 32, 2) == [(0, "kill")]

@@ -24,13 +24,6 @@ def test_attribution_and_fusion():
     assert s.credit_marks(marks, "kill", 10, 30) == [(1, "kill"), (2, "kill"), (2, "spree"), (2, "spree"), (50, "spree")]
 
 
-def test_joint_decoding():
-    left = np.array([0] * 6 + [1] * 6 + [1] * 3 + [-1] * 2 + [1] * 4)
-    right = np.array([0] * 12 + [7] * 1 + [1] * 8)
-    got = s.decode_scores(left, right, 8)
-    assert got[-1].tolist() == [1, 1] and (np.diff(got, axis=0) >= 0).all()
-
-
 def test_ranges():
     assert s.extend(10, 20, [(9, 11), (19, 22)], 0.2, 0.4, 0.7, 5) == (8.8, 22.4)
     assert s.scenes([(0, 5), (6, 9), (30, 40), (41, 80)], 2, 20) == [(0, 9), (30, 40), (41, 80)]
@@ -39,9 +32,6 @@ def test_ranges():
 
 def test_kernels():
     assert s.longest_common(list("abcbdab"), list("bdcaba")) == 4
-    onset = np.zeros(200)
-    onset[5::20] = 1
-    assert np.diff(s.track_beats(onset, 20)).tolist() == [20] * 9
     rng = np.random.default_rng(0)
     a = rng.normal(size=300)
     assert s.best_lag(a, np.roll(a, 7), 20, 0.2) == 7 and s.best_lag(a, rng.normal(size=300), 20, 0.5) is None
