@@ -38,9 +38,9 @@ from momentis.llm.packing import ChunkTokens
 
 BROADCAST_PAIRS = 500_000
 #: What the table of chunks may hold, in bytes of chunks and results.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 96 << 20
 #: Chunks that are encoded at once.
-SOME = 20_000
+SOME = 10_000
 MARK = "▁"
 
 
@@ -229,8 +229,7 @@ def link_scores(aligned: DataFrame, key: str = "doc_id", broadcast: int = BROADC
     if "uid" not in aligned.columns:
         aligned = numbered(aligned, "uid")
     counts = materialize(pair_counts(aligned))
-    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    links = aligned.select("uid", F.col(f"`{key}`").alias("key"), *names, F.inline_outer("links"))
+    links = aligned.select("uid", F.inline("links"))
     if counts.count() <= broadcast:
         scored = links.join(F.broadcast(counts), "pair", "left")
     else:
@@ -244,11 +243,12 @@ def link_scores(aligned: DataFrame, key: str = "doc_id", broadcast: int = BROADC
             least = row["level"]
         frequent = F.length(F.bin("count")) >= least
         near = links.join(F.broadcast(counts.where(frequent)), "pair", "left")
-        far = near.where("pair IS NOT NULL AND count IS NULL").drop("count", "best").join(counts.where(~frequent), "pair")
-        scored = near.where("pair IS NULL OR count IS NOT NULL").unionByName(far)
-    sums = [F.coalesce(F.sum(F.when(F.col("best"), F.col("n"))), F.lit(0)).alias("n_best"), F.coalesce(F.sum(F.col("n") * F.col("count")), F.lit(0)).alias("count_sum")]
-    found = scored.groupBy("uid").agg(*(F.first(x).alias(x) for x in ("key", *names)), *sums)
-    return found.select(F.col("key").alias(key), *names[:4], "n_best", "count_sum", "groups_sha256")
+        far = near.where("count IS NULL").drop("count", "best").join(counts.where(~frequent), "pair")
+        scored = near.where("count IS NOT NULL").unionByName(far)
+    # Numbers alone are summed, where the links lie; the documents' other columns meet the sums once.
+    sums = scored.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    found = aligned.drop("links").join(sums, "uid", "left")
+    return found.select(key, "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")), "groups_sha256")
 
 
 def op11_token_alignment(spark, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
