@@ -157,30 +157,43 @@ class Needle:
         return False
 
 
-def track_log(rows: list[tuple[float, float, str]], hold: float, pitch: float, sightings: int, drop: int = 0) -> list[tuple[float, str]]:
-    """(first time, kind) of lines seen in frames, given as (time, y, kind), once they have been seen `sightings` times.
+class LogLines:
+    """Lines of a log seen in frames: `frame` takes a frame's rows (y, kind) and gives (first frame, kind) of the lines that have now been seen `sightings` times.
 
     A line is the nearest of its kind that was last seen up to `hold` before and that has risen by up to four and a half pitches or fallen by up to 0.6 of one and `drop`
-    whole ones; a frame's lines are matched from the top, each with a line of its own.
+    whole ones; a frame's lines are matched from the top, each with a line of its own. What is kept of a line is a plain tuple.
     """
-    live: list[list] = []  # kind, y, last, first, sightings
-    out = []
+
+    live = "kind string, y double, last double, first double, sightings long"
+    found = {"frame": "long", "kind": "string"}
+
+    def __init__(self, hold: float, pitch: float, sightings: int, drop: int = 0):
+        self.hold, self.pitch, self.sightings, self.drop = hold, pitch, sightings, drop
+
+    def kept(self, live: list[tuple], t: float) -> list[tuple]:
+        """Lines that a row at t may still belong to."""
+        return [x for x in live if t - x[2] <= self.hold]
+
+    def frame(self, live: list[tuple], t: float, rows: list[tuple[float, str]]) -> tuple[list[tuple], list[tuple[float, str]]]:
+        free, seen, out = self.kept(live, t), [], []
+        for y, kind in sorted(rows, key=lambda r: r[0]):
+            near = [x for x in free if x[0] == kind and -4.5 * self.pitch <= y - x[1] <= (0.6 + self.drop) * self.pitch]
+            own = min(near, key=lambda x: abs(x[1] - y)) if near else (kind, y, t, t, 0)
+            free = [x for x in free if x is not own]
+            own = (kind, y, t, own[3], own[4] + 1)
+            if own[4] == self.sightings:
+                out.append((own[3], kind))
+            seen.append(own)
+        return seen + free, out
+
+
+def track_log(rows: list[tuple[float, float, str]], hold: float, pitch: float, sightings: int, drop: int = 0) -> list[tuple[float, str]]:
+    """(first time, kind) of lines seen in frames, given as (time, y, kind); see `LogLines`."""
     frames: dict[float, list[tuple[float, str]]] = {}
     for t, y, kind in rows:
         frames.setdefault(t, []).append((y, kind))
+    lines, live, out = LogLines(hold, pitch, sightings, drop), [], []
     for t in sorted(frames):
-        free = [x for x in live if t - x[2] <= hold]
-        seen = []
-        for y, kind in sorted(frames[t], key=lambda r: r[0]):
-            near = [x for x in free if x[0] == kind and -4.5 * pitch <= y - x[1] <= (0.6 + drop) * pitch]
-            if near:
-                own = min(near, key=lambda x: abs(x[1] - y))
-                free = [x for x in free if x is not own]
-            else:
-                own = [kind, y, t, t, 0]
-            own[1], own[2], own[4] = y, t, own[4] + 1
-            if own[4] == sightings:
-                out.append((own[3], kind))
-            seen.append(own)
-        live = seen + free
+        live, found = lines.frame(live, t, frames[t])
+        out += found
     return out

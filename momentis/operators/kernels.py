@@ -155,55 +155,89 @@ def fill_gaps(values: list[tuple[float, int]], window: float) -> list[tuple[floa
     return [(a, b, v + 1) for (a, v), (b, w) in zip(values, values[1:], strict=False) if w == v + 2 and b - a <= window]
 
 
-def track_shapes(shapes: list[np.ndarray], alike: float, stable: int = 1) -> tuple[list[int | None], list[int]]:
-    """The cluster of the stable shape in each frame (None before the first), and the frames in which a shape began that hadn't been seen since the first one.
+class Shapes:
+    """Clusters of the stable shapes that frames show, frame by frame.
 
     A shape is stable in its `stable`th frame in a row; it belongs to the first cluster it is like, or makes one. The first cluster is the zero: back at it,
-    all others are unseen again.
+    all others are unseen again. Kept are the clusters with whether they were seen since, and the frame's own place: (current cluster, candidate, start, run).
     """
-    clusters: list[np.ndarray] = []
-    seen: set[int] = set()
-    current = candidate = None
-    start = run = 0
-    states, changes = [], []
-    for frame, x in enumerate(shapes):
+
+    def __init__(self, alike: float, stable: int = 1):
+        self.alike, self.stable = alike, stable
+
+    def push(self, clusters: dict[int, tuple[list[float], bool]], place: tuple, frame: int, x: np.ndarray) -> tuple[tuple, int | None]:
+        """The next place, and the frame in which a shape began that hadn't been seen since the first one, if there's one now; changes clusters in place."""
+        current, candidate, start, run = place
         x = x / max(float(np.linalg.norm(x)), 1e-12)
-        if candidate is not None and float(candidate @ x) >= alike:
+        if candidate is not None and float(np.dot(candidate, x)) >= self.alike:
             run += 1
         else:
-            candidate, start, run = x, frame, 1
-        if run == stable:
-            own = next((k for k, c in enumerate(clusters) if float(c @ candidate) >= alike), None)
+            candidate, start, run = x.tolist(), frame, 1
+        fresh = None
+        if run == self.stable:
+            own = next((k for k in sorted(clusters) if float(np.dot(clusters[k][0], candidate)) >= self.alike), None)
             if own is None:
                 own = len(clusters)
-                clusters.append(candidate)
+                clusters[own] = candidate, False
             if own != current:
                 current = own
                 if own == 0:
-                    seen = {0}
-                elif own not in seen:
-                    seen.add(own)
-                    changes.append(start)
-        states.append(current)
+                    for k, (c, _) in list(clusters.items()):
+                        clusters[k] = c, k == 0
+                elif not clusters[own][1]:
+                    clusters[own] = clusters[own][0], True
+                    fresh = start
+        return (current, candidate, start, run), fresh
+
+
+def track_shapes(shapes: list[np.ndarray], alike: float, stable: int = 1) -> tuple[list[int | None], list[int]]:
+    """The cluster of the stable shape in each frame (None before the first), and the frames in which a new shape began; see `Shapes`."""
+    tracker, clusters, place = Shapes(alike, stable), {}, (None, None, 0, 0)
+    states, changes = [], []
+    for frame, x in enumerate(shapes):
+        place, fresh = tracker.push(clusters, place, frame, x)
+        states.append(place[0])
+        if fresh is not None:
+            changes.append(fresh)
     return states, changes
 
 
-def track_rows(frames: list[list[tuple[float, float, str]]], overlap: float, sightings: int, hold: int) -> list[tuple[int, str]]:
-    """(first frame, role) of rows (left, y, role) that only move up and keep their column, once seen often enough."""
-    live: list[dict] = []
-    out = []
-    for f, rows in enumerate(frames):
-        live = [x for x in live if f - x["last"] <= hold]
+class FeedRows:
+    """Rows of a feed seen in frames, given as (left, y, role): they only move up and keep their column; `frame` gives (first frame, role) of rows seen often enough.
+
+    Frames are counted, not timed: a row is forgotten after `hold` frames without it. What is kept of a row is a plain tuple.
+    """
+
+    live = "first long, role string, left double, y double, last long, n long"
+    found = {"first": "long", "role": "string"}
+
+    def __init__(self, overlap: float, sightings: int, hold: int):
+        self.overlap, self.sightings, self.hold = overlap, sightings, hold
+
+    def kept(self, live: list[tuple], f: int) -> list[tuple]:
+        return [x for x in live if f - x[4] <= self.hold]
+
+    def frame(self, live: list[tuple], f: int, rows: list[tuple[float, float, str]]) -> tuple[list[tuple], list[tuple[int, str]]]:
+        live, out = self.kept(live, f), []
         for left, y, role in rows:
-            same = [x for x in live if x["role"] == role and abs(x["left"] - left) <= overlap and y <= x["y"] + 1e-9 and x["last"] < f]
-            own = min(same, key=lambda x: (abs(x["left"] - left), x["y"] - y)) if same else None
+            same = [k for k, x in enumerate(live) if x[1] == role and abs(x[2] - left) <= self.overlap and y <= x[3] + 1e-9 and x[4] < f]
+            own = min(same, key=lambda k: (abs(live[k][2] - left), live[k][3] - y)) if same else None
             if own is None:
-                own = {"first": f, "role": role, "n": 0, "out": False}
-                live.append(own)
-            own.update(last=f, left=left, y=y, n=own["n"] + 1)
-            if own["n"] >= sightings and not own["out"]:
-                own["out"] = True
-                out.append((own["first"], role))
+                own = len(live)
+                live.append((f, role, left, y, f, 0))
+            first, _, _, _, _, n = live[own]
+            live[own] = first, role, left, y, f, n + 1
+            if n + 1 == self.sightings:
+                out.append((first, role))
+        return live, out
+
+
+def track_rows(frames: list[list[tuple[float, float, str]]], overlap: float, sightings: int, hold: int) -> list[tuple[int, str]]:
+    """(first frame, role) of the rows of all frames; see `FeedRows`."""
+    tracker, live, out = FeedRows(overlap, sightings, hold), [], []
+    for f, rows in enumerate(frames):
+        live, found = tracker.frame(live, f, rows)
+        out += found
     return out
 
 

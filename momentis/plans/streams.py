@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, KINDS, ORIGIN
+from momentis.operators import folds, kernels
 from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
 from momentis.plans.sequential import MARKS, OPEN
 from momentis.session import scratch, table
-from momentis.streaming import sessions
+from momentis.streaming import sessions, trackers
 
 
 def event_stream(spark, sf_dir: str) -> DataFrame:
@@ -75,3 +76,36 @@ def stream_open_hits(spark, sf_dir):
     marks = event_stream(spark, sf_dir).where("kind in ('kill', 'shot', 'death')").select("cap", "id", "t", "kind").withColumn("later", (F.col("kind") != "shot").cast("int"))
     push = lambda own, rows: [x for t, kind in zip(rows.t.tolist(), rows.kind, strict=True) for x in own.push(t, MARKS[kind])]
     return drained(spark, sessions.stateful(marks, "cap", lambda: sessions.OpenHits(48 * HOUR, 12 * HOUR), push, {"t": "long", "kind": "string"}, ["t", "later", "id"]))
+
+
+LATENESS = "6 hours"
+
+
+def _framed(e: DataFrame, hours: int, *columns) -> DataFrame:
+    return e.select("cap", F.floor(F.col("t") / (hours * HOUR)).alias("frame"), "id", *columns, "at")
+
+
+def _spans(hours: int) -> dict[str, int]:
+    return {"span": hours * HOUR // 1000, "origin": ORIGIN // 1000}
+
+
+@query("stream_log_tracks")
+def stream_log_tracks(spark, sf_dir):
+    """Lines followed over frames of three hours that the watermark has closed; over closed frames equal to `log_tracks`."""
+    rows = _framed(event_stream(spark, sf_dir).where("kind in ('shot', 'assist')"), 3, F.col("v").alias("y"), "kind")
+    return drained(spark, trackers.log_lines(rows, "cap", "at", LATENESS, folds.LogLines(16, 20.0, 2), **_spans(3)))
+
+
+@query("stream_row_tracks")
+def stream_row_tracks(spark, sf_dir):
+    """Rows followed over frames of six hours that the watermark has closed; over closed frames equal to `row_tracks`."""
+    rows = _framed(event_stream(spark, sf_dir).where("kind in ('kill', 'death')"), 6, (F.col("id") % 4).cast("double").alias("left"), F.col("v").alias("y"), F.col("kind").alias("role"))
+    return drained(spark, trackers.feed_rows(rows, "cap", "at", LATENESS, kernels.FeedRows(0.5, 2, 8), **_spans(6)))
+
+
+@query("stream_shapes")
+def stream_shapes(spark, sf_dir):
+    """Shapes that events show (unit vectors at an angle that the value gives), clustered in order of their hours."""
+    angle = F.floor(F.col("v") / 12.5) * F.lit(3.141592653589793 / 8)
+    rows = _framed(event_stream(spark, sf_dir).where("kind = 'assist'"), 1, F.array(F.cos(angle), F.sin(angle)).alias("x"))
+    return drained(spark, trackers.shape_clusters(rows, "cap", "at", LATENESS, kernels.Shapes(0.95), **_spans(1)))

@@ -182,5 +182,5 @@ def test_shapes_of_other_queries(spark, captures):
     assert clips and all(6 * HOUR <= r.e - r.s <= 24 * HOUR and r.day * 24 * HOUR <= r.s for r in clips)
     assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"} and all(r.rule is None or r.rule >= 0 for r in run("fuzzy_needles"))
     known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_fsm", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
-    known |= {"budget_clips", "variant_distance", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
+    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "budget_clips", "variant_distance", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
     assert set(registry.queries()) - set(registry.oracle_sql()) == known
