@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, TOTAL, clamp, load_events
-from momentis.operators import grid, intervals, matching
+from momentis.operators import grid, intervals, matching, slots
+from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, FUSED, GATED, ISLANDS, SIGNAL, H, fused, gated, moments, signals
 from momentis.plans.registry import query
 from momentis.plans.sessions import GAMES, GROUPS, games, kill_groups, outcomes, rounds
@@ -216,6 +220,34 @@ def slot_assignment(spark, sf_dir):
     return first.join(slots.select("cap", "place", F.col("win").alias("time_slot")), ["cap", "place"], "left").select("cap", "grp", "build_slot", "time_slot")
 
 
+@query("slot_plan")
+def slot_plan(spark, sf_dir):
+    """Groups laid into a capture's slots, building up and in time order, with slots that grow into free ones and exchanges that bring groups of as many kills together.
+
+    A slot is a day with assists, of four beats, or eight where it is quiet; its importance is its loudest value, and the loudest is the drop. Only as many groups as there are slots take part,
+    the best by rank, so a task holds two rows for each day of a capture.
+    """
+    by = lambda *order: F.row_number().over(Window.partitionBy("cap").orderBy(*order))
+    days = load_events(spark, sf_dir).where("kind = 'assist'").groupBy("cap", F.floor(F.col("t") / (24 * HOUR)).alias("n")).agg(F.max("v").alias("x"))
+    days = days.select("cap", F.lit(0).alias("side"), "n", "x", F.col("n").alias("t"), F.lit(0).cast("long").alias("kills"))
+    groups = kill_groups(spark, sf_dir).withColumn("x", F.col("kills") + F.col("score") / 10)
+    groups = groups.withColumn("place", by(F.desc("x"), "s", "grp")).join(days.groupBy("cap").agg(F.count("*").alias("room")), "cap").where("place <= room")
+    rows = days.unionByName(groups.select("cap", F.lit(1).alias("side"), F.col("grp").alias("n"), "x", F.col("s").alias("t"), "kills"))
+
+    def run(g: pd.DataFrame) -> list[tuple]:
+        own, cells, at = g[g.side == 0], [], 0
+        for x in own.x.tolist():
+            cells.append(slots.Cell(at, at + (8 if x < 50 else 4), x / 100))
+            at = cells[-1].stop
+        drop = int(own.x.to_numpy().argmax())
+        cells[drop] = replace(cells[drop], drop=True, importance=cells[drop].importance + 10)
+        taking = [slots.Group(n, x, 2 + 2 * k, t, k, k) for n, x, t, k in g[g.side == 1][["n", "x", "t", "kills"]].itertuples(index=False, name=None)]
+        board = slots.Board(cells, 12, apart=24.0 * HOUR)
+        return [(how, c.group.key, c.start, c.stop) for how, laid in (("build", slots.build_up(board, taking)), ("time", slots.in_time(board, taking))) if taking for c in laid]
+
+    return per_key(rows, "cap", run, {"manner": "string", "grp": "long", "start_beat": "long", "end_beat": "long"}, ["side", "t", "n"])
+
+
 @query("margin_merge", EV + HL + f""", m AS (SELECT cap, grp, greatest(s - {18 * H}, 0) AS s, least(e + {18 * H}, {720 * H}) AS e, peak, score FROM hl),
  i AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY cap ORDER BY s, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM m), n AS (SELECT *, sum(f) OVER (PARTITION BY cap ORDER BY s, grp) AS island FROM i)
  SELECT cap, min(grp) AS grp, min(s) AS s, max(e) AS e, max(score) AS score, arg_min(peak, (-score, s, grp)) AS peak FROM n GROUP BY cap, island""".replace("arg_min(peak, (-score, s, grp))", "list_extract(list_sort(list((-score, s, grp, peak))), 1)[4]"))
