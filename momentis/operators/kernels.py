@@ -253,27 +253,6 @@ def plateaus(reads: list[int | None], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def choice_weights(options: list[np.ndarray], chosen: list[int], prior: np.ndarray, steps: int = 300, rate: float = 0.2, penalty: float = 0.1) -> np.ndarray:
-    """Weights of a conditional choice model, drawn towards the prior."""
-    w = prior.astype(float).copy()
-    for _ in range(steps):
-        slope = penalty * (prior - w)
-        for x, k in zip(options, chosen, strict=True):
-            p = np.exp(x @ w - (x @ w).max())
-            slope += (x[k] - (p / p.sum()) @ x) / len(options)
-        w += rate * slope
-    return w
-
-
-def held_out_hits(options: list[np.ndarray], chosen: list[int], prior: np.ndarray) -> float:
-    """Share of choices that a model of all others gets right."""
-    hits = 0
-    for k in range(len(options)):
-        w = choice_weights(options[:k] + options[k + 1 :], chosen[:k] + chosen[k + 1 :], prior)
-        hits += int(np.argmax(options[k] @ w)) == chosen[k]
-    return hits / max(1, len(options))
-
-
 def held_out_median_error(x: np.ndarray) -> tuple[float, float]:
     """Mean absolute error of the median of all others, and of no offset."""
     others = [abs(x[k] - np.median(np.delete(x, k))) for k in range(len(x))] if len(x) > 1 else [0.0]

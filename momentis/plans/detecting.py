@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis import detectors
-from momentis.functions.events import HOUR, load_events
-from momentis.operators import kernels, sequences
+from momentis.functions.events import DAY, HOUR, load_events
+from momentis.operators import learners, sequences
 from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, SPANS, H, positive
 from momentis.plans.registry import query
@@ -230,25 +230,53 @@ def cue_candidates(spark, sf_dir):
     return by.groupBy("cap", "kind").agg(F.count("*").alias("marks"), F.round(F.avg("nearest") / F.lit(float(HOUR)), 6).alias("hours")).where("marks >= 2")
 
 
+def day_choices(spark, sf_dir: str) -> DataFrame:
+    """Each day of a capture with two events or more as a choice: its events as options (value, kill, assist, lateness), and the place of the strongest."""
+    e = load_events(spark, sf_dir).select("cap", "id", "t", F.floor(F.col("t") / DAY).alias("day"), "v", "kind")
+    flag = lambda kind: (F.col("kind") == kind).cast("double")
+    option = F.array(F.col("v") / 100, flag("kill"), flag("assist"), (F.col("t") - F.col("day") * DAY) / DAY)
+    strength = F.col("v") + F.when(F.col("kind") == "kill", 10).otherwise(0)
+    rows = e.groupBy("cap", "day").agg(F.sort_array(F.collect_list(F.struct("t", "id", strength.alias("s"), option.alias("x")))).alias("o")).where(F.size("o") >= 2)
+    chosen = F.array_position(F.transform("o", lambda x: x["s"]), F.array_max(F.transform("o", lambda x: x["s"]))) - 1
+    return rows.select("cap", "day", F.transform("o", lambda x: x["x"]).alias("options"), chosen.alias("chosen"))
+
+
+RULE = [1.0, 0.0, 0.0, 0.0]
+
+
 @query("choice_learner")
 def choice_learner(spark, sf_dir):
-    """Weights of a conditional choice (each day's strongest event among all of it), learned from a prior for each capture, and the share of held-out choices they get right."""
+    """A choice model for each capture over all its days, drawn towards the rule (the highest value), with the days that models without them find and those that the rule finds."""
 
     def run(g: pd.DataFrame) -> list[tuple]:
-        options, chosen = [], []
-        for _, day in g.groupby("day"):
-            if 2 <= len(day) <= 8:
-                options.append(np.column_stack([day.v / 100, (day.kind == "kill").astype(float)]))
-                chosen.append(int(np.argmax(day.v.to_numpy() + 10 * (day.kind == "kill"))))
-        options, chosen = options[:6], chosen[:6]
-        if len(options) < 3:
-            return []
-        prior = np.array([0.5, 0.5])
-        w = kernels.choice_weights(options, chosen, prior, steps=60)
-        return [(round(float(w[0]), 6), round(float(w[1]), 6), round(kernels.held_out_hits(options, chosen, prior), 6))]
-
-    rows = load_events(spark, sf_dir).select("cap", "id", "t", F.floor(F.col("t") / (24 * HOUR)).alias("day"), "v", "kind")
-    return per_key(rows, "cap", run, {"value": "double", "kill": "double", "held_out": "double"}, ["t", "id"])
+        n = len(g)
+        folds = min(n, learners.FOLDS)
+        rows = [(k % folds, np.stack(o), c) for k, (o, c) in enumerate(zip(g.options, g.chosen.tolist(), strict=True))]
+        task = learners.Choice(np.array(RULE))
+        w = learners.fitted_here(task, rows, folds)
+        hits, by_rule = (sum(task.right(r, w[r[0]] if own else task.rule) for r in rows) for own in (True, False))
+        return [(*np.round(w[-1], 6).tolist(), n, hits, by_rule, n >= 6 and hits > by_rule)]
+
+    return per_key(day_choices(spark, sf_dir), "cap", run, {"value": "double", "kill": "double", "assist": "double", "late": "double", "days": "long", "hits": "long", "rule_hits": "long", "active": "boolean"}, ["day"])
+
+
+@query("library_choice_learner")
+def library_choice_learner(spark, sf_dir):
+    """One choice model over the days of all captures: slopes and curvatures are summed in Spark, pass by pass."""
+    m = learners.choice_model(day_choices(spark, sf_dir), F.struct("cap", "day"), F.col("options"), F.col("chosen"), RULE)
+    rows = [(n, round(x, 6), m["rows"], m["hits"], m["rule_hits"], m["active"]) for n, x in zip(["value", "kill", "assist", "late"], m["weights"], strict=True)]
+    return spark.createDataFrame(rows, "feature string, weight double, days long, hits long, rule_hits long, active boolean")
+
+
+@query("quality_gate")
+def quality_gate(spark, sf_dir):
+    """The logistic model of all labelled documents, used only if models without a document get four of five right."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    n = F.greatest("n_chars", F.lit(1))
+    x = F.array(F.log1p("n_chars"), F.length(F.regexp_replace("text", "[^|#*$%&]", "")) / n, F.size(F.split("text", "\n")) / n, F.length(F.regexp_replace("text", "[^A-Z!]", "")) / n)
+    m = learners.logistic_model(d, F.col("doc_id"), x, F.col("quality"))
+    rows = [(k, round(v, 6), m["rows"], m["accuracy"], m["active"]) for k, v in zip(["length", "symbols", "lines", "shouting", "bias"], [*m["weights"], m["bias"]], strict=False)]
+    return spark.createDataFrame(rows, "feature string, weight double, documents long, accuracy double, active boolean")
 
 
 @query("preference_learner")

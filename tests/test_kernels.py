@@ -53,12 +53,6 @@ def test_trackers():
     assert k.best_labelling(np.array([[1.0, 0.2, 0.1], [0.9, 0.8, 0.0]]))[0] == (pytest.approx(1.8), (0, 1))
 
 
-def test_learners():
-    rng = np.random.default_rng(3)
-    hidden = np.array([2.0, -1.0])
-    options = [rng.normal(size=(4, 2)) for _ in range(40)]
-    chosen = [int(np.argmax(x @ hidden)) for x in options]
-    w = k.choice_weights(options, chosen, np.zeros(2))
-    assert w[0] > 0 > w[1] and k.held_out_hits(options[:12], chosen[:12], np.array([1.0, -0.5])) > 0.7
+def test_held_out_median():
     own, none = k.held_out_median_error(np.array([2.0, 2.1, 1.9, 2.0]))
     assert own < 0.2 < none
