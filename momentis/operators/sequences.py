@@ -134,14 +134,49 @@ def paced(captions: list[tuple[float, str]], base: float = 0.4, per_sign: float
     return out
 
 
+def _common_row(a: list, b: list) -> int:
+    """The last row of the table of common subsequences, a bit for each item of a: a zero where the length grows."""
+    places: dict = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        same = row & places.get(y, 0)
+        row = (row + same | row - same) & full
+    return row
+
+
 def longest_common(a: list, b: list) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for k, y in enumerate(b, 1):
-            row[k], last = (last + 1 if x == y else max(row[k], row[k - 1])), row[k]
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table at a time, as the bits of one number."""
+    return len(a) - _common_row(a, b).bit_count()
+
+
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    """Lengths common to b and each beginning of a, the empty one first."""
+    row = _common_row(a, b)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-max(len(a), 1) // 8), "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_places(a: list, b: list) -> list[tuple[int, int]]:
+    """The places (i, j) of a longest common subsequence, in order: b is halved, and a cut where both halves have most in common, so no table is kept."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        if m == i or n == j:
+            continue
+        if n - j == 1:
+            if (k := next((k for k in range(i, m) if a[k] == b[j]), None)) is not None:
+                out.append((k, j))
+            continue
+        half = (j + n) // 2
+        before = _prefix_lengths(a[i:m], b[j:half])
+        after = _prefix_lengths(a[i:m][::-1], b[half:n][::-1])[::-1]
+        cut = i + int((before + after).argmax())
+        todo += [(cut, m, half, n), (i, cut, j, half)]
+    return sorted(out)
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, most: int, margin: float) -> int | None:

@@ -200,7 +200,13 @@ def longest_window(spark, sf_dir):
 
     The cost grows with the length, so instead of halving the length step by step the distance of the sixth nearest event gives the answer at once.
     """
-    pairs = highlights(spark, sf_dir).select("cap", "grp", "peak").join(load_events(spark, sf_dir).select("cap", "id", "t"), "cap")
+    # The sixth nearest is among six events before the peak and six after it, by their places in time: no moment meets more.
+    order = Window.partitionBy("cap").orderBy("t", "later", "id")
+    events = load_events(spark, sf_dir).select("cap", "id", "t", F.lit(0).alias("later"), F.lit(None).cast("long").alias("grp"))
+    peaks = highlights(spark, sf_dir).select("cap", F.lit(None).cast("long").alias("id"), F.col("peak").alias("t"), F.lit(1).alias("later"), F.col("grp").cast("long").alias("grp"))
+    placed = events.unionByName(peaks).withColumn("place", F.sum(1 - F.col("later")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    beside = placed.where("later = 1").select("cap", "grp", F.col("t").alias("peak"), F.explode(F.sequence(F.col("place") - 5, F.col("place") + 6)).alias("place"))
+    pairs = beside.join(placed.where("later = 0").select("cap", "place", "id", "t"), ["cap", "place"])
     near = Window.partitionBy("cap", "grp").orderBy("d", "id")
     ranked = pairs.withColumn("d", F.abs(F.col("t") - F.col("peak"))).withColumn("n", F.row_number().over(near)).where("n <= 6")
     half = F.least(F.coalesce(F.min(F.when(F.col("n") == 6, F.col("d"))) - 1, F.lit(240 * HOUR)), F.lit(240 * HOUR))

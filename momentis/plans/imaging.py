@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from momentis.functions.events import DAY, HOUR, load_events
 from momentis.operators import grid, intervals, kernels, matching, sequences
 from momentis.operators.keyed import per_key
-from momentis.plans.moments import EV, SIGNAL, H, signals
+from momentis.plans.moments import EV, MERGED, SIGNAL, H, positive, signals
 from momentis.plans.registry import query
 from momentis.session import table
 
@@ -354,8 +354,8 @@ def _best_elsewhere(image: np.ndarray) -> float:
 
 @query("common_subsequences")
 def common_subsequences(spark, sf_dir):
-    """Length of the longest common subsequence of each capture's kinds in its first and last forty events."""
-    run = lambda g: [(sequences.longest_common(g.kind.tolist()[:40], g.kind.tolist()[-40:]),)]
+    """Length of the longest common subsequence of the kinds in each capture's earlier and later half."""
+    run = lambda g: [(sequences.longest_common(g.kind.tolist()[: len(g) // 2], g.kind.tolist()[len(g) // 2 :]),)]
     return per_key(load_events(spark, sf_dir).select("cap", "id", "t", "kind"), "cap", run, {"length": "long"}, ["t", "id"])
 
 
@@ -366,7 +366,7 @@ def variant_distance(spark, sf_dir):
     def run(g: pd.DataFrame) -> list[tuple]:
         a, b = g[g.id % 3 != 0], g[g.id % 3 != 1]
         most = max(len(a), len(b), 1)
-        apart = 1 - sequences.longest_common(a.id.tolist(), b.id.tolist()) / most
+        apart = 1 - len(sequences.common_places(a.id.tolist(), b.id.tolist())) / most
         cuts = 1 - len(np.intersect1d(a.t // DAY, b.t // DAY)) / max(len(np.union1d(a.t // DAY, b.t // DAY)), 1)
         shift = min(1.0, abs(float(a.t.iloc[0] - b.t.iloc[0])) / (4 * DAY)) if len(a) and len(b) else 1.0
         return [(round(max(apart, cuts, shift), 6),)]
@@ -413,6 +413,31 @@ def windows_table_function(spark, sf_dir):
     return spark.sql("SELECT k.cap, k.id, w.win FROM kills_to_cover k, LATERAL covering_windows(k.t) w")
 
 
+@query("merging_table_function", EV + MERGED + " SELECT cap, s, e FROM merged")
+def merging_table_function(spark, sf_dir):
+    """Merged spans by a table function over partitions: it keeps the open span from row to row and gives the last one at its partition's end, which no built-in generator can."""
+
+    @F.udtf(returnType="cap long, s long, e long")
+    class Merging:
+        def __init__(self):
+            self.open = None
+
+        def eval(self, row):  # noqa: A003
+            if self.open and row["s"] <= self.open[2]:
+                self.open[2] = max(self.open[2], row["e"])
+                return
+            if self.open:
+                yield tuple(self.open)
+            self.open = [row["cap"], row["s"], row["e"]]
+
+        def terminate(self):
+            if self.open:
+                yield tuple(self.open)
+
+    spans = positive(spark, sf_dir).select("cap", "s", "e")
+    return Merging(spans.asTable().partitionBy("cap").orderBy("s", "e"))
+
+
 @query("model_labels")
 def model_labels(spark, sf_dir):
     """Classes of vectors by a model loaded once for each worker and applied in batches of 32: here the nearest of fixed directions."""

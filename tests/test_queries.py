@@ -104,12 +104,27 @@ def plain_credits(rows_):
 
 
 def plain_common(rows_):
-    a, b = [r[2] for r in rows_][:40], [r[2] for r in rows_][-40:]
+    half = len(rows_) // 2
+    return [(common([r[2] for r in rows_[:half]], [r[2] for r in rows_[half:]]),)]
+
+
+def common(a, b):
     table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table_[i + 1][j + 1] = table_[i][j] + 1 if x == y else max(table_[i][j + 1], table_[i + 1][j])
-    return [(table_[-1][-1],)]
+    return table_[-1][-1]
+
+
+def plain_distance(rows_):
+    kills = of(rows_, "kill")
+    if not kills:
+        return []
+    a, b = [r for r in kills if r[0] % 3 != 0], [r for r in kills if r[0] % 3 != 1]
+    days = [{t // (24 * HOUR) for _, t, _, _ in x} for x in (a, b)]
+    apart = 1 - common([r[0] for r in a], [r[0] for r in b]) / max(len(a), len(b), 1)
+    shift = min(1.0, abs(a[0][1] - b[0][1]) / (96 * HOUR)) if a and b else 1.0
+    return [(round(max(apart, 1 - len(days[0] & days[1]) / max(len(days[0] | days[1]), 1), shift), 6),)]
 
 
 def plain_extension(rows_):
@@ -138,7 +153,7 @@ def plain_joint(rows_):
     return [(r[0], *s) for r, s in zip(own, path, strict=True)]
 
 
-PLAIN = {"joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
+PLAIN = {"variant_distance": plain_distance, "joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
 
 
 @pytest.mark.parametrize("name", sorted(PLAIN))
@@ -170,7 +185,6 @@ def test_shapes_of_other_queries(spark, captures):
         assert {r.vec_id for r in run(name)} == vectors, name
     assert all(30 <= r.value <= 300 for r in run("beat_tempo")) and all(0 <= r.value <= 1 for r in run("percussive_parts")) and all(-1 <= r.value <= 1 for r in run("template_matches"))
     assert all(sorted(str(r.value).zfill(4)) == list("0123") for r in run("cluster_labels")) and {r["class"] for r in run("model_labels")} <= set(range(10))
-    assert all(0 <= r.distance <= 1 for r in run("variant_distance")) and {r.cap for r in run("variant_distance")} == set(captures)
     for name, kinds in {"detect_killfeed": {"kill", "death"}, "detect_killfeed_teams": {"ally", "enemy"}, "detect_ammo_counter": {"shot", "reload"}, "detect_hud_counter": {"paired", "lone", "wipe"}, "detect_round_score": {"won", "lost"}, "detect_ocr_log": {"hit", "aid"}}.items():
         found = run(name)
         assert found and {r.kind for r in found} <= kinds and {r.cap for r in found} <= set(captures), name
@@ -182,5 +196,5 @@ def test_shapes_of_other_queries(spark, captures):
     assert clips and all(6 * HOUR <= r.e - r.s <= 24 * HOUR and r.day * 24 * HOUR <= r.s for r in clips)
     assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"} and all(r.rule is None or r.rule >= 0 for r in run("fuzzy_needles"))
     known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_fsm", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
-    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "library_choice_learner", "quality_gate", "budget_clips", "variant_distance", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
+    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "library_choice_learner", "quality_gate", "budget_clips", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
     assert set(registry.queries()) - set(registry.oracle_sql()) == known

@@ -32,6 +32,16 @@ def test_ranges():
 
 def test_kernels():
     assert s.longest_common(list("abcbdab"), list("bdcaba")) == 4
+    chance = np.random.default_rng(7)
+    for n, m, kinds in [(0, 0, 1), (0, 5, 2), (1, 1, 1), (9, 70, 2), (70, 9, 3), (130, 130, 4), (200, 65, 30)]:
+        a, b = chance.integers(0, kinds, n).tolist(), chance.integers(0, kinds, m).tolist()
+        table = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        pairs = s.common_places(a, b)
+        assert s.longest_common(a, b) == len(pairs) == table[-1, -1]
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
     rng = np.random.default_rng(0)
     a = rng.normal(size=300)
     assert s.best_lag(a, np.roll(a, 7), 20, 0.2) == 7 and s.best_lag(a, rng.normal(size=300), 20, 0.5) is None
