@@ -267,6 +267,48 @@ def margin_merge(spark, sf_dir):
     return marked.groupBy("cap", "island").agg(F.min("grp").alias("grp"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("score").alias("score"), best.alias("peak")).drop("island")
 
 
+#: A merged moment is as long as this at most, and the part of it that lies before the peak.
+LONGEST = 96 * HOUR
+BEFORE_PEAK = LONGEST * 6 // 10
+
+
+def _refit_sql(a: str, b: str) -> str:
+    """Two moments that overlap as one in SQL: their union around the peak of the better one (the first of equals), if it is too long."""
+    best = f"CASE WHEN {b}.score > {a}.score THEN {b} ELSE {a} END"
+    s, e = f"least({a}.s, {b}.s)", f"greatest({a}.e, {b}.e)"
+    start = f"CASE WHEN {e} - {s} > {LONGEST} THEN greatest(least(({best}).peak - {BEFORE_PEAK}, {TOTAL - LONGEST}), 0) ELSE {s} END"
+    return f"{{'s': {start}, 'grp': ({best}).grp, 'e': {start} + least({e} - {s}, {LONGEST}), 'peak': ({best}).peak, 'score': ({best}).score}}"
+
+
+@query("refit_merge", EV + HL + f""", m AS (SELECT cap, list({{'s': greatest(s - {18 * H}, 0), 'grp': grp, 'e': least(e + {18 * H}, {720 * H}), 'peak': peak, 'score': score}} ORDER BY greatest(s - {18 * H}, 0), grp) AS x FROM hl GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN b[1].s < a[len(a)].e THEN list_append(a[1:len(a) - 1], {_refit_sql("a[len(a)]", "b[1]")}) ELSE list_concat(a, b) END) AS y FROM m)
+ SELECT cap, u.grp AS grp, CAST(u.s AS BIGINT) AS s, CAST(u.e AS BIGINT) AS e, u.peak AS peak, u.score AS score FROM (SELECT cap, unnest(y) AS u FROM f) z""")
+def refit_merge(spark, sf_dir):
+    """Moments with margins merged in order of time, each union fitted anew around the better peak before the next one is looked at, which a shorter or a moved union may no longer (or newly) meet.
+
+    A fitted union reaches at most the longest length past its members, so groups that lie further apart are folded by themselves, within the row; no task folds a whole capture.
+    """
+    rows = highlights(spark, sf_dir).select("cap", F.greatest(F.col("s") - 18 * HOUR, F.lit(0)).alias("s"), "grp", F.least(F.col("e") + 18 * HOUR, F.lit(TOTAL)).alias("e"), "peak", "score")
+    order = Window.partitionBy("cap").orderBy("s", "grp")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    far = rows.withColumn("f", F.when(F.col("s") < reach + LONGEST, 0).otherwise(1)).withColumn("part", F.sum("f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    moment = F.struct("s", "grp", "e", "peak", "score")
+
+    def fitted(a, b):
+        best = F.when(b["score"] > a["score"], b).otherwise(a)
+        s, e = F.least(a["s"], b["s"]), F.greatest(a["e"], b["e"])
+        start = F.when(e - s > LONGEST, F.greatest(F.least(best["peak"] - BEFORE_PEAK, F.lit(TOTAL - LONGEST)), F.lit(0))).otherwise(s)
+        return F.struct(start.alias("s"), best["grp"].alias("grp"), (start + F.least(e - s, F.lit(LONGEST))).alias("e"), best["peak"].alias("peak"), best["score"].alias("score"))
+
+    def step(kept, b):
+        last = F.element_at(kept, -1)
+        return F.when(b["s"] < last["e"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(fitted(last, b)))).otherwise(F.concat(kept, F.array(b)))
+
+    lists = far.groupBy("cap", "part").agg(F.sort_array(F.collect_list(moment)).alias("x"))
+    merged = F.aggregate(F.slice("x", 2, F.size("x")), F.slice("x", 1, 1), step)
+    return lists.select("cap", F.inline(merged)).select("cap", "grp", "s", "e", "peak", "score")
+
+
 # Reactions ----------------------------------------------------------------------------------------------------------------------------------------
 
 BURSTS = f""", lv AS (SELECT cap, CAST(t // {6 * H} AS BIGINT) AS slot, max(v) AS db FROM ev WHERE kind IN ('shot', 'assist') AND t >= 0 GROUP BY ALL),

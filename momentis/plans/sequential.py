@@ -155,7 +155,20 @@ def segment_extension(spark, sf_dir):
     return per_capture(positive(spark, sf_dir).select("cap", "id", "s", "e"), run, {"day": "long", "s": "double", "e": "double"}, ["s", "id"])
 
 
-@query("budget_clips")
+#: A day around noon that holds what is left of the budget, six tenths of it before noon, within the day; in SQL, where a is the state before and b the day.
+_AT = f"least(greatest(b.day * {DAY} + {DAY // 2} - a.rest * 0.6::DOUBLE, b.day * {DAY}), (b.day + 1) * {DAY} - a.rest)"
+_CUTS = f"len(list_filter(spans, lambda w: (w.s < {_AT} AND {_AT} < w.e) OR (w.s < {_AT} + a.rest AND {_AT} + a.rest < w.e))) > 0"
+BUDGET = EV + SPANS + f""", d AS (SELECT cap, s // {DAY} AS day, count(*) AS n FROM pos GROUP BY ALL), sp AS (SELECT cap, list({{'s': s, 'e': e}}) AS spans FROM pos GROUP BY cap),
+ l AS (SELECT cap, list_prepend({{'day': -1::BIGINT, 'rest': {4 * DAY - 6 * H}::DOUBLE, 's': 0::DOUBLE, 'e': 0::DOUBLE, 'given': false}}, list({{'day': day, 'rest': 0::DOUBLE, 's': 0::DOUBLE, 'e': 0::DOUBLE, 'given': false}} ORDER BY n DESC, day)) AS x FROM d GROUP BY cap),
+ f AS (SELECT cap, list_reduce(list_transform(x, lambda y: [y]), lambda p, q: list_append(p, list_transform([p[len(p)]], lambda a: list_transform([q[1]], lambda b:
+  CASE WHEN a.rest < {6 * H} THEN {{'day': b.day, 'rest': a.rest, 's': 0::DOUBLE, 'e': 0::DOUBLE, 'given': false}}
+       WHEN a.rest >= {DAY} THEN {{'day': b.day, 'rest': a.rest - {DAY}, 's': (b.day * {DAY})::DOUBLE, 'e': ((b.day + 1) * {DAY})::DOUBLE, 'given': true}}
+       WHEN {_CUTS} THEN {{'day': b.day, 'rest': a.rest, 's': 0::DOUBLE, 'e': 0::DOUBLE, 'given': false}}
+       ELSE {{'day': b.day, 'rest': 0::DOUBLE, 's': ({_AT})::DOUBLE, 'e': ({_AT} + a.rest)::DOUBLE, 'given': true}} END)[1])[1])) AS y FROM l JOIN sp USING (cap))
+ SELECT cap, u.day AS day, CAST(trunc(u.s) AS BIGINT) AS s, CAST(trunc(u.e) AS BIGINT) AS e FROM (SELECT cap, unnest(y) AS u FROM f) z WHERE u.given"""
+
+
+@query("budget_clips", BUDGET)
 def budget_clips(spark, sf_dir):
     """Days of a capture by their number of events, within 96 hours: too long ones are trimmed around noon, unless that cuts a protected span."""
 

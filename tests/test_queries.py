@@ -192,9 +192,7 @@ def test_shapes_of_other_queries(spark, captures):
     assert flat and all((a.cap, a.value) != (b.cap, b.value) for a, b in zip(flat, flat[1:], strict=False))
     assert {r.kind for r in run("detect_hud_change")} == {"change"} and {r.role for r in run("row_tracks")} <= {"kill", "death"}
     assert all(0.125 <= r.level <= 2 and abs(r.level + r.place + r.kind - 1) < 0.2 for r in run("preference_learner"))
-    clips = run("budget_clips")
-    assert clips and all(6 * HOUR <= r.e - r.s <= 24 * HOUR and r.day * 24 * HOUR <= r.s for r in clips)
     assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"} and all(r.rule is None or r.rule >= 0 for r in run("fuzzy_needles"))
     known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_fsm", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
-    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "library_choice_learner", "quality_gate", "budget_clips", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
+    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "library_choice_learner", "quality_gate", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
     assert set(registry.queries()) - set(registry.oracle_sql()) == known
