@@ -7,15 +7,17 @@ program can still read, and in a store that spills.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from momentis.operators import kernels
+from momentis.operators import folds, kernels
 from momentis.session import ship
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -157,7 +159,16 @@ def followed(rows: DataFrame, key: str, at: str, lateness: str, processor: Frame
     ship(rows.sparkSession)
     store(rows.sparkSession)
     schema = ", ".join([f"{key} long", *(f"{n} {k}" for n, k in processor.out.items())])
-    return rows.withWatermark(at, lateness).select(key, *processor.row, at).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    grouped = rows.withWatermark(at, lateness).select(key, *processor.row, at).groupBy(key)
+    # The driver's own worker, which reads the state's types, knows no shipped files: what a processor is made of goes with it.
+    own = [sys.modules[__name__], folds, kernels]
+    for module in own:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        return grouped.transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    finally:
+        for module in own:
+            cloudpickle.unregister_pickle_by_value(module)
 
 
 def log_lines(rows: DataFrame, key: str, at: str, lateness: str, lines, span: int, origin: int) -> DataFrame:
