@@ -9,6 +9,7 @@ from momentis.functions.events import HOUR, load_events
 from momentis.operators import intervals, matching
 from momentis.plans.moments import EV, SIGNAL, H, signals
 from momentis.plans.registry import query
+from momentis.plans.selection import clutch_fsm
 from momentis.plans.sessions import GAMES, GROUPS, games, kill_groups, outcomes, rounds
 
 ROLLUP = GAMES + GROUPS + """, gg AS (SELECT oc.*, game.game AS game FROM oc JOIN game ON game.cap = oc.cap AND oc.s BETWEEN game.s AND game.s + game.duration),
@@ -72,8 +73,40 @@ def full_search(spark, sf_dir):
     return search_all(spark, sf_dir, games=(0, 2), evenings=(1, 27), least_kills=1, traded=False, all_headshots=True).select("cap", "grp", "kills", "ace", "all_heads")
 
 
-def search_all(spark, sf_dir: str, games=None, evenings=None, least_kills=None, ace=None, traded=None, all_headshots=None) -> DataFrame:
-    """Groups under a conjunction of terms; a term of None doesn't filter."""
+@query("one_tap_search", EV + GROUPS + f""", tp AS (SELECT kg.cap, kg.grp, count(*) AS one_taps FROM kg WHERE EXISTS (SELECT 1 FROM ev h WHERE h.cap = kg.cap AND h.kind = 'headshot' AND h.t BETWEEN kg.t - {48 * H} AND kg.t + {48 * H})
+ AND (SELECT count(*) FROM ev s WHERE s.cap = kg.cap AND s.kind = 'shot' AND s.t BETWEEN kg.t - {12 * H} AND kg.t + {3 * H}) = 1 GROUP BY ALL) SELECT oc.cap, oc.grp, kills, one_taps FROM oc JOIN tp ON tp.cap = oc.cap AND tp.grp = oc.grp WHERE kills >= 1""")
+def one_tap_search(spark, sf_dir):
+    """Groups with at least one kill of a single bullet to the head."""
+    return search_all(spark, sf_dir, least_kills=1, least_one_taps=1).select("cap", "grp", "kills", "one_taps")
+
+
+@query("clutch_search")
+def clutch_search(spark, sf_dir):
+    """Groups that win a last stand, with its enemies."""
+    return search_all(spark, sf_dir, clutch=True).select("cap", "grp", "kills", "clutches", "enemies")
+
+
+@query("game_clutches")
+def game_clutches(spark, sf_dir):
+    """Last stands won in each game, and the most enemies of one; unknown where the game's deaths are."""
+    per = grouped_games(spark, sf_dir).join(group_clutches(spark, sf_dir), ["cap", "grp"]).groupBy("cap", "game").agg(F.sum("clutches").alias("n"), F.max("enemies").alias("most"))
+    rows = games(spark, sf_dir).join(per, ["cap", "game"], "left")
+    known = lambda x: F.when(F.col("deaths").isNotNull(), F.coalesce(x, F.lit(0)))
+    return rows.select("cap", "game", "kills", known("n").alias("clutches"), known("most").alias("most_enemies"))
+
+
+def group_clutches(spark, sf_dir: str) -> DataFrame:
+    """(cap, grp, clutches, enemies): the last stands won by a kill of each group, and the most enemies of one. A last stand belongs to the group that its last kill lies in."""
+    won = clutch_fsm(spark, sf_dir).select("cap", F.col("won").alias("id"), F.col("won").alias("t"), "enemies")
+    own = kill_groups(spark, sf_dir)
+    starts = own.select("cap", F.col("grp").alias("id"), F.col("s").alias("t"), "grp")
+    of = matching.as_of(won.select("cap", "id", "t"), starts, "grp").select("cap", "id", F.col("as_of").alias("grp"))
+    inside = won.join(of, ["cap", "id"]).join(own.select("cap", "grp", "e"), ["cap", "grp"]).where("t <= e")
+    return inside.groupBy("cap", "grp").agg(F.count("*").alias("clutches"), F.max("enemies").alias("enemies"))
+
+
+def search_all(spark, sf_dir: str, games=None, evenings=None, least_kills=None, ace=None, traded=None, all_headshots=None, clutch=None, least_one_taps=None) -> DataFrame:
+    """Groups under a conjunction of terms; a term of None doesn't filter, and what only it needs isn't computed."""
     order = Window.partitionBy("cap").orderBy("t", "id")
     kills = rounds(spark, sf_dir).where("kind = 'kill'").withColumn("turn", F.col("round") != F.lag("round").over(order))
     kills = intervals.islands(kills, "cap", "t", 12 * HOUR, breaks=F.col("turn")).select("cap", "id", "t", "grp")
@@ -85,6 +118,13 @@ def search_all(spark, sf_dir: str, games=None, evenings=None, least_kills=None,
         None if ace is None else F.col("ace") == ace, None if traded is None else F.col("traded") == traded, None if all_headshots is None else F.col("all_heads") == all_headshots,
     ]
     rows = outcomes(spark, sf_dir).join(all_heads, ["cap", "grp"])
+    if clutch is not None:
+        rows = rows.join(group_clutches(spark, sf_dir), ["cap", "grp"], "left").where(F.col("clutches").isNotNull() == clutch)
+    if least_one_taps is not None:
+        # A kill of one bullet to the head: a headshot near it, and a single shot in its burst.
+        shots = matching.near_events(kills, load_events(spark, sf_dir).where("kind = 'shot'"), 12 * HOUR, 3 * HOUR).groupBy("cap", F.col("lid").alias("id")).agg(F.count("*").alias("shots"))
+        taps = kills.join(heads, ["cap", "id"]).join(shots, ["cap", "id"]).where("shots = 1").groupBy("cap", "grp").agg(F.count("*").alias("one_taps"))
+        rows = rows.join(taps, ["cap", "grp"], "left").withColumn("one_taps", F.coalesce("one_taps", F.lit(0))).where(F.col("one_taps") >= least_one_taps)
     for term in terms:
         rows = rows if term is None else rows.where(term)
     return rows

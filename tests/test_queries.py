@@ -153,7 +153,41 @@ def plain_joint(rows_):
     return [(r[0], *s) for r, s in zip(own, path, strict=True)]
 
 
-PLAIN = {"variant_distance": plain_distance, "joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
+def plain_clutches(rows_):
+    """Last stands told round by round: the marks of a round are cut first, then each round is judged by itself."""
+    own = [t for _, t, _, _ in of(rows_, "death")]
+    unmatched, marks = sorted(own), [(t, 1, "own") for t in own] + [(t, 2, "enemy") for _, t, _, _ in of(rows_, "kill")]
+    for _, t, _, _ in of(rows_, "shot"):
+        near = sorted((abs(x - t), x) for x in unmatched if abs(x - t) <= 2 * HOUR)
+        if near:
+            unmatched.remove(near[0][1])
+        else:
+            marks.append((t, 0, "ally"))
+    starts, played = [t for _, t, _, _ in of(rows_, "headshot")], []
+    for t, _, kind in sorted(marks):
+        if played:
+            last, now = played[-1][-1][0], [k for _, k in played[-1]]
+            over = now.count("enemy") >= 3 or now.count("ally") + ("own" in now) >= 3
+            if over or t - last > 48 * HOUR or any(last < x <= t for x in starts):
+                played.append([])
+        else:
+            played.append([])
+        played[-1].append((t, kind))
+    out = []
+    for marks_ in played:
+        upto = next((k for k, (_, kind) in enumerate(marks_) if kind == "own"), len(marks_))
+        living = marks_[:upto]
+        stood = next((k for k in range(len(living)) if sum(kind == "ally" for _, kind in living[: k + 1]) >= 2), None)
+        if stood is None:
+            continue
+        enemies = 3 - sum(kind == "enemy" for _, kind in living[: stood + 1])
+        felled = [t for t, kind in living if kind == "enemy"]
+        if len(felled) == 3 and enemies >= 2 and felled[2] >= living[stood][0]:
+            out.append((living[stood][0], enemies, felled[2]))
+    return out
+
+
+PLAIN = {"clutch_fsm": plain_clutches, "variant_distance": plain_distance, "joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
 
 
 @pytest.mark.parametrize("name", sorted(PLAIN))
@@ -162,6 +196,24 @@ def test_query_equals_plain_loop(spark, captures, name):
     assert got == sorted(repr((cap, *row)) for cap, rows_ in captures.items() for row in PLAIN[name](rows_))
 
 
+def test_clutches_in_search_and_statistics(spark, captures):
+    run = lambda name: registry.queries()[name](spark, SF).collect()
+    groups = {}
+    for r in run("kill_groups"):
+        groups.setdefault(r.cap, []).append(r)
+    found = {}
+    for cap, rows_ in captures.items():
+        for _, enemies, won in plain_clutches(rows_):
+            grp = next(g.grp for g in groups[cap] if g.s <= won <= g.e)
+            n, most = found.get((cap, grp), (0, 0))
+            found[cap, grp] = n + 1, max(most, enemies)
+    assert {(r.cap, r.grp): (r.clutches, r.enemies) for r in run("clutch_search")} == found and found
+    rows_ = run("game_clutches")
+    unknown = {(r.cap, r.game) for r in run("game_rollup") if r.deaths is None}
+    assert {(r.cap, r.game) for r in rows_ if r.clutches is None} == unknown
+    assert sum(r.clutches or 0 for r in rows_) <= sum(n for n, _ in found.values()) and all((r.clutches or 0) >= (r.most_enemies or 0) / 3 for r in rows_)
+
+
 def test_beats_equal_a_plain_loop(spark):
     from momentis.plans.moments import signals
 
@@ -176,7 +228,6 @@ def test_beats_equal_a_plain_loop(spark):
 def test_shapes_of_other_queries(spark, captures):
     """Queries that neither SQL nor a short loop says: each keeps its keys, and its values lie where they can."""
     run = lambda name: registry.queries()[name](spark, SF).collect()
-    assert all(r.enemies >= 2 and r.won > r.alone for r in run("clutch_fsm"))
     assert {r.kind for r in run("log_tracks")} == {"shot", "assist"}
     vectors = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
     shapes = run("shape_clusters")
@@ -193,6 +244,6 @@ def test_shapes_of_other_queries(spark, captures):
     assert {r.kind for r in run("detect_hud_change")} == {"change"} and {r.role for r in run("row_tracks")} <= {"kill", "death"}
     assert all(0.125 <= r.level <= 2 and abs(r.level + r.place + r.kind - 1) < 0.2 for r in run("preference_learner"))
     assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"} and all(r.rule is None or r.rule >= 0 for r in run("fuzzy_needles"))
-    known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_fsm", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
+    known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_search", "game_clutches", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
     known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "library_choice_learner", "quality_gate", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
     assert set(registry.queries()) - set(registry.oracle_sql()) == known
