@@ -25,15 +25,15 @@ def event_stream(spark, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("cap"), F.col("event_id").alias("id"), (F.unix_micros(at) - ORIGIN).alias("t"), kind.alias("kind"), F.col("value").alias("v"), at.alias("at"))
 
 
-def drained(spark, stream: DataFrame, sink=None) -> DataFrame:
-    """What a stream has given once all its files are read."""
+def drained(spark, stream: DataFrame, sink=None, schema: str | None = None) -> DataFrame:
+    """What a stream has given once all its files are read; schema: that of what the sink writes, if it is another."""
     path = scratch(spark)
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if sink is None:
         writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
     else:
         writer.foreachBatch(sink(f"{path}/out")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(schema or stream.schema).parquet(f"{path}/out")
 
 
 CLOSED = f""", m AS (SELECT cap, t, id, CASE WHEN t - lag(t) OVER o <= {48 * H} THEN 0 ELSE 1 END AS f FROM ev WINDOW o AS (PARTITION BY cap ORDER BY t, id)), s AS (SELECT *, sum(f) OVER (PARTITION BY cap ORDER BY t, id) AS grp FROM m),
@@ -61,6 +61,21 @@ def stream_days_once(spark, sf_dir):
     return drained(spark, days.select("cap", "day"), sessions.once).select("cap", "day")
 
 
+def _report(row: dict) -> str:
+    if row["n"] < 3:
+        raise ValueError(f"{row['n']} events are too few")
+    return f"{row['n']} events"
+
+
+@query("evening_history", EV + f""", w AS (SELECT cap, t // {24 * H} AS day, count(*) AS n FROM ev GROUP BY ALL), c AS (SELECT * FROM w WHERE ((day + 1) * {24 * H}) // 1000 <= (SELECT max(t) FROM ev) // 1000 - {HOUR // 1000})
+ SELECT cap, day, CASE WHEN n < 3 THEN 'failed' ELSE 'done' END AS status, CASE WHEN n < 3 THEN 'ValueError: ' || n || ' events are too few' ELSE n || ' events' END AS result FROM c""")
+def evening_history(spark, sf_dir):
+    """A record of each day of a capture that the watermark has closed: what was made of it, or why that failed; a day that has a record gets no other."""
+    days = sessions.windowed_counts(event_stream(spark, sf_dir), "at", "cap", "24 hours", "24 hours", "1 hour")
+    rows = days.select("cap", F.floor((F.unix_micros("start") - ORIGIN) / (24 * HOUR)).cast("long").alias("day"), "n")
+    return drained(spark, rows, lambda path: sessions.recorded(path, _report, ["cap", "day"]), "cap long, day long, status string, result string").select("cap", "day", "status", "result")
+
+
 @query("stream_settled_files", EV + f""", c AS (SELECT cap, id, t, CAST(floor(v / 40) AS BIGINT) AS size, lag(CAST(floor(v / 40) AS BIGINT)) OVER (PARTITION BY cap ORDER BY t, id) AS b FROM ev), g AS (SELECT *, sum(CASE WHEN b = size THEN 0 ELSE 1 END) OVER (PARTITION BY cap ORDER BY t, id) AS version FROM c),
  s AS (SELECT *, min(t) OVER (PARTITION BY cap, version) AS since FROM g) SELECT cap, min(t) AS t, min(size) AS size FROM s WHERE t - since >= {15 * H} GROUP BY cap, version""")
 def stream_settled_files(spark, sf_dir):

@@ -59,6 +59,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(named or current.get()).rstrip('/')}/momentis-{sc.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies."""
     with contextlib.suppress(Exception):  # a folder that is left over harms no result, and the driver's JVM may be gone

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from momentis.session import ship
+from momentis.session import exists, ship
 
 
 def closed_sessions(events: DataFrame, at: str, key: str, gap: str, lateness: str) -> DataFrame:
@@ -122,6 +122,24 @@ def produced(batch: DataFrame, fn: Callable[[dict], str], keys: list[str]) -> Da
     return batch.select(*names).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "status string, result string"]))
 
 
+def recorded(path: str, fn: Callable[[dict], str], keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of one record per key, done or failed: keys that earlier batches have recorded are left alone, and a batch that is replayed replaces itself.
+
+    Of earlier records only the keys are read.
+    """
+    top = path.rstrip("/")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        if exists(batch.sparkSession, top):
+            schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in batch.select(*keys).schema.fields), "batch long"])
+            earlier = batch.sparkSession.read.schema(schema).parquet(top).where(F.col("batch") < epoch).select(*keys)
+            fresh = fresh.join(earlier, keys, "left_anti")
+        produced(fresh, fn, keys).write.mode("overwrite").parquet(f"{top}/batch={epoch}")
+
+    return write
+
+
 class Progress(StreamingQueryListener):
     """Rows done and the time left at the rate of the last `span` seconds."""
 

@@ -52,6 +52,24 @@ def test_failures_are_recorded(spark):
     assert got == [(0, "done", "file 0"), (1, "failed", "ValueError: no space"), (2, "done", "file 2")]
 
 
+def test_records_are_never_made_again(spark, tmp_path):
+    """Failures hold, replays replace themselves, and later batches leave recorded keys alone."""
+
+    def make(row):
+        if row["id"] % 2 and row["n"] < 9:
+            raise ValueError(f"n is {row['n']}")
+        return f"made of {row['n']}"
+
+    write = sessions.recorded(str(tmp_path / "out"), make, ["id"])
+    rows = lambda *x: spark.createDataFrame(x, "id long, n long")
+    write(rows((0, 1), (1, 1), (1, 1)), 0)
+    write(rows((1, 9), (2, 9), (0, 9)), 1)  # 0 and 1 have their records, one of them a failure
+    write(rows((1, 9), (2, 9), (0, 9)), 1)  # the same batch again
+    write(rows((0, 1), (1, 1), (1, 1)), 0)  # and the first, which looks at no later one
+    got = sorted((r.id, r.status, r.result) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, "done", "made of 1"), (1, "failed", "ValueError: n is 1"), (2, "done", "made of 9")]
+
+
 def test_settling_files():
     f = sessions.Settling(15)
     assert f.push(0, 10) == [] and f.push(10, 10) == [] and f.push(15, 10) == [(15, 10)] and f.push(40, 10) == []
