@@ -47,20 +47,25 @@ def distinct_games(start: np.ndarray, length: np.ndarray, kills: np.ndarray, gam
     return keep
 
 
+def own_among(allies: list[float], own: list[float], same: float) -> list[float | None]:
+    """For each ally's death in the order given, the nearest death of the player up to `same` away (the earlier of equals) that no earlier one has taken."""
+    left, out = sorted(own), []
+    for t in allies:
+        near = min((x for x in left if abs(x - t) <= same), key=lambda x: abs(x - t), default=None)
+        if near is not None:
+            left.remove(near)
+        out.append(near)
+    return out
+
+
 def clutches(allies: list[float], enemies: list[float], own: list[float], gap: float, team: int = 5, least: int = 2, starts: list[float] = (), same: float = 1.5) -> list[tuple[float, int, float]]:
     """Last stands won: when the player was left alone, against how many, and when the last enemy fell.
 
     An ally's death nearest to an unmatched death of the player, up to `same` away, is the player's own. A round ends where a side has lost all, after
     a silence over the gap, or at a start that was read; a dead player wins nothing until then.
     """
-    left = sorted(own)
-    marks = [(t, "own") for t in left] + [(t, "enemy") for t in enemies]
-    for t in allies:
-        near = min((x for x in left if abs(x - t) <= same), key=lambda x: abs(x - t), default=None)
-        if near is None:
-            marks.append((t, "ally"))
-        else:
-            left.remove(near)
+    marks = [(t, "own") for t in own] + [(t, "enemy") for t in enemies]
+    marks += [(t, "ally") for t, taken in zip(allies, own_among(allies, own, same), strict=True) if taken is None]
     out = []
     order = {"ally": 0, "own": 1, "enemy": 2}
     lost, felled, dead, alone, last = 0, 0, False, None, None

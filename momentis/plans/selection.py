@@ -106,6 +106,17 @@ def counter_viterbi(spark, sf_dir):
     return decoders.decode(reads, "cap", ["t", "id"], "id", ["read"], decoders.Counter(10), {"id": "long", "state": "long", "rise": "long"})
 
 
+@query("own_deaths_in_order")
+def own_deaths_in_order(spark, sf_dir):
+    """Allies' deaths (shots) that are the player's own: each takes the nearest death within two hours that is still free, in order of time."""
+
+    def run(g: pd.DataFrame) -> list[tuple]:
+        shots, deaths = g[g.kind == "shot"], g[g.kind == "death"].t.tolist()
+        return [(i, t) for i, t in zip(shots.id.tolist(), folds.own_among(shots.t.tolist(), deaths, 2 * HOUR), strict=True) if t is not None]
+
+    return per_key(load_events(spark, sf_dir).where("kind in ('shot', 'death')").select("cap", "id", "t", "kind"), "cap", run, {"id": "long", "own": "long"}, ["t", "id"])
+
+
 @query("clutch_fsm")
 def clutch_fsm(spark, sf_dir):
     """Last stands by a state machine over deaths (shots stand for allies, kills for enemies, deaths for the player's, headshots for round starts)."""

@@ -1,5 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -187,7 +189,16 @@ def plain_clutches(rows_):
     return out
 
 
-PLAIN = {"clutch_fsm": plain_clutches, "variant_distance": plain_distance, "joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
+def plain_own(rows_):
+    free, out = {t: n for t, n in Counter(t for _, t, _, _ in of(rows_, "death")).items()}, []
+    for i, t, _, _ in of(rows_, "shot"):
+        for x in sorted((x for x, n in free.items() if n and abs(x - t) <= 2 * HOUR), key=lambda x: (abs(x - t), x))[:1]:
+            free[x] -= 1
+            out.append((i, x))
+    return out
+
+
+PLAIN = {"own_deaths_in_order": plain_own, "clutch_fsm": plain_clutches, "variant_distance": plain_distance, "joint_viterbi": plain_joint, "counter_viterbi": plain_counter, "knock_pairs": plain_pairs, "credit_marks": plain_credits, "common_subsequences": plain_common, "segment_extension": plain_extension}
 
 
 @pytest.mark.parametrize("name", sorted(PLAIN))
