@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentis import detectors
-from momentis.functions.events import DAY, HOUR, load_events
+from momentis.functions.events import DAY, HOUR, TOTAL, load_events
 from momentis.operators import learners, sequences
 from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, SPANS, H, positive
@@ -324,3 +324,39 @@ def derived_presets(spark, sf_dir):
     """The settings of every preset: those it doesn't change are the common ones."""
     rows = [(name, *(SETTINGS | own).values()) for name, own in sorted(PRESETS.items())]
     return spark.createDataFrame(rows, "preset string, shots int, slow double, least_kills int, ord string, event string")
+
+
+def glyph_frames(spark, sf_dir: str) -> DataFrame:
+    """Pictures of each capture's kill counter (its last digit, from 0 again at mid-capture): eight samples after every event, one in five of them damaged. A digit's picture is the first vector of that label, lit where positive."""
+    e = load_events(spark, sf_dir).where("cap IS NOT NULL")
+    half = (F.col("t") >= TOTAL // 2).cast("int")
+    order = Window.partitionBy("cap").orderBy("t", "id")
+    kills = F.count_if(F.col("kind") == "kill").over(Window.partitionBy("cap", "half").orderBy("t", "id"))
+    rows = e.withColumn("half", half).select("cap", "id", (kills % 10).cast("int").alias("truth"), F.row_number().over(order).alias("k"))
+    shapes = table(spark, sf_dir, "embeddings").where("label BETWEEN 0 AND 9 AND size(embedding) = 64").groupBy(F.col("label").alias("truth")).agg(F.min_by("embedding", "vec_id").alias("shape"))
+    samples = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s")).join(shapes, "truth")
+    at = (F.col("k") - 1) * 8 + F.col("s")
+    hurt = F.pmod(F.hash("id", "s"), F.lit(5)) == 0
+    # A damaged sample loses a run of fourteen pixels that begins anywhere.
+    first = F.pmod(F.hash("s", "id"), F.lit(64))
+    pixels = F.transform("shape", lambda x, i: F.when(hurt & (F.pmod(i - first, F.lit(64)) < 14), 0.0).when(x > 0, 1.0).otherwise(0.0))
+    return samples.select(F.col("cap").alias("key"), at.cast("long").alias("at"), pixels.alias("pixels"), "truth")
+
+
+@query("learned_digits")
+def learned_digits(spark, sf_dir):
+    """The digits that each capture's own counter teaches: frames read as each digit after decoding, how many of them show it, and the frames that its template is cut from.
+
+    A capture of a few kills fits several labellings; likeness to drawn digits, here the mean vector of each label, decides between them."""
+    from momentis.operators import digits
+
+    # Ten rows, as there are ten digits.
+    means = table(spark, sf_dir, "embeddings").where("label BETWEEN 0 AND 9 AND size(embedding) = 64").groupBy("label").agg(*(F.avg(F.col("embedding")[i]) for i in range(64))).collect()
+    drawn = np.zeros((10, 64))
+    for label, *mean in means:
+        drawn[label] = mean
+    frames = glyph_frames(spark, sf_dir)
+    templates, readings = digits.learn(frames, 64, 0.5, drawn)
+    both = readings.join(frames.select("key", "at", "truth"), ["key", "at"]).groupBy("key", "digit").agg(F.count("*").alias("frames"), F.count_if(F.col("digit") == F.col("truth")).alias("right"), F.count_if(F.col("read") < 0).alias("unread"))
+    cut = templates.select("key", "digit", F.col("n").cast("long").alias("cut"))
+    return both.join(cut, ["key", "digit"], "left").select(F.col("key").alias("cap"), F.col("digit").cast("long").alias("digit"), "frames", "right", "unread", F.coalesce("cut", F.lit(0)).alias("cut"))
