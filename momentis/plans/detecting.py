@@ -193,15 +193,17 @@ def name_clusters(spark, sf_dir):
  s AS (SELECT e.vec_id, t.label AS digit, list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), t.c) AS fit FROM embeddings e, t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(fit, 9) DESC, digit) AS n, lead(round(fit, 9)) OVER (PARTITION BY vec_id ORDER BY round(fit, 9) DESC, digit) AS second FROM s)
  SELECT vec_id, CASE WHEN fit - second >= 0.05 THEN CAST(digit AS BIGINT) END AS digit, round(fit, 5) AS fit FROM r WHERE n = 1""")
 def digit_readings(spark, sf_dir):
-    """The digit whose template is most like a glyph; none where a second comes too near. The templates are one row for each digit, ten at most."""
+    """The digit whose template is most like a glyph; none where a second comes too near. A digit's template is the first vector of its label, ten at most: they travel inside the expression."""
     from momentis.functions.events import cosine
 
     e = table(spark, sf_dir, "embeddings")
-    shapes = F.broadcast(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).select(F.col("label").cast("long").alias("digit"), "c"))
-    fits = e.crossJoin(shapes).select("vec_id", "digit", F.round(cosine(F.col("embedding"), F.col("c")), 9).alias("fit"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("fit"), "digit")
-    ranked = fits.withColumns({"n": F.row_number().over(order), "second": F.lead("fit").over(order)}).where("n = 1")
-    return ranked.select("vec_id", F.when(F.col("fit") - F.col("second") >= 0.05, F.col("digit")).alias("digit"), F.round("fit", 5).alias("fit"))
+    shapes = e.where("label BETWEEN 0 AND 9").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").collect()
+    if not shapes:
+        return e.select("vec_id", F.lit(None).cast("long").alias("digit"), F.lit(None).cast("double").alias("fit"))
+    away = lambda c: -F.round(cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in c))), 9)
+    ranked = e.select("vec_id", F.sort_array(F.array(*(F.struct(away(r.c).alias("away"), F.lit(r.label).cast("long").alias("digit")) for r in shapes))).alias("r"))
+    best, second = F.col("r")[0], F.get("r", F.lit(1))
+    return ranked.select("vec_id", F.when(second["away"] - best["away"] >= 0.05, best["digit"]).alias("digit"), F.round(-best["away"], 5).alias("fit"))
 
 
 @query("layout_taste", EV + GROUPS + """, h AS (SELECT cap, grp, (e - s) / 3600000000.0 AS len, kills / 5.0 AS density, score / 100 AS accent, row_number() OVER (PARTITION BY cap ORDER BY grp) % 2 = 0 AS edited FROM gr),

@@ -101,19 +101,35 @@ def cosine_to_centroid(spark, sf_dir):
 
 @query("fuzzy_needles")
 def fuzzy_needles(spark, sf_dir):
-    """The first benchmark phrase that lies in a caption within a fifth of its length in edits; phrases and captions whole."""
-    needles = [folds.Needle(r[0] or "") for r in table(spark, sf_dir, "benchmark").orderBy("item_id").select(fn.letters(F.col("text"))).collect()]
-
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                grams = folds.trigrams(t or "")
-                out.append(next((k for k, n in enumerate(needles) if n.within(t or "", grams)), None))
-            yield pd.Series(out, dtype="float64")
-
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.letters(F.col("text")).alias("letters")).repartition(spark.sparkContext.defaultParallelism * 2)
-    return rows.select("conv_id", "turn", F.pandas_udf(classify, "double")("letters").cast("int").alias("rule"))
+    """The first benchmark phrase (its item, by number) that lies in a caption within a fifth of its length in edits; phrases and captions whole.
+
+    An edit breaks one piece of a phrase at most, so that of its pieces of three letters (of a phrase under six letters: its halves) all but as many as it may have edits stand in the caption
+    unchanged: an equi join on pieces counts them, and what has enough is compared. Phrases of one letter at most lie in every caption.
+    """
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(fn.letters(F.col("text")), F.lit("")).alias("needle")).where("item_id IS NOT NULL")
+    anywhere = phrases.where("length(needle) <= 1").agg(F.min("item_id")).first()[0]
+    size = F.length("needle")
+    cut = phrases.where(size > 1).groupBy("needle").agg(F.min("item_id").alias("item_id")).withColumn("q", F.when(size < 6, F.floor(size / 2)).otherwise(3).cast("int"))
+    count = F.floor(size / F.col("q")).cast("int")
+    least = F.when(size < 6, count - 1).otherwise(count - F.floor(size / 5)).cast("int")
+    starts = F.sequence(F.lit(0), count - 1)
+    split = cut.select("item_id", least.alias("least"), F.explode(F.transform(starts, lambda k: F.substr("needle", k * F.col("q") + 1, F.col("q")))).alias("gram"))
+    pieces = split.groupBy("gram", "item_id", "least").agg(F.count("*").alias("n"))
+    captions = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(fn.letters(F.col("text")), F.lit("")).alias("letters")).withColumn("tid", F.md5("letters"))
+    texts = captions.select("tid", "letters").dropDuplicates(["tid"])
+    each = lambda q: F.transform(F.sequence(F.lit(1), F.length("letters") - (q - 1)), lambda k: F.substr("letters", k, F.lit(q)))
+    grams = F.array_distinct(F.flatten(F.array(*(F.when(F.length("letters") >= q, each(q)).otherwise(F.array().cast("array<string>")) for q in (1, 2, 3)))))
+    shared = texts.select("tid", F.explode(grams).alias("gram")).join(pieces, "gram").groupBy("tid", "item_id", "least").agg(F.sum("n").alias("n")).where("n >= least")
+    found = shared.select("tid", "item_id").join(texts, "tid").join(cut.select("item_id", "needle"), "item_id")
+
+    def within(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for held, sought in batches:
+            made = {x: folds.Needle(x) for x in sought.unique()}
+            yield pd.Series([made[x].within(t, folds.trigrams(t)) for t, x in zip(held, sought, strict=True)], dtype=bool)
+
+    first = found.where(F.pandas_udf(within, "boolean")("letters", "needle")).groupBy("tid").agg(F.min("item_id").alias("item"))
+    rule = F.least(F.col("item"), F.lit(anywhere).cast("long"))
+    return captions.join(first, "tid", "left").select("conv_id", "turn", rule.alias("rule"))
 
 
 @query("map_functions", EV + """, m AS (SELECT cap, kind, count(*) AS n FROM ev GROUP BY ALL) SELECT cap, coalesce(max(n) FILTER (WHERE kind = 'kill'), 0) AS kills, coalesce(max(n) FILTER (WHERE kind = 'death'), 0) AS deaths, count(*) AS kinds FROM m GROUP BY cap""")

@@ -96,3 +96,24 @@ def test_fuzzy_needles_take_whole_texts(spark, tmp_path):
     spark.createDataFrame(captions, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.turn: r.rule for r in registry.queries()["fuzzy_needles"](spark, str(tmp_path)).collect()}
     assert got == {1: 10, 2: None, 3: None}
+
+
+def test_fuzzy_needles_equal_all_pairs(spark, tmp_path):
+    rng = random.Random(11)
+    phrases = [(k, "".join(rng.choices("ABCDE", k=n))) for k, n in enumerate((40, 23, 5, 4, 9, 14, 31, 40, 6, 12))] + [(10, None), (11, "Z"), (None, "AAAA")]
+    phrases[7] = (7, phrases[0][1])
+    captions = [(1, t, "".join(rng.choices("ABCDEFGHIJ", k=rng.randrange(60)))) for t in range(150)]
+    for t in range(150, 260):
+        phrase = rng.choice(phrases[:10])[1]
+        near = "".join(c if rng.random() > 0.12 else rng.choice(["", "F", "GH"]) for c in phrase)
+        captions.append((2, t, "".join(rng.choices("FGHIJ", k=rng.randrange(30))) + near))
+    captions += [(3, 1, None), (3, 2, ""), (3, 3, captions[170][2])]
+    for name, rows, needles in (("some", captions, phrases[:10]), ("every", captions, phrases), ("none", captions, [])):
+        folder = tmp_path / name
+        spark.createDataFrame(needles, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(folder / "conversations.parquet"))
+        got = {(r.conv_id, r.turn): r.rule for r in registry.queries()["fuzzy_needles"](spark, str(folder)).collect()}
+        plain = lambda x: "" if x is None else x
+        want = {(c, t): min((k for k, p in needles if k is not None and folds.sellers(plain(p), plain(x)) <= max(1, len(plain(p)) // 5)), default=None) for c, t, x in rows}
+        assert got == want
+        assert name != "some" or len(set(got.values())) > 6
