@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 
@@ -10,8 +12,10 @@ def spaced(times: np.ndarray, strength: np.ndarray, spacing: float) -> np.ndarra
     kept: list[float] = []
     mask = np.zeros(len(times), bool)
     for k in np.lexsort((times, -strength)):
-        if all(abs(times[k] - t) >= spacing for t in kept):
-            kept.append(times[k])
+        at = bisect.bisect(kept, times[k])
+        # Kept times are sorted: the nearest ones stand beside the place of this one.
+        if all(abs(times[k] - t) >= spacing for t in kept[max(at - 1, 0) : at + 1]):
+            kept.insert(at, times[k])
             mask[k] = True
     return mask
 
@@ -37,13 +41,28 @@ def distinct_games(start: np.ndarray, length: np.ndarray, kills: np.ndarray, gam
     reliable = np.ones(n, bool) if reliable is None else np.asarray(reliable)
     start, length = np.asarray(start, float), np.asarray(length, float)
     keep = np.zeros(n, bool)
+    held: dict = {}
     for k in np.argsort(-np.asarray(kills), kind="stable"):
         if np.isnan(start[k]):
             continue
-        of = np.flatnonzero(keep & (game == game[k]))
-        capture = (file[of] == file[k]) | ((size[of] > 0) & (size[of] == size[k]) & (np.abs(length[of] - length[k]) < 1_000_000))
-        shared = np.minimum(start[of] + length[of], start[k] + length[k]) - np.maximum(start[of], start[k])
-        keep[k] = not (capture | (reliable[of] & reliable[k] & (shared > np.minimum(length[of], length[k]) / 2))).any()
+        # What is kept of each name: files, lengths by size, and reliable spans by start with the longest of them, so that only what can overlap is looked at.
+        of = held.setdefault(game[k], {"files": set(), "sizes": {}, "spans": [], "longest": 0.0})
+        lengths = of["sizes"].get(size[k], []) if size[k] > 0 else []
+        at = bisect.bisect(lengths, length[k])
+        same = file[k] in of["files"] or any(abs(x - length[k]) < 1_000_000 for x in lengths[max(at - 1, 0) : at + 1])
+        if not same and reliable[k]:
+            a, b = start[k], start[k] + length[k]
+            low, high = (bisect.bisect_left(of["spans"], (x,)) for x in (a - of["longest"], b))
+            same = any(min(s + own, b) - max(s, a) > min(own, length[k]) / 2 for s, own in of["spans"][low:high])
+        if same:
+            continue
+        keep[k] = True
+        of["files"].add(file[k])
+        if size[k] > 0:
+            bisect.insort(of["sizes"].setdefault(size[k], []), length[k])
+        if reliable[k]:
+            bisect.insort(of["spans"], (start[k], length[k]))
+            of["longest"] = max(of["longest"], length[k])
     return keep
 
 

@@ -90,13 +90,16 @@ def nms_spacing(spark, sf_dir):
  SELECT evening, u.cap AS cap, u.game AS game, u.s AS s, u.d AS duration, u.kills AS kills FROM (SELECT evening, unnest(y) AS u FROM f) z""")
 def distinct_games(spark, sf_dir):
     """Games of all captures of an evening that aren't the same game; richest kept. A capture's last digit names its game and tells whether its time is reliable."""
-    rows = games(spark, sf_dir).withColumn("evening", F.floor(F.col("s") / (24 * HOUR))).select("evening", "cap", "game", "s", "duration", "kills")
+    name = F.col("cap") % 3
+    rows = games(spark, sf_dir).withColumn("evening", F.floor(F.col("s") / (24 * HOUR))).withColumn("own", F.col("evening") * 3 + name)
+    rows = rows.select("own", "evening", "cap", "game", "s", "duration", "kills")
 
     def run(g: pd.DataFrame) -> list[tuple]:
-        keep = folds.distinct_games(g.s.to_numpy(float), g.duration.to_numpy(float), g.kills.to_numpy(), game=g.cap.to_numpy() % 3, file=g.cap.to_numpy() * 1000 + g.game.to_numpy(), size=g.duration.to_numpy(), reliable=g.cap.to_numpy() % 10 > 1)
-        return list(g[keep][["cap", "game", "s", "duration", "kills"]].itertuples(index=False, name=None))
+        keep = folds.distinct_games(g.s.to_numpy(float), g.duration.to_numpy(float), g.kills.to_numpy(), file=g.cap.to_numpy() * 1000 + g.game.to_numpy(), size=g.duration.to_numpy(), reliable=g.cap.to_numpy() % 10 > 1)
+        return list(g[keep][["evening", "cap", "game", "s", "duration", "kills"]].itertuples(index=False, name=None))
 
-    return per_key(rows, "evening", run, dict.fromkeys(["cap", "game", "s", "duration", "kills"], "long"), ["cap", "game"])
+    # Only games of one name can be the same game, so each name of an evening is a key of its own.
+    return per_key(rows, "own", run, dict.fromkeys(["evening", "cap", "game", "s", "duration", "kills"], "long"), ["cap", "game"]).drop("own")
 
 
 @query("counter_viterbi")

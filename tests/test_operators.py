@@ -91,3 +91,26 @@ def test_stream_equals_batch_and_sink_takes_each_once(spark, tmp_path):
     again = got.where(F.col("batch") == last).drop("batch")
     sink(spark.createDataFrame(again.collect(), again.schema), last)  # a replay
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_spacing_and_distinct_games_equal_all_pairs():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = int(rng.integers(0, 40))
+        times, strength = rng.integers(0, 100, n).astype(float), rng.integers(0, 5, n)
+        kept = []
+        for k in np.lexsort((times, -strength)):
+            if all(abs(times[k] - times[j]) >= 7 for j in kept):
+                kept.append(k)
+        assert set(np.flatnonzero(folds.spaced(times, strength, 7.0))) == set(kept)
+        start, length = rng.integers(0, 60, n) * 1e6, rng.integers(0, 12, n) * 700_000.0
+        start[rng.random(n) < 0.1] = np.nan
+        kills, game, file, size, sure = rng.integers(0, 6, n), rng.integers(0, 3, n), rng.integers(0, 30, n), rng.integers(0, 6, n), rng.random(n) < 0.7
+        kept = []
+        for k in np.argsort(-kills, kind="stable"):
+            if np.isnan(start[k]):
+                continue
+            shared = lambda j: min(start[j] + length[j], start[k] + length[k]) - max(start[j], start[k])  # noqa: B023, E731
+            if not any(game[j] == game[k] and (file[j] == file[k] or (size[j] == size[k] > 0 and abs(length[j] - length[k]) < 1e6) or (sure[j] and sure[k] and shared(j) > min(length[j], length[k]) / 2)) for j in kept):
+                kept.append(k)
+        assert set(np.flatnonzero(folds.distinct_games(start, length, kills, game, file, size, sure))) == set(kept)
