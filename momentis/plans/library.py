@@ -12,7 +12,7 @@ from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
 from momentis.plans.sessions import GROUPS, kill_groups
 from momentis.session import scratch, table
-from momentis.sources import logs, profiles, tables
+from momentis.sources import folders, logs, profiles, tables
 
 
 @query("loudness_log", EV + " SELECT cap AS file, round(CAST(t // 1000 AS DOUBLE) / 1000, 3) AS t, round(-v, 1) + 0.0 AS lufs FROM ev WHERE kind = 'shot' AND t >= 0")
@@ -140,6 +140,19 @@ def session_files(spark, sf_dir):
     return back.select("capture", F.size("moments").cast("long").alias("moments"), F.aggregate("moments", F.lit(0.0), lambda n, m: n + m["score"]).cast("long").alias("kills"))
 
 
+@query("log_folder", EV + " SELECT cap, count(*) AS kills, min(t) AS first, max(t) AS last FROM ev WHERE kind = 'kill' AND cap IS NOT NULL GROUP BY cap")
+def log_folder(spark, sf_dir):
+    """Kills from a folder of event logs with a sub-folder for each kind; the other kinds' files aren't opened."""
+    path = scratch(spark)
+    e = load_events(spark, sf_dir).where("cap IS NOT NULL")
+    e.select("kind", F.concat_ws(" ", "cap", "id", "t").alias("value")).write.partitionBy("kind").text(path)
+    folders.register(spark)
+    lines = spark.read.format("settled_files").option("extensions", "txt").option("content", "lines").load(path)
+    word = F.split("text", " ")
+    rows = lines.where(F.col("path").contains("kind=kill/")).select(word[0].cast("long").alias("cap"), word[2].cast("long").alias("t"))
+    return rows.groupBy("cap").agg(F.count("*").alias("kills"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
 @query("class_names", "SELECT CAST(p_partkey AS INTEGER) AS idx, CASE WHEN p_partkey % 2 = 0 THEN 'Speech, ' || p_name ELSE p_name END AS name FROM part")
 def class_names(spark, sf_dir):
     """A table of class names read from CSV, with commas inside quotes."""
