@@ -209,3 +209,81 @@ def choice_model(rows: DataFrame, key: Column, options: Column, chosen: Column,
     w, hits = fit_all(task, own, folds)
     by_rule = int(summed(own, 1, lambda some: np.array([sum(task.right(r, task.rule) for r in some)]))[0])
     return {"weights": w[-1].tolist(), "rows": n, "hits": hits, "rule_hits": by_rule, "active": n >= least and hits > by_rule}
+
+
+class Preference:
+    """Weights of criteria under which the chosen variant of a choice scores above its others: ln(1 + exp(-sharpness * difference)) over pairs; a score is the weighted mean of the criteria that aren't null."""
+
+    def __init__(self, base: np.ndarray, sharpness: float, penalty: float, rate: float):
+        self.base, self.sharpness, self.penalty, self.rate = np.asarray(base, float), sharpness, penalty, rate
+        self.d = len(self.base)
+
+    def scores(self, variants: list, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each variant's score, and how it moves with each weight."""
+        x = np.array([[np.nan if v is None else v for v in row] for row in variants], float)
+        known = ~np.isnan(x)
+        x, under = np.where(known, x, 0.0), np.maximum(known @ w, 1e-12)
+        score = x @ w / under
+        return score, np.where(known, x - score[:, None], 0.0) / under[:, None]
+
+    def sums(self, rows: list[tuple], w: np.ndarray) -> np.ndarray:
+        """Pairs, slopes and curvatures (of the scores' linear part); rows are (variants, chosen)."""
+        out = np.zeros(1 + self.d + self.d**2)
+        for variants, chosen in rows:
+            score, moves = self.scores(variants, w)
+            others = np.arange(len(score)) != chosen
+            apart = moves[chosen] - moves[others]
+            wrong = 1 / (1 + np.exp(np.clip(self.sharpness * (score[chosen] - score[others]), -500, 500)))
+            slope = -self.sharpness * wrong @ apart
+            curve = apart.T @ (apart * (self.sharpness**2 * wrong * (1 - wrong))[:, None])
+            out += np.concatenate([[others.sum()], slope, curve.ravel()])
+        return out
+
+    def agreed(self, rows: list[tuple], w: np.ndarray) -> int:
+        """Choices whose chosen variant alone scores highest."""
+        return sum(bool((np.delete(s, c) < s[c]).all()) for s, c in ((self.scores(v, w)[0], c) for v, c in rows))
+
+    def moved(self, w: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """A step down, within a quarter of the base and four times it, and with the base's sum."""
+        low, high = self.base / 4, self.base * 4
+        w = np.clip(w - self.rate * (slope + 2 * self.penalty * (w - self.base) / self.base**2), low, high)
+        return np.clip(w * self.base.sum() / w.sum(), low, high)
+
+
+def settled(task: Preference, total: Callable[[np.ndarray], np.ndarray], steps: int = 2000) -> np.ndarray:
+    """Where the task's steps come to rest. Each pass over the rows gives slopes and curvatures, from which the driver takes all steps; only where they end is looked at anew.
+
+    A pass whose end lies further from rest than its start is taken back by half.
+    """
+    w, best, least = task.base.copy(), task.base.copy(), np.inf
+    for _ in range(PASSES):
+        s = total(w)
+        n = max(s[0], 1)
+        slope, curve = s[1 : 1 + task.d] / n, s[1 + task.d :].reshape(task.d, task.d) / n
+        unrest = float(np.abs(task.moved(w, slope) - w).max())
+        if unrest > least and np.abs(w - best).max() > CLOSE:
+            w = (w + best) / 2
+            continue
+        best, least = w, unrest
+        if unrest < CLOSE * task.rate:
+            break
+        at = w
+        for _ in range(steps):
+            after = task.moved(at, slope + curve @ (at - w))
+            done = np.abs(after - at).max() < 1e-15
+            at = after
+            if done:
+                break
+        w = at
+    return best
+
+
+def preference_model(rows: DataFrame, variants: Column, chosen: Column, base: list[float], sharpness: float = 30.0, penalty: float = 0.05, rate: float = 0.02, least: int = 10) -> dict:
+    """Weights over all choices of two variants or more, kept near the base by a penalty; the base itself with fewer than `least` choices. With the shares of choices that both agree with."""
+    own = written(rows.select(variants.alias("variants"), chosen.cast("long").alias("chosen")).where("size(variants) >= 2 and chosen between 0 and size(variants) - 1"))
+    n, task = own.count(), Preference(np.array(base), sharpness, penalty, rate)
+    w = task.base
+    if n >= least:
+        w = settled(task, lambda w: summed(own, 1 + task.d + task.d**2, lambda some: task.sums(some, w)))
+    before, after = summed(own, 2, lambda some: np.array([task.agreed(some, task.base), task.agreed(some, w)])) / max(n, 1)
+    return {"weights": w.tolist(), "choices": n, "before": float(before), "after": float(after), "active": n >= least}

@@ -270,6 +270,20 @@ def library_choice_learner(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, weight double, days long, hits long, rule_hits long, active boolean")
 
 
+@query("library_preference")
+def library_preference(spark, sf_dir):
+    """Weights of four criteria (the last unknown for every fourth event) under which the chosen events of all captures' days score highest, by slopes summed in Spark."""
+    e = load_events(spark, sf_dir).where("cap IS NOT NULL")
+    at = F.col("t") - F.floor(F.col("t") / DAY) * DAY
+    criteria = F.array(F.col("v") / 100, (F.col("kind") == "kill").cast("double"), 1 - at / DAY, F.when(F.col("id") % 4 != 0, F.col("id") % 7 / 7.0))
+    strength = F.col("v") * 0.3 + F.when(F.col("kind") == "kill", 20).otherwise(0)
+    days = e.groupBy("cap", F.floor(F.col("t") / DAY)).agg(F.sort_array(F.collect_list(F.struct("t", "id", criteria.alias("x"), strength.alias("s")))).alias("o"))
+    best = F.array_position(F.transform("o", lambda x: x["s"]), F.array_max(F.transform("o", lambda x: x["s"]))) - 1
+    m = learners.preference_model(days, F.transform("o", lambda x: x["x"]), best, [0.4, 0.2, 0.2, 0.2])
+    rows = [(k, round(w, 4), m["choices"], round(m["before"], 6), round(m["after"], 6)) for k, w in zip(["value", "kill", "early", "place"], m["weights"], strict=True)]
+    return spark.createDataFrame(rows, "criterion string, weight double, choices long, before double, after double")
+
+
 @query("quality_gate")
 def quality_gate(spark, sf_dir):
     """The logistic model of all labelled documents, used only if models without a document get four of five right."""

@@ -103,3 +103,26 @@ def test_queries(spark):
     assert every[0].days == len(days) and every[0].hits >= every[0].rule_hits
     gate = registry.queries()["quality_gate"](spark, SF).collect()
     assert [r.feature for r in gate] == ["length", "symbols", "lines", "shouting", "bias"] and gate[0].documents == spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").count()
+
+
+def test_preference_over_all_rows_equals_small_steps(spark):
+    from momentis.operators import sequences
+
+    rng = np.random.default_rng(2)
+    for base, hidden, count, sharpness in (([0.4, 0.3, 0.2, 0.1], [0.1, 0.2, 0.6, 0.1], 60, 30.0), ([1.0, 1.0, 1.0], [9.0, 1.0, 0.01], 40, 30.0), ([0.5, 0.5], [0.5, 0.5], 12, 6.0)):
+        choices = []
+        for _ in range(count):
+            x = rng.random((int(rng.integers(2, 6)), len(base)))
+            chosen = int((x @ np.array(hidden)).argmax())
+            x[rng.random(x.shape) < 0.1] = np.nan
+            choices.append((x, chosen))
+        rows = [([[None if np.isnan(v) else float(v) for v in r] for r in x], c) for x, c in choices]
+        rows += [([[0.1] * len(base)], 0), (None, 0), ([[0.1] * len(base)] * 2, None), ([[0.1] * len(base)] * 2, 2)]
+        frame = spark.createDataFrame(rows, "variants array<array<double>>, chosen int").repartition(3)
+        got = learners.preference_model(frame, F.col("variants"), F.col("chosen"), base, sharpness)
+        want = sequences.preference_weights(choices, np.array(base), 4000, 0.02, sharpness, 0.05)
+        assert np.allclose(got["weights"], want, atol=1e-6), (got, want)
+        assert got["choices"] == count and got["active"] and abs(sum(want) - sum(base)) < 0.5
+        assert got["after"] == sequences.agreement(choices, want) and got["before"] == sequences.agreement(choices, np.array(base))
+    few = learners.preference_model(frame.limit(5), F.col("variants"), F.col("chosen"), base)
+    assert few["weights"] == base and not few["active"] and few["before"] == few["after"]

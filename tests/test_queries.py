@@ -256,5 +256,5 @@ def test_shapes_of_other_queries(spark, captures):
     assert all(0.125 <= r.level <= 2 and abs(r.level + r.place + r.kind - 1) < 0.2 for r in run("preference_learner"))
     assert {r.feature for r in run("quality_learner")} >= {"bias", "agreement"}
     known = set(PLAIN) - {"knock_pairs", "credit_marks"} | {"clutch_search", "game_clutches", "log_tracks", "shape_clusters", "spectrum_peaks", "mask_boxes", "own_lag", "cluster_labels", "section_novelty", "mel_levels", "onset_strength", "beat_tempo", "percussive_parts", "template_matches", "model_labels"}
-    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "learned_digits", "library_choice_learner", "quality_gate", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
+    known |= {"stream_log_tracks", "stream_row_tracks", "stream_shapes", "slot_plan", "learned_digits", "library_preference", "library_choice_learner", "quality_gate", "beat_tracking", "plateau_segments", "row_tracks", "choice_learner", "preference_learner", "quality_learner", "fuzzy_needles", *(f"detect_{x}" for x in ("killfeed", "killfeed_teams", "ammo_counter", "hud_counter", "hud_change", "round_score", "ocr_log"))}
     assert set(registry.queries()) - set(registry.oracle_sql()) == known
