@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from momentis.plans import details, detecting, editing, imaging, library, moments, more, novelty, relational, rollups, selection, sequential, sessions, streams, texts  # noqa: F401
+    from momentis.plans import details, detecting, editing, imaging, library, merging, moments, more, novelty, relational, rollups, selection, sequential, sessions, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
