@@ -80,6 +80,14 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(out, r"(/home/|/Users/)[A-Za-z0-9._-]+", "$1<user>")
 
 
+def dice(a: Column, b: Column, bright: float) -> Column:
+    """Likeness of two shapes, the components above `bright`: twice those in both over those in either, 0 where neither has any."""
+    lit = lambda x: x > bright
+    both = F.size(F.filter(F.zip_with(a, b, lambda x, y: lit(x) & lit(y)), lambda x: x))
+    all_ = F.size(F.filter(a, lit)) + F.size(F.filter(b, lit))
+    return F.when(all_ == 0, 0.0).otherwise(2.0 * both / F.greatest(all_, F.lit(1)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)

@@ -410,7 +410,10 @@ def windows_table_function(spark, sf_dir):
 
     spark.udtf.register("covering_windows", Covering)
     load_events(spark, sf_dir).where(f"kind = 'kill' and t between 0 and {grid.TOTAL}").createOrReplaceTempView("kills_to_cover")
-    return spark.sql("SELECT k.cap, k.id, w.win FROM kills_to_cover k, LATERAL covering_windows(k.t) w")
+    found = spark.sql("SELECT k.cap, k.id, w.win FROM kills_to_cover k, LATERAL covering_windows(k.t) w")
+    # The plan holds what the view stood for.
+    spark.catalog.dropTempView("kills_to_cover")
+    return found
 
 
 @query("merging_table_function", EV + MERGED + " SELECT cap, s, e FROM merged")

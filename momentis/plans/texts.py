@@ -99,6 +99,15 @@ def cosine_to_centroid(spark, sf_dir):
     return e.join(first, "label").select("vec_id", F.round(fn.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
 
 
+@query("shape_dice", """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS c FROM embeddings GROUP BY label), n AS (SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) + len(list_filter(c, lambda x: x > 0)) AS lit,
+ len(list_filter(list_zip(embedding, c), lambda z: z[1] > 0 AND z[2] > 0)) AS both_lit FROM embeddings JOIN f USING (label)) SELECT vec_id, CASE WHEN lit = 0 THEN 0 ELSE round(2.0 * both_lit / lit, 6) END AS dice FROM n""")
+def shape_dice(spark, sf_dir):
+    """How much of each vector's positive part it shares with the first of its label."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
+    return e.join(first, "label").select("vec_id", F.round(fn.dice(F.col("embedding"), F.col("c"), 0.0), 6).alias("dice"))
+
+
 @query("fuzzy_needles")
 def fuzzy_needles(spark, sf_dir):
     """The first benchmark phrase (its item, by number) that lies in a caption within a fifth of its length in edits; phrases and captions whole.

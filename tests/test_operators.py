@@ -114,3 +114,11 @@ def test_spacing_and_distinct_games_equal_all_pairs():
             if not any(game[j] == game[k] and (file[j] == file[k] or (size[j] == size[k] > 0 and abs(length[j] - length[k]) < 1e6) or (sure[j] and sure[k] and shared(j) > min(length[j], length[k]) / 2)) for j in kept):
                 kept.append(k)
         assert set(np.flatnonzero(folds.distinct_games(start, length, kills, game, file, size, sure))) == set(kept)
+
+
+def test_dice(spark):
+    from momentis.functions.events import dice
+
+    rows = [(1, [0.9, 0.8, 0.1], [0.7, 0.2, 0.1]), (2, [0.0], [0.1]), (3, [0.6], [0.6]), (4, [0.6, 0.0], [0.0, 0.6]), (5, None, [0.6])]
+    got = spark.createDataFrame(rows, "k int, a array<double>, b array<double>").select("k", dice(F.col("a"), F.col("b"), 0.5)).collect()
+    assert {k: v and round(v, 6) for k, v in map(tuple, got)} == {1: 0.666667, 2: 0.0, 3: 1.0, 4: 0.0, 5: None}
