@@ -7,7 +7,7 @@ from pathlib import Path
 
 
 ROOT = Path(__file__).resolve().parents[1]
-NAMES = ["counter_viterbi", "mask_boxes", "stream_open_hits", "detect_ocr_log", "windows_table_function", "fuzzy_needles", "clutch_fsm", "pcm_levels", "distinct_games", "shape_clusters", "stream_log_tracks", "stream_shapes", "choice_learner", "slot_plan", "merging_table_function", "log_folder", "learned_digits"]
+NAMES = ["counter_viterbi", "mask_boxes", "stream_open_hits", "detect_ocr_log", "windows_table_function", "fuzzy_needles", "clutch_fsm", "pcm_levels", "distinct_games", "shape_clusters", "stream_log_tracks", "stream_shapes", "choice_learner", "slot_plan", "merging_table_function", "log_folder", "learned_digits", "library_preference", "longest_streak"]
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
