@@ -1,6 +1,7 @@
 """Trackers as streams: typed state for each key, rows put in order by event time, and timers that let state go.
 
-Rows wait until the watermark has passed their frame, so the order in which they arrive doesn't matter within the lateness, and later ones are dropped. A timer for each frame takes it; another one, after the longest time that anything is held, clears what is left of a silent key.
+Rows wait until the watermark has passed their frame, so the order in which they arrive doesn't matter within the lateness, and later ones are dropped. A timer at the first waiting frame takes all that the watermark has closed; another one, after the longest time that anything is held, clears what is left of a silent key.
+A key is called once for a batch's rows and once for its timer, and reads and writes each state once in a call, however many frames that call takes.
 So the rows of a tracker are those of its batch form over all closed frames. State lies in typed columns (lists, values, maps), which a changed
 program can still read, and in a store that spills.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -46,41 +48,43 @@ class Framed(StatefulProcessor):
         return self.origin + (frame + 1) * self.span
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames: set[int] = set()
         # The engine drops late rows by the watermark of the batch before; this one's has closed more frames.
         now = timerValues.getCurrentWatermarkInMs()
+        first = None
         for batch in rows:
             own = list(zip(*(map(_PYTHON[k], batch[n]) for n, k in self.row.items()), strict=True))
             own = [r for r in own if self.end(r[0]) > now]
             if own:
                 self.waiting.appendList(own)
-                frames |= {int(r[0]) for r in own}
-        for f in frames:
-            self.handle.registerTimer(self.end(f))
-        yield self._frame(key, [])
+                first = min(r[0] for r in own) if first is None else min(first, *(r[0] for r in own))
+        # Every waiting row has a timer at its frame or before it: earlier rows have theirs.
+        if first is not None:
+            self.handle.registerTimer(self.end(first))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # Not the timer's own time: one call takes all frames that are closed.
+        now = timerValues.getCurrentWatermarkInMs()
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         ready = sorted((r for r in rows if self.end(r[0]) <= now), key=lambda r: (r[0], r[1]))
-        out: list[tuple] = []
         last, count = self.taken.get() if self.taken.exists() else (None, 0)
+        out: list[tuple] = []
         if ready:
             left = [r for r in rows if self.end(r[0]) > now]
             self.waiting.put(left) if left else self.waiting.clear()
-            at = 0
-            while at < len(ready):
-                stop = at
-                while stop < len(ready) and ready[stop][0] == ready[at][0]:
-                    stop += 1
-                last = int(ready[at][0])
-                out += self.take(last, count, ready[at:stop])
-                count, at = count + 1, stop
+            frames = [(int(f), list(own)) for f, own in groupby(ready, key=lambda r: r[0])]
+            out = self.take(count, frames)
+            last, count = frames[-1][0], count + len(frames)
             self.taken.update((last, count))
-            self.handle.registerTimer(self.end(last + self.held))
-        elif last is not None and self.end(last + self.held) <= now and not rows:
-            self.clear()
-        yield self._frame(key, out)
+            self.handle.registerTimer(self.end(min((r[0] for r in left), default=last + self.held)))
+        elif rows:
+            self.handle.registerTimer(self.end(min(r[0] for r in rows)))
+        elif last is not None:
+            if self.end(last + self.held) <= now:
+                self.clear()
+            else:
+                self.handle.registerTimer(self.end(last + self.held))
+        return iter([self._frame(key, out)] if out else ())
 
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=list(self.out)).astype({n: _KINDS[k] for n, k in self.out.items()})
@@ -90,8 +94,8 @@ class Framed(StatefulProcessor):
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Get further state."""
 
-    def take(self, frame: int, count: int, rows: list[tuple]) -> list[tuple]:
-        """What a frame's rows give; count frames were taken before."""
+    def take(self, count: int, frames: list[tuple[int, list[tuple]]]) -> list[tuple]:
+        """What the rows of frames (frame, rows), in order, give; count frames were taken before."""
         raise NotImplementedError
 
     def clear(self) -> None:
@@ -110,12 +114,15 @@ class Tracked(Framed):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getListState("live", self.tracker.live)
 
-    def take(self, frame: int, count: int, rows: list[tuple]) -> list[tuple]:
+    def take(self, count: int, frames: list[tuple[int, list[tuple]]]) -> list[tuple]:
         live = list(self.live.get()) if self.live.exists() else []
-        live, found = self.tracker.frame(live, count if self.counted else frame, [r[2:] for r in rows])
+        out: list[tuple] = []
+        for k, (frame, rows) in enumerate(frames):
+            live, found = self.tracker.frame(live, count + k if self.counted else frame, [r[2:] for r in rows])
+            out += found
         kinds = [_PYTHON[x.split(" ")[1]] for x in self.tracker.live.split(", ")]
         self.live.put([tuple(k(v) for k, v in zip(kinds, x, strict=True)) for x in live]) if live else self.live.clear()
-        return [(int(a), b) for a, b in found]
+        return [(int(a), b) for a, b in out]
 
     def clear(self) -> None:
         # Counted frames stand still in silence, so their rows do as well.
@@ -134,11 +141,11 @@ class Clustered(Framed):
         self.clusters = handle.getMapState("clusters", "k long", "x array<double>, seen boolean")
         self.place = handle.getValueState("place", "current long, candidate array<double>, start long, run long")
 
-    def take(self, frame: int, count: int, rows: list[tuple]) -> list[tuple]:
+    def take(self, count: int, frames: list[tuple[int, list[tuple]]]) -> list[tuple]:
         known = {k[0]: (list(x[0]), x[1]) for k, x in self.clusters.iterator()} if self.clusters.exists() else {}
         before, out = dict(known), []
         place = tuple(self.place.get()) if self.place.exists() else (None, None, 0, 0)
-        for _, order, x in rows:
+        for _, order, x in (r for _, rows in frames for r in rows):
             place, fresh = self.shapes.push(known, place, int(order), np.array(x, float))
             out.append((int(order), place[0], fresh is not None))
         for k, x in known.items():

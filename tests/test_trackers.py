@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,59 @@ def test_streams_do_not_depend_on_how_rows_are_cut(spark, tmp_path):
     for cap in range(3):
         want += [(cap, int(t), k) for t, k in folds.track_log([(r[1], r[3], r[4]) for r in rows if r[0] == cap], 4, 10.0, 2)]
     assert results[0] == results[1] == sorted(want)
+
+
+class Held:
+    """A list or value of state, and how often it was called."""
+
+    def __init__(self, calls):
+        self.calls, self.x = calls, None
+
+    def exists(self):
+        return self.x is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.x
+
+    def put(self, x):
+        self.calls.append("put")
+        self.x = x
+
+    update = put
+
+    def appendList(self, x):
+        self.put((self.x or []) + x)
+
+    def clear(self):
+        self.x = None
+
+
+def test_one_timer_takes_all_closed_frames():
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = [], []
+            self.getListState = self.getValueState = lambda *_: Held(self.calls)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+    row = {"frame": "long", "id": "long", "y": "double", "kind": "string"}
+    own = trackers.Tracked(folds.LogLines(4, 20.0, 2), False, key="cap", row=row, span=10, origin=0, held=5)
+    handle = Handle()
+    own.init(handle)
+    frame = pd.DataFrame([(f, f, 50.0, "kill" if f % 2 else "aid") for f in range(60)], columns=list(row))
+    list(own.handleInputRows((7,), iter([frame]), At(0)))
+    assert handle.timers == [10]
+    handle.calls.clear()
+    found = pd.concat(own.handleExpiredTimer((7,), At(500), At(10)))
+    # Frames 0 to 49 at once, in a bounded number of calls; the timer goes on to the first one that waits.
+    assert list(map(tuple, found.to_numpy().tolist())) == [(7, 0, "aid"), (7, 1, "kill")]
+    assert len(handle.calls) < 8 and handle.timers == [10, 510] and own.taken.x == (49, 50)
+    assert list(own.handleExpiredTimer((7,), At(600), At(510))) == [] and own.taken.x == (59, 60) and own.live.x
+    # Silent for the longest time that a line is held: cleared.
+    assert list(own.handleExpiredTimer((7,), At(650), At(650))) == [] and own.live.x is None
