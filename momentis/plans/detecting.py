@@ -148,20 +148,28 @@ def pcm_samples(pieces: Iterator[bytes]) -> Iterator[np.ndarray]:
 
 
 class RingOnsets:
-    """Onsets of a signal that comes in pieces, with memory for the last `size` levels only."""
+    """Onsets of a signal that comes in pieces, with memory for the last `size` levels only.
+
+    Levels are added up one by one in order of time, as a running mean in SQL adds them, so that levels which lie exactly at the bound are judged alike; unknown levels count for nothing.
+    """
 
     def __init__(self, size: int = 16, rise: float = 1.5):
-        self.ring = np.zeros(size)
+        self.ring = [0.0] * size
         self.seen, self.rise = 0, rise
 
     def push(self, levels: np.ndarray) -> list[int]:
         out = []
-        for x in levels:
-            held = min(self.seen, len(self.ring))
-            usual = float(np.mean(self.ring[:held])) if held else 0.0
-            if held >= 4 and x > self.rise * max(usual, 1e-9):
+        size = len(self.ring)
+        for x in levels.tolist():
+            total, known = 0.0, 0
+            for k in range(max(self.seen - size, 0), self.seen):
+                level = self.ring[k % size]
+                if level == level:
+                    total += level
+                    known += 1
+            if self.seen >= 4 and x > self.rise * max(total / max(known, 1), 1e-9):
                 out.append(self.seen)
-            self.ring[self.seen % len(self.ring)] = x
+            self.ring[self.seen % size] = x
             self.seen += 1
         return out
 

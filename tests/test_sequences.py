@@ -117,3 +117,23 @@ def test_fuzzy_needles_equal_all_pairs(spark, tmp_path):
         want = {(c, t): min((k for k, p in needles if k is not None and folds.sellers(plain(p), plain(x)) <= max(1, len(plain(p)) // 5)), default=None) for c, t, x in rows}
         assert got == want
         assert name != "some" or len(set(got.values())) > 6
+
+
+def test_onsets_at_the_bound_are_judged_as_running_sums_judge_them():
+    from momentis.plans.detecting import RingOnsets
+
+    rng = random.Random(2)
+    apart = 0
+    for _ in range(3000):
+        cents = [rng.randrange(1, 9000) for _ in range(16 + rng.randrange(16))]
+        cents[-1] += -sum(cents[-16:]) % 32
+        level = 3 * sum(cents[-16:]) / 32 / 100
+        levels = [c / 100 for c in cents] + [level]
+        total = 0.0
+        for x in levels[-17:-1]:
+            total += x
+        onset = RingOnsets().push(np.array(levels))[-1:] == [len(cents)]
+        assert onset == (level > 1.5 * (total / 16))
+        apart += onset
+    assert 0 < apart < 3000  # rounding decides them: none lies above in exact numbers
+    assert RingOnsets().push(np.array([1.0, np.nan, 1.0, 1.0, 1.6])) == [4]
