@@ -21,6 +21,8 @@ from momentis.session import ship
 _KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 #: Keys that a task holds states of before it hands them on.
 KEYS = 10_000
+#: Numbers in the lists of these states, at most.
+CELLS = 500_000
 
 
 class Gaps:
@@ -80,7 +82,8 @@ class Spread:
     """Median and median deviation from it of values on a grid, from counts; of an even number the lower middle."""
 
     ordered = False
-    state = {"counts": "array<long>"}
+    # Only cells that have values: a key of few rows has a small state, however wide the grid is.
+    state = {"cells": "array<long>", "counts": "array<long>"}
     columns = {"n": "long", "median": "double", "deviation": "double"}
 
     def __init__(self, step: float, cells: int):
@@ -88,19 +91,24 @@ class Spread:
 
     def of(self, v: np.ndarray) -> tuple:
         at = np.clip(np.floor(v[~np.isnan(v)] / self.step), 0, self.cells - 1).astype(int)
-        return (np.bincount(at, minlength=self.cells).tolist(),)
+        cells, counts = np.unique(at, return_counts=True)
+        return cells.tolist(), counts.tolist()
 
     def merge(self, a: tuple, b: tuple) -> tuple:
-        return (np.add(a[0], b[0]).tolist(),)
+        cells, at = np.unique(np.concatenate([a[0], b[0]]).astype(int), return_inverse=True)
+        counts = np.zeros(len(cells), int)
+        np.add.at(counts, at, np.concatenate([a[1], b[1]]).astype(int))
+        return cells.tolist(), counts.tolist()
 
     def result(self, s: tuple) -> list[tuple]:
-        counts = np.array(s[0])
+        cells, counts = np.asarray(s[0], int), np.asarray(s[1], int)
         n = int(counts.sum())
         if not n:
             return []
-        middle = int(np.searchsorted(np.cumsum(counts), (n + 1) // 2))
-        away = np.bincount(np.abs(np.arange(self.cells) - middle), counts, self.cells)
-        return [(n, middle * self.step, int(np.searchsorted(np.cumsum(away), (n + 1) // 2)) * self.step)]
+        middle = int(cells[np.searchsorted(np.cumsum(counts), (n + 1) // 2)])
+        away = np.abs(cells - middle)
+        near = np.argsort(away, kind="stable")
+        return [(n, middle * self.step, int(away[near][np.searchsorted(np.cumsum(counts[near]), (n + 1) // 2)]) * self.step)]
 
 
 def aggregate(rows: DataFrame, key: str, fold, reads: list[str], order: list[str] | None = None) -> DataFrame:
@@ -127,7 +135,7 @@ def aggregate(rows: DataFrame, key: str, fold, reads: list[str], order: list[str
             for k, some in frame.groupby(key, sort=False):
                 state = fold.of(*(some[c].to_numpy() for c in reads))
                 held[k] = fold.merge(held[k], state) if k in held else state
-            if len(held) > KEYS:
+            if len(held) > KEYS or sum(len(x) for s in held.values() for x in s if isinstance(x, list)) > CELLS:
                 yield handed()
                 held.clear()
                 part += 1

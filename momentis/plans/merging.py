@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from momentis.functions.events import HOUR, load_events
 from momentis.operators import aggregates
+from momentis.operators.keyed import per_key
 from momentis.plans.moments import EV, H
 from momentis.plans.registry import query
 
@@ -28,5 +29,9 @@ def longest_streak(spark, sf_dir):
 @query("robust_spread", EV + """, b AS (SELECT cap, least(greatest(floor(v / 0.5), 0), 1023) AS c FROM ev WHERE v IS NOT NULL AND cap IS NOT NULL), m AS (SELECT cap, count(*) AS n, quantile_disc(c, 0.5) AS m FROM b GROUP BY cap)
  SELECT cap, n, m * 0.5 AS median, quantile_disc(abs(c - m), 0.5) * 0.5 AS deviation FROM b JOIN m USING (cap) GROUP BY cap, n, m""")
 def robust_spread(spark, sf_dir):
-    """Median and median deviation of each capture's values, to half a unit, from counts that are added before anything travels."""
-    return aggregates.aggregate(load_events(spark, sf_dir).withColumn("v", F.col("v").cast("double")), "cap", aggregates.Spread(0.5, 1024), ["v"])
+    """Median and median deviation of each capture's values, to half a unit, from counts of cells that are added before anything travels."""
+    fold = aggregates.Spread(0.5, 1024)
+    v = F.col("v").cast("double")
+    cell = F.least(F.greatest(F.floor(v / fold.step), F.lit(0)), F.lit(fold.cells - 1)).alias("cell")
+    counts = load_events(spark, sf_dir).where(F.col("cap").isNotNull() & v.isNotNull() & ~F.isnan(v)).groupBy("cap", cell).agg(F.count("*").alias("n"))
+    return per_key(counts, "cap", lambda g: fold.result((g.cell, g.n)), fold.columns, ["cell"])

@@ -45,3 +45,9 @@ def test_one_large_key_over_many_tasks(spark, monkeypatch):
         assert {r.key: r.n for r in spread.collect()} == {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows} - {None}}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_state_of_counts_is_as_long_as_its_values():
+    fold = aggregates.Spread(0.5, 1024)
+    state = fold.merge(fold.of(np.array([3.0, 3.2, 90.0])), fold.of(np.array([3.1, np.nan])))
+    assert sum(map(len, state)) == 4 and fold.result(state) == [(4, 3.0, 0.0)]
