@@ -190,16 +190,70 @@ class Shapes:
         return (current, candidate, start, run), fresh
 
 
+class ShapeRun:
+    """`Shapes` over one long run of frames that comes in pieces, with equal results: a piece is compared with all clusters in one product of matrices, so only
+    the frames that begin a candidate look at anything one by one, and what is held is the clusters."""
+
+    def __init__(self, alike: float, stable: int = 1):
+        self.alike, self.stable = alike, stable
+        self.clusters, self.n, self.seen = np.zeros((16, 0)), 0, []
+        self.current, self.candidate, self.start, self.run = None, None, 0, 0
+        self.frames = 0
+
+    def like(self, clusters: np.ndarray, x: np.ndarray, near: np.ndarray, first: int) -> int | None:
+        """The first cluster that x is like; near: their products, of which those at the bound (but for rounding) are looked at anew."""
+        for k in np.flatnonzero(near >= self.alike - 1e-9).tolist():
+            if near[k] >= self.alike + 1e-9 or float(np.dot(clusters[k], x)) >= self.alike:
+                return first + k
+        return None
+
+    def push(self, shapes: np.ndarray, piece: int = 256) -> tuple[list[int | None], list[int]]:
+        """The cluster of the stable shape in each frame, and the frames in which a new shape began."""
+        states, changes = [], []
+        if not self.n:
+            self.clusters = np.zeros((16, shapes.shape[1]))
+        for at in range(0, len(shapes), piece):
+            rows = [x / max(float(np.linalg.norm(x)), 1e-12) for x in shapes[at : at + piece]]
+            old = self.n
+            # A candidate from before this piece is not among its rows.
+            near = np.stack(rows) @ self.clusters[:old].T
+            place: int | None = None
+            for k, x in enumerate(rows):
+                if self.candidate is not None and float(np.dot(self.candidate, x)) >= self.alike:
+                    self.run += 1
+                else:
+                    self.candidate, self.start, self.run, place = x, self.frames, 1, k
+                if self.run == self.stable:
+                    known = self.clusters[:old]
+                    own = self.like(known, self.candidate, near[place] if place is not None else known @ self.candidate, 0)
+                    if own is None and self.n > old:
+                        new = self.clusters[old : self.n]
+                        own = self.like(new, self.candidate, new @ self.candidate, old)
+                    if own is None:
+                        own = self.add(self.candidate)
+                    if own != self.current:
+                        self.current = own
+                        if own == 0:
+                            self.seen = [j == 0 for j in range(self.n)]
+                        elif not self.seen[own]:
+                            self.seen[own] = True
+                            changes.append(self.start)
+                states.append(self.current)
+                self.frames += 1
+        return states, changes
+
+    def add(self, x: np.ndarray) -> int:
+        if self.n == len(self.clusters):
+            self.clusters = np.concatenate([self.clusters, np.zeros_like(self.clusters)])
+        self.clusters[self.n] = x
+        self.seen.append(False)
+        self.n += 1
+        return self.n - 1
+
+
 def track_shapes(shapes: list[np.ndarray], alike: float, stable: int = 1) -> tuple[list[int | None], list[int]]:
     """The cluster of the stable shape in each frame (None before the first), and the frames in which a new shape began; see `Shapes`."""
-    tracker, clusters, place = Shapes(alike, stable), {}, (None, None, 0, 0)
-    states, changes = [], []
-    for frame, x in enumerate(shapes):
-        place, fresh = tracker.push(clusters, place, frame, x)
-        states.append(place[0])
-        if fresh is not None:
-            changes.append(fresh)
-    return states, changes
+    return ShapeRun(alike, stable).push(np.stack(shapes)) if len(shapes) else ([], [])
 
 
 class FeedRows:

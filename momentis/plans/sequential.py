@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,9 +210,24 @@ def spectrum_peaks(spark, sf_dir):
 def shape_clusters(spark, sf_dir):
     """Online clusters of each label's vectors in order of their ids."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("cap"), "vec_id", "embedding")
-
-    def run(g):
-        states, changes = kernels.track_shapes([np.asarray(v, float) for v in g.embedding], 0.5)
-        return [(key, state, k in set(changes)) for k, (key, state) in enumerate(zip(g.vec_id.tolist(), states, strict=True))]
-
-    return per_capture(rows, run, {"vec_id": "long", "shape": "long", "fresh": "boolean"}, ["vec_id"])
+    names = ["cap", "vec_id", "shape", "fresh"]
+
+    def clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A label's rows follow each other; only its clusters are held from one batch to the next.
+        cap, own = None, None
+        for batch in batches:
+            caps, ids, vectors = (batch.column(k).to_pylist() for k in range(3))
+            edges = [0, *(k for k in range(1, len(caps)) if caps[k] != caps[k - 1]), len(caps)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if own is None or caps[a] != cap:
+                    cap, own = caps[a], kernels.ShapeRun(0.5)
+                before = own.frames
+                states, changes = own.push(np.array(vectors[a:b], float))
+                fresh = set(changes)
+                # A shape of one frame is stable at once, so a change lies in its own batch.
+                cells = [[cap] * (b - a), ids[a:b], states, [k in fresh for k in range(before, before + b - a)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names)
+
+    return rows.repartition("cap").sortWithinPartitions("cap", "vec_id").mapInArrow(clustered, "cap long, vec_id long, shape long, fresh boolean")

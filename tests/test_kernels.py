@@ -56,3 +56,18 @@ def test_trackers():
 def test_held_out_median():
     own, none = k.held_out_median_error(np.array([2.0, 2.1, 1.9, 2.0]))
     assert own < 0.2 < none
+
+
+def test_a_run_of_shapes_in_pieces_equals_frame_by_frame():
+    rng = np.random.default_rng(5)
+    for stable in (1, 2, 3):
+        seeds = np.round(rng.normal(size=(40, 4)) * 2)
+        shapes = seeds[rng.integers(0, 40, 400).repeat(2)] + (rng.random((800, 1)) < 0.3) * rng.normal(size=(800, 4))
+        tracker, clusters, place, states, changes = k.Shapes(0.8, stable), {}, (None, None, 0, 0), [], []
+        for frame, x in enumerate(shapes):
+            place, fresh = tracker.push(clusters, place, frame, x)
+            states.append(place[0])
+            changes += [fresh] if fresh is not None else []
+        run = k.ShapeRun(0.8, stable)
+        got = [run.push(shapes[a : a + 70], 32) for a in range(0, 800, 70)]
+        assert ([s for g in got for s in g[0]], [c for g in got for c in g[1]]) == (states, changes) and len(clusters) > (16 if stable == 1 else 5)
