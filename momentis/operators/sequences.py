@@ -206,18 +206,23 @@ def preference_weights(choices: list[tuple[np.ndarray, int]], base: np.ndarray,
     """
     w = base.astype(float).copy()
     low, high = base / 4, base * 4
-    pairs = max(1, sum(len(rows) - 1 for rows, _ in choices))
+    # All pairs at once: the places of the chosen and of the other variant among all rows.
+    sizes = np.array([len(rows) for rows, _ in choices])
+    begin = np.cumsum(sizes) - sizes
+    rows = np.concatenate([rows for rows, _ in choices]) if choices else np.empty((0, len(base)))
+    best = np.repeat(begin + [c for _, c in choices], sizes).astype(int)
+    other = np.flatnonzero(best != np.arange(len(rows)))
+    best = best[other]
+    known = ~np.isnan(rows)
+    x = np.where(known, rows, 0.0)
     for _ in range(steps):
-        slope = np.zeros_like(w)
-        for rows, chosen in choices:
-            known = ~np.isnan(rows)
-            total = weighted_means(rows, w)
-            # How a mean moves with a weight: the criterion's distance from the mean, over the weights that count.
-            moves = np.where(known, np.where(known, rows, 0.0) - total[:, None], 0.0) / np.maximum(known @ w, 1e-12)[:, None]
-            for other in range(len(rows)):
-                if other != chosen:
-                    slope -= sharpness / (1 + np.exp(np.clip(sharpness * (total[chosen] - total[other]), -500, 500))) * (moves[chosen] - moves[other])
-        w = np.clip(w - rate * (slope / pairs + 2 * penalty * (w - base) / base**2), low, high)
+        under = np.maximum(known @ w, 1e-12)
+        total = x @ w / under
+        # How a mean moves with a weight: the criterion's distance from the mean, over the weights that count.
+        moves = np.where(known, x - total[:, None], 0.0) / under[:, None]
+        wrong = sharpness / (1 + np.exp(np.clip(sharpness * (total[best] - total[other]), -500, 500)))
+        slope = -wrong @ (moves[best] - moves[other])
+        w = np.clip(w - rate * (slope / max(1, len(other)) + 2 * penalty * (w - base) / base**2), low, high)
         w = np.clip(w * base.sum() / w.sum(), low, high)
     return w
 

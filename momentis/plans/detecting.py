@@ -310,10 +310,15 @@ def preference_learner(spark, sf_dir):
     def run(g: pd.DataFrame) -> list[tuple]:
         base = np.array([0.5, 0.3, 0.2])
         choices = []
-        for _, day in g.groupby("day"):
-            if len(day) > 1:
-                rows = np.column_stack([day.v / 100, (day.id % 10) / 10.0, np.where(day.id % 4 == 0, np.nan, (day.id % 7) / 7.0)])
-                choices.append((rows, int(np.argmax(day.v.to_numpy() * 0.3 + (day.id % 10).to_numpy() * 7))))
+        # Rows are in order of time, so a day's lie together.
+        g = g[g.day.notna()]
+        v, place, day = g.v.to_numpy(), g.id.to_numpy(), g.day.to_numpy()
+        criteria = np.column_stack([v / 100, (place % 10) / 10.0, np.where(place % 4 == 0, np.nan, (place % 7) / 7.0)])
+        strength = v * 0.3 + (place % 10) * 7
+        edges = [0, *(np.flatnonzero(day[1:] != day[:-1]) + 1).tolist(), len(day)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > 1:
+                choices.append((criteria[a:b], int(np.argmax(strength[a:b]))))
         if len(choices) < 3:
             return []
         w = sequences.preference_weights(choices, base, 60, 0.05, 6.0, 0.001)
