@@ -22,6 +22,14 @@ PASSES = 80
 CLOSE = 1e-10
 
 
+def by_size(rows: list[tuple], at: int) -> Iterator[list[tuple]]:
+    """Rows whose lists in place `at` are of one length, together."""
+    own: dict[int, list[tuple]] = {}
+    for r in rows:
+        own.setdefault(len(r[at]), []).append(r)
+    yield from own.values()
+
+
 class Choice:
     """Conditional choice: the chosen one of a row's options is the likeliest under softmax(sharpness x option · w); weights are drawn towards a rule."""
 
@@ -39,19 +47,22 @@ class Choice:
         """Numbers of rows, losses, slopes and curvatures, flat for each model; rows are (fold, options, chosen)."""
         m, d = w.shape
         out = np.zeros((m, 2 + d + d * d))
-        for fold, options, chosen in rows:
-            x = np.asarray(options, float)
+        for some in by_size(rows, 1):
+            fold, x, chosen = np.array([r[0] for r in some]), np.array([r[1] for r in some], float), np.array([r[2] for r in some])
+            n = len(some)
             z = self.sharpness * x @ w.T
-            z -= z.max(axis=0)
+            z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
-            loss = np.log(p.sum(axis=0)) - z[chosen]
-            p /= p.sum(axis=0)
-            mean = p.T @ x
-            spread = np.einsum("ok,oi,oj->kij", p, x, x) - mean[:, :, None] * mean[:, None, :]
-            own = np.column_stack([np.ones(m), loss, self.sharpness * (mean - x[chosen]), self.sharpness**2 * spread.reshape(m, -1)])
-            if fold < m - 1:
-                own[fold] = 0
-            out += own
+            loss = np.log(p.sum(axis=1)) - z[np.arange(n), chosen]
+            # A row counts for each model but that of its own fold.
+            counts = (fold[:, None] != np.arange(m)) | (np.arange(m) == m - 1)
+            p *= (counts / p.sum(axis=1))[:, None, :]
+            mean = np.einsum("nkm,nkd->mnd", p, x)
+            flat = x.reshape(-1, d)
+            squares = (p.reshape(-1, m).T @ (flat[:, :, None] * flat[:, None, :]).reshape(-1, d * d)).reshape(m, d, d)
+            spread = squares - mean.transpose(0, 2, 1) @ mean
+            slope = mean.sum(axis=1) - counts.T @ x[np.arange(n), chosen]
+            out += np.column_stack([counts.sum(axis=0), (loss * counts).sum(axis=0), self.sharpness * slope, self.sharpness**2 * spread.reshape(m, -1)])
         return out
 
     def right(self, row: tuple, w: np.ndarray) -> bool:
@@ -218,30 +229,38 @@ class Preference:
         self.base, self.sharpness, self.penalty, self.rate = np.asarray(base, float), sharpness, penalty, rate
         self.d = len(self.base)
 
-    def scores(self, variants: list, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each variant's score, and how it moves with each weight."""
-        x = np.array([[np.nan if v is None else v for v in row] for row in variants], float)
         known = ~np.isnan(x)
         x, under = np.where(known, x, 0.0), np.maximum(known @ w, 1e-12)
         score = x @ w / under
-        return score, np.where(known, x - score[:, None], 0.0) / under[:, None]
+        return score, np.where(known, x - score[..., None], 0.0) / under[..., None]
 
     def sums(self, rows: list[tuple], w: np.ndarray) -> np.ndarray:
         """Pairs, slopes and curvatures (of the scores' linear part); rows are (variants, chosen)."""
         out = np.zeros(1 + self.d + self.d**2)
-        for variants, chosen in rows:
-            score, moves = self.scores(variants, w)
-            others = np.arange(len(score)) != chosen
-            apart = moves[chosen] - moves[others]
-            wrong = 1 / (1 + np.exp(np.clip(self.sharpness * (score[chosen] - score[others]), -500, 500)))
-            slope = -self.sharpness * wrong @ apart
+        for some in by_size(rows, 0):
+            chosen, each = np.array([r[1] for r in some]), np.arange(len(some))
+            score, moves = self.scores(np.array([r[0] for r in some], float), w)
+            apart = (moves[each, chosen][:, None] - moves).reshape(-1, self.d)
+            wrong = 1 / (1 + np.exp(np.clip(self.sharpness * (score[each, chosen][:, None] - score), -500, 500)))
+            # The chosen one is no pair with itself; its distance is 0 in any case.
+            wrong[each, chosen] = 0
+            wrong = wrong.ravel()
             curve = apart.T @ (apart * (self.sharpness**2 * wrong * (1 - wrong))[:, None])
-            out += np.concatenate([[others.sum()], slope, curve.ravel()])
+            out += np.concatenate([[len(wrong) - len(some)], -self.sharpness * wrong @ apart, curve.ravel()])
         return out
 
     def agreed(self, rows: list[tuple], w: np.ndarray) -> int:
         """Choices whose chosen variant alone scores highest."""
-        return sum(bool((np.delete(s, c) < s[c]).all()) for s, c in ((self.scores(v, w)[0], c) for v, c in rows))
+        hits = 0
+        for some in by_size(rows, 0):
+            chosen, each = np.array([r[1] for r in some]), np.arange(len(some))
+            score = self.scores(np.array([r[0] for r in some], float), w)[0]
+            top = score[each, chosen].copy()
+            score[each, chosen] = -np.inf
+            hits += int((score.max(axis=1) < top).sum())
+        return hits
 
     def moved(self, w: np.ndarray, slope: np.ndarray) -> np.ndarray:
         """A step down, within a quarter of the base and four times it, and with the base's sum."""

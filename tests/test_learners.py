@@ -126,3 +126,27 @@ def test_preference_over_all_rows_equals_small_steps(spark):
         assert got["after"] == sequences.agreement(choices, want) and got["before"] == sequences.agreement(choices, np.array(base))
     few = learners.preference_model(frame.limit(5), F.col("variants"), F.col("chosen"), base)
     assert few["weights"] == base and not few["active"] and few["before"] == few["after"]
+
+
+def test_sums_over_many_rows_equal_row_by_row_and_are_taken_together(monkeypatch):
+    from momentis.operators import sequences
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(60):
+        n = int(rng.integers(2, 6))
+        x = np.where(rng.random((n, 3)) < 0.2, np.nan, rng.random((n, 3)))
+        rows.append((x, int(rng.integers(n))))
+    task, w = learners.Preference(np.array([0.5, 0.3, 0.2]), 6.0, 0.001, 0.05), np.array([0.4, 0.35, 0.25])
+    each = [task.sums([r], w) for r in rows]
+    assert np.allclose(task.sums(rows, w), sum(each)) and task.agreed(rows, w) == sum(task.agreed([r], w) for r in rows)
+    choice = learners.Choice(np.array([1.0, 0.0, 0.0]))
+    options = [(k % 4, np.nan_to_num(x).tolist(), c) for k, (x, c) in enumerate(rows)]
+    v = rng.random((5, 3))
+    assert np.allclose(choice.sums(options, v), sum(choice.sums([r], v) for r in options))
+    # A pass looks at rows of one size together, and a step of the weights at all pairs together.
+    calls = []
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    choice.sums(options, v), task.sums(rows, w), sequences.preference_weights(rows, task.base, 10, 0.05, 6.0, 0.001)
+    assert len(calls) <= 4 + 4 + 10
