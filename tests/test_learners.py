@@ -150,3 +150,17 @@ def test_sums_over_many_rows_equal_row_by_row_and_are_taken_together(monkeypatch
     monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
     choice.sums(options, v), task.sums(rows, w), sequences.preference_weights(rows, task.base, 10, 0.05, 6.0, 0.001)
     assert len(calls) <= 4 + 4 + 10
+
+
+def test_a_path_looked_at_as_a_whole_ends_where_single_steps_end():
+    from momentis.plans.details import descent, path_sums
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(3000), rng.normal(size=(3000, 3))])
+    y = (x @ [0.5, 2.0, -4.0, 0.0] + rng.normal(size=3000) > 0).astype(float)
+    w = np.zeros(4)
+    for _ in range(500):
+        w -= 0.5 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / 3000 + 0.1 / 3000 * w)
+    passes = []
+    got = descent(lambda path: passes.append(1) or path_sums(x, y, path) / 3000, 0.1 / 3000)
+    assert np.abs(got - w).max() < 1e-9 and len(passes) < 30
