@@ -181,6 +181,80 @@ class Needle:
         return False
 
 
+class Needles:
+    """Many needles sought in a text at once.
+
+    A needle within its bound of edits has all but `bound` of its pieces unchanged in the text, on diagonals (place in the text less place in the needle) that lie within `bound`
+    of one another, as each letter put in or left out moves the diagonal by one. Diagonals are taken in ranges a quarter of that wide; only needles of which enough different pieces
+    stand in five neighbouring ranges are compared letter by letter, in the order given.
+    """
+
+    #: Places of pieces that are looked at at once.
+    HITS = 1 << 20
+
+    def __init__(self, needles: list[str], step: int = 4096):
+        self.needles = [Needle(x) for x in needles]
+        size = np.array([x.size for x in self.needles], np.int64)
+        bound = np.array([x.bound for x in self.needles], np.int64)
+        length = np.where(size < 6, np.maximum(size // 2, 1), 3)
+        self.least = size // length - bound
+        self.short, self.width = size - bound, (bound + 4) // 4
+        self.lead, self.step, self.overlap = 4 - (-size // self.width), step, int((size + bound).max(initial=0))
+        #: Of each length: the pieces' codes, needles and places.
+        self.pieces = []
+        for q in np.unique(length).tolist():
+            own = [(k, np.arange(0, len(needles[k]) - q + 1, q)) for k in np.flatnonzero(length == q).tolist()]
+            code = np.concatenate([self._codes(needles[k], q)[at] for k, at in own])
+            self.pieces.append((q, code, np.repeat([k for k, _ in own], [len(at) for _, at in own]), np.concatenate([at for _, at in own])))
+
+    @staticmethod
+    def _codes(text: str, q: int) -> np.ndarray:
+        """The strings of q plain capitals of a text, as numbers."""
+        letters = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.int64) - ord("A")
+        n = max(len(letters) - q + 1, 0)
+        code = np.zeros(n, np.int64)
+        for k in range(q):
+            code = code * 26 + letters[k : k + n]
+        return code
+
+    def first(self, text: str) -> int | None:
+        """Number of the first needle within its bound. Long texts are looked at in parts, each with the overlap that a needle takes."""
+        found = [self._first(text[a : a + self.step + self.overlap]) for a in range(0, max(len(text) - self.overlap, 1), self.step)]
+        return min((x for x in found if x is not None), default=None)
+
+    def _first(self, text: str) -> int | None:
+        grams = trigrams(text)
+        return next((k for k in self.likely(text).tolist() if self.needles[k].within(text, grams)), None)
+
+    def likely(self, text: str) -> np.ndarray:
+        """Numbers of the needles with enough different pieces on neighbouring diagonals of the text."""
+        if not self.needles:
+            return np.empty(0, np.int64)
+        bins = self.lead + len(text) // self.width + 2
+        base = np.cumsum(bins) - bins
+        zero = base + self.lead
+        change = np.zeros(int(bins.sum()), np.int64)
+        for q, code, owner, place in self.pieces:
+            codes = self._codes(text, q)
+            order = np.argsort(codes, kind="stable")
+            end = np.cumsum(np.bincount(codes, minlength=26**q))
+            times = np.diff(end, prepend=0)[code]
+            total = np.cumsum(times)
+            cuts = np.searchsorted(total, np.arange(self.HITS, times.sum() + self.HITS, self.HITS)) + 1
+            for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+                n = times[a:b]
+                piece = np.repeat(np.arange(a, a + len(n)), n)
+                held = owner[piece]
+                at = order[np.arange(len(piece)) + np.repeat(end[code[a:b]] - np.cumsum(n), n)]
+                last = (at - place[piece]) // self.width[held]
+                # A piece in a range counts for the five starts from which that range is reached, once where it stands there several times.
+                start = last - 4
+                start[1:] = np.maximum(start[1:], np.where(piece[1:] == piece[:-1], last[:-1] + 1, start[1:]))
+                change += np.bincount(zero[held] + start, minlength=len(change)) - np.bincount(zero[held] + last + 1, minlength=len(change))
+        most = np.maximum.reduceat(np.cumsum(change), base)
+        return np.flatnonzero(((most >= self.least) & (len(text) >= self.short)) | (self.short <= 0))
+
+
 class LogLines:
     """Lines of a log seen in frames: `frame` takes a frame's rows (y, kind) and gives (first frame, kind) of the lines that have now been seen `sightings` times.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -108,35 +108,47 @@ def shape_dice(spark, sf_dir):
     return e.join(first, "label").select("vec_id", F.round(fn.dice(F.col("embedding"), F.col("c"), 0.0), 6).alias("dice"))
 
 
+#: Letters of the phrases that a task holds at once, and captions it compares with them.
+PHRASE_LETTERS, CAPTIONS = 1 << 17, 256
+
+
 @query("fuzzy_needles")
 def fuzzy_needles(spark, sf_dir):
     """The first benchmark phrase (its item, by number) that lies in a caption within a fifth of its length in edits; phrases and captions whole.
 
-    An edit breaks one piece of a phrase at most, so that of its pieces of three letters (of a phrase under six letters: its halves) all but as many as it may have edits stand in the caption
-    unchanged: an equi join on pieces counts them, and what has enough is compared. Phrases of one letter at most lie in every caption.
+    Every caption meets every block of phrases: both are dealt out by block and part, a block's phrases come first in the sorted rows and the part's captions pass by them.
+    `folds.Needles` finds the phrases with enough pieces on neighbouring diagonals of a caption and compares those. Phrases of one letter at most lie in every caption.
     """
     phrases = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(fn.letters(F.col("text")), F.lit("")).alias("needle")).where("item_id IS NOT NULL")
     anywhere = phrases.where("length(needle) <= 1").agg(F.min("item_id")).first()[0]
-    size = F.length("needle")
-    cut = phrases.where(size > 1).groupBy("needle").agg(F.min("item_id").alias("item_id")).withColumn("q", F.when(size < 6, F.floor(size / 2)).otherwise(3).cast("int"))
-    count = F.floor(size / F.col("q")).cast("int")
-    least = F.when(size < 6, count - 1).otherwise(count - F.floor(size / 5)).cast("int")
-    starts = F.sequence(F.lit(0), count - 1)
-    split = cut.select("item_id", least.alias("least"), F.explode(F.transform(starts, lambda k: F.substr("needle", k * F.col("q") + 1, F.col("q")))).alias("gram"))
-    pieces = split.groupBy("gram", "item_id", "least").agg(F.count("*").alias("n"))
+    cut = phrases.where("length(needle) > 1").groupBy("needle").agg(F.min("item_id").cast("long").alias("item"))
     captions = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(fn.letters(F.col("text")), F.lit("")).alias("letters")).withColumn("tid", F.md5("letters"))
-    texts = captions.select("tid", "letters").dropDuplicates(["tid"])
-    each = lambda q: F.transform(F.sequence(F.lit(1), F.length("letters") - (q - 1)), lambda k: F.substr("letters", k, F.lit(q)))
-    grams = F.array_distinct(F.flatten(F.array(*(F.when(F.length("letters") >= q, each(q)).otherwise(F.array().cast("array<string>")) for q in (1, 2, 3)))))
-    shared = texts.select("tid", F.explode(grams).alias("gram")).join(pieces, "gram").groupBy("tid", "item_id", "least").agg(F.sum("n").alias("n")).where("n >= least")
-    found = shared.select("tid", "item_id").join(texts, "tid").join(cut.select("item_id", "needle"), "item_id")
-
-    def within(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for held, sought in batches:
-            made = {x: folds.Needle(x) for x in sought.unique()}
-            yield pd.Series([made[x].within(t, folds.trigrams(t)) for t, x in zip(held, sought, strict=True)], dtype=bool)
-
-    first = found.where(F.pandas_udf(within, "boolean")("letters", "needle")).groupBy("tid").agg(F.min("item_id").alias("item"))
+    blocks = (cut.agg(F.sum(F.length("needle"))).first()[0] or 0) // PHRASE_LETTERS + 1
+    parts = captions.count() // CAPTIONS + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    sought = cut.select(dealt("needle", blocks).alias("block"), every(parts).alias("part"), "item", F.lit(None).cast("string").alias("tid"), F.col("needle").alias("letters"))
+    held = captions.select("tid", "letters").dropDuplicates(["tid"]).select(every(blocks).alias("block"), dealt("tid", parts).alias("part"), F.lit(None).cast("long").alias("item"), "tid", "letters")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items, needles, block = None, [], [], None
+        for batch in batches:
+            found = []
+            for *own, item, tid, letters in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if own != key:
+                    key, items, needles, block = own, [], [], None
+                if tid is None:
+                    items.append(item)
+                    needles.append(letters)
+                    continue
+                block = block or folds.Needles(needles)
+                k = block.first(letters)
+                if k is not None:
+                    found.append((tid, items[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], ["tid", "item"])
+
+    met = sought.unionByName(held).repartition("block", "part").sortWithinPartitions("block", "part", F.asc_nulls_last("item"))
+    first = met.mapInArrow(compared, "tid string, item long").groupBy("tid").agg(F.min("item").alias("item"))
     rule = F.least(F.col("item"), F.lit(anywhere).cast("long"))
     return captions.join(first, "tid", "left").select("conv_id", "turn", rule.alias("rule"))
 

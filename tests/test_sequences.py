@@ -119,6 +119,37 @@ def test_fuzzy_needles_equal_all_pairs(spark, tmp_path):
         assert name != "some" or len(set(got.values())) > 6
 
 
+@pytest.mark.parametrize("step, hits", [(4096, 1 << 20), (1, 1 << 20), (7, 5), (40, 60), (4096, 1)])
+def test_first_of_many_needles_equals_sellers(monkeypatch, step, hits):
+    monkeypatch.setattr(folds.Needles, "HITS", hits)
+    rng = random.Random(step)
+    found = 0
+    for r in range(250):
+        signs = "ABCDE" if r % 2 else "ABCDEFGHIJKLMNOPQRST"
+        needles = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 10, 14, 15, 29, 40, 60]) if r % 3 else rng.randrange(20, 60))) for _ in range(rng.randrange(8))]
+        text = "".join(rng.choices(signs, k=rng.randrange(100)))
+        if needles and rng.random() < 0.7:
+            near = [c if rng.random() > 0.15 else rng.choice(["", "A", "BC"]) for c in rng.choice(needles)]
+            text = text[:30] + "".join(near) + text[30:]
+        want = next((k for k, x in enumerate(needles) if folds.sellers(x, text) <= max(1, len(x) // 5)), None)
+        assert folds.Needles(needles, step).first(text) == want, (needles, text)
+        found += want is not None
+    assert 100 < found < 250
+
+
+def test_few_needles_are_compared_with_texts_of_the_same_syllables():
+    """Texts that hold a phrase's pieces in other places aren't compared with it letter by letter."""
+    rng = random.Random(4)
+    syllables = ["".join(rng.choices("AEIONRST", k=rng.randrange(2, 5))) for _ in range(60)]
+    made = lambda n: "".join(rng.choices(syllables, k=n))
+    needles, texts = [made(60) for _ in range(40)], [made(300) for _ in range(20)]
+    both = folds.Needles(needles)
+    counted = [sum(map(folds.trigrams(t).__contains__, x.pieces)) >= len(x.pieces) - x.bound for t in texts for x in both.needles]
+    assert sum(counted) > 400  # what a count of pieces anywhere in the text would compare
+    assert sum(len(both.likely(t)) for t in texts) < 10
+    assert both.first(texts[0][:500] + needles[7][:90] + needles[7][95:] + texts[0][500:]) == 7
+
+
 def test_onsets_at_the_bound_are_judged_as_running_sums_judge_them():
     from momentis.plans.detecting import RingOnsets
 
