@@ -10,9 +10,11 @@
    `MAIN_PAGES` pages and `MAIN_SHARE` of them, and a page most of whose main words repeat is a copy, not boilerplate, and keeps them.
 3. What is left of each block is a line.
 
-A host of over `SHARD_BYTES` of pages is dealt by page hash into shards of about that size, each of which is an array of its own with the
-same shares: so a host with a third of all pages spreads over all tasks, and what a share of its pages repeats is found in each.
-Only cut texts are shuffled, once; no page's markup is.
+A host of over `SHARD_BYTES` of pages is dealt into shards of about that size by its pages' token streams, so that a host with a third of all pages
+spreads over all tasks. Each shard is an array of its own, but shares are those of the host: a string that a share of the host's pages holds is held by that share of
+some shard's pages, so every array names the strings that may go, the pages of all shards that hold them are counted and added up by host, and what
+reaches the host's share comes back to each shard. Where shards hold few pages (under `MANY` on average), the arrays' strings are added up without being named first.
+The results are those of one array for each host, whatever `SHARD_BYTES` is. Only cut texts are shuffled, once; no page's markup is.
 
 Defined results: null and empty pages give an empty text; a null url is a host of its own; very long pages are read whole, in linear time;
 pages with the same words count as one page; equal shares are enough (ties are boilerplate); an empty table gives an empty result; other columns pass, whatever
@@ -21,9 +23,11 @@ their names, but for one named as the result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentis.llm.common import materialize, small_batches, strings
+from momentis.llm.common import materialize, powers, small_batches, strings
 
 RUN = 8
 OPEN_PAGES, OPEN_SHARE = 2, 0.02
 MAIN_PAGES, MAIN_SHARE = 4, 0.5
 SHARD_BYTES = 4 << 20
+#: Pages of a shard from which its array's own shares say what may go.
+MANY = 256
 #: Hosts of several shards are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 100_000
 
@@ -237,9 +243,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[order]
 
 
-def repeats(streams: list[list[int]], marks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the joined streams, each with an end mark from `marks` on: in how many distinct streams the string of `RUN` tokens from each place starts
-    (0 where an end comes before), and where each stream begins."""
+def joined(streams: list[tuple[int, ...]], marks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The streams in one text, each with an end mark from `marks` on; of each place its stream and whether `RUN` tokens start there; where each stream begins."""
     size = np.array([len(x) + 1 for x in streams])
     begin = np.cumsum(size) - size
     text = np.empty(size.sum(), np.int64)
@@ -247,13 +252,47 @@ def repeats(streams: list[list[int]], marks: int) -> tuple[np.ndarray, np.ndarra
     for k, (x, a) in enumerate(zip(streams, begin.tolist(), strict=True)):
         text[a : a + len(x)] = x
         text[a + len(x)] = marks + k
+    left = np.repeat(begin + size - 1, size) - np.arange(len(text))
+    return text, owner, left >= RUN, begin
+
+
+def repeats(text: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """In how many streams of a joined text the string of `RUN` tokens from each place starts (0 where an end comes before)."""
     order, interval = suffix_array(text, RUN)
-    pairs = np.unique(interval * len(streams) + owner[order])
-    pages = np.bincount(pairs // len(streams))
+    n = int(owner[-1]) + 1
+    pairs = np.unique(interval * n + owner[order])
+    pages = np.bincount(pairs // n)
     times = np.empty(len(text), np.int64)
     times[order] = pages[interval]
-    left = np.repeat(begin + size - 1, size) - np.arange(len(text))
-    return np.where(left >= RUN, times, 0), begin
+    return np.where(whole, times, 0)
+
+
+def hashed(text: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+    """128 bits for the string of `RUN` tokens from each place, the same in every shard, as two columns."""
+    own = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in ids)
+    tokens = np.concatenate([np.frombuffer(own, "<u8").reshape(-1, 2), np.zeros((1, 2), np.uint64)])[np.minimum(text, len(ids))]
+    out = np.zeros_like(tokens)
+    for k, factor in enumerate(powers(RUN)[0]):
+        out[: len(out) - k] += tokens[k:] * factor
+    return out.view(np.int64)
+
+
+def different(strings: np.ndarray) -> np.ndarray:
+    """Each row once, in order."""
+    rows = strings[np.lexsort((strings[:, 1], strings[:, 0]))]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))] if len(rows) else rows
+
+
+def places(strings: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each row stands among ordered different ones; -1 where it doesn't."""
+    out = np.full(len(strings), -1)
+    if len(among):
+        first = np.searchsorted(among[:, 0], strings[:, 0])
+        for step in range(int(np.unique(among[:, 0], return_counts=True)[1].max())):
+            at = np.minimum(first + step, len(among) - 1)
+            same = (among[at] == strings).all(axis=1)
+            out[same] = at[same]
+    return out
 
 
 def spread(starts: np.ndarray) -> np.ndarray:
@@ -264,31 +303,64 @@ def spread(starts: np.ndarray) -> np.ndarray:
     return np.cumsum(delta)[: len(starts)] > 0
 
 
-def decide(pages: list[list[tuple[str, str]]]) -> list[str]:
-    """The texts of a shard's pages, given as blocks."""
+def tokens_of(pages: list[list[tuple[str, str]]]) -> tuple[list, dict[str, int], dict[tuple[int, ...], int], list[int]]:
+    """The words of pages' blocks, their numbers, the distinct streams of numbers, and which of them is each page's."""
     ids: dict[str, int] = {}
     words = [[(r, t.split(" ")) for r, t in page] for page in pages]
-    streams = [[ids.setdefault(w, len(ids)) for _, line in page for w in line] for page in words]
-    distinct: dict[tuple, int] = {}
-    which = [distinct.setdefault(tuple(x), len(distinct)) for x in streams]
+    streams = [tuple(ids.setdefault(w, len(ids)) for _, line in page for w in line) for page in words]
+    distinct: dict[tuple[int, ...], int] = {}
+    return words, ids, distinct, [distinct.setdefault(x, len(distinct)) for x in streams]
+
+
+def may_go(pages: list[list[tuple[str, str]]]) -> np.ndarray:
+    """Strings that reach the least share in a shard's own array: all that reach a share of the host, in one shard at least."""
+    _, ids, distinct, _ = tokens_of(pages)
+    text, owner, whole, _ = joined(list(distinct), len(ids))
+    return different(hashed(text, ids)[repeats(text, owner, whole) >= max(1, int(OPEN_SHARE * len(distinct)))])
+
+
+def counted(pages: list[list[tuple[str, str]]], sought: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of a shard's array, only the sought ones where some are given, and how many of its distinct pages hold each."""
+    _, ids, distinct, _ = tokens_of(pages)
+    text, owner, whole, _ = joined(list(distinct), len(ids))
+    strings = hashed(text, ids)
+    if sought is None:
+        found = different(strings[whole])
+        times = np.zeros(len(found), np.int64)
+        times[places(strings[whole], found)] = repeats(text, owner, whole)[whole]
+        return found, times
+    at = np.where(whole, places(strings, sought), -1)
+    pairs = np.unique(at[at >= 0] * len(distinct) + owner[at >= 0])
+    times = np.bincount(pairs // max(len(distinct), 1), minlength=len(sought))
+    return sought[times > 0], times[times > 0]
+
+
+def decide(pages: list[list[tuple[str, str]]], gone: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """The texts of a host's pages, given as blocks; of a shard's, where the host's strings that go are given, and for each whether it goes inside `main`."""
+    words, ids, distinct, which = tokens_of(pages)
     if not ids:
         return [""] * len(pages)
-    times, begin = repeats([list(x) for x in distinct], len(ids))
-    n = len(distinct)
-    open_gone = spread(times >= max(OPEN_PAGES, math.ceil(OPEN_SHARE * n)))
-    main_gone = spread(times >= max(MAIN_PAGES, math.ceil(MAIN_SHARE * n)))
+    text, owner, whole, begin = joined(list(distinct), len(ids))
+    if gone is None:
+        times = repeats(text, owner, whole)
+        n = len(distinct)
+        open_gone = spread(times >= max(OPEN_PAGES, math.ceil(OPEN_SHARE * n)))
+        main_gone = spread(times >= max(MAIN_PAGES, math.ceil(MAIN_SHARE * n)))
+    else:
+        at = np.where(whole, places(hashed(text, ids), gone[0]), -1)
+        open_gone, main_gone = spread(at >= 0), spread(np.append(gone[1], False)[at])
     texts = []
     for page, k in zip(words, which, strict=True):
-        at, places, inside, taken = int(begin[k]), [], 0, 0
+        at, starts, inside, taken = int(begin[k]), [], 0, 0
         for region, line in page:
-            places.append(at)
+            starts.append(at)
             if region == "main":
                 inside += len(line)
                 taken += int(main_gone[at : at + len(line)].sum())
             at += len(line)
         copy = 2 * taken > inside
         lines = []
-        for (region, line), a in zip(page, places, strict=True):
+        for (region, line), a in zip(page, starts, strict=True):
             if region == "out":
                 continue
             gone = open_gone if region == "open" else main_gone
@@ -309,29 +381,36 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
     names = [x for x in pages.columns if x not in (html, into)]
     inner = [f"_k{i}" for i in range(len(names))]
     own = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"), *(F.col(f"`{x}`").alias(y) for x, y in zip(names, inner, strict=True)))
-    sizes = own.groupBy("host").agg(F.sum(F.length("html")).alias("size")).where(F.col("size") > SHARD_BYTES)
-    sizes = materialize(sizes.select(F.col("host").alias("big"), F.ceil(F.col("size") / SHARD_BYTES).alias("shards")))
-    if sizes.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    sizes = own.groupBy("host").agg(F.sum(F.length("html")).alias("size"), F.count("*").alias("rows")).where(F.col("size") > SHARD_BYTES)
+    sizes = sizes.withColumn("shards", F.ceil(F.col("size") / SHARD_BYTES)).select(F.col("host").alias("big"), "shards", (F.col("rows") >= MANY * F.col("shards")).alias("many"))
+    sizes = materialize(sizes)
+    n_big = sizes.limit(BROADCAST_HOSTS + 1).count()
+    if n_big <= BROADCAST_HOSTS:
         sizes = F.broadcast(sizes)
-    dealt = own.join(sizes, F.col("host") == F.col("big"), "left").withColumn("part", F.pmod(F.xxhash64("html"), F.coalesce("shards", F.lit(1))))
-    rows = dealt.select("host", "part", "html", *inner)
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    dealt = own.join(sizes, F.col("host") == F.col("big"), "left").select("host", "shards", "many", "html", *inner) if n_big else own.select("host", F.lit(None).cast("long").alias("shards"), F.lit(None).cast("boolean").alias("many"), "html", *inner)
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields[4:])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(x) for x in strings(batch.column(2))]
+            found = [blocks(x) for x in strings(batch.column(3))]
+            # Pages with the same words are in one shard.
+            keys = [hashlib.blake2b(" ".join(t for _, t in page).encode("utf-8", "surrogatepass"), digest_size=16).digest() for page in found]
+            parts = pa.array([int.from_bytes(x[:8], "little") % (n or 1) for x, n in zip(keys, batch.column(1).to_pylist(), strict=True)], pa.int64())
             regions = pa.array([[_REGIONS.index(r) for r, _ in page] for page in found], pa.list_(pa.int8()))
             texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), regions, texts, *batch.columns[3:]], ["host", "part", "regions", "texts", *inner])
+            yield pa.RecordBatch.from_arrays([batch.column(0), parts, regions, texts, *batch.columns[1:3], pa.array(keys, pa.binary()), *batch.columns[4:]], [*heads, *inner])
 
+    heads = ["host", "part", "regions", "texts", "shards", "many", "key"]
+    schema = f"host string, part long, regions array<byte>, texts array<string>, shards long, many boolean, key binary{kept}"
+    result = f"{kept[2:]}, found string" if kept else "found string"
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = decide([[(_REGIONS[r], t) for r, t in zip(rs, ts, strict=True)] for b in held for rs, ts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+            found = decide([page for b in held for page in read(b)])
             at = 0
             for b in held:
-                yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(found[at : at + b.num_rows], pa.string())], [*inner, "found"])
+                yield pa.RecordBatch.from_arrays([*b.columns[len(heads) :], pa.array(found[at : at + b.num_rows], pa.string())], [*inner, "found"])
                 at += b.num_rows
 
         for batch in batches:
@@ -347,11 +426,63 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
         if held:
             yield from flush()
 
-    cut = rows.mapInArrow(scanned, f"host string, part long, regions array<byte>, texts array<string>{kept}")
-    judged = cut.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(decided, f"{kept[2:]}, found string" if kept else "found string")
+    whole = dealt.where("shards IS NULL").mapInArrow(scanned, schema)
+    judged = whole.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(decided, result)
+    if n_big:
+        cut = dealt.where("shards IS NOT NULL").mapInArrow(scanned, schema).repartition("host", "part")
+        judged = judged.unionByName(_of_shards(cut, inner, result, n_big))
     return judged.select(*(F.col(y).alias(x) for x, y in zip(names, inner, strict=True)), F.col("found").alias(into))
 
 
+def read(rows: pa.RecordBatch | pa.Table) -> list[list[tuple[str, str]]]:
+    """Scanned pages as blocks."""
+    return [[(_REGIONS[r], t) for r, t in zip(rs, ts, strict=True)] for rs, ts in zip(rows.column("regions").to_pylist(), rows.column("texts").to_pylist(), strict=True)]
+
+
+def _of_shards(cut: DataFrame, inner: list[str], result: str, n_big: int) -> DataFrame:
+    """Texts of the pages of hosts of several shards; all steps read the one shuffle of cut."""
+
+    def told(pages: pa.Table, found: np.ndarray, **more: np.ndarray) -> pa.Table:
+        """Strings with their host."""
+        one = lambda x, kind: pa.array([pages.column(x)[0].as_py()] * len(found), kind)
+        return pa.table({"host": one("host", pa.string()), "shards": one("shards", pa.int64()), "a": found[:, 0], "b": found[:, 1], **more})
+
+    def pairs(rows: pa.Table) -> np.ndarray:
+        return np.stack([rows.column(x).to_numpy() for x in "ab"], axis=1).astype(np.int64)
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pages with the same words are in one partition.
+        seen = {x for b in batches for x in zip(b.column(0).to_pylist(), b.column(6).to_pylist(), strict=True)}
+        times = Counter(host for host, _ in seen)
+        yield pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], ["host", "n"])
+
+    def named(pages: pa.Table) -> pa.Table:
+        return told(pages, may_go(read(pages)) if pages.column("many")[0].as_py() else np.empty((0, 2), np.int64))
+
+    def added(pages: pa.Table, sought: pa.Table) -> pa.Table:
+        if not pages.num_rows:
+            return pa.table({"host": pa.array([], pa.string()), **{x: pa.array([], pa.int64()) for x in ("shards", "a", "b", "c")}})
+        found, times = counted(read(pages), different(pairs(sought)) if pages.column("many")[0].as_py() else None)
+        return told(pages, found, c=times)
+
+    def judge(pages: pa.Table, gone: pa.Table) -> pa.Table:
+        strings = pairs(gone)
+        order = np.lexsort((strings[:, 1], strings[:, 0]))
+        found = decide(read(pages), (strings[order], np.array(gone.column("main").to_pylist(), bool)[order]))
+        return pa.table([*(pages.column(x) for x in inner), pa.array(found, pa.string())], [*inner, "found"])
+
+    shard = lambda rows: rows.groupBy("host", "part")
+    each = lambda rows: shard(rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))))
+    n = cut.mapInArrow(sized, "host string, n long").groupBy("host").agg(F.sum("n").alias("n"))
+    likely = shard(cut).applyInArrow(named, "host string, shards long, a long, b long").distinct()
+    counts = shard(cut).cogroup(each(likely)).applyInArrow(added, "host string, shards long, a long, b long, c long")
+    totals = counts.groupBy("host", "shards", "a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= OPEN_PAGES)
+    reached = lambda pages, share: F.col("c") >= F.greatest(F.lit(pages), F.ceil(F.lit(share) * F.col("n")))
+    gone = totals.join(F.broadcast(n) if n_big <= BROADCAST_HOSTS else n, "host").where(reached(OPEN_PAGES, OPEN_SHARE))
+    gone = gone.select("host", "shards", "a", "b", reached(MAIN_PAGES, MAIN_SHARE).alias("main"))
+    return shard(cut).cogroup(each(gone)).applyInArrow(judge, result)
+
+
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -377,6 +377,31 @@ def test_html_runs_equal_brute_force(seed):
         assert got == "\n".join(x for x in lines if x)
 
 
+@pytest.mark.parametrize("shard_bytes, many", [(20_000, 1), (20_000, 10**9), (3000, 1), (3000, 10**9)])
+def test_html_shares_are_those_of_the_host(spark, monkeypatch, shard_bytes, many):
+    """The texts of a host are the same in one array and in many, for passages in few, some and most of its pages, copies, and pages with the same words under other markup."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [(text(12), k) for k in (2, 3, 4, 5, 30, 75, 76, 120)]
+    lines = [[f"<p>{text(12)}</p>", f"<article>{text(30)}"] for _ in range(150)]
+    for passage, k in passages:
+        for i in rng.sample(range(150), k):
+            lines[i][0] += f"<p>{passage}</p>"
+        for i in rng.sample(range(150), k):
+            lines[i][1] += f"<p>{passage}</p>"
+    pages = ["".join(x) + "</article>" for x in lines]
+    pages += pages[:5] + [x.replace("<p>", "<div>").replace("</p>", "</div>") for x in pages[5:10]] + ["", None]
+    rows = [(k, "http://h.example/", x) for k, x in enumerate(pages)] + [(1000 + k, f"http://small{k}.example/", "<p>one page of a host</p>") for k in range(3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    monkeypatch.setattr(html_text, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(html_text, "MANY", many, raising=False)
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert len(got) == len(rows) and got == want
+    kept = [sum(p in (t or "") for t in want.values()) for p, _ in passages]
+    assert 0 < kept[0] and 0 < kept[-1] < kept[4]  # what most articles hold goes from them, but for copies; what few hold stays
+
+
 #: Grants written by hand, none of them made by the classifier's own generator.
 GRANTS = [
     ("MIT License", "mit"), ("Distributed under the terms of the MIT License", "mit"), ("Licensed under the GNU GPL v3.0 or later.", "gpl-3.0"), ("GNU GENERAL PUBLIC LICENSE Version 3", "gpl-3.0"), ("Licensed under Apache 2.0.", "apache-2.0"),
